@@ -1,4 +1,4 @@
-"""Appending columns computed from the texts of Arrow batches."""
+"""Appending columns computed from Arrow batches with texts."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from pyspark.sql.types import StructType
 from trafficlens.llm.words import slices
 
 
-def append(df: DataFrame, fields: str, start: Callable[[], Callable[[pa.Array], dict[str, object]]], text: str = "text") -> DataFrame:
-    """``df`` with further columns made from its column ``text``; no shuffle.
+def append(df: DataFrame, fields: str, start: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]], text: str = "text") -> DataFrame:
+    """``df`` with further columns made from its rows; no shuffle.
 
     ``start`` runs once in each task and returns the function that turns a slice of
-    texts into the new columns (by name, one value for each text). Columns of ``df``
+    rows into the new columns (by name, one value for each row). Columns of ``df``
     that have one of the new names are replaced.
     """
     new = StructType.fromDDL(fields)
@@ -25,7 +25,7 @@ def append(df: DataFrame, fields: str, start: Callable[[], Callable[[pa.Array],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = start()
         for b in slices(batches, text):
-            made = make(b.column(text))
+            made = make(b)
             keep = [n for n in b.schema.names if n not in names]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), *(made[n] if isinstance(made[n], pa.Array) else pa.array(made[n]) for n in names)], [*keep, *names])
 

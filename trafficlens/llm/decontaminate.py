@@ -130,8 +130,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
         shared = sc.broadcast(build_block(w, h, ids, _word_counts(documents, np.unique(h)), width))
 
         def start(shared=shared):
-            def make(column: pa.Array) -> dict[str, object]:
-                block = shared.value
+            def make(b: pa.RecordBatch) -> dict[str, object]:
+                block, column = shared.value, b.column("text")
                 w, first, size, item = find(column, block)
                 edge = np.zeros(len(w.start) + 1, np.int64)
                 np.add.at(edge, first, 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chat, decontaminate, media, simhash, toxicity
+from trafficlens.llm import chat, decontaminate, media, simhash, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,30 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove_repeats(documents).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)
+), again as (
+  select run from windows group by run having count(*) > 1
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 35)) as k from windows join again using (run)
+), words as (
+  select doc_id, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from d
+), kept as (
+  select doc_id, string_agg(word, ' ' order by k) as kept, count(*) as n_kept from words anti join gone using (doc_id, k) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(documents, table(spark, sf_dir, "benchmark"))
@@ -105,7 +129,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media_columns": op2_media_columns,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op9_decontaminate": OP9_SQL, "op10_chat_format": OP10_SQL}

@@ -66,7 +66,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
 
 def fingerprinted(documents: DataFrame) -> DataFrame:
     """doc_id and fingerprint (as a signed long)."""
-    return append(documents.select("doc_id", "text"), "fp long", lambda: lambda column: {"fp": fingerprints(column).view(np.int64)}).select("doc_id", "fp")
+    return append(documents.select("doc_id", "text"), "fp long", lambda: lambda b: {"fp": fingerprints(b.column("text")).view(np.int64)}).select("doc_id", "fp")
 
 
 def _masks() -> list[int]:

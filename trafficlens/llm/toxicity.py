@@ -126,9 +126,9 @@ def score(documents: DataFrame, weights: np.ndarray, threshold: float = THRESHOL
         dense = np.zeros(1 << BITS)
         dense[used] = value
 
-        def make(column: pa.Array) -> dict[str, object]:
-            text, feature = hashed_features(column)
-            total = bias + np.bincount(text, dense[feature], minlength=len(column))[: len(column)]
+        def make(b: pa.RecordBatch) -> dict[str, object]:
+            text, feature = hashed_features(b.column("text"))
+            total = bias + np.bincount(text, dense[feature], minlength=b.num_rows)
             p = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             return {"score": p, "predicted": (p >= threshold).astype(np.int32)}
 
