@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import chat, decontaminate, media, mixture, quality, simhash, substrings, toxicity
+from trafficlens.llm import bilinear, chat, decontaminate, media, mixture, quality, simhash, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = bilinear.score_all(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.summary(tokens.attribute(table(spark, sf_dir, "documents")))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(documents, table(spark, sf_dir, "benchmark"))
@@ -140,6 +149,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality": op6_quality,
+    "op7_lm_score": op7_lm_score,
+    "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat_format": op10_chat_format,
 }
