@@ -13,8 +13,8 @@ inside them. Overlapping repeats of a document merge into its maximal repeats, a
 every word in one is removed; windows are judged on the input.
 
 Keys of a group are two independent 64-bit hashes. No group is gathered: groups are
-counted (which combines before the shuffle), and joined back from one row for each,
-so a common passage is split by adaptive skew handling.
+counted (which combines before the shuffle), written, and joined back from one row for
+each, so a common passage is split by adaptive skew handling.
 
 Cases: null and short texts have no windows; repeated rows are repeats of each other;
 a doc_id may be null or repeated, as rows are told apart by id and text; very long and
@@ -109,13 +109,14 @@ def _same_text(a: DataFrame, b: DataFrame) -> Column:
 def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """doc_id, tk (hash of the text), runs: ranges (first window, number of windows) that are repeated."""
     runs = _runs(documents, length, seed)
-    often = runs.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first, so that the join deals both sides anew and a hot anchor's rows can be split
+    often = keep(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     seeds = keep(runs.join(often, "anchor"), "seeds")
     kinds = keep(
         seeds.groupBy("anchor", "whole", "n").agg(F.count("*").alias("places"), *(F.first(c).alias(c) for c in (*_ID, "first"))), "runs"
     )
     whole = seeds.join(kinds.where("places > 1").select("anchor", "whole", "n"), ["anchor", "whole", "n"]).select(*_ID, "first", "n")
-    mixed = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
+    mixed = keep(kinds.groupBy("anchor").count().where("count > 1").select("anchor"), "mixed")
     listed = (
         kinds.join(mixed, "anchor")
         .groupBy(*_ID)
@@ -124,7 +125,7 @@ def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     texts = documents.select("doc_id", _text_key().alias("tk"), "text")
     examples = texts.join(listed, _same_text(texts, listed)).select(texts["doc_id"], texts["tk"], "text", "runs").dropDuplicates(_ID)
     windows = keep(_windows(examples, length), "windows")
-    again = windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window")
+    again = keep(windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window"), "again")
     single = windows.where("once").join(again, ["anchor", "window"]).select(*_ID, "first", F.lit(1).alias("n"))
     return whole.unionByName(single).groupBy(*_ID).agg(F.collect_set(F.struct("first", "n")).alias("runs"))
 
