@@ -9,7 +9,7 @@ same start; parameters are averaged by tokens. Matrix products over all pairs of
 context classes then give the exact normaliser, so token log-probabilities are
 normalised. Inside the rare class a token has its add-one share of the rare counts.
 
-Frequent tokens' counts (``FREQUENT``, a fixed bound) are broadcast; a text's other tokens
+Frequent tokens' counts (at most ``FREQUENT``) are broadcast; a text's other tokens
 are joined with the count table, so counts are exact for every token and nothing that
 is broadcast or collected grows with the corpus.
 
@@ -33,7 +33,7 @@ from trafficlens.llm.scratch import keep
 from trafficlens.llm.words import NOT_SPACE, Words, slices, split_words, strings
 
 CLASSES, WIDTH = 512, 16
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 #: Noise-contrastive training: noise samples and tokens of a step, Adagrad's rate
 NOISE, STEP, RATE = 32, 4096, 0.1
 SEED = 5
@@ -73,9 +73,17 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
 
 def gather(counts: DataFrame, n_texts: int) -> Counts:
-    """The broadcast half of a count table."""
+    """The broadcast half of a count table.
+
+    Frequent are the tokens at or over a count that a logarithmic histogram of all counts
+    gives; they are FREQUENT at most, and nothing else is collected.
+    """
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    rows = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+    level = F.floor(F.log2("n") * 64)
+    levels = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    taken = np.cumsum([n for _, n in levels])
+    fits = int(np.searchsorted(taken, FREQUENT, "right"))
+    rows = counts.where(level >= (levels[fits - 1][0] if fits else 1 << 20)).toPandas().sort_values(["n", "token"], ascending=[False, True])
     h = _tokens(pa.array(rows["token"], pa.string()))[1]
     n = rows["n"].to_numpy(np.int64)
     listed = min(CLASSES - 2, len(n))
