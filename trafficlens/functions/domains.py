@@ -69,11 +69,11 @@ def ratios(domain: Column) -> dict[str, Column]:
     parts = F.split(name, r"\.", -1)
     count = lambda p: F.regexp_count(s, F.lit(p))
     return {
-        "sld_length": F.length(s),
-        "full_length": F.length(domain),
-        "num_dots": F.size(parts) - 1,
-        "num_labels": F.size(parts),
-        "max_label_length": F.array_max(F.transform(parts, F.length)),
+        "sld_length": F.length(s).cast("long"),
+        "full_length": F.length(domain).cast("long"),
+        "num_dots": F.size(parts).cast("long") - 1,
+        "num_labels": F.size(parts).cast("long"),
+        "max_label_length": F.array_max(F.transform(parts, F.length)).cast("long"),
         "digit_ratio": _share(count("[0-9]"), s),
         "alpha_ratio": _share(count(r"\p{L}"), s),
         "consonant_ratio": _share(count("[bcdfghjklmnpqrstvwxyz]"), s),
@@ -93,7 +93,7 @@ def entropies(domain: Column) -> dict[str, Column]:
 
 def longest_consonant_run(domain: Column) -> Column:
     runs = F.regexp_extract_all(label(domain), F.lit("([bcdfghjklmnpqrstvwxyz]+)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)).cast("long")
 
 
 def bigrams(s: Column) -> Column:

@@ -32,7 +32,12 @@ def dealt(flows: DataFrame, window_s: float, stride_s: float, ts: str = "ts_us",
 
 def window_features(flows: DataFrame, window_s: float = 30, stride_s: float = 10, min_flows: int = 5) -> DataFrame:
     """One row for each (source, window) of at least ``min_flows`` connections: 18 features, rsto_ratio, and evidence."""
-    rows = dealt(flows, window_s, stride_s).repartition(*map(F.col, KEY))
+    return features(dealt(flows, window_s, stride_s), window_s, min_flows)
+
+
+def features(rows: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:
+    """Features of connections that are already dealt to their windows."""
+    rows = rows.repartition(*map(F.col, KEY))
     gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*KEY).orderBy("ts_us"))
 
     def share(condition: Column) -> Column:

@@ -232,7 +232,7 @@ def best_threshold(scored: DataFrame, score: str = "score", label: str = "label"
     curve = by.withColumns({"tp": F.sum("pos").over(above), "predicted": F.sum("n").over(above)})
     total = F.sum("pos").over(Window.partitionBy())
     curve = curve.withColumn("f1", rounded(or_zero(2 * F.col("tp") / (F.col("predicted") + total))))
-    return curve.orderBy(F.desc("f1"), "threshold").limit(1).select(rounded(F.col("threshold")).alias("threshold"), "f1", rounded(F.col("tp") / F.col("predicted")).alias("precision"))
+    return curve.orderBy(F.desc("f1"), "threshold").limit(1).select("threshold", "f1", (F.col("tp") / F.col("predicted")).alias("precision"))
 
 
 def report(alerts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -63,6 +63,11 @@ def unit_features(flows: DataFrame, window_s: int, stride_s: int | None = None,
     rows = dealt(flows, window_s, stride_s or window_s, origin_us=origin or 0)
     if origin is not None:
         rows = rows.where(F.col("start_us") >= origin)
+    return features_of(rows, window_s, uids)
+
+
+def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame:
+    """Unit features of flows that are already dealt to their windows."""
     in_unit = Window.partitionBy(*UNIT)
     gap = F.col("ts_us") - F.lag("ts_us").over(in_unit.orderBy("ts_us"))
     width = window_s * 1_000_000 / SUBBINS

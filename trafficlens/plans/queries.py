@@ -332,7 +332,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pr_curve_best_f1(spark: SparkSession, d: str) -> DataFrame:
     label = (F.col("severity").isin("CRITICAL", "HIGH") & (F.col("threat_class") != "DGA")).cast("int")
-    return serving.best_threshold(views.alerts(spark, d).select(F.col("confidence").alias("score"), label.alias("label")))
+    return _rounded_doubles(serving.best_threshold(views.alerts(spark, d).select(F.col("confidence").alias("score"), label.alias("label"))))
 
 
 @query

@@ -6,19 +6,26 @@ from pyspark.sql import types as T
 
 FLAGS = ("syn", "ack", "rst", "fin", "psh", "urg")
 
-PACKET = T.StructType.fromDDL(
-    "src_ip string, dst_ip string, src_port int, dst_port int, protocol int, timestamp_us long, packet_len int, payload_len long, "
-    "tcp_flags struct<syn:boolean,ack:boolean,rst:boolean,fin:boolean,psh:boolean,urg:boolean>, dns_query string, ingest_time string"
-)
-CONNECTION = T.StructType.fromDDL(
-    "ts_us long, src_ip string, dst_ip string, dst_port string, conn_state string, duration double, orig_pkts double, resp_pkts double, history string"
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _struct(fields: str) -> T.StructType:
+    """A schema from "name type, ..." without needing a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in fields.split(","))])
+
+
+PACKET = (
+    _struct("src_ip string, dst_ip string, src_port int, dst_port int, protocol int, timestamp_us long, packet_len int, payload_len long")
+    .add("tcp_flags", T.StructType([T.StructField(f, T.BooleanType()) for f in FLAGS]))
+    .add("dns_query", T.StringType())
+    .add("ingest_time", T.StringType())
 )
-C2_FLOW = T.StructType.fromDDL(
+CONNECTION = _struct("ts_us long, src_ip string, dst_ip string, dst_port string, conn_state string, duration double, orig_pkts double, resp_pkts double, history string")
+C2_FLOW = _struct(
     "ts_us long, orig_h string, resp_h string, resp_p long, proto string, orig_pkts double, resp_pkts double, local_orig boolean, duration double, orig_ip_bytes double, resp_ip_bytes double, uid string"
 )
-ALERT = T.StructType.fromDDL(
-    "alert_id string, timestamp double, threat_class string, confidence double, severity string, src_ip string, dst_ip string, "
-    "src_port int, dst_port int, flow_id string, evidence string, model_version string"
+ALERT = _struct(
+    "alert_id string, timestamp double, threat_class string, confidence double, severity string, src_ip string, dst_ip string, src_port int, dst_port int, flow_id string, evidence string, model_version string"
 )
 
 TCP, UDP = 6, 17
