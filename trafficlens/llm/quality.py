@@ -1,7 +1,7 @@
 """Quality by importance resampling.
 
 Two generative models over hashed n-grams are counted: one of target text (labelled
-good), one of all raw text. A text's importance weight is the mean log ratio of the two
+good), one of all raw text, which is also the target model's prior. A text's importance weight is the mean log ratio of the two
 over its grams, and resampling draws texts without replacement by Gumbel top-k: the k
 greatest of weight / temperature + Gumbel noise, the noise being a hash of the row. Used
 as a filter, k is the number of texts whose weight is at least ``CUT``, and the low
@@ -37,6 +37,8 @@ BITS = 16
 #: Labelled rows that are read for the target model, by hash order of doc_id
 MAX_LABELLED = 40_000
 CUT, TEMPERATURE = -0.1, 0.005
+#: Pseudo-counts by which a gram's target probability is drawn to its raw one, so that rare grams say little
+PRIOR = 10.0
 _BINS, _FEW = 1024, 4096
 
 _CLASS = np.array([0 if b == 0x20 or 0x09 <= b <= 0x0D else 1 if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 2 for b in range(256)], np.uint8)
@@ -90,7 +92,7 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
         raw[r["gram"]], target[r["gram"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(1 << BITS)
-    return np.log((target + 1) / (target.sum() + len(target))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    return np.log(target + PRIOR) - np.log(raw * (target.sum() / raw.sum()) + PRIOR)
 
 
 def weigh(documents: DataFrame, ratio: np.ndarray) -> DataFrame:

@@ -136,6 +136,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED)
     A text that loses nothing stays as it is. Otherwise its kept stretches are joined by
     one space. ``kept_sha256`` is the digest of the kept words joined by one space.
     """
+    documents = documents.drop("n_words", "n_removed", "kept_sha256", "_runs", "_text_key", "_id", "_tk")
     found = repeats(documents, length, seed).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "runs")
     rows = documents.withColumn("_text_key", _text_key())
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_text_key"] == found["_tk"]), "left").select(*(rows[c] for c in documents.columns), found["runs"].alias("_runs"))
