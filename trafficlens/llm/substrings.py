@@ -37,6 +37,8 @@ from trafficlens.llm.scratch import keep
 from trafficlens.llm.words import NOT_SPACE, run_hashes, slices, split_words
 
 LENGTH, SEED = 35, 8
+#: Windows whose anchors are sought at a time
+STRETCH = 1 << 14
 _ID = ["doc_id", "tk"]
 
 
@@ -52,7 +54,9 @@ def winnowed(h: np.ndarray, doc: np.ndarray, length: int, seed: int) -> tuple[np
         return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     grams = run_hashes(h, np.arange(n - seed + 1), np.arange(seed, n + 1))
     at = np.arange(n - length + 1)
-    at += np.lib.stride_tricks.sliding_window_view(grams, length - seed + 1).argmin(axis=1)
+    seen = np.lib.stride_tricks.sliding_window_view(grams, length - seed + 1)
+    for k in range(0, len(at), STRETCH):  # argmin copies the overlapping rows it is given
+        at[k : k + STRETCH] += seen[k : k + STRETCH].argmin(axis=1)
     text = np.searchsorted(doc, np.arange(len(at)), "right") - 1
     inside = np.arange(len(at)) + length <= doc[text + 1]
     start = np.flatnonzero(inside)
