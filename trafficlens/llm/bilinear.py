@@ -1,13 +1,14 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation.
 
 Token counts are gathered from all training texts. The model predicts the class of the
-next token from the classes of the two before it: the ``CLASSES - 2`` most frequent
-tokens, the text's end, and one class of all rarer tokens. A class's score is bilinear in the
-context's and its own vectors, plus a bias that starts at the log frequency. Every task
+next token from the classes of the two before it: the ``LISTED`` most frequent tokens,
+the text's end, and classes of all rarer tokens by their last ``SUFFIX`` bytes (the most
+frequent endings have a class each, the others share one). A class's score is bilinear in
+the context's and its own vectors, plus a bias that starts at the log frequency. Every task
 trains on all its texts in numpy, with noise drawn from the class frequencies, from the
 same start; parameters are averaged by tokens. Matrix products over all pairs of
 context classes then give the exact normaliser, so token log-probabilities are
-normalised. Inside the rare class a token has its add-one share of the rare counts.
+normalised. Inside a class of rarer tokens a token has its add-one share of the class's counts.
 
 Frequent tokens' counts (at most ``FREQUENT``) are broadcast; a text's other tokens
 are joined with the count table, so counts are exact for every token and nothing that
@@ -30,27 +31,40 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
-from trafficlens.llm.words import NOT_SPACE, Words, slices, split_words, strings
+from trafficlens.llm.words import NOT_SPACE, Words, mixed, slices, split_words, strings
 
-CLASSES, WIDTH = 512, 16
+CLASSES, LISTED, WIDTH = 1024, 255, 16
+#: The class of the text's end; later ones are of rarer tokens, the last of rare endings
+END = LISTED
+#: Bytes of an ending, and slots that endings are hashed to
+SUFFIX, SLOT_BITS = 3, 12
 FREQUENT = 1 << 17
 #: Noise-contrastive training: noise samples and tokens of a step, Adagrad's rate
-NOISE, STEP, RATE = 32, 4096, 0.1
+NOISE, STEP, RATE = 128, 2048, 0.1
 SEED = 5
 
 
 class Counts(NamedTuple):
-    """Counts of the frequent tokens (sorted by hash) and totals of all."""
+    """Counts of the frequent tokens (sorted by hash), classes of endings, and totals of all."""
 
     hashes: np.ndarray
     counts: np.ndarray
     classes: np.ndarray
+    slot_classes: np.ndarray
     total: int
     distinct: int
     ends: int
     class_counts: np.ndarray
-    rare_total: int
-    rare_distinct: int
+    log_sizes: np.ndarray
+
+    def find(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each word, its place among the frequent tokens, and whether it is one."""
+        ids = self.slot_classes[slots(w)]
+        if not len(self.hashes):
+            return ids, np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        frequent = self.hashes[at] == h
+        return np.where(frequent, self.classes[at], ids), at, frequent
 
 
 def _tokens(column: pa.Array) -> tuple[Words, np.ndarray]:
@@ -58,6 +72,15 @@ def _tokens(column: pa.Array) -> tuple[Words, np.ndarray]:
     return w, w.hashes()
 
 
+def slots(w: Words) -> np.ndarray:
+    """Slot of each word's last bytes."""
+    key = np.zeros(len(w.start), np.uint64)
+    for k in range(1, SUFFIX + 1):
+        at = w.end - k
+        key = key * np.uint64(256) + np.where(at >= w.start, w.data[np.maximum(at, 0)], 0).astype(np.uint64)
+    return (mixed(key) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def token_counts(texts: DataFrame) -> DataFrame:
     """token, n over a column of texts (lower-cased words)."""
 
@@ -72,6 +95,25 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def slot_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct tokens of each slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, distinct = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            slot = slots(split_words(b.column("token"), NOT_SPACE))
+            np.add.at(total, slot, b.column("n").to_numpy())
+            np.add.at(distinct, slot, 1)
+        seen = np.flatnonzero(distinct)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen]), pa.array(distinct[seen])], ["slot", "n", "tokens"])
+
+    rows = counts.mapInArrow(run, "slot long, n long, tokens long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")).collect()
+    total, distinct = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+    for r in rows:
+        total[r["slot"]], distinct[r["slot"]] = r["n"], r["tokens"]
+    return total, distinct
+
+
 def gather(counts: DataFrame, n_texts: int) -> Counts:
     """The broadcast half of a count table.
 
@@ -84,37 +126,36 @@ def gather(counts: DataFrame, n_texts: int) -> Counts:
     taken = np.cumsum([n for _, n in levels])
     fits = int(np.searchsorted(taken, FREQUENT, "right"))
     rows = counts.where(level >= (levels[fits - 1][0] if fits else 1 << 20)).toPandas().sort_values(["n", "token"], ascending=[False, True])
-    h = _tokens(pa.array(rows["token"], pa.string()))[1]
-    n = rows["n"].to_numpy(np.int64)
-    listed = min(CLASSES - 2, len(n))
-    classes = np.full(len(n), CLASSES - 1, np.int64)
+    w, h = _tokens(pa.array(rows["token"], pa.string()))
+    n, slot = rows["n"].to_numpy(np.int64), slots(w)
+    listed = min(LISTED, len(n))
+    slot_total, slot_distinct = slot_counts(counts)
+    np.subtract.at(slot_total, slot[:listed], n[:listed])
+    np.subtract.at(slot_distinct, slot[:listed], 1)
+    slot_classes = np.full(1 << SLOT_BITS, CLASSES - 1, np.int64)
+    own = np.argsort(-slot_total, kind="stable")[: CLASSES - END - 2]
+    slot_classes[own] = END + 1 + np.arange(len(own))
+    classes = slot_classes[slot]
     classes[:listed] = np.arange(listed)
+    class_counts = np.bincount(slot_classes, slot_total, minlength=CLASSES)
+    log_sizes = np.log10(class_counts + np.bincount(slot_classes, slot_distinct, minlength=CLASSES) + 1)
+    log_sizes[: END + 1] = 0
+    class_counts[:listed], class_counts[END] = n[:listed], n_texts
     order = np.argsort(h)
-    known = int(n[:listed].sum())
-    class_counts = np.zeros(CLASSES)
-    class_counts[:listed], class_counts[CLASSES - 2], class_counts[CLASSES - 1] = n[:listed], n_texts, total - known
-    return Counts(h[order], n[order], classes[order], total + n_texts, distinct + (n_texts > 0), n_texts, class_counts, total - known, distinct - listed)
-
-
-def lookup(c: Counts, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each hash among the frequent tokens, and whether it is one."""
-    if not len(c.hashes):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(c.hashes, h), len(c.hashes) - 1)
-    return at, c.hashes[at] == h
+    return Counts(h[order], n[order], classes[order], slot_classes, total + n_texts, distinct + (n_texts > 0), n_texts, class_counts, log_sizes)
 
 
 def sequence(w: Words, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class of every token and end, and of the two before it; a text starts after ends."""
     n = np.diff(w.doc)
     end = np.cumsum(n + 1) - 1
-    now = np.full(int((n + 1).sum()), CLASSES - 2, np.int64)
+    now = np.full(int((n + 1).sum()), END, np.int64)
     inner = np.ones(len(now), bool)
     inner[end] = False
     now[inner] = ids
-    one = np.concatenate([[CLASSES - 2], now[:-1]])[: len(now)]
-    two = np.concatenate([[CLASSES - 2], one[:-1]])[: len(now)]
-    two[end[:-1] + 1] = CLASSES - 2
+    one = np.concatenate([[END], now[:-1]])[: len(now)]
+    two = np.concatenate([[END], one[:-1]])[: len(now)]
+    two[end[:-1] + 1] = END
     return now, one, two
 
 
@@ -169,14 +210,11 @@ class Bilinear:
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores by last class and by the one before (with bias), and the log normaliser of each pair."""
-        a1 = self.context @ self.one @ self.predicted.T
-        a2 = self.context @ self.two @ self.predicted.T + self.bias
-        log_z = np.empty((CLASSES, CLASSES), np.float32)
-        for last in range(CLASSES):
-            s = a2 + a1[last]
-            top = s.max(axis=1)
-            log_z[:, last] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return a1, a2, log_z
+        context, predicted = self.context.astype(np.float64), self.predicted.T.astype(np.float64)
+        a1, a2 = context @ self.one @ predicted, context @ self.two @ predicted + self.bias
+        top1, top2 = a1.max(axis=1), a2.max(axis=1)
+        log_z = np.log(np.exp(a2 - top2[:, None]) @ np.exp(a1 - top1[:, None]).T) + top2[:, None] + top1
+        return a1.astype(np.float32), a2.astype(np.float32), log_z.astype(np.float32)
 
 
 def _add_rows(out: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
@@ -196,9 +234,7 @@ def train(texts: DataFrame, counts: Counts) -> Bilinear:
         model, rng, seen = Bilinear(c.class_counts), np.random.default_rng(SEED), 0
         for b in slices(batches):
             w, h = _tokens(b.column("text"))
-            at, known = lookup(c, h)
-            ids = np.where(known, c.classes[at] if len(c.classes) else CLASSES - 1, CLASSES - 1)
-            now, one, two = sequence(w, ids)
+            now, one, two = sequence(w, c.find(w, h)[0])
             for k in range(0, len(now), STEP):
                 model.step(now[k : k + STEP], one[k : k + STEP], two[k : k + STEP], rng)
             seen += len(now)
@@ -220,7 +256,6 @@ def score(documents: DataFrame, counts: DataFrame, known: Counts, model: Bilinea
     a1, a2, log_z = model.tables()
     shared = documents.sparkSession.sparkContext.broadcast((known, a1, a2, log_z))
     log_all = float(np.log10(known.total + known.distinct + 1))
-    log_rare = float(np.log10(known.rare_total + known.rare_distinct + 1))
 
     def start():
         c, a1, a2, log_z = shared.value
@@ -229,16 +264,13 @@ def score(documents: DataFrame, counts: DataFrame, known: Counts, model: Bilinea
 
         def make(b: pa.RecordBatch) -> dict[str, object]:
             w, h = _tokens(b.column("text"))
-            at, frequent = lookup(c, h)
-            some = len(c.counts) > 0
-            ids = np.where(frequent, c.classes[at], CLASSES - 1) if some else np.full(len(h), CLASSES - 1)
-            size = np.where(frequent, of_count[at], 0.0) if some else np.zeros(len(h))
+            ids, at, frequent = c.find(w, h)
+            size = np.where(frequent, of_count[at], 0.0) if len(of_count) else np.zeros(len(h))
             now, one, two = sequence(w, ids)
             logp = (a1[one, now] + a2[two, now] - log_z[two, one]) / np.log(10)
             n = np.diff(w.doc)
             rows = b.num_rows
             text, text_with_end = np.repeat(np.arange(rows), n), np.repeat(np.arange(rows), n + 1)
-            rare_class = ids == CLASSES - 1
             rest = ~frequent
             of = np.searchsorted(text[rest], np.arange(rows + 1))
             return {
@@ -246,14 +278,13 @@ def score(documents: DataFrame, counts: DataFrame, known: Counts, model: Bilinea
                 "n_known": np.bincount(text, frequent, minlength=rows).astype(np.int64) + (c.ends > 0),
                 "log_counts": np.bincount(text, size, minlength=rows) + of_end,
                 "log_classes": np.bincount(text_with_end, logp, minlength=rows),
-                "rare_counts": np.bincount(text, size * rare_class, minlength=rows),
-                "n_rare": np.bincount(text, rare_class, minlength=rows).astype(np.int64),
+                "log_shares": np.bincount(text, (size - c.log_sizes[ids]) * (ids > END), minlength=rows),
                 "rest": pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), strings(w.data, w.start[rest], w.end[rest]).cast(pa.string())),
             }
 
         return make
 
-    fields = "n_tokens long, n_known long, log_counts double, log_classes double, rare_counts double, n_rare long, rest array<string>"
+    fields = "n_tokens long, n_known long, log_counts double, log_classes double, log_shares double, rest array<string>"
     rows = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), "text")
     scored = keep(append(rows, fields, start).drop("text"), "scored")
     rest = scored.select("doc_id", "tk", F.explode("rest").alias("token")).join(counts, "token", "left")
@@ -269,7 +300,7 @@ def score(documents: DataFrame, counts: DataFrame, known: Counts, model: Bilinea
         (F.col("n_known") + F.round(share * F.coalesce("found", F.lit(0))).cast("long")).alias("n_known"),
         F.lit(known.total).cast("long").alias("train_tokens"),
         (F.col("log_counts") + logs - F.col("n_tokens") * log_all).alias("base_score"),
-        (F.col("log_classes") + F.col("rare_counts") + logs - F.col("n_rare") * log_rare).alias("score"),
+        (F.col("log_classes") + F.col("log_shares") + logs).alias("score"),
     )
 
 
