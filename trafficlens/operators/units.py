@@ -67,7 +67,12 @@ def unit_features(flows: DataFrame, window_s: int, stride_s: int | None = None,
 
 
 def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame:
-    """Unit features of flows that are already dealt to their windows."""
+    """Unit features of flows that are already dealt to their windows.
+
+    Fan-in and fan-out come from the units' keys alone, combined before they are shuffled, so a
+    host or endpoint of many units is no task's whole input and gaps are computed once.
+    """
+    pairs = rows.groupBy(*UNIT).agg(F.count("*").alias("n_flows"))
     in_unit = Window.partitionBy(*UNIT)
     gap = F.col("ts_us") - F.lag("ts_us").over(in_unit.orderBy("ts_us"))
     width = window_s * 1_000_000 / SUBBINS
@@ -76,7 +81,7 @@ def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame
     gaps = F.count("gap")
     units = rows.groupBy(*UNIT).agg(
         F.count("*").alias("n_flows"),
-        (F.count_distinct("bin") / SUBBINS).alias("dst_recurrence"),
+        (F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bin").cast("int")))) / SUBBINS).alias("dst_recurrence"),
         (F.avg("gap") / 1e6).alias("iat_mean"),
         F.when((gaps >= 2) & (F.avg("gap") > 0), F.stddev_pop("gap") / F.avg("gap")).alias("iat_cov"),
         F.avg("pkts").alias("mean_pkts"),
@@ -87,8 +92,8 @@ def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame
         F.avg("bytes").alias("bytes_mean"),
         *([F.sort_array(F.collect_list("uid")).alias("flow_id")] if uids else []),
     )
-    fanin = units.groupBy("start_us", "resp_h", "resp_p", "proto").agg(F.count("*").alias("endpoint_host_fanin"))
-    fanout = units.groupBy("start_us", "orig_h").agg(F.count("*").alias("host_endpoint_fanout"), F.sum("n_flows").alias("host_flows"))
+    fanin = pairs.groupBy("start_us", "resp_h", "resp_p", "proto").agg(F.count("*").alias("endpoint_host_fanin"))
+    fanout = pairs.groupBy("start_us", "orig_h").agg(F.count("*").alias("host_endpoint_fanout"), F.sum("n_flows").alias("host_flows"))
     out = units.join(fanin, ["start_us", "resp_h", "resp_p", "proto"]).join(fanout, ["start_us", "orig_h"])
     out = out.withColumn("host_flow_share", F.col("n_flows") / F.col("host_flows"))
     exact = {"endpoint_host_fanin", "n_flows", "host_endpoint_fanout"}
