@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trafficlens.operators import models
 from trafficlens.sources import synthetic
 
-FEATURES = ("duration", "packets", "packet_size", "up_share", "syn_ratio", "gap_cv")
+FEATURES = models.FLOW_FEATURES
 
 
 @pytest.fixture(scope="module")
@@ -57,3 +57,16 @@ def test_domain_model(spark):
 def test_corpus_digest_ignores_order(spark):
     a = synthetic.labelled_flows(spark, "flood", 20, 10)
     assert models.corpus_digest(a) == models.corpus_digest(a.orderBy(F.desc("id"))) != models.corpus_digest(a.where("id > 0"))
+
+
+@pytest.mark.parametrize(("kind", "scale"), [("forest", False), ("boosted", True)])
+def test_forest_and_scaled_features(spark, kind, scale):
+    rows = synthetic.labelled_flows(spark, "flood", 200, 100)
+    detector = models.fit(rows, "flood", FEATURES, trees=4, depth=3, folds=2, kind=kind, scale=scale)
+    unseen = synthetic.labelled_flows(spark, "flood", 100, 50).withColumn("id", F.col("id") + 10_000)
+    assert models.metrics(detector.score(unseen), detector.contract.threshold).first()["f1"] > 0.95
+
+
+def test_ngrams_of_whole_names(spark):
+    r = models.domain_rows(spark.createDataFrame([("ab.io",)], "domain string"), 2, 4, whole=True).first()
+    assert "ab.i" in r["ngrams"] and ".i" in r["ngrams"]

@@ -6,14 +6,21 @@ import pytest
 
 from tests.conftest import SF_DIR, rows
 from trafficlens.plans.oracle import ORACLE_SQL
-from trafficlens.plans.queries import QUERIES
+from trafficlens.plans.queries import FITTED, NO_SQL, QUERIES
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) == set(ORACLE_SQL) | set(NO_SQL) and not set(ORACLE_SQL) & set(NO_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_model_scores_cover_all_flows(spark, duck):
+    got = QUERIES["model_scores"](spark, SF_DIR).collect()
+    flows = duck.sql(ORACLE_SQL["flow_direction_split"]).fetchall()
+    assert len(got) == len(flows) and {r["threat"] for r in got} <= {*FITTED, "benign"}
+    assert all(0 <= r[k] <= 1 and r["confidence"] == max(r[x] for x in FITTED) for r in got for k in FITTED)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF_DIR).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert rows(got) == rows(want)

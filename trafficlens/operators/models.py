@@ -14,8 +14,8 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import CountVectorizer, Imputer, SQLTransformer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import CountVectorizer, Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,8 @@ from trafficlens.functions import domains as D
 from trafficlens.operators.serving import best_threshold
 
 FORMAT = 1
+#: Volume, direction and timing of a flow
+FLOW_FEATURES = ("duration", "packets", "packet_size", "up_share", "syn_ratio", "gap_cv")
 #: Columns that identify a row and must never be features
 IDENTIFIERS = frozenset({"src_ip", "dst_ip", "orig_h", "resp_h", "flow_key", "flow_id", "uid", "window_us", "start_us"})
 
@@ -70,11 +72,34 @@ def _raw(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.withColumn("raw_score", vector_to_array("probability")[1]).drop(*added)
 
 
-def _pipeline(features: Sequence[str], trees: int, depth: int, impute: bool, seed: int) -> Pipeline:
+def _classifier(kind: str, trees: int, depth: int, seed: int) -> GBTClassifier | RandomForestClassifier:
+    """Boosted trees ("boosted") or a random forest ("forest") on ``feature_vector``."""
+    if kind == "forest":
+        return RandomForestClassifier(featuresCol="feature_vector", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed)
+    if kind != "boosted":
+        raise ValueError(f"no classifier {kind}")
+    return GBTClassifier(featuresCol="feature_vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)
+
+
+def _pipeline(features: Sequence[str], trees: int, depth: int, impute: bool, seed: int, kind: str = "boosted", scale: bool = False) -> Pipeline:
     names = [f"{f}__imputed" for f in features] if impute else list(features)
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=names)] if impute else []
-    stages += [VectorAssembler(inputCols=names, outputCol="feature_vector"), GBTClassifier(featuresCol="feature_vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed)]
-    return Pipeline(stages=stages)
+    stages += [VectorAssembler(inputCols=names, outputCol="unscaled" if scale else "feature_vector")]
+    stages += [StandardScaler(inputCol="unscaled", outputCol="feature_vector", withMean=True)] if scale else []
+    return Pipeline(stages=[*stages, _classifier(kind, trees, depth, seed)])
+
+
+def flow_features(flows: DataFrame) -> DataFrame:
+    """Flows with the features (``FLOW_FEATURES``) that detectors of made-up flows are fitted on."""
+    return flows.withColumns(
+        {
+            "packets": F.col("total_packets"),
+            "packet_size": F.col("size_mean"),
+            "up_share": F.col("fwd_bytes") / F.greatest(F.col("total_bytes"), F.lit(1)),
+            "syn_ratio": F.col("syn_count") / F.col("total_packets"),
+            "gap_cv": F.when(F.col("gap_mean") > 0, F.col("gap_std") / F.col("gap_mean")).otherwise(0.0),
+        }
+    )
 
 
 def fold(n: int, *key: str) -> Column:
@@ -90,10 +115,10 @@ def cross_scores(pipeline: Pipeline, rows: DataFrame, folds: int, *key: str) ->
     return reduce(DataFrame.unionByName, parts)
 
 
-def fit(rows: DataFrame, name: str, features: Sequence[str], key: Sequence[str] = ("id",), trees: int = 20, depth: int = 5, folds: int = 3, impute: bool = False, seed: int = 42, **geometry: float) -> Detector:
-    """A calibrated detector from rows with ``label`` 0/1."""
+def fit(rows: DataFrame, name: str, features: Sequence[str], key: Sequence[str] = ("id",), trees: int = 20, depth: int = 5, folds: int = 3, impute: bool = False, seed: int = 42, kind: str = "boosted", scale: bool = False, **geometry: float) -> Detector:
+    """A calibrated detector from rows with ``label`` 0/1: boosted trees or a forest, on scaled features if asked."""
     check_features(features)
-    pipeline = _pipeline(features, trees, depth, impute, seed)
+    pipeline = _pipeline(features, trees, depth, impute, seed, kind, scale)
     return _calibrated(pipeline, rows, name, tuple(features), key, folds, **geometry)
 
 
@@ -127,15 +152,16 @@ def domain_pipeline(vocabulary: int = 200, trees: int = 20, depth: int = 5, seed
             SQLTransformer(statement="SELECT * FROM __THIS__"),
             CountVectorizer(inputCol="ngrams", outputCol="ngram_counts", vocabSize=vocabulary),
             VectorAssembler(inputCols=[*names, "ngram_counts"], outputCol="feature_vector"),
-            GBTClassifier(featuresCol="feature_vector", labelCol="label", maxIter=trees, maxDepth=depth, seed=seed),
+            _classifier("boosted", trees, depth, seed),
         ]
     )
 
 
-def domain_rows(df: DataFrame) -> DataFrame:
-    """Domains with the columns that the domain pipeline reads."""
+def domain_rows(df: DataFrame, least: int = 2, most: int = 3, whole: bool = False) -> DataFrame:
+    """Domains with the columns that the domain pipeline reads; n-grams of the first label or the whole name."""
     stats = {n: c.cast("double").alias(n) for n, c in D.statistics(F.col("domain")).items()}
-    return df.select("*", *stats.values(), D.character_ngrams(D.label(F.col("domain"))).alias("ngrams"))
+    text = F.col("domain") if whole else D.label(F.col("domain"))
+    return df.select("*", *stats.values(), D.character_ngrams(text, least, most).alias("ngrams"))
 
 
 def fit_domains(labelled: DataFrame, folds: int = 3, **options: int) -> Detector:

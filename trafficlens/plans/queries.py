@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from trafficlens import views
 from trafficlens.functions import domains as D
 from trafficlens.functions.numeric import rounded, severity_by_class
-from trafficlens.operators import beacons, connections, detect, domains, flows, portscan, serving, units
+from trafficlens.operators import beacons, connections, detect, domains, flows, models, portscan, serving, units
 from trafficlens.plans.oracle import AS_OF_US, START_US
 from trafficlens.schemas import WINDOW_US
+from trafficlens.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Detectors that are fitted on made-up flows
+FITTED = ("flood", "exfiltration", "encrypted")
+#: Queries that SQL can't express
+NO_SQL = ("model_scores",)
 ALERT = ("alert_id", "ts_us", "threat_class", "confidence", "severity", "src_ip", "dst_ip", "dst_port")
 
 
@@ -345,3 +350,15 @@ def behavioural_score(spark: SparkSession, d: str) -> DataFrame:
     """With the port and the confidence in percent as the numeric evidence."""
     score, fused = serving.behavioural(F.array(F.col("dst_port").cast("double"), 100 * F.col("confidence")), F.col("confidence"))
     return views.alerts(spark, d).select("alert_id", rounded(score).alias("behavioural"), rounded(fused).alias("fused"))
+
+
+@query
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Flows under the three fitted flow detectors, and the class of the greatest score. SQL can't fit trees; tests hold the detectors to labelled flows."""
+    scored = models.flow_features(_flows(spark, d)).select(*flows.KEY, *models.FLOW_FEATURES)
+    for kind in FITTED:
+        detector = models.fit(synthetic.labelled_flows(spark, kind), kind, models.FLOW_FEATURES, trees=5, depth=4, folds=2)
+        scored = detector.score(scored).withColumnsRenamed({"probability": kind, "is_attack": f"is_{kind}"})
+    name, best = detect.arbitrated({kind: F.col(kind) for kind in FITTED})
+    attack = F.greatest(*(F.col(f"is_{kind}") for kind in FITTED))
+    return _rounded_doubles(scored.select(*flows.KEY, *FITTED, F.when(attack, name).otherwise("benign").alias("threat"), best.alias("confidence")))
