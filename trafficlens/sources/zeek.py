@@ -97,8 +97,14 @@ def follow(spark: SparkSession, path: str, fields: list[str], separator: str = "
 
 def data_quality(records: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: records, records with bad numbers, bad numbers, and rejected lines."""
-    counts = records.agg(F.count("*").alias("records"), F.count_if(F.col("bad_numbers") > 0).alias("records_with_bad_numbers"), F.coalesce(F.sum("bad_numbers"), F.lit(0)).alias("bad_numbers"))
-    return counts.crossJoin(rejected.agg(F.count("*").alias("rejected_lines")))  # one row each
+    kept = records.select("bad_numbers", F.lit(False).alias("rejected"))
+    both = kept.unionByName(rejected.select(F.lit(0).alias("bad_numbers"), F.lit(True).alias("rejected")))
+    return both.agg(
+        F.count_if(~F.col("rejected")).alias("records"),
+        F.count_if(F.col("bad_numbers") > 0).alias("records_with_bad_numbers"),
+        F.coalesce(F.sum("bad_numbers"), F.lit(0)).alias("bad_numbers"),
+        F.count_if("rejected").alias("rejected_lines"),
+    )
 
 
 def c2_flows(raw: DataFrame) -> DataFrame:
