@@ -235,6 +235,24 @@ def test_trie_join_alone():
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
 
 
+@pytest.mark.parametrize("salted", [False, True])
+def test_large_bucket_of_mixed_sign(spark, monkeypatch, salted):
+    """Links that meet in one band only, which leaves out the top block."""
+    if salted:
+        monkeypatch.setattr(simhash, "BUCKET", 1000)
+        monkeypatch.setattr(simhash, "SALTED", 512)
+    rng = random.Random(11)
+    first = [rng.getrandbits(42) << 22 | 0x155555 for _ in range(900)]
+    fps = np.array(sorted({x ^ y for x in first for y in (0, 1 << rng.randrange(22, 33) | 1 << rng.randrange(33, 44) | 1 << rng.randrange(44, 54) | 1 << rng.randrange(54, 64))}), np.uint64)
+    assert len(fps) == 1800
+    edges = simhash.near_links(spark.createDataFrame([(x,) for x in fps.view(np.int64).tolist()], "fp long"))
+    unsigned = lambda x: x & ((1 << 64) - 1)
+    got = {tuple(sorted((unsigned(r["a"]), unsigned(r["b"])))) for r in edges.collect()}
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4, 1))
+    want = {(int(fps[i]), int(fps[j])) for i, j in near}
+    assert len(want) == 900 and got == want
+
+
 def test_chain_of_links(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (501, 501)], "a long, b long")
     star = {r["a"]: r["root"] for r in components.stars(chain).collect()}

@@ -131,7 +131,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of buckets; rows come sorted by (band, key, task, side, fp)."""
+    """Spanning stars of buckets; rows come sorted by (band, key, task, side, fp as an unsigned number)."""
     rest: pa.Table | None = None
 
     def links(t: pa.Table) -> pa.RecordBatch:
@@ -193,7 +193,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
             .select("band", "key", (F.least("mine", "other") * (1 << 20) + F.greatest("mine", "other")).alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp")
         )
         dealt = plain.join(groups, ["band", "key"], "left_anti").unionByName(salted)
-    sorted_rows = dealt.repartition("band", "key", "task").sortWithinPartitions("band", "key", "task", "side", "fp")
+    # the trie's zeros come first: unsigned order, which a signed long has once its sign bit is flipped
+    sorted_rows = dealt.repartition("band", "key", "task").sortWithinPartitions("band", "key", "task", "side", F.col("fp").bitwiseXOR(F.lit(_signed(1 << 63))))
     return sorted_rows.mapInArrow(_bucket_links, "a long, b long")
 
 
