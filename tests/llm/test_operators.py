@@ -277,6 +277,18 @@ def test_near_duplicates(spark, tricky, nothing):
     assert simhash.components(nothing).count() == 0 and simhash.survivors(nothing).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that are null, or shared by different texts."""
+    a, b, c, d, e = (" ".join(random.Random(n).choices(vocabulary(), k=30)) for n in range(5))
+    data = [(1, a), (5, a), (5, b), (2, c), (2, d), (None, e), (None, e), (None, e + "  "), (None, a), (None, None), (None, ""), (9, c)]
+    docs = spark.createDataFrame([(i, t, "xx", None if k % 2 else "s", k) for k, (i, t) in enumerate(data)], SCHEMA)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.survivors(docs).collect()]
+    groups = brute.components([brute.fingerprint(t) for _, t in data])
+    of = dict(zip(data, groups, strict=True))
+    assert len(set(groups)) == 6 and sorted(of[k] for k in kept) == sorted(set(groups))
+    assert {(1, a), (5, b), (2, c), (2, d)} < set(kept)
+
+
 # 5
 
 

@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
@@ -64,9 +64,10 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fingerprinted(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long)."""
-    return append(documents.select("doc_id", "text"), "fp long", lambda: lambda b: {"fp": fingerprints(b.column("text")).view(np.int64)}).select("doc_id", "fp")
+def fingerprinted(documents: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, further columns and fingerprint (as a signed long)."""
+    rows = append(documents.select("doc_id", "text", *more), "fp long", lambda: lambda b: {"fp": fingerprints(b.column("text")).view(np.int64)})
+    return rows.drop("text")
 
 
 def _masks() -> list[int]:
@@ -198,19 +199,33 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(_bucket_links, "a long, b long")
 
 
+def _rooted(least: DataFrame) -> DataFrame:
+    """A table of distinct fingerprints ``fp`` with the root fingerprint of each one's component."""
+    star = stars(near_links(least.select("fp")))
+    return least.join(star.select(F.col("a").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def components(documents: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of each document row."""
     prints = keep(fingerprinted(documents), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    star = stars(near_links(prints.select("fp").distinct()))
-    rooted = least.join(star.select(F.col("a").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(documents: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each component; documents without an id stay."""
-    gone = components(documents).where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    named = documents.where(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+    """One row of each component: the least doc_id, nulls last; rows that share it are told apart by hashes of all columns but maps.
+
+    Rows are joined back on 128 bits of hashes, so ids may be null, and different rows may share one.
+    """
+    told = [c for c, kind in documents.dtypes if "map<" not in kind]
+    # hashes pass over nulls, so a null is told by a flag
+    values = [x for c in told for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    h1, h2 = (F.xxhash64(F.lit(n), *values).alias(f"h{n}") for n in (1, 2))
+    prints = keep(fingerprinted(documents, h1, h2), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2"))
+    rooted = _rooted(prints.groupBy("fp").agg(first.alias("first")))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+    rows = documents.select(F.struct("*").alias("row"), h1, h2)
+    return rows.join(chosen, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("row.*")
