@@ -188,6 +188,40 @@ def test_shards_hold_disjoint_blocks(spark):
     assert some and all(" ".join(texts[r["doc_id"]]).find(r["text"]) >= 0 for r in some)
 
 
+def test_every_draw_is_written_once(spark, tricky, monkeypatch):
+    """Null and repeated ids, and different texts that share an id."""
+    monkeypatch.setattr(mixture, "RANGE", 16)
+    rng, vocab = random.Random(5), vocabulary()
+    make = lambda n: " ".join(rng.choices(vocab, k=n))
+    extra = [(3000, make(200), None, "a", 1), (3000, make(200), None, "a", 1), (None, make(300), None, "c", 1), (None, make(300), None, "c", 1)]
+    docs = tricky.unionByName(spark.createDataFrame(extra, SCHEMA))
+    sizes = mixture.sized(docs)
+    draws = mixture.mix(sizes, mixture.plan(sizes), shards=4)
+    shown = mixture.materialise(draws, docs).collect()
+    assert Counter((r["shard"], r["place"], r["doc_id"]) for r in shown) == Counter((r["shard"], r["place"], r["doc_id"]) for r in draws.collect())
+    assert {r["doc_id"] for r in shown} >= {None, 3000}
+    cut = Counter()
+    for i, t, _, s, _ in tricky_rows() + extra:
+        w = brute.words(t)
+        for b in range(0, len(w), mixture.BLOCK):
+            cut[i, s, " ".join(w[b : b + mixture.BLOCK])] += 1
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in shown)
+    assert set(got) <= set(cut) and all(n <= 3 * cut[k] for k, n in got.items())
+
+
+def test_taken_is_what_the_shards_hold(spark, tricky, monkeypatch):
+    written, write = [], mixture.keep
+    monkeypatch.setattr(mixture, "keep", lambda df, name: (written.append((name, out := write(df, name))), out)[1])
+    got = mixture.taken(tricky).collect()
+    held = Counter()
+    for r in dict(written)["shards"].collect():
+        held[r["doc_id"], r["source"], r["size"]] += len(brute.words(r["text"]))
+    want = Counter()
+    for r in got:
+        want[r["doc_id"], r["source"], r["size"]] += r["taken"]
+    assert +want == held
+
+
 # 4
 
 

@@ -6,7 +6,11 @@ which follows a permuted order (a hash) until the target's words are reached. Th
 block quotas are split down a tree over the output shards: a node draws its left half's
 share of every source from the multivariate hypergeometric distribution, so shards are
 what a full shuffle would give and the quotas stay exact. Shards then take disjoint
-stretches of each source's permuted blocks and order them by a hash.
+stretches of each source's permuted blocks and order them by a hash. ``taken`` writes the
+shards with their texts and counts what was written.
+
+A document is known by 128 bits of hashes of its id and text (``k1``, ``k2``) and the number
+of its copy, so ids may be null, and different texts may share one.
 
 Ranks come from a two-level count (small hash ranges of a source, then places inside a
 range), so a source that holds most rows is never one task. The driver holds one row
@@ -14,27 +18,30 @@ for each source and shard only.
 
 Cases: null and wordless texts have size 0 and nothing is taken; a null source is a
 source of its own, last; repeated rows are documents of their own; ties in the permuted
-order are broken by id, size and block; very long texts are many blocks; an empty table
+order are broken by id, text hash, size and block; very long texts are many blocks; an empty table
 gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
-from trafficlens.llm.words import NOT_SPACE, split_words
+from trafficlens.llm.words import NOT_SPACE, slices, split_words, strings
 
 BLOCK, SHARDS, CAP, SEED = 64, 16, 3, 7
 WEIGHTS = (1, 2, 3)
 #: Blocks in a hash range, on average
 RANGE = 4096
+#: What tells documents apart, copies aside
+UNIT = ("doc_id", "source", "size", "k1", "k2")
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -82,9 +89,14 @@ def split_quotas(counts: list[int], shards: int, seed: int = SEED) -> list[list[
     return node(counts, 0, shards)
 
 
+def _keys() -> list[Column]:
+    values = [x for c in ("doc_id", "text") for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(n), *values).alias(f"k{n}") for n in (1, 2)]
+
+
 def sized(documents: DataFrame) -> DataFrame:
-    """doc_id, source, size (words)."""
-    rows = documents.select("doc_id", "source", "text")
+    """doc_id, source, k1 and k2 (hashes of id and text), size (words)."""
+    rows = documents.select("doc_id", "source", "text", *_keys())
     return append(rows, "size long", lambda: lambda b: {"size": np.diff(split_words(b.column("text"), NOT_SPACE).doc)}).drop("text")
 
 
@@ -98,7 +110,7 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[dict]:
 
 
 def mix(sizes: DataFrame, sources: list[dict], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Draws: shard, place (hash order inside the shard), doc_id, source, size, copy, block, words."""
+    """Draws: shard, place (hash order inside the shard), doc_id, source, size, k1, k2, copy, block, words."""
     spark = sizes.sparkSession
     goals = []
     for r in sources:
@@ -106,25 +118,25 @@ def mix(sizes: DataFrame, sources: list[dict], shards: int = SHARDS, seed: int =
         goals.append((r["source"], r["blocks"], max(1, -(-r["blocks"] // RANGE)), min(passes, CAP), r["target"] - passes * r["source_size"] if passes < CAP else 0.0))
     source_type = sizes.schema["source"].dataType.simpleString()
     table = spark.createDataFrame(goals, f"g_source {source_type}, g_blocks long, g_ranges long, passes int, rest double")
-    units = sizes.where("size > 0").groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
+    units = sizes.where("size > 0").groupBy(*UNIT).agg(F.count("*").alias("copies"))
     per_copy = F.ceil(F.col("size") / BLOCK)
-    blocks = units.select("doc_id", "source", "size", per_copy.alias("per"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") * per_copy - 1)).alias("b"))
-    h = F.xxhash64(F.lit(seed), "doc_id", "source", "size", "b")
-    blocks = blocks.select("doc_id", "source", "size", F.expr("b div per").alias("copy"), (F.col("b") % F.col("per")).alias("block"), h.alias("h"))
+    blocks = units.select(*UNIT, per_copy.alias("per"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") * per_copy - 1)).alias("b"))
+    h = F.xxhash64(F.lit(seed), "source", "size", "k1", "k2", "b")
+    blocks = blocks.select(*UNIT, F.expr("b div per").alias("copy"), (F.col("b") % F.col("per")).alias("block"), h.alias("h"))
     blocks = blocks.withColumn("words", F.least(F.lit(BLOCK).cast("long"), F.col("size") - F.col("block") * BLOCK))
     placed = blocks.join(table, F.col("source").eqNullSafe(F.col("g_source")))
     placed = keep(placed.withColumn("range", F.floor((F.shiftrightunsigned("h", 11).cast("double") / float(1 << 53)) * F.col("g_ranges"))).drop("g_source", "g_ranges"), "blocks")
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = placed.groupBy("source", "range").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     ranges = ranges.select(F.col("source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w_before"))
-    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "size", "copy", "block")
+    inside = Window.partitionBy("source", "range").orderBy("h", "doc_id", "k1", "k2", "size", "copy", "block")
     ranked = (
         placed.withColumn("rank", F.row_number().over(inside) - 1)
         .withColumn("sum", F.sum("words").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
         .withColumn("rank", F.col("rank") + F.col("n_before"))
         .withColumn("extra", ((F.col("sum") + F.col("w_before") - F.col("words") / 2.0) <= F.col("rest")).cast("int"))
-        .select("doc_id", "source", "size", "copy", "block", "words", "h", "rank", "g_blocks", (F.col("passes") + F.col("extra")).alias("times"))
+        .select(*UNIT, "copy", "block", "words", "h", "rank", "g_blocks", (F.col("passes") + F.col("extra")).alias("times"))
         .where("times > 0")
     )
     ranked = keep(ranked, "ranked")
@@ -136,18 +148,34 @@ def mix(sizes: DataFrame, sources: list[dict], shards: int = SHARDS, seed: int =
     draws = ranked.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
     draws = draws.join(bounds, F.col("source").eqNullSafe(F.col("e_source"))).withColumn("draw", F.col("pass") * F.col("g_blocks") + F.col("rank"))
     shard = F.size(F.filter("ends", lambda e: e <= F.col("draw")))
-    return draws.select(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "pass").alias("place"), "doc_id", "source", "size", "copy", "block", "words")
+    return draws.select(shard.alias("shard"), F.xxhash64(F.lit(seed + 1), "h", "pass").alias("place"), *UNIT, "copy", "block", "words")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k1, k2, block, text of each block of each text, its words joined by one space."""
+    for b in slices(batches):
+        w = split_words(b.column("text"), NOT_SPACE)
+        size, count = w.end - w.start, np.diff(w.doc)
+        begin = np.cumsum(size + 1) - (size + 1)
+        joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+        joined[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())] = w.data[np.repeat(w.start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        blocks = -(-count // BLOCK)
+        text = np.repeat(np.arange(len(count)), blocks)
+        block = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        first = w.doc[:-1][text] + block * BLOCK
+        last = np.minimum(first + BLOCK, w.doc[1:][text]) - 1
+        cut = strings(joined, begin[first], begin[last] + size[last]).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(text)) for k in ("k1", "k2")), pa.array(block), cut], ["k1", "k2", "block", "text"])
 
 
 def materialise(draws: DataFrame, documents: DataFrame) -> DataFrame:
-    """shard, place, doc_id, text of every drawn block, in shuffled order within shards.
+    """``draws`` with the text of each drawn block, in shuffled order within shards: one row for each draw.
 
-    For documents whose ids are unique; a block's words are joined by one space.
+    A shard is dealt by the first bits of ``place``, so that it is several tasks of ascending places.
     """
-    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
-    texts = documents.select("doc_id", words.alias("all_words"))
-    cut = F.array_join(F.slice("all_words", F.col("block").cast("int") * BLOCK + 1, F.col("words").cast("int")), " ")
-    return draws.join(texts, "doc_id").select("shard", "place", "doc_id", cut.alias("text")).repartition("shard").sortWithinPartitions("shard", "place")
+    texts = documents.select("text", *_keys()).mapInArrow(_cut, "k1 long, k2 long, block long, text string").dropDuplicates(["k1", "k2", "block"])
+    rows = draws.join(texts, ["k1", "k2", "block"]).select("shard", "place", *UNIT, "copy", "block", "words", "text")
+    return rows.repartition("shard", F.shiftright("place", 60)).sortWithinPartitions("shard", "place")
 
 
 def taken(documents: DataFrame) -> DataFrame:
@@ -157,12 +185,12 @@ def taken(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     source_type = sizes.schema["source"].dataType.simpleString()
     about = spark.createDataFrame([(r["source"], r["source_size"], r["target"]) for r in sources], f"s_source {source_type}, source_size long, target double")
-    draws = mix(sizes, sources)
-    sums = draws.groupBy("doc_id", "source", "size", "copy").agg(F.sum("words").alias("w"))
-    used = sums.groupBy("doc_id", "source", "size").agg(F.map_from_entries(F.collect_list(F.struct("copy", "w"))).alias("by_copy"))
-    used = used.select(F.col("doc_id").alias("u_id"), F.col("source").alias("u_source"), F.col("size").alias("u_size"), "by_copy")
-    units = sizes.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("u_id")) & F.col("source").eqNullSafe(F.col("u_source")) & (F.col("size") == F.col("u_size"))
+    shards = keep(materialise(mix(sizes, sources), documents), "shards")
+    sums = shards.groupBy(*UNIT, "copy").agg(F.sum("words").alias("w"))
+    used = sums.groupBy(*UNIT).agg(F.map_from_entries(F.collect_list(F.struct("copy", "w"))).alias("by_copy"))
+    used = used.select(F.col("source").alias("u_source"), F.col("k1").alias("u_k1"), F.col("k2").alias("u_k2"), "by_copy")
+    units = sizes.groupBy(*UNIT).agg(F.count("*").alias("copies"))
+    same = F.col("source").eqNullSafe(F.col("u_source")) & (F.col("k1") == F.col("u_k1")) & (F.col("k2") == F.col("u_k2"))
     rows = units.join(used, same, "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     rows = rows.withColumn("taken", F.coalesce(F.try_element_at("by_copy", F.col("copy")), F.lit(0)).cast("long"))
     return rows.join(about, F.col("source").eqNullSafe(F.col("s_source"))).select("doc_id", "source", "size", "source_size", "target", "taken")
