@@ -156,7 +156,7 @@ def test_splitting_tree_keeps_quotas():
 
 
 def test_mixture(spark, tricky, nothing, monkeypatch):
-    monkeypatch.setattr(mixture, "RANGE", 16)
+    monkeypatch.setattr(mixture, "BIN", 16)
     got = mixture.taken(clashing(tricky)).collect()
     order = lambda r: tuple(str(x) for x in r)
     assert len(got) == len(tricky_rows()) and sorted(got, key=order) == sorted(mixture.taken(tricky).collect(), key=order)
@@ -174,31 +174,88 @@ def test_mixture(spark, tricky, nothing, monkeypatch):
     assert mixture.taken(nothing).count() == 0
 
 
+def test_hypergeometric_draws():
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((5, 7, 6), (1, 3, 2), (40, 2, 30)):
+        got = Counter(mixture.hypergeometric(rng, good, bad, n) for _ in range(4000))
+        for x in range(max(0, n - bad), min(n, good) + 1):
+            p = math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n)
+            assert abs(got.pop(x, 0) / 4000 - p) < 5 * math.sqrt(p / 4000) + 1e-3
+        assert not got
+    assert [mixture.hypergeometric(rng, *x) for x in ((0, 9, 4), (9, 0, 4), (5, 5, 0), (5, 5, 10), (0, 0, 0))] == [0, 4, 0, 5, 0]
+    good, bad, n = 10**10, 3 * 10**10, 2 * 10**10  # beyond numpy's own sampler
+    got = np.array([mixture.hypergeometric(rng, good, bad, n) for _ in range(400)], np.float64)
+    sd = math.sqrt(n * 0.25 * 0.75 * 0.5)
+    assert abs(got.mean() - n / 4) < 5 * sd / 20 and 0.8 < got.std() / sd < 1.2
+
+
+def plain_mix(units, sources, shards):
+    """(shard, k1, k2, copy, block) of every draw: sort each source's blocks, draw whole passes and one more, cut by quotas."""
+    lists = []
+    for x in sources:
+        rows = []
+        for u in (u for u in units if u["source"] == x.name and u["size"]):
+            b = mixture.blocks_of(*(np.array([v], np.int64) for v in (u["k1"], u["k2"], 0, u["copies"], u["size"])))
+            rows += [(h, g, w, (u["k1"], u["k2"], c, k)) for h, g, w, c, k in zip(*(a.tolist() for a in (b.h, b.g, b.words, b.copy, b.block)), strict=True)]
+        rows.sort()
+        drawn, at = [r[3] for r in rows] * x.passes, 0
+        for _, _, w, key in rows:
+            if at + w / 2 <= x.rest:
+                drawn.append(key)
+            at += w
+        lists.append(drawn)
+    out, done = [], [0] * len(lists)
+    for shard, quota in enumerate(mixture.split_quotas([len(x) for x in lists], shards)):
+        for i, q in enumerate(quota):
+            out += [(shard, *key) for key in lists[i][done[i] : done[i] + q]]
+            done[i] += q
+    return Counter(out)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mix_equals_plain(spark, tricky, monkeypatch, small):
+    if small:  # many bins, and copies in pieces
+        monkeypatch.setattr(mixture, "BIN", 3)
+        monkeypatch.setattr(mixture, "PIECE", 2)
+    hot = spark.createDataFrame([(5000, "w " * 100, None, "hot", 1)] * 30 + [(5001, "v " * 900, None, "hot", 1)], SCHEMA)
+    docs = tricky.unionByName(hot)
+    units = mixture.sized(docs)
+    sources = mixture.plan(units)
+    for shards in (1, 7):
+        got = mixture.draw(docs, units, sources, mixture.find_ends(units, sources, shards)).collect()
+        assert Counter((r["shard"], r["k1"], r["k2"], r["copy"], r["block"]) for r in got) == plain_mix(units.collect(), sources, shards)
+    monkeypatch.setattr(mixture, "split_quotas", lambda counts, shards, seed=0: [counts] + [[0] * len(counts)] * (shards - 1))
+    alone = mixture.draw(docs, units, sources, mixture.find_ends(units, sources, 7))
+    assert {r["shard"] for r in alone.collect()} == {0}
+
+
 def test_shards_hold_disjoint_blocks(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    sizes = mixture.sized(docs)
-    draws = mixture.mix(sizes, mixture.plan(sizes), shards=4).toPandas()
+    units = mixture.sized(docs)
+    shown = mixture.write_mix(docs, units, mixture.plan(units), shards=4)
+    draws = shown.toPandas()
     assert set(draws["shard"]) == {0, 1, 2, 3}
     assert draws.groupby(["doc_id", "copy", "block"]).size().max() <= 3 and not draws.duplicated(["doc_id", "block", "place"]).any()
     n = draws.groupby("shard").size()
     assert n.max() - n.min() <= 4
-    shown = mixture.materialise(mixture.mix(sizes, mixture.plan(sizes), shards=4), docs)
-    texts = {r["doc_id"]: brute.words(r["text"]) for r in docs.collect()}
-    some = shown.limit(200).collect()
-    assert some and all(" ".join(texts[r["doc_id"]]).find(r["text"]) >= 0 for r in some)
+    texts = {r["doc_id"]: " ".join(brute.words(r["text"])) for r in docs.collect()}
+    assert all(t in texts[i] for i, t in zip(draws["doc_id"], draws["text"], strict=True))
+    parts = shown.withColumn("part", F.spark_partition_id()).withColumn("file", F.input_file_name()).toPandas()
+    for _, rows_ in parts.groupby(["file", "part", "shard"]):
+        assert rows_["place"].is_monotonic_increasing
 
 
 def test_every_draw_is_written_once(spark, tricky, monkeypatch):
     """Null and repeated ids, and different texts that share an id."""
-    monkeypatch.setattr(mixture, "RANGE", 16)
+    monkeypatch.setattr(mixture, "BIN", 16)
     rng, vocab = random.Random(5), vocabulary()
     make = lambda n: " ".join(rng.choices(vocab, k=n))
     extra = [(3000, make(200), None, "a", 1), (3000, make(200), None, "a", 1), (None, make(300), None, "c", 1), (None, make(300), None, "c", 1)]
     docs = tricky.unionByName(spark.createDataFrame(extra, SCHEMA))
-    sizes = mixture.sized(docs)
-    draws = mixture.mix(sizes, mixture.plan(sizes), shards=4)
-    shown = mixture.materialise(draws, docs).collect()
-    assert Counter((r["shard"], r["place"], r["doc_id"]) for r in shown) == Counter((r["shard"], r["place"], r["doc_id"]) for r in draws.collect())
+    units = mixture.sized(docs)
+    sources = mixture.plan(units)
+    shown = [r.asDict() | {"source": sources[r["s"]].name} for r in mixture.write_mix(docs, units, sources, shards=4).collect()]
+    assert Counter((r["shard"], r["k1"], r["k2"], r["copy"], r["block"]) for r in shown) == plain_mix(units.collect(), sources, 4)
     assert {r["doc_id"] for r in shown} >= {None, 3000}
     cut = Counter()
     for i, t, _, s, _ in tricky_rows() + extra:
@@ -211,15 +268,16 @@ def test_every_draw_is_written_once(spark, tricky, monkeypatch):
 
 def test_taken_is_what_the_shards_hold(spark, tricky, monkeypatch):
     written, write = [], mixture.keep
-    monkeypatch.setattr(mixture, "keep", lambda df, name: (written.append((name, out := write(df, name))), out)[1])
+    monkeypatch.setattr(mixture, "keep", lambda df, name, **more: (written.append((name, out := write(df, name, **more))), out)[1])
     got = mixture.taken(tricky).collect()
-    held = Counter()
+    held, want = Counter(), Counter()
     for r in dict(written)["shards"].collect():
-        held[r["doc_id"], r["source"], r["size"]] += len(brute.words(r["text"]))
-    want = Counter()
+        held[r["doc_id"], r["shard"]] += len(brute.words(r["text"]))
     for r in got:
-        want[r["doc_id"], r["source"], r["size"]] += r["taken"]
-    assert +want == held
+        assert r["taken"] == sum(x["words"] for x in r["shards"])
+        for x in r["shards"]:
+            want[r["doc_id"], x["shard"]] += x["words"]
+    assert want == held and len({k[1] for k in held}) == mixture.LEAST_SHARDS
 
 
 # 4

@@ -26,9 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a scratch table and return the table as written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

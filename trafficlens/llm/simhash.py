@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.components import stars
 from trafficlens.llm.scratch import keep
-from trafficlens.llm.words import NOT_SPACE, split_words
+from trafficlens.llm.words import NOT_SPACE, joined_words, split_words
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Widths of the bit blocks, and how many of them 4 differing bits must leave untouched
@@ -44,17 +44,14 @@ LEAF, PAIRS = 16, 2_000_000
 def fingerprints(column: pa.Array) -> np.ndarray:
     """64-bit SimHash of each text over 4-word shingles."""
     w = split_words(column, NOT_SPACE, lower=True)
-    size = w.end - w.start
-    begin = np.cumsum(size + 1) - (size + 1)
-    joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
-    joined[np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())] = w.data[np.repeat(w.start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    joined, begin, end = joined_words(w)
     count = np.diff(w.doc)
     shingles = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
     text = np.repeat(np.arange(len(count)), shingles)
     first = w.doc[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = np.minimum(first + SHINGLE, w.doc[1:][text]) - 1
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
-    h = np.array([digest(data[a:b], SEED) for a, b in zip(begin[first].tolist(), (begin[last] + size[last]).tolist(), strict=True)], np.uint64)
+    h = np.array([digest(data[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)], np.uint64)
     out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(shingles)
     if len(some):

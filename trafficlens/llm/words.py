@@ -116,16 +116,20 @@ def split_words(column: pa.Array, accepts: np.ndarray, lower: bool = False) -> W
     return Words(data, start, end, np.searchsorted(start, at))
 
 
+def portions(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose rows' sizes add up to about ``most``; a larger row is a slice of its own."""
+    total, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        done = total[begin - 1] if begin else 0
+        until = max(begin + 1, int(np.searchsorted(total, done + most, "right")))
+        yield batch.slice(begin, until - begin)
+        begin = until
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most`` text bytes; a longer text is a slice of its own."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        total, begin = np.cumsum(sizes), 0
-        while begin < len(sizes):
-            done = total[begin - 1] if begin else 0
-            until = max(begin + 1, int(np.searchsorted(total, done + most, "right")))
-            yield batch.slice(begin, until - begin)
-            begin = until
+        yield from portions(batch, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), most)
 
 
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -135,3 +139,13 @@ def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     np.cumsum(size, out=offsets[1:])
     where = np.repeat(start - offsets[:-1], size) + np.arange(offsets[-1])
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(data[where]))
+
+
+def joined_words(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All words of all texts, each followed by one space, and where each begins and ends there."""
+    size = w.end - w.start
+    begin = np.cumsum(size + 1) - (size + 1)
+    data = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    data[np.repeat(begin, size) + inside] = w.data[np.repeat(w.start, size) + inside]
+    return data, begin, begin + size
