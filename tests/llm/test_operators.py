@@ -304,9 +304,9 @@ def clustered(n=300, seed=3):
 
 @pytest.mark.parametrize("salted", [False, True])
 def test_trie_join_finds_every_component(spark, monkeypatch, salted):
-    if salted:
-        monkeypatch.setattr(simhash, "BUCKET", 3)
-        monkeypatch.setattr(simhash, "SALTED", 2)
+    if salted:  # node pairs go far down in the plan
+        monkeypatch.setattr(simhash, "NODE", 3)
+        monkeypatch.setattr(simhash, "PAIRS", 4)
     fps = clustered()
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
     edges = simhash.near_links(df)
@@ -319,20 +319,56 @@ def test_trie_join_finds_every_component(spark, monkeypatch, salted):
     assert [got.index(g) for g in got] == [want.index(w) for w in want]
 
 
-def test_trie_join_alone():
+def test_walk_prunes_and_finds_all(monkeypatch):
     fps = np.array(clustered(200), np.uint64)
-    lo, hi = np.array([0]), np.array([len(fps)])
-    i, j = simhash.trie_join(fps, lo, hi, lo, hi)
-    want = {(a, b) for b in range(len(fps)) for a in range(b) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 4}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and len(i) == len(want)
+    want = {(int(fps[a]), int(fps[b])) for b in range(len(fps)) for a in range(b) if (int(fps[a]) ^ int(fps[b])).bit_count() <= 4}
+    for most in (500_000, 7):
+        monkeypatch.setattr(simhash, "PAIRS", most)
+        got, visited = set(), 0
+        for n in simhash.TURNS:
+            x = np.sort(fps << np.uint64(n) | (fps >> np.uint64(64 - n) if n else np.uint64(0)))
+            back = (x >> np.uint64(n) | (x << np.uint64(64 - n) if n else np.uint64(0))).tolist()
+            lo, hi = np.array([0]), np.array([len(x)])
+            found = simhash.walk(x, lo, hi, lo, hi)
+            assert len({*zip(found.i.tolist(), found.j.tolist())}) == len(found.i)
+            got |= {tuple(sorted((back[i], back[j]))) for i, j in zip(found.i.tolist(), found.j.tolist(), strict=True)}
+            visited += len(found.i) + found.pruned
+        assert got == want
+        assert 0 < visited < 3 * len(fps) * (len(fps) - 1) / 4  # whole subtrees go at once
+
+
+def test_frontier_prunes_node_pairs(spark, monkeypatch):
+    """The plan's node pairs are those of existing nodes within the budget, and no others."""
+    monkeypatch.setattr(simhash, "NODE", 12)
+    fps = clustered(400, 9)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    got = defaultdict(set)
+    for depth, pairs in simhash.frontier(spark.createDataFrame([(x,) for x in signed], "fp long")):
+        for r in pairs.collect():
+            got[depth].add((r["r"], r["a"], r["b"]))
+    want = defaultdict(set)
+    for r, n in enumerate(simhash.TURNS):
+        x = [(f << n | f >> (64 - n)) & ((1 << 64) - 1) for f in fps]
+        level, depth = [(0, 0)], 0
+        while level:
+            count = Counter(v >> (64 - depth) for v in x)
+            large = [(a, b) for a, b in level if max(count[a], count[b]) > 12]
+            want[depth] |= {(r, a, b) for a, b in level if (a, b) not in large and (a != b or count[a] > 1)}
+            step = min(4, 21 - depth if depth < 21 else 64 - depth)
+            kids = defaultdict(set)
+            for v in x:
+                kids[v >> (64 - depth)].add(v >> (64 - depth - step))
+            depth += step
+            most = 1 if depth <= 21 else 4
+            level = [(c, d) for a, b in large for c in kids[a] for d in kids[b] if (a != b or c <= d) and (c ^ d).bit_count() <= most]
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v} and len([v for v in got.values() if v]) > 1
 
 
 @pytest.mark.parametrize("salted", [False, True])
 def test_large_bucket_of_mixed_sign(spark, monkeypatch, salted):
-    """Links that meet in one band only, which leaves out the top block."""
+    """Links whose bits differ in several thirds, the top one among them."""
     if salted:
-        monkeypatch.setattr(simhash, "BUCKET", 1000)
-        monkeypatch.setattr(simhash, "SALTED", 512)
+        monkeypatch.setattr(simhash, "NODE", 100)
     rng = random.Random(11)
     first = [rng.getrandbits(42) << 22 | 0x155555 for _ in range(900)]
     fps = np.array(sorted({x ^ y for x in first for y in (0, 1 << rng.randrange(22, 33) | 1 << rng.randrange(33, 44) | 1 << rng.randrange(44, 54) | 1 << rng.randrange(54, 64))}), np.uint64)

@@ -1,26 +1,34 @@
 """SimHash near-duplicates: a binary-trie self-join of the fingerprints.
 
-Fingerprints at most ``MAX_BITS`` apart are linked. Six bit blocks leave two of them
-untouched by four differing bits, so each of the fifteen pairs of blocks deals the
-distinct fingerprints into buckets, and every link meets in at least one. Inside a
-bucket the fingerprints form a binary trie that is joined with itself: pairs of nodes
-go down together, differing bits add up, and a pair is dropped once it has more than
-``MAX_BITS``. A bucket gives a spanning star of each of its components, not all pairs.
-
-Exact copies are one fingerprint before any join. A bucket of more than ``BUCKET``
-fingerprints is dealt into salted groups, and pairs of groups become tasks of their
-own, so no task holds more than two groups and no pair is missed.
+Fingerprints at most ``MAX_BITS`` apart are linked. They form a binary trie, which is joined
+with itself: pairs of nodes go down together, their differing bits add up, and a pair is
+dropped once it has more than its budget. As four differing bits can't spread over three
+thirds of the fingerprint without leaving one with at most a single bit, the trie is walked
+in three rotations, each with another third on top, and with a budget of one in that third
+(``TOP_BITS``) and of ``MAX_BITS`` below it.
+
+The top of the walk is a plan: a table of node pairs, joined with the tables of existing
+children ``STEP`` bits further down and pruned, until both nodes of a pair hold ``NODE``
+fingerprints at most. The rest of the walk is a task for each such pair, bit by bit,
+which gives a spanning star of each component it finds, not all pairs. A dense cluster
+only goes further down before it is dealt out, so nothing is salted and no task holds
+more than two nodes.
+
+Exact copies are one fingerprint before any join. Copies meet their component again in a
+join with one row for each fingerprint, both sides of which are written or shuffled for
+the join alone, so adaptive execution can split a hot fingerprint.
 
 Cases: null and wordless texts have fingerprint 0 and are linked like others; ties and
 repeated rows share a fingerprint; a component's id is the least non-null doc_id in it
 (null if there is none); very long texts are hashed whole; an empty table gives no
-rows; further columns are ignored.
+rows; further columns are ignored. ``survivors`` decides by row, not by id: different texts
+that share an id are told apart, and a group without ids keeps one row as well.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +42,23 @@ from trafficlens.llm.scratch import keep
 from trafficlens.llm.words import NOT_SPACE, joined_words, split_words
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Widths of the bit blocks, and how many of them 4 differing bits must leave untouched
-BLOCKS, WHOLE = (11, 11, 11, 11, 10, 10), 2
-BUCKET, SALTED = 2048, 1024
-#: Fingerprint pairs below which a pair of trie nodes is compared outright, and most such pairs at a time
-LEAF, PAIRS = 16, 2_000_000
+#: Where a rotation begins (its leading third of bits), and the least width of such a third
+TURNS, TOP_BITS = (0, 22, 43), 21
+#: Fingerprints of a node that a task walks at most, and bits that node pairs go down at a time
+NODE, STEP = 2048, 4
+#: Node pairs that a task takes a bit further at a time
+PAIRS = 500_000
 
 
-def fingerprints(column: pa.Array) -> np.ndarray:
-    """64-bit SimHash of each text over 4-word shingles."""
+def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit SimHash of each text over shingles of so many words."""
     w = split_words(column, NOT_SPACE, lower=True)
     joined, begin, end = joined_words(w)
     count = np.diff(w.doc)
-    shingles = np.where(count >= SHINGLE, count - SHINGLE + 1, np.minimum(count, 1))
+    shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
     text = np.repeat(np.arange(len(count)), shingles)
     first = w.doc[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    last = np.minimum(first + SHINGLE, w.doc[1:][text]) - 1
+    last = np.minimum(first + shingle, w.doc[1:][text]) - 1
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     h = np.array([digest(data[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)], np.uint64)
     out = np.zeros(len(count), np.uint64)
@@ -61,57 +70,61 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return out
 
 
-def fingerprinted(documents: DataFrame, *more: Column) -> DataFrame:
+def fingerprinted(documents: DataFrame, *more: Column, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, further columns and fingerprint (as a signed long)."""
-    rows = append(documents.select("doc_id", "text", *more), "fp long", lambda: lambda b: {"fp": fingerprints(b.column("text")).view(np.int64)})
+    rows = append(documents.select("doc_id", "text", *more), "fp long", lambda: lambda b: {"fp": fingerprints(b.column("text"), shingle).view(np.int64)})
     return rows.drop("text")
 
 
-def _masks() -> list[int]:
-    parts, at = [], 0
-    for width in BLOCKS:
-        parts.append(((1 << width) - 1) << at)
-        at += width
-    return [sum(pair) for pair in combinations(parts, WHOLE)]
+def budget(depth: int, max_bits: int) -> int:
+    """Differing bits that a pair of nodes may have at a depth (bits from the top)."""
+    return max_bits // len(TURNS) if depth <= TOP_BITS else max_bits
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+class Found(NamedTuple):
+    """Index pairs of a walk, and how many node pairs it dropped as over the budget."""
 
+    i: np.ndarray
+    j: np.ndarray
+    pruned: int
 
-def _pairs(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs of each pair of ranges."""
-    wide = b_hi - b_lo
-    many = (a_hi - a_lo) * wide
-    node = np.repeat(np.arange(len(many)), many)
-    k = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    return a_lo[node] + k // wide[node], b_lo[node] + k % wide[node]
 
+def walk(fp: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray, max_bits: int = MAX_BITS) -> Found:
+    """Join ranges a and b of ``fp``, ascending as unsigned numbers, bit by bit; a range may be paired with itself.
 
-def trie_join(fp: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at most MAX_BITS apart between sorted ranges a and b of ``fp``; a range may be paired with itself."""
+    Finds all pairs at most max_bits apart that keep the leading third's budget. Open
+    node pairs are kept on a stack in groups of ``PAIRS``, so a dense cluster needs no more memory.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    nodes = np.stack([a_lo, a_hi, b_lo, b_hi, np.zeros(len(a_lo), np.int64)])
-    for depth in range(63, -2, -1):
-        small = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2]) <= LEAF if depth >= 0 else np.ones(nodes.shape[1], bool)
-        leaf = nodes[:, small]
-        if leaf.shape[1]:
-            i, j = _pairs(*leaf[:4])
-            near = (i < j) & (np.bitwise_count(fp[i] ^ fp[j]) <= MAX_BITS)
-            found.append((i[near], j[near]))
-        nodes = nodes[:, ~small]
-        if not nodes.shape[1]:
-            break
-        ones = np.concatenate([[0], np.cumsum(fp >> np.uint64(depth) & np.uint64(1), dtype=np.int64)])
+    ones: dict[int, np.ndarray] = {}
+    pruned = 0
+    stack = [(63, np.stack([a_lo, a_hi, b_lo, b_hi, np.zeros(len(a_lo), np.int64)]))]
+    while stack:
+        bit, nodes = stack.pop()
+        if nodes.shape[1] > PAIRS:
+            stack += [(bit, nodes[:, PAIRS:]), (bit, nodes[:, :PAIRS])]
+            continue
+        # two leaves: the rest of their paths at once
+        single = (nodes[1] - nodes[0] == 1) & (nodes[3] - nodes[2] == 1)
+        i, j = nodes[0, single], nodes[2, single]
+        near = (i != j) & (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits)
+        pruned += int((~near & (i != j)).sum())
+        found.append((i[near], j[near]))
+        nodes = nodes[:, ~single]
+        if not nodes.shape[1] or bit < 0:
+            continue
+        if bit not in ones:
+            ones[bit] = np.concatenate([[0], np.cumsum(fp >> np.uint64(bit) & np.uint64(1), dtype=np.int64)])
         a0, a1, b0, b1, err = nodes
-        am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        am, bm = a1 - (ones[bit][a1] - ones[bit][a0]), b1 - (ones[bit][b1] - ones[bit][b0])
         own = (a0 == b0) & (a1 == b1)
-        cross = np.stack([am, a1, b0, bm, err + 1])[:, ~own]
-        nodes = np.concatenate([np.stack([a0, am, b0, bm, err]), np.stack([am, a1, bm, b1, err]), np.stack([a0, am, bm, b1, err + 1]), cross], axis=1)
-        nodes = nodes[:, (nodes[0] < nodes[1]) & (nodes[2] < nodes[3]) & (nodes[4] <= MAX_BITS)]
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        both = np.stack([am, a1, b0, bm, err + 1])[:, ~own]
+        nodes = np.concatenate([np.stack([a0, am, b0, bm, err]), np.stack([am, a1, bm, b1, err]), np.stack([a0, am, bm, b1, err + 1]), both], axis=1)
+        nodes = nodes[:, (nodes[0] < nodes[1]) & (nodes[2] < nodes[3])]
+        fits = nodes[4] <= budget(64 - bit, max_bits)
+        pruned += int((~fits).sum())
+        stack.append((bit - 1, nodes[:, fits]))
+    return Found(*(np.concatenate([x[k] for x in found]) for k in (0, 1)), pruned)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -128,90 +141,115 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of buckets; rows come sorted by (band, key, task, side, fp as an unsigned number)."""
-    rest: pa.Table | None = None
-
-    def links(t: pa.Table) -> pa.RecordBatch:
-        fp = t.column("fp").to_numpy().view(np.uint64)
-        ids = [t.column(c).to_numpy() for c in ("band", "key", "task")]
-        side = t.column("side").to_numpy()
-        fresh = np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ids], axis=0)])
-        run = np.flatnonzero(fresh | np.concatenate([[True], side[1:] != side[:-1]]))
-        ends = np.append(run[1:], len(fp))
-        paired = np.append(~fresh[run[1:]], False) & (side[run] == 0)
-        a = np.flatnonzero(fresh[run])
-        b = np.where(paired[a], np.minimum(a + 1, len(run) - 1), a)
-        # a salted task of two groups whose second group is elsewhere empty has only one side: nothing to compare
-        ok = (paired[a] | (side[run[a]] == 0)) & ((b != a) | (ends[a] - run[a] > 1))
-        ok &= (b != a) | (ids[2][run[a]] % (1 << 20) == ids[2][run[a]] >> 20)
-        a, b = a[ok], b[ok]
-        cost = np.cumsum((ends[a] - run[a]) * (ends[b] - run[b]))
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        begin = 0
-        while begin < len(a):
-            until = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + PAIRS, "right")))
-            x, y = a[begin:until], b[begin:until]
-            lo, hi = int(run[x[0]]), int(ends[y[-1]])
-            i, j = trie_join(fp[lo:hi], run[x] - lo, ends[x] - lo, run[y] - lo, ends[y] - lo)
-            # a fingerprint is in one run of a task, so components stay inside tasks
-            root = _roots(hi - lo, i, j)
-            tied = np.flatnonzero(root != np.arange(hi - lo))
-            out.append((fp[lo + tied], fp[lo + root[tied]]))
-            begin = until
-        both = [np.concatenate([o[k] for o in out]) if out else np.empty(0, np.uint64) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in both], ["a", "b"])
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        same = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in ("band", "key", "task")], axis=0) if len(table) else np.zeros(0, bool)
-        cut = len(table) - int(same.sum())
-        rest = table.slice(cut).combine_chunks()
-        if cut:
-            yield links(table.slice(0, cut).combine_chunks())
-    if rest is not None and len(rest):
-        yield links(rest)
-
-
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) of spanning stars in all buckets of a table of distinct fingerprints ``fp``."""
-    bands = F.array(*(F.struct(F.lit(n).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(_masks())))
-    rows = distinct.select("fp", F.explode(bands).alias("x")).select("x.band", "x.key", "fp")
-    large = keep(rows.groupBy("band", "key").count().where(F.col("count") > BUCKET), "large-buckets")
-    plain = rows.select("band", "key", F.lit(0).cast("long").alias("task"), F.lit(0).alias("side"), "fp")
-    if large.isEmpty():
-        dealt = plain
-    else:
-        groups = large.select("band", "key", F.ceil(F.col("count") / SALTED).alias("groups"))
-        mine = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("groups"))
-        salted = (
-            rows.join(groups, ["band", "key"])
-            .select("band", "key", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("other"))
-            .select("band", "key", (F.least("mine", "other") * (1 << 20) + F.greatest("mine", "other")).alias("task"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp")
-        )
-        dealt = plain.join(groups, ["band", "key"], "left_anti").unionByName(salted)
-    # the trie's zeros come first: unsigned order, which a signed long has once its sign bit is flipped
-    sorted_rows = dealt.repartition("band", "key", "task").sortWithinPartitions("band", "key", "task", "side", F.col("fp").bitwiseXOR(F.lit(_signed(1 << 63))))
-    return sorted_rows.mapInArrow(_bucket_links, "a long, b long")
+def _star_rows(table: pa.Table, max_bits: int) -> pa.RecordBatch:
+    """Stars of whole node pairs; rows ascend by (pair, side, x as an unsigned number)."""
+    x, pair, side = (table.column(c).to_numpy() for c in ("x", "pair", "side"))
+    x = x.view(np.uint64)
+    opens = np.concatenate([[True], (pair[1:] != pair[:-1]) | (side[1:] != side[:-1])])
+    begin = np.flatnonzero(opens)
+    end = np.append(begin[1:], len(x))
+    a = np.flatnonzero(side[begin] == 0)
+    b = np.minimum(a + 1, len(begin) - 1)
+    b = np.where(side[begin[b]] == 1, b, a)
+    got = walk(x, begin[a], end[a], begin[b], end[b], max_bits)
+    # a fingerprint is in one place of a pair, so components stay inside pairs
+    root = _roots(len(x), got.i, got.j)
+    tied = np.flatnonzero(root != np.arange(len(x)))
+    left = np.array(TURNS, np.uint64)[pair[tied] % len(TURNS)]
+    back = [y >> left | np.where(left > 0, y << (np.uint64(64) - left & np.uint64(63)), np.uint64(0)) for y in (x[tied], x[root[tied]])]
+    return pa.RecordBatch.from_arrays([pa.array(y.view(np.int64)) for y in back], ["a", "b"])
+
+
+def _unsigned(x: Column) -> Column:
+    """Ascends as an unsigned number does."""
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
+
 
+def turned(distinct: DataFrame) -> DataFrame:
+    """r, x: each fingerprint in each rotation."""
+    of = [F.col("fp") if not n else F.shiftleft("fp", n).bitwiseOR(F.shiftrightunsigned("fp", 64 - n)) for n in TURNS]
+    return distinct.select(F.posexplode(F.array(*of)).alias("r", "x"))
 
-def _rooted(least: DataFrame) -> DataFrame:
-    """A table of distinct fingerprints ``fp`` with the root fingerprint of each one's component."""
-    star = stars(near_links(least.select("fp")))
-    return least.join(star.select(F.col("a").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
+def _node(depth: int) -> Column:
+    return F.shiftrightunsigned("x", 64 - depth) if depth else F.lit(0).cast("long")
 
-def components(documents: DataFrame) -> DataFrame:
+
+def frontier(distinct: DataFrame, max_bits: int = MAX_BITS) -> list[tuple[int, DataFrame]]:
+    """Node pairs small enough for a task, by depth: pair (an id that leaves r when divided by the rotations), r, a, b.
+
+    Goes down level by level: only pairs with a large node are opened, only children
+    that exist are paired, and pairs over the budget are dropped in the join.
+    """
+    rows = turned(distinct)
+    out, depth = [], 0
+    sizes = rows.groupBy("r", _node(0).alias("node")).agg(F.count("*").alias("n"))
+    level = keep(sizes.select("r", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("err"), F.col("n").alias("n_a"), F.col("n").alias("n_b")), "node-pairs")
+    while True:
+        small = (F.col("n_a") <= NODE) & (F.col("n_b") <= NODE)
+        # a node alone with itself has nothing to compare
+        done = level.where(small & ((F.col("a") != F.col("b")) | (F.col("n_a") > 1)))
+        number = (F.monotonically_increasing_id() * 65 + depth) * len(TURNS) + F.col("r")
+        out.append((depth, keep(done.select(number.alias("pair"), "r", "a", "b"), "task-pairs")))
+        large = level.where(~small)
+        if depth == 64 or large.isEmpty():
+            return out
+        step = min(STEP, TOP_BITS - depth if depth < TOP_BITS else 64 - depth)
+        opened = large.select("r", F.explode(F.array("a", "b")).alias("parent")).distinct()
+        kids = rows.select("r", _node(depth).alias("parent"), _node(depth + step).alias("node"))
+        kids = keep(kids.join(opened, ["r", "parent"], "left_semi").groupBy("r", "parent", "node").agg(F.count("*").alias("n")), "nodes")
+        ka, kb = (kids.select(F.col("r").alias(f"r_{k}"), F.col("parent").alias(f"p_{k}"), F.col("node").alias(f"k_{k}"), F.col("n").alias(f"m_{k}")) for k in "ab")
+        err = F.col("err") + F.bit_count(F.col("k_a").bitwiseXOR(F.col("k_b")).bitwiseAND(F.lit((1 << step) - 1)))
+        fits = (err <= budget(depth + step, max_bits)) & ((F.col("a") != F.col("b")) | (F.col("k_a") <= F.col("k_b")))
+        pairs = large.select("r", "a", "b", "err").join(ka, (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("p_a"))).join(kb, (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("p_b")) & fits)
+        level = keep(pairs.select("r", F.col("k_a").alias("a"), F.col("k_b").alias("b"), err.alias("err"), F.col("m_a").alias("n_a"), F.col("m_b").alias("n_b")), "node-pairs")
+        depth += step
+
+
+def near_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Edges (a, b) of spanning stars over a table of distinct fingerprints ``fp``."""
+    rows, dealt = turned(distinct), None
+    for depth, pairs in frontier(distinct, max_bits):
+        sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))).otherwise(
+            F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))
+        )
+        ends = pairs.select("pair", "r", F.explode(sides).alias("e")).select("pair", "r", "e.node", "e.side")
+        part = rows.withColumn("node", _node(depth)).join(ends, ["r", "node"]).select("pair", "side", "x")
+        dealt = part if dealt is None else dealt.unionByName(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            if len(table):
+                pair = table.column("pair").to_numpy()
+                cut = int(np.searchsorted(pair, pair[-1]))
+                rest = table.slice(cut).combine_chunks()
+                if cut:
+                    yield _star_rows(table.slice(0, cut).combine_chunks(), max_bits)
+        if rest is not None:
+            yield _star_rows(rest, max_bits)
+
+    return dealt.repartition("pair").sortWithinPartitions("pair", "side", _unsigned(F.col("x"))).mapInArrow(run, "a long, b long")
+
+
+def _rooted(first: DataFrame, max_bits: int) -> DataFrame:
+    """A written table of distinct fingerprints ``fp`` with the root fingerprint of each one's component."""
+    star = stars(near_links(first.select("fp"), max_bits))
+    return keep(first.join(star.select(F.col("a").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+
+
+def components(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id of each document row."""
-    prints = keep(fingerprinted(documents), "fingerprints")
-    rooted = _rooted(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    prints = keep(fingerprinted(documents, shingle=shingle), "fingerprints")
+    rooted = _rooted(keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"), max_bits)
+    ids = keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    named = keep(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "component-ids")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(documents: DataFrame) -> DataFrame:
+def survivors(documents: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component: the least doc_id, nulls last; rows that share it are told apart by hashes of all columns but maps.
 
     Rows are joined back on 128 bits of hashes, so ids may be null, and different rows may share one.
@@ -220,9 +258,10 @@ def survivors(documents: DataFrame) -> DataFrame:
     # hashes pass over nulls, so a null is told by a flag
     values = [x for c in told for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
     h1, h2 = (F.xxhash64(F.lit(n), *values).alias(f"h{n}") for n in (1, 2))
-    prints = keep(fingerprinted(documents, h1, h2), "fingerprints")
+    prints = keep(fingerprinted(documents, h1, h2, shingle=shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2"))
-    rooted = _rooted(prints.groupBy("fp").agg(first.alias("first")))
+    rooted = _rooted(keep(prints.groupBy("fp").agg(first.alias("first")), "distinct"), max_bits)
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.h1", "first.h2")
+    chosen = keep(chosen, "chosen")
     rows = documents.select(F.struct("*").alias("row"), h1, h2)
     return rows.join(chosen, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("row.*")
