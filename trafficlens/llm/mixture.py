@@ -32,8 +32,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
@@ -143,10 +145,16 @@ def plan(units: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[Source]
     return out
 
 
+def _local(spark: SparkSession, fields: StructType, *columns: list) -> DataFrame:
+    """A local table whose size Spark knows, so that it broadcasts it only if it is small."""
+    schema = to_arrow_schema(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+
+
 def named(df: DataFrame, sources: list[Source]) -> DataFrame:
     """Adds s, the number of the source, and drops its name."""
-    kind = df.schema["source"].dataType.simpleString()
-    table = df.sparkSession.createDataFrame([(x.name, i) for i, x in enumerate(sources)], f"s_name {kind}, s int")
+    fields = StructType().add("s_name", df.schema["source"].dataType).add("s", "integer")
+    table = _local(df.sparkSession, fields, [x.name for x in sources], list(range(len(sources))))
     return df.join(table, F.col("source").eqNullSafe(F.col("s_name"))).drop("s_name", "source")
 
 
@@ -390,9 +398,8 @@ def taken(documents: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, shards (shard and words) of each document row, from the written mix."""
     units = keep(sized(documents), "units")
     sources = plan(units)
-    spark = documents.sparkSession
-    kind = units.schema["source"].dataType.simpleString()
-    about = spark.createDataFrame([(x.name, x.size, x.target) for x in sources], f"s_source {kind}, source_size long, target double")
+    fields = StructType().add("s_source", units.schema["source"].dataType).add("source_size", "long").add("target", "double")
+    about = _local(documents.sparkSession, fields, [x.name for x in sources], [x.size for x in sources], [float(x.target) for x in sources])
     mix = write_mix(documents, units, sources).select("k1", "k2", "copy", "shard", "words")
     # one shuffle serves both sums
     each = mix.repartition("k1", "k2", "copy").groupBy("k1", "k2", "copy", "shard").agg(F.sum("words").alias("words"))
