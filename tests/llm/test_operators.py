@@ -470,7 +470,8 @@ def test_quality_separates(spark):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
-    scored = quality.resample(quality.weigh(docs, quality.learn(docs, labels, usable=learn))).join(labels.where(~learn), "doc_id").toPandas()
+    weighed = quality.weigh(docs, quality.learn(docs, labels, usable=learn)).withColumn("noise", quality.noise())
+    scored = quality.resample(weighed).join(labels.where(~learn), "doc_id").toPandas()
     assert scored[scored["quality"] == 1]["kept"].mean() > 0.98 and scored[scored["quality"] == 0]["kept"].mean() < 0.15
 
 
@@ -481,10 +482,27 @@ def test_quality_cases(spark, tricky, nothing):
     assert all(r["kept"] for r in quality.select(tricky, labels.where("false")).collect())
     assert quality.filtered(clashing(tricky), labels).columns == clashing(tricky).columns
     assert quality.select(nothing, labels).count() == 0
-    top = quality.resample(quality.weigh(tricky, quality.learn(tricky, labels)), k=5, temperature=1.0)
+    top = quality.resample(quality.weigh(tricky, quality.learn(tricky, labels)).withColumn("noise", quality.noise()), k=5)
     assert 5 <= top.where("kept").count() <= 8
 
 
+def test_inclusion_follows_the_weights(spark):
+    """Gumbel top-k draws as drawing one text after the other by weight does; without noise it doesn't."""
+    weight = [0.0, 1.0, 2.0, 3.0]
+    rows_ = spark.range(4).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.element_at(F.array(*map(F.lit, weight)), F.col("id").cast("int") + 1).alias("log_weight"))
+    got = Counter()
+    noises = rows_.select("doc_id", "log_weight", *(quality.noise(seed).alias(f"n{seed}") for seed in range(600))).collect()
+    for seed in range(600):
+        got.update(r["doc_id"] for r in sorted(noises, key=lambda r: -r["log_weight"] - r[f"n{seed}"])[:2])
+    p = np.exp(weight) / np.exp(weight).sum()
+    for i in range(4):
+        want = p[i] + sum(p[j] * p[i] / (1 - p[j]) for j in range(4) if j != i)
+        assert abs(got[i] / 600 - want) < 0.07
+    kept = [{r["doc_id"] for r in quality.resample(rows_.withColumn("noise", quality.noise(seed)), k=2).where("kept").collect()} for seed in range(3)]
+    assert kept == [{r["doc_id"] for r in sorted(noises, key=lambda r: -r["log_weight"] - r[f"n{seed}"])[:2]} for seed in range(3)]
+    assert {r["doc_id"] for r in quality.resample(rows_.withColumn("noise", quality.noise()), k=2, temperature=1e-6).where("kept").collect()} == {2, 3}
+
+
 # 7
 
 

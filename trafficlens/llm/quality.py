@@ -1,11 +1,13 @@
 """Quality by importance resampling.
 
 Two generative models over hashed n-grams are counted: one of target text (labelled
-good), one of all raw text, which is also the target model's prior. A text's importance weight is the mean log ratio of the two
-over its grams, and resampling draws texts without replacement by Gumbel top-k: the k
-greatest of weight / temperature + Gumbel noise, the noise being a hash of the row. Used
-as a filter, k is the number of texts whose weight is at least ``CUT``, and the low
-temperature leaves chance only to texts on the border.
+good), one of all raw text, which is also the target model's prior. A text's log weight is the
+log ratio of the two over all its grams, that is, how much likelier the target model makes it.
+Resampling draws texts without replacement by Gumbel top-k: the k greatest of log weight / temperature +
+Gumbel noise, the noise being a hash of the row. At temperature 1 a text of which the models
+are sure is in or out, and chance decides among those on the border. k is a parameter; by default
+it is the number of texts of at least ``-MARGIN``, that is, which the target model doesn't
+find over exp(``MARGIN``) times less likely than the raw one.
 
 Grams are single tokens, pairs of tokens (a repeated token is one special pair), token
 shapes and pairs of shapes; tokens are stretches of letters and digits or of marks.
@@ -13,9 +15,9 @@ Models are arrays of 2**BITS counts, so their broadcast is fixed. Counting and
 scoring are maps over all texts; only counts are shuffled. The k-th key is found by
 histograms, not by a sort.
 
-Cases: a text without tokens (null, empty, blank) has weight 0 and so stays; null labels
-are not used, repeated labels vote (ties: good); without target rows all weights are 0;
-rows that tie with the k-th key all stay; repeated rows have equal keys; very long texts
+Cases: a text without tokens (null, empty, blank) has weight 0, as if the models agreed; null labels
+are not used, repeated labels vote (ties: good); without target rows all weights are 0
+and all texts are drawn; rows that tie with the k-th key all stay; repeated rows have equal keys; very long texts
 are read whole; columns of the documents called like a result column are replaced.
 """
 
@@ -36,9 +38,9 @@ from trafficlens.llm.words import Words, mixed, slices, utf8
 BITS = 16
 #: Labelled rows that are read for the target model, by hash order of doc_id
 MAX_LABELLED = 40_000
-CUT, TEMPERATURE = -0.1, 0.005
+TEMPERATURE, MARGIN = 1.0, 5.0
 #: Pseudo-counts by which a gram's target probability is drawn to its raw one, so that rare grams say little
-PRIOR = 10.0
+PRIOR = 100.0
 _BINS, _FEW = 1024, 4096
 
 _CLASS = np.array([0 if b == 0x20 or 0x09 <= b <= 0x0D else 1 if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 2 for b in range(256)], np.uint8)
@@ -71,7 +73,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", usable: Column | None = None, max_labelled: int = MAX_LABELLED) -> np.ndarray:
-    """Log ratio of the target model to the raw model for each gram."""
+    """Log ratio of the target model to the raw model for each gram; at most ``max_labelled`` labelled rows are used."""
     votes = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
     votes = votes.groupBy("doc_id").agg((F.avg(label) >= 0.5).alias("good"))
     picked = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).where("good").select("doc_id", F.lit(True).alias("target"))
@@ -96,14 +98,14 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
 
 
 def weigh(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """The documents' rows and columns with n_grams and log_weight, the mean log ratio."""
+    """The documents' rows and columns with n_grams and log_weight, the log ratio."""
     shared = documents.sparkSession.sparkContext.broadcast(ratio)
 
     def start():
         def make(b: pa.RecordBatch) -> dict[str, object]:
             text, gram = grams(b.column("text"))
             n = np.bincount(text, minlength=b.num_rows)
-            return {"n_grams": n, "log_weight": np.bincount(text, shared.value[gram], minlength=b.num_rows) / np.maximum(n, 1)}
+            return {"n_grams": n, "log_weight": np.bincount(text, shared.value[gram], minlength=b.num_rows)}
 
         return make
 
@@ -136,22 +138,28 @@ def kth_greatest(keys: DataFrame, column: str, k: int) -> float:
             return values[k - above - 1]
 
 
-def resample(weighed: DataFrame, k: int | None = None, cut: float = CUT, temperature: float = TEMPERATURE, seed: int = 11) -> DataFrame:
-    """Rows with sample_key and kept: the k greatest keys (k from ``cut`` unless given)."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "n_grams", "log_weight"), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = weighed.withColumn("sample_key", F.col("log_weight") / temperature - F.log(-F.log(uniform)))
+def noise(seed: int = 11) -> Column:
+    """Gumbel noise of a row, from its id and text."""
+    h = F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text")
+    return -F.log(-F.log((F.shiftrightunsigned(h, 11).cast("double") + 0.5) / float(1 << 53)))
+
+
+def resample(keyed: DataFrame, k: int | None = None, temperature: float = TEMPERATURE, margin: float = MARGIN) -> DataFrame:
+    """Rows (with log_weight and noise) with sample_key and kept: the k greatest keys, k being the rows within the margin unless given."""
+    keyed = keyed.withColumn("sample_key", F.col("log_weight") / temperature + F.col("noise"))
     if k is None:
-        k = keyed.where(F.col("log_weight") >= cut).count()
+        k = keyed.where(F.col("log_weight") >= -margin).count()
     return keyed.withColumn("kept", F.col("sample_key") >= kth_greatest(keyed, "sample_key", k))
 
 
-def select(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def select(documents: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """doc_id, n_grams, log_weight, sample_key, kept for every document row."""
-    scored = keep(weigh(documents.select("doc_id", "text"), learn(documents, labels)).select("doc_id", "n_grams", "log_weight"), "weights")
-    return resample(scored)
+    scored = weigh(documents.select("doc_id", "text"), learn(documents, labels)).select("doc_id", "n_grams", "log_weight", noise().alias("noise"))
+    return resample(keep(scored, "weights"), k).drop("noise")
 
 
-def filtered(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that resampling keeps, with their columns."""
-    scored = keep(weigh(documents, learn(documents, labels)), "weighed")
-    return resample(scored).where("kept").select(documents.columns)
+def filtered(documents: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
+    """The documents that resampling draws, with their columns."""
+    rows = documents.select(F.struct("*").alias("_row"), "doc_id", "text")
+    scored = weigh(rows, learn(documents, labels)).select("_row", "log_weight", noise().alias("noise"))
+    return resample(keep(scored, "weighed"), k).where("kept").select("_row.*")
