@@ -6,9 +6,10 @@ rarest word alone is the necessary prefix. Documents are probed at words that ar
 window's prefix; length and position bounds drop candidates that would cross the
 document's ends; the rest are verified, by run hash and then byte by byte.
 
-The benchmark is a stated query set. It is taken in blocks of bounded size, each
-broadcast in turn, so documents are never shuffled and no broadcast grows with the
-benchmark.
+The benchmark is a stated query set. It is taken in blocks of ``BLOCK_BYTES`` of text, each
+broadcast in turn: a block is its texts' bytes and numbers for each window, some five times its text (26 bytes a word).
+Documents are never shuffled for one block. Of several, each is a job of its own that
+writes its hits only, by a hash of the text; these are merged and joined with the documents.
 
 Cases: null or wordless texts and items have no windows; a null ``item_id`` counts as the
 id "null"; repeated items give one id; every document row is judged on its own, repeated
@@ -23,11 +24,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
-from trafficlens.llm.words import ALNUM, Words, run_hashes, slices, split_words
+from trafficlens.llm.scratch import keep
+from trafficlens.llm.words import ALNUM, Words, joined_words, run_hashes, slices, split_words
 
 WIDTH = 13
 #: Text bytes of a benchmark block
@@ -37,15 +39,16 @@ FOUND = "n_words long, n_hit long, items array<string>, hits array<struct<first:
 
 
 class Block(NamedTuple):
-    """Windows of some items, sorted by the hash of their prefix word."""
+    """Windows of some items, sorted by the hash of their prefix word; window k is text[begin[k]:end[k]]."""
 
-    words: np.ndarray
     prefix: np.ndarray
     place: np.ndarray
     size: np.ndarray
     run: np.ndarray
     item: np.ndarray
-    text: list[bytes]
+    begin: np.ndarray
+    end: np.ndarray
+    text: bytes
     ids: list[str]
 
 
@@ -54,24 +57,31 @@ def read_block(rows: list) -> tuple[Words, np.ndarray, list[str]]:
     return w, w.hashes(), [str(r["item_id"]) if r["item_id"] is not None else "null" for r in rows]
 
 
-def build_block(w: Words, h: np.ndarray, ids: list[str], count: dict[int, int], width: int) -> Block:
-    """Order each window's words by rarity and keep the rarest as its prefix."""
-    prefix, place, size, first, item = [], [], [], [], []
-    known = h.tolist()
-    for i in range(len(w.doc) - 1):
-        a, b = int(w.doc[i]), int(w.doc[i + 1])
-        n = min(width, b - a)
-        for s in range(a, b - n + 1) if n else ():
-            rank = min(range(n), key=lambda k: (count.get(known[s + k], 0), known[s + k], k))
-            prefix.append(known[s + rank])
-            place.append(rank)
-            size.append(n)
-            first.append(s)
-            item.append(i)
-    order = np.argsort(np.array(prefix, np.uint64), kind="stable")
-    first, size = np.array(first, np.int64)[order], np.array(size, np.int64)[order]
-    text = [b" ".join(w.data[w.start[k] : w.end[k]].tobytes() for k in range(f, f + n)) for f, n in zip(first.tolist(), size.tolist(), strict=True)]
-    return Block(np.unique(h), np.array(prefix, np.uint64)[order], np.array(place, np.int64)[order], size, run_hashes(h, first, first + size), np.array(item, np.int64)[order], text, ids)
+def _short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def build_block(w: Words, h: np.ndarray, ids: list[str], vocabulary: np.ndarray, count: np.ndarray, width: int) -> Block:
+    """Order each window's words by rarity and keep the rarest as its prefix; ``count`` goes with the sorted vocabulary."""
+    words = np.diff(w.doc)
+    many = np.where(words >= width, words - width + 1, np.minimum(words, 1))
+    item = np.repeat(np.arange(len(words)), many)
+    first = w.doc[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many)
+    size = np.minimum(width, words[item])
+    # rank of each word: rarer first, ties by hash; the place in a window breaks ties of equal words
+    order = np.lexsort((vocabulary, count))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    of_word = np.append(rank[np.searchsorted(vocabulary, h)], np.iinfo(np.int64).max)
+    place, least = np.zeros(len(first), np.int64), np.full(len(first), np.iinfo(np.int64).max)
+    for k in range(width):
+        now = of_word[np.where(k < size, first + k, len(h))]
+        place, least = np.where(now < least, k, place), np.minimum(now, least)
+    prefix = h[first + place]
+    order = np.argsort(prefix, kind="stable")
+    first, size, place = first[order], size[order], place[order].astype(np.int8)
+    text, begin, end = joined_words(w)
+    return Block(prefix[order], place, size.astype(np.int8), _short(run_hashes(h, first, first + size)), item[order].astype(np.int32), begin[first].astype(np.int32), end[first + size - 1].astype(np.int32), text.tobytes(), ids)
 
 
 def find(column: pa.Array, block: Block) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,17 +98,19 @@ def find(column: pa.Array, block: Block) -> tuple[Words, np.ndarray, np.ndarray,
     text = np.searchsorted(w.doc, word, "right") - 1
     inside = (first >= w.doc[text]) & (first + block.size[window] <= w.doc[text + 1])
     first, window = first[inside], window[inside]
-    same = run_hashes(h, first, first + block.size[window]) == block.run[window]
+    same = _short(run_hashes(h, first, first + block.size[window])) == block.run[window]
     first, window = first[same], window[same]
-    exact = np.array(
-        [b" ".join(w.data[w.start[k] : w.end[k]].tobytes() for k in range(f, f + n)) == block.text[x] for f, n, x in zip(first.tolist(), block.size[window].tolist(), window.tolist(), strict=True)], bool
-    )
+    text, begin, end = joined_words(w)
+    text = text.tobytes()
+    mine = zip(begin[first].tolist(), end[first + block.size[window] - 1].tolist(), strict=True)
+    theirs = zip(block.begin[window].tolist(), block.end[window].tolist(), strict=True)
+    exact = np.array([text[a:b] == block.text[c:d] for (a, b), (c, d) in zip(mine, theirs, strict=True)], bool)
     first, window = first[exact], window[exact]
-    return w, first, block.size[window], block.item[window]
+    return w, first, block.size[window].astype(np.int64), block.item[window]
 
 
-def _word_counts(documents: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """How often each word of a block occurs in all documents."""
+def _word_counts(documents: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each word of a block's sorted vocabulary occurs in all documents."""
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +123,34 @@ def _word_counts(documents: DataFrame, vocabulary: np.ndarray) -> dict[int, int]
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["word", "n"])
 
-    if not len(vocabulary):
-        return {}
-    rows = documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {int(vocabulary[r["word"]]): r["n"] for r in rows}
+    out = np.zeros(len(vocabulary), np.int64)
+    if len(vocabulary):
+        rows = documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+        at, n = (c.to_numpy() for c in rows.columns)
+        out[at] = n
+    return out
+
+
+def _judge(column: pa.Array, block: Block) -> dict[str, object]:
+    """n_words, n_hit, items and hits of each text against one block."""
+    w, first, size, item = find(column, block)
+    edge = np.zeros(len(w.start) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + size, -1)
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
+    rows = len(column)
+    texts = np.searchsorted(w.doc, first, "right") - 1
+    named: list[set[str]] = [set() for _ in range(rows)]
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    for t, f, n, i in zip(texts.tolist(), first.tolist(), size.tolist(), item.tolist(), strict=True):
+        named[t].add(block.ids[i])
+        runs[t].append((f - int(w.doc[t]), f - int(w.doc[t]) + n))
+    return {
+        "n_words": np.diff(w.doc),
+        "n_hit": hit[w.doc[1:]] - hit[w.doc[:-1]],
+        "items": pa.array([sorted(x) for x in named], pa.list_(pa.string())),
+        "hits": pa.array([[{"first": a, "last": b} for a, b in _merged(x)] for x in runs], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
+    }
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -123,41 +159,30 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     items = benchmark.select(F.col("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    out = documents
+    # hashes pass over nulls; a null text has no hits
+    keys = [F.xxhash64(F.lit(n), "text").alias(f"_k{n}") for n in (1, 2)]
+    hits = None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        w, h, ids = read_block(rows)
-        shared = sc.broadcast(build_block(w, h, ids, _word_counts(documents, np.unique(h)), width))
-
-        def start(shared=shared):
-            def make(b: pa.RecordBatch) -> dict[str, object]:
-                block, column = shared.value, b.column("text")
-                w, first, size, item = find(column, block)
-                edge = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(edge, first, 1)
-                np.add.at(edge, first + size, -1)
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
-                rows = len(column)
-                texts = np.searchsorted(w.doc, first, "right") - 1
-                named: list[set[str]] = [set() for _ in range(rows)]
-                runs: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
-                for t, f, n, i in zip(texts.tolist(), first.tolist(), size.tolist(), item.tolist(), strict=True):
-                    named[t].add(block.ids[i])
-                    runs[t].append((f - int(w.doc[t]), f - int(w.doc[t]) + n))
-                return {
-                    "n_words": np.diff(w.doc),
-                    "n_hit": hit[w.doc[1:]] - hit[w.doc[:-1]],
-                    "items": pa.array([sorted(x) for x in named], pa.list_(pa.string())),
-                    "hits": pa.array([[{"first": a, "last": b} for a, b in _merged(x)] for x in runs], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                }
-
-            return make
-
+        w, h, ids = read_block(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect())
+        vocabulary = np.unique(h)
+        shared = sc.broadcast(build_block(w, h, ids, vocabulary, _word_counts(documents, vocabulary), width))
         if blocks == 1:
-            return append(out, FOUND, start)
-        found = append(out.withColumns({"_items": "items", "_hits": "hits"} if k else {}), FOUND, start)
-        out = found if not k else _combined(found)
-    return out
+            return append(documents, FOUND, lambda: lambda b: _judge(b.column("text"), shared.value))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                found = _judge(b.column("text"), shared.value)
+                some = pa.array(np.flatnonzero(found["n_hit"]))
+                yield pa.RecordBatch.from_arrays([b.column("_k1").take(some), b.column("_k2").take(some), found["items"].take(some), found["hits"].take(some)], ["_k1", "_k2", "items", "hits"])
+
+        kinds = FOUND[FOUND.index("items") :]
+        mine = keep(documents.select("text", *keys).mapInArrow(run, f"_k1 long, _k2 long, {kinds}").groupBy("_k1", "_k2").agg(F.first("items").alias("items"), F.first("hits").alias("hits")), "hits")
+        hits = mine if hits is None else hits.unionByName(mine)
+    merged = hits.groupBy("_k1", "_k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _union(F.flatten(F.collect_list("hits"))).alias("hits"))
+    counted = append(documents, FOUND.split(",")[0], lambda: lambda b: {"n_words": np.diff(split_words(b.column("text"), ALNUM, lower=True).doc)}).drop("n_hit", "items", "hits")
+    rows = counted.select(F.struct("*").alias("_row"), *keys).join(keep(merged, "merged"), ["_k1", "_k2"], "left")
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return rows.select("_row.*", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), *(F.coalesce(c, F.array().cast(kind)).alias(c) for c, kind in (("items", "array<string>"), ("hits", "array<struct<first:bigint,last:bigint>>"))))
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,23 +195,17 @@ def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _combined(found: DataFrame) -> DataFrame:
-    """Fold the previous blocks' hits into this block's."""
-    runs = F.array_sort(F.concat("_hits", "hits"))
+def _union(hits: Column) -> Column:
+    """Word ranges of several blocks as ranges that don't touch."""
 
     def add(acc, r):
         last = F.try_element_at(acc, F.lit(-1))
         joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], r["last"]).alias("last"))))
-        return F.when((F.size(acc) > 0) & (r["first"] <= F.try_element_at(acc, F.lit(-1))["last"]), joined).otherwise(F.concat(acc, F.array(r)))
+        return F.when((F.size(acc) > 0) & (r["first"] <= last["last"]), joined).otherwise(F.concat(acc, F.array(r)))
 
-    empty = F.array().cast("array<struct<first:bigint,last:bigint>>")
-    merged = F.aggregate(runs, empty, add)
-    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
-    return (
-        found.withColumn("hits", merged).withColumn("n_hit", n_hit).withColumn("items", F.array_sort(F.array_distinct(F.concat("_items", "items")))).drop("_items", "_hits")
-    )
+    return F.aggregate(F.array_sort(hits), F.array().cast("array<struct<first:bigint,last:bigint>>"), add)
 
 
-def contaminated() -> F.Column:
+def contaminated() -> Column:
     """The rule: at least one word in twenty is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
