@@ -4,18 +4,24 @@ Token counts are gathered from all training texts. The model predicts the class
 next token from the classes of the two before it: the ``LISTED`` most frequent tokens,
 the text's end, and classes of all rarer tokens by their last ``SUFFIX`` bytes (the most
 frequent endings have a class each, the others share one). A class's score is bilinear in
-the context's and its own vectors, plus a bias that starts at the log frequency. Every task
-trains on all its texts in numpy, with noise drawn from the class frequencies, from the
-same start; parameters are averaged by tokens. Matrix products over all pairs of
+the context's and its own vectors, plus a bias that starts at the log frequency. Noise is
+drawn from the class frequencies. Matrix products over all pairs of
 context classes then give the exact normaliser, so token log-probabilities are
 normalised. Inside a class of rarer tokens a token has its add-one share of the class's counts.
 
+Training doesn't depend on how rows are dealt to tasks: texts become class sequences, which a hash
+of id and text deals to shards of about ``SHARD_TOKENS`` tokens and to ``ROUNDS`` rounds. In
+a round every shard trains, in numpy and in the order of the hash, from the parameters so
+far; they are averaged (in whole numbers, so the order of adding doesn't matter)
+and broadcast for the next round. Shards grow in number with the corpus, and all texts are trained on once.
+
 Frequent tokens' counts (at most ``FREQUENT``) are broadcast; a text's other tokens
 are joined with the count table, so counts are exact for every token and nothing that
 is broadcast or collected grows with the corpus.
 
 Cases: null and empty texts are one end token; a null doc_id learns like others and is not
-held out; repeated rows are scored one by one; with nothing to learn from, the base score
+held out; repeated rows are scored one by one, and learned from as one sequence with a count, whose
+copies are dealt to shards in pieces; with nothing to learn from, the base score
 is 0 and classes are equally likely; very long texts are read whole.
 """
 
@@ -30,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
-from trafficlens.llm.scratch import keep
+from trafficlens.llm.scratch import drop, keep
 from trafficlens.llm.words import NOT_SPACE, Words, mixed, slices, split_words, strings
 
 CLASSES, LISTED, WIDTH = 1024, 255, 16
@@ -41,6 +47,10 @@ SUFFIX, SLOT_BITS = 3, 12
 FREQUENT = 1 << 17
 #: Noise-contrastive training: noise samples and tokens of a step, Adagrad's rate
 NOISE, STEP, RATE = 128, 2048, 0.1
+#: Tokens of a training shard, rounds of averaging, and copies of a text that a piece holds
+SHARD_TOKENS, ROUNDS, PIECE = 4_000_000, 4, 256
+#: Parameters are averaged as whole numbers of this fraction
+UNIT = 1 << 24
 SEED = 5
 
 
@@ -177,13 +187,16 @@ class Bilinear:
         return [self.context, self.predicted, self.one, self.two, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.parts()])
+        """Parameters and what Adagrad divides by, which is all that a round hands on."""
+        return np.concatenate([x.ravel() for x in self.parts()] + [np.sqrt(x).ravel() for x in self.squares])
 
     def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in self.parts():
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
+        cut = np.cumsum([x.size for x in self.parts() + self.squares])[:-1]
+        values = np.split(flat, cut)
+        for x, v in zip(self.parts(), values[: len(values) // 2], strict=True):
+            x[...] = v.reshape(x.shape)
+        for x, v in zip(self.squares, values[len(values) // 2 :], strict=True):
+            x[...] = np.square(v).reshape(x.shape)
 
     def step(self, now: np.ndarray, one: np.ndarray, two: np.ndarray, rng: np.random.Generator) -> None:
         """One noise-contrastive step: each token against noise that the step's tokens share."""
@@ -225,32 +238,103 @@ def _add_rows(out: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
     out[ids[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def train(texts: DataFrame, counts: Counts) -> Bilinear:
-    """Average of the models that the tasks train, each on all its texts."""
+def sequences(texts: DataFrame, counts: Counts, shards: int) -> DataFrame:
+    """round, shard, k1, classes (two bytes for each token), copies: the training texts as class sequences."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        model, rng, seen = Bilinear(c.class_counts), np.random.default_rng(SEED), 0
         for b in slices(batches):
             w, h = _tokens(b.column("text"))
-            now, one, two = sequence(w, c.find(w, h)[0])
-            for k in range(0, len(now), STEP):
-                model.step(now[k : k + STEP], one[k : k + STEP], two[k : k + STEP], rng)
-            seen += len(now)
-        if seen:
-            flat = model.flat().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen))], ["i", "v", "n"])
+            now = sequence(w, c.find(w, h)[0])[0].astype(np.uint16)
+            offsets = 2 * np.concatenate([[0], np.cumsum(np.diff(w.doc) + 1)])
+            coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(now)])
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), coded.cast(pa.binary())], ["k1", "k2", "classes"])
+
+    # hashes pass over nulls, so a null is told by a flag
+    keys = [F.xxhash64(F.lit(n), F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))).alias(f"k{n}") for n in (1, 2)]
+    rows = texts.select("text", *keys).mapInArrow(run, "k1 long, k2 long, classes binary")
+    each = rows.groupBy("k1", "k2").agg(F.first("classes").alias("classes"), F.count("*").alias("n"))
+    pieces = each.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
+    place = F.xxhash64("k1", "k2", "first")
+    return pieces.select(
+        F.pmod(place, F.lit(ROUNDS)).cast("int").alias("round"),
+        F.pmod(F.shiftright(place, 8), F.lit(shards)).cast("int").alias("shard"),
+        place.alias("place"),
+        "classes",
+        F.least(F.lit(PIECE).cast("long"), F.col("n") - F.col("first")).alias("copies"),
+    )
+
 
+def train(texts: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Bilinear:
+    """Rounds in which all shards train from the same parameters, which are then averaged."""
+    sc = texts.sparkSession.sparkContext
+    shards = max(1, -(-counts.total // SHARD_TOKENS))
+    every = keep(sequences(texts, counts, shards), "sequences")
     model = Bilinear(counts.class_counts)
-    rows = texts.select("text").mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
-    if len(rows):
-        flat = model.flat().astype(np.float64)
-        flat[rows["i"].to_numpy()] = rows["v"].to_numpy()
-        model.load(flat)
+
+    for turn in range(rounds):
+        shared = sc.broadcast((counts.class_counts, model.flat()))
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            class_counts, flat = shared.value
+            part = _Shard(class_counts, flat, turn)
+            for b in batches:
+                for shard, classes, copies in zip(b.column("shard").to_pylist(), b.column("classes"), b.column("copies").to_pylist(), strict=True):
+                    if shard != part.shard:
+                        yield from part.close()
+                        part.open(shard)
+                    now = np.frombuffer(classes.as_buffer(), np.uint16).astype(np.int64)
+                    for _ in range(copies):
+                        part.add(now)
+            yield from part.close()
+
+        mine = every.where(F.col("round") % rounds == turn).select("shard", "place", "classes", "copies")
+        dealt = mine.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "place")
+        rows = dealt.mapInArrow(run, "i int, v long").groupBy("i").agg(F.sum("v").alias("v"), F.count("*").alias("n")).toArrow()
+        if rows.num_rows:
+            i, v, n = (c.to_numpy() for c in rows.columns)
+            flat = model.flat().astype(np.float64)
+            flat[i] = v / n / UNIT
+            model.load(flat)
+    drop(every)
     return model
 
 
+class _Shard:
+    """Training of one shard after the other: steps of STEP tokens, wherever batches and texts end."""
+
+    def __init__(self, class_counts: np.ndarray, flat: np.ndarray, turn: int) -> None:
+        self.class_counts, self.flat, self.turn, self.shard, self.held = class_counts, flat, turn, None, []
+        self.size = 0
+
+    def open(self, shard: int) -> None:
+        self.model, self.rng, self.shard = Bilinear(self.class_counts), np.random.default_rng([SEED, self.turn, shard]), shard
+        self.model.load(self.flat)
+
+    def add(self, now: np.ndarray) -> None:
+        one = np.concatenate([[END], now[:-1]])
+        two = np.concatenate([[END], one[:-1]])
+        self.held.append(np.stack([now, one, two]))
+        self.size += len(now)
+        if self.size >= STEP:
+            every = np.concatenate(self.held, axis=1)
+            whole = self.size // STEP * STEP
+            for k in range(0, whole, STEP):
+                self.model.step(*every[:, k : k + STEP], self.rng)
+            self.held, self.size = [every[:, whole:]], self.size - whole
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """Parameters of the open shard, if there is one."""
+        if self.shard is None:
+            return
+        if self.size:
+            self.model.step(*np.concatenate(self.held, axis=1), self.rng)
+        flat = self.model.flat().astype(np.float64)
+        self.shard, self.held, self.size = None, [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(np.round(flat * UNIT).astype(np.int64))], ["i", "v"])
+
+
 def score(documents: DataFrame, counts: DataFrame, known: Counts, model: Bilinear) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10) of each document row."""
     a1, a2, log_z = model.tables()
