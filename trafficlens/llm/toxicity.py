@@ -6,7 +6,8 @@ penalty leaves few weights that are not zero, so the model is a small broadcast.
 
 Labelled rows: at most ``max_labelled`` (by hash order of doc_id) are used, so the
 labels' broadcast, the training texts and the model are all bounded. They are dealt to
-shards of ``shard_rows``; each shard trains on its own and the weights are averaged.
+shards of about ``SHARD_ROWS`` rows and ``SHARD_BYTES`` of text, whichever gives more shards; each
+shard trains on its own, in hash order, and the weights are averaged by rows.
 Scoring is a map over all texts: no shuffle.
 
 Cases: null and wordless texts get the bias alone; null labels are not learned from;
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
+from trafficlens.llm.scratch import keep
 from trafficlens.llm.words import ALNUM, Words, mixed, slices, split_words
 
 BITS = 20
 #: Bytes of the stems
 STEMS = (4, 6, 8)
-MAX_LABELLED, SHARD_ROWS = 40_000, 10_000
+MAX_LABELLED, SHARD_ROWS, SHARD_BYTES = 40_000, 10_000, 64 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 0.1, 3
 THRESHOLD = 0.3
 
@@ -102,12 +104,14 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "toxic", usable:
     votes = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.lit(True) if usable is None else usable))
     votes = votes.groupBy("doc_id").agg(F.when(F.avg(label) >= 0.5, 1).otherwise(0).alias("label"))
     picked = votes.select("doc_id", "label", F.xxhash64("doc_id").alias("ord")).orderBy("ord", "doc_id").limit(max_labelled)
-    count = picked.count()
+    # kept, as documents are matched with it twice; two numbers a row, and rows are bounded
+    picked = keep(picked, "labelled")
+    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not count:
         return np.zeros(1 << BITS)
-    shards = -(-count // SHARD_ROWS)
-    rows = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    dealt = rows.select(F.pmod(F.col("ord"), F.lit(shards)).alias("shard"), "text", "label", "ord").repartition(shards, "shard")
+    shards = max(-(-count // SHARD_ROWS), -(-size // SHARD_BYTES))
+    dealt = rows.select(F.pmod(F.col("ord"), F.lit(shards)).alias("shard"), "text", "label", "ord").repartitionByRange(shards, "shard")
     trained = dealt.mapInArrow(_train, "shard long, n_rows long, feature long, weight double")
     sums = trained.groupBy("feature").agg(F.sum(F.col("weight") * F.col("n_rows")).alias("total"), F.sum("n_rows").alias("n_rows")).collect()
     out = np.zeros(1 << BITS)
