@@ -84,6 +84,49 @@ def test_ftrl_learns_sparse_weights():
     assert w[5] == w.max() > 1 and (w != 0).sum() < 60
 
 
+def test_training_equals_plain(spark, tricky):
+    """Per-coordinate FTRL in plain Python over dictionaries, on the same feature sets and order."""
+    labels = spark.createDataFrame([(r[0], r[0] % 2) for r in tricky_rows() if r[0] is not None], "doc_id long, toxic int").distinct()
+    learned = toxicity.learn(tricky, labels)
+    order = {r["doc_id"]: r["h"] for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rows_ = [r for r in tricky_rows() if r[0] is not None]
+    text, feature = toxicity.hashed_features(pa.array([r[1] for r in rows_], pa.string()))
+    examples = [(order[r[0]], r[0] % 2, [0, *feature[text == i].tolist()]) for i, r in enumerate(rows_)]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        if i and abs(z[i]) <= toxicity.L1:
+            return 0.0
+        shrunk = z[i] - math.copysign(toxicity.L1, z[i]) if i else z[i]
+        return -shrunk / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for _, label, at in sorted(examples, key=lambda x: (x[0], x[1], len(x[2]))):
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+    want = {i: weight(i) for i in list(z) if weight(i)}
+    got = {int(i): learned[i] for i in np.flatnonzero(learned)}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    scored = by_id(toxicity.score(tricky, learned))
+    for i, r in enumerate(rows_):
+        p = 1 / (1 + math.exp(-want.get(0, 0.0) - sum(want.get(k, 0.0) for k in feature[text == i].tolist())))
+        assert scored[r[0]]["score"] == pytest.approx(p) and scored[r[0]]["predicted"] == (p >= 0.3)
+
+
+def test_features_are_the_named_grams():
+    text = "One two, three FOUR"
+    w = ["one", "two", "three", "four"]
+    h = lambda t: int(W.split_words(pa.array([t]), W.ALNUM).hashes()[0])
+    shift = 64 - toxicity.BITS
+    mix = lambda x: int(W.mixed(np.array([x % 2**64], np.uint64))[0])
+    want = {h(t) >> shift for t in w} | {mix(h("thre") + 4) >> shift}
+    want |= {mix(h(w[i]) * 2 * gap + h(w[i]) + (h(w[i + gap]) >> 1)) >> shift for gap in (1, 2, 3) for i in range(4 - gap)}
+    assert set(toxicity.hashed_features(pa.array([text]))[1].tolist()) == {max(f, 1) for f in want}
+
+
 def test_toxicity_cases(spark, tricky, nothing):
     labels = spark.createDataFrame([(3, None), (None, 1), (999, 1)], "doc_id long, toxic int")
     assert not toxicity.learn(tricky, labels.where("doc_id is null")).any()
@@ -130,7 +173,74 @@ def test_media_columns(spark, tricky, nothing):
         payload = t.ljust(max(1, -(-len(t) // 192)) * 192)
         r = out[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    assert out[24]["media_sha256"] == out[27]["media_sha256"]
+    assert out[24]["media_sha256"] == out[27]["media_sha256"] and out[24]["feature"] == out[27]["feature"]
+    same_length = spark.createDataFrame([(1, "abc", None, None, 3), (2, "abd", None, None, 3)], SCHEMA)
+    pair = by_id(media.features(media.read_media(media.written(media.store_documents(same_length)))))
+    assert pair[1]["feature"] != pair[2]["feature"]
+
+
+def transport_stream(payload):
+    """The same stream, packet by packet, from the standard's bit fields."""
+
+    def bits(*fields):
+        value = int("1" + "".join(f"{v:0{n}b}" for v, n in fields), 2)
+        return value.to_bytes((value.bit_length() + 7) // 8, "big")[1:]
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for b in data:
+            for k in range(7, -1, -1):
+                c = (c << 1 ^ (0x04C11DB7 if (c >> 31 ^ b >> k) & 1 else 0)) & 0xFFFFFFFF
+        return c.to_bytes(4, "big")
+
+    def section(table, number, body):
+        head = bits((table, 8), (1, 1), (0, 1), (3, 2), (len(body) + 9, 12), (number, 16), (3, 2), (0, 5), (1, 1), (0, 8), (0, 8))
+        return head + body + crc(head + body)
+
+    pat = section(0, 1, bits((1, 16), (7, 3), (0x1000, 13)))
+    pmt = section(2, 1, bits((7, 3), (0x100, 13), (15, 4), (0, 12), (6, 8), (7, 3), (0x100, 13), (15, 4), (0, 12)))
+    out, counters = [], Counter()
+
+    def packet(pid, start, field, data):
+        out.append((bits((0x47, 8), (0, 1), (start, 1), (0, 1), (pid, 13), (0, 2), (field is not None, 1), (1, 1), (counters[pid] % 16, 4)) + (field or b"") + data))
+        counters[pid] += 1
+        assert len(out[-1]) == 188
+
+    for n in range(0, len(payload), 1920):
+        unit, number = payload[n : n + 1920], n // 1920
+        if number % 8 == 0:
+            for pid, x in ((0, pat), (0x1000, pmt)):
+                packet(pid, 1, None, b"\x00" + x + b"\xff" * (183 - len(x)))
+        pts = number * 3600
+        pes = b"\x00\x00\x01\xbd" + (len(unit) + 8).to_bytes(2, "big") + b"\x80\x80\x05" + bits((2, 4), (pts >> 30, 3), (1, 1), (pts >> 15 & 0x7FFF, 15), (1, 1), (pts & 0x7FFF, 15), (1, 1)) + unit
+        clock = bits((0, 1), (number % 8 == 0, 1), (0, 1), (1, 1), (0, 4), (pts, 33), (63, 6), (0, 9))
+        room = 184 - 1 - len(clock)
+        lead = pes[:room]
+        field = clock + b"\xff" * (room - len(lead))
+        packet(0x100, 1, bytes([len(field)]) + field, lead)
+        for k in range(room, len(pes), 184):
+            data = pes[k : k + 184]
+            short = 184 - len(data)
+            packet(0x100, 0, None if not short else bytes([short - 1]) + (b"\x00" + b"\xff" * (short - 2) if short > 1 else b""), data)
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("n", [0, 1, 192, 193, 1920, 1921, 15360, 15361, 40_000])
+def test_transport_stream_equals_plain(n):
+    payload = media.padded(random.Random(n).randbytes(n))
+    assert media.mux(payload) == transport_stream(payload)
+
+
+def test_media_groups():
+    payload = media.padded(random.Random(3).randbytes(40_000))
+    rows_ = media.group_rows(media.demux(media.mux(payload)))
+    assert [r["offset"] for r in rows_] == list(range(0, len(payload), 15360)) and sum(r["bytes"] for r in rows_) == len(payload)
+    for r in rows_:
+        part = payload[r["offset"] : r["offset"] + r["bytes"]]
+        assert (r["pts"], r["crc32"], r["byte_sum"], r["distinct"]) == (r["offset"] // 1920 * 3600, zlib.crc32(part), sum(part), len({*part}))
+
+
+def test_media_of_nothing(nothing):
     assert media.read_media(media.store_documents(nothing)).count() == 0
 
 

@@ -4,7 +4,9 @@
 before every random-access point, and the payload as timestamped elementary packets.
 ``read_media`` parses such streams: program association and map tables with their
 checksums, continuity counters, reassembled elementary packets, and an index of
-timestamps with random-access points. Both are maps over rows: no shuffle.
+timestamps with random-access points, each with a digest and statistics of the bytes up to the next
+one. Both are maps over rows: no shuffle. ``feature`` is made of the index and of what
+the bytes hold, all of it read back.
 
 Cases: a null text is stored as an empty one, an empty one as one padded unit; any
 length is handled one document at a time; rows are independent, so ties and repeated
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trafficlens.llm.scratch import keep
 from trafficlens.llm.words import slices
 
 PACKET = 188
@@ -204,13 +207,26 @@ def demux(media: bytes) -> Media:
     return Media(payload, programs, streams, len(p), errors, pts, offset, flags[at][opens[at]] & 0x40 > 0)
 
 
+GROUPS = pa.list_(pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("byte_sum", pa.int64()), ("distinct", pa.int32())]))
 STORED = "doc_id long, n_bytes long, media binary"
 INDEXED = (
     "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, "
-    "programs int, streams int, packets long, continuity_errors long, units array<struct<pts:long,offset:long,random_access:boolean>>"
+    "programs int, streams int, packets long, continuity_errors long, units array<struct<pts:long,offset:long,random_access:boolean>>, "
+    "groups array<struct<pts:long,offset:long,bytes:long,crc32:long,byte_sum:long,distinct:int>>"
 )
 
 
+def group_rows(m: Media) -> list[dict[str, int]]:
+    """One row for each random-access point: its timestamp and offset, and what its bytes up to the next one hold."""
+    at = np.flatnonzero(m.random_access)
+    begin, out = m.offset[at].tolist(), []
+    for pts, a, b in zip(m.pts[at].tolist(), begin, [*begin[1:], len(m.payload)], strict=True):
+        part = m.payload[a:b]
+        counts = np.bincount(np.frombuffer(part, np.uint8), minlength=256)
+        out.append({"pts": pts, "offset": a, "bytes": b - a, "crc32": zlib.crc32(part), "byte_sum": int(counts @ np.arange(256)), "distinct": int((counts > 0).sum())})
+    return out
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         texts = [(x or "").encode() for x in b.column("text").to_pylist()]
@@ -243,6 +259,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "packets": pa.array([m.packets for m in read], pa.int64()),
             "continuity_errors": pa.array([m.continuity_errors for m in read], pa.int64()),
             "units": units,
+            "groups": pa.array([group_rows(m) for m in read], GROUPS),
         }
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -252,13 +269,25 @@ def store_documents(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_store, STORED)
 
 
+def written(stored: DataFrame) -> DataFrame:
+    """The media table, written to the shared folder, as it is read back."""
+    return keep(stored, "media", compression="zstd")
+
+
 def read_media(stored: DataFrame) -> DataFrame:
     """Digests, table counts and the timestamp index, read back from the stored bytes."""
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_index, INDEXED)
 
 
 def features(indexed: DataFrame) -> DataFrame:
-    """Adds ``feature``: tables, packets, units, last timestamp and random-access points in one string."""
+    """Adds ``feature``: the stream's tables and index, and the mean byte, distinct bytes and digest of its random-access groups."""
     last = F.element_at("units", -1)["pts"]
-    points = F.size(F.filter("units", lambda u: u["random_access"]))
-    return indexed.withColumn("feature", F.format_string("programs=%d streams=%d packets=%d units=%d last_pts=%d random_access=%d", "programs", "streams", "packets", F.size("units"), last, points))
+    total = lambda field: F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + g[field])
+    digest = F.sha2(F.array_join(F.transform("groups", lambda g: F.concat_ws(":", g["pts"], g["offset"], g["crc32"])), ","), 256)
+    text = "programs=%d streams=%d packets=%d units=%d last_pts=%d random_access=%d mean_byte=%.4f distinct=%d index=%s"
+    return indexed.withColumn(
+        "feature",
+        F.format_string(
+            text, "programs", "streams", "packets", F.size("units"), last, F.size("groups"), total("byte_sum") / total("bytes"), F.array_max(F.transform("groups", lambda g: g["distinct"])), F.substring(digest, 1, 16)
+        ),
+    )

@@ -21,9 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store_documents(table(spark, sf_dir, "documents"))
+    stored = media.written(media.store_documents(table(spark, sf_dir, "documents")))
+    points = F.transform("groups", lambda g: F.struct(g["pts"], g["offset"])).alias("random_access_points")
     return media.features(media.read_media(stored)).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", points
     )
 
 
