@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,9 +105,10 @@ OUT, BACK = ("10.0.0.1", 5000, "10.0.0.2", 81), ("10.0.0.2", 81, "10.0.0.1", 500
 @pytest.mark.parametrize(
     ("events", "state", "history"),
     [
-        ([(0, OUT, {"syn"}), (10, BACK, {"rst", "ack"})], "REJ", "-"),
+        ([(0, OUT, {"syn"}), (10, OUT, {"rst"})], "REJ", "-"),
+        ([(0, OUT, {"syn"}), (10, BACK, {"rst", "ack"})], "OTH", "-"),  # an answer, and no reset of its own
         ([(0, OUT, {"syn"})], "S0", "S"),
-        ([(0, OUT, {"syn"}), (5_000_000, OUT, {"syn"})], "S0", "-"),
+        ([(0, OUT, {"syn"}), (3_000_000, OUT, {"syn"})], "S0", "-"),
         ([(0, OUT, {"syn"}), (10, BACK, {"syn", "ack"}), (20, OUT, {"ack", "fin"})], "SF", "-"),
         ([(0, OUT, {"syn"}), (10, BACK, {"syn", "ack"}), (20, OUT, {"rst"})], "RSTO", "-"),
         ([(0, OUT, {"syn"}), (10, BACK, {"syn", "ack"})], "OTH", "-"),
@@ -116,6 +119,58 @@ def test_connection_states(spark, events, state, history):
     assert (r["conn_state"], r["history"], r["src_ip"], r["dst_port"]) == (state, history, "10.0.0.1", "81")
 
 
+def plain_records(packets):
+    """Packet by packet: (key, first, last, own packets, responses, SYN, RST, FIN) of every record."""
+    open_, out = {}, []
+
+    def idle(c):
+        return 3_000_000 if c["syn"] and not c["resp"] else 30_000_000
+
+    def emit(key):
+        c = open_.pop(key)
+        out.append((key, c["first"], c["last"], c["orig"], c["resp"], c["syn"], c["rst"], c["fin"]))
+
+    for t, (src, sport, dst, dport), flags in packets:
+        for key in [k for k, c in open_.items() if t - c["last"] > idle(c)]:
+            emit(key)
+        key, peer = (src, dst, dport), (dst, src, sport)
+        reply = not ("syn" in flags and "ack" not in flags) and (sport < 1024 or sport in (1433, 3389, 8080, 8443)) and dport > 1024
+        if key in open_ or not reply:
+            c = open_.setdefault(key, {"first": t, "last": t, "orig": 0, "resp": 0, "syn": False, "rst": False, "fin": False})
+            c["last"], c["orig"] = t, c["orig"] + 1
+            c["syn"] |= "syn" in flags and not reply
+            c["rst"] |= "rst" in flags
+            c["fin"] |= "fin" in flags
+        if peer in open_:
+            open_[peer]["resp"] += 1
+        if key in open_ and flags & {"rst", "fin"}:
+            emit(key)
+    for key in list(open_):
+        emit(key)
+    return sorted(out)
+
+
+def random_packets(seed, n=600):
+    rng, t, out = random.Random(seed), 0, []
+    ends = [(a, p, b, q) for a, b in (("10.0.0.1", "10.0.0.2"), ("10.0.0.2", "10.0.0.3")) for p in (5000, 20) for q in (81, 443, 9001, 6000)]
+    for _ in range(n):
+        t += rng.choice([1, 400_000, 1_000_000, 2_900_000, 3_000_000, 3_100_000, 8_000_000, 29_000_000, 31_000_000]) // rng.choice([1, 1, 4])
+        a, p, b, q = rng.choice(ends)
+        way = (a, p, b, q) if rng.random() < 0.6 else (b, q, a, p)
+        out.append((t, way, set(rng.choice(["syn", "syn", "syn ack", "ack", "ack", "ack psh", "rst ack", "fin ack"]).split())))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_connections_equal_plain(spark, seed):
+    packets = random_packets(seed)
+    got = connections.tcp_records(packets_of(spark, *packets)).collect()
+    want = plain_records(packets)
+    assert sorted(((r["src_ip"], r["dst_ip"], int(r["dst_port"])), r["ts_us"], r["ts_us"] + round(r["duration"] * 1e6), r["orig_pkts"], r["resp_pkts"]) for r in got) == [w[:5] for w in want]
+    state = lambda resp, syn, rst, fin: ("REJ" if rst else "S0") if syn and not resp else "RSTO" if resp and rst else "SF" if resp and fin else "OTH"
+    assert sorted((r["src_ip"], r["dst_ip"], int(r["dst_port"]), r["ts_us"], r["conn_state"]) for r in got) == [(*w[0], w[1], state(*w[4:])) for w in want]
+
+
 def test_a_pause_splits_a_connection(spark):
     assert connections.tcp_records(packets_of(spark, (0, OUT, {"syn"}), (40_000_000, OUT, {"syn"}))).count() == 2
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR, rows
+from tests.test_detectors import packets_of, random_packets
 from trafficlens import views
 from trafficlens.operators import beacons, connections, flows, portscan, units
 from trafficlens.sources import synthetic
@@ -76,6 +77,29 @@ def test_connection_stream(spark, tmp_path):
     assert rows(got) == rows(batch)
 
 
+def test_connection_stream_equals_batch(spark, tmp_path):
+    made = packets_of(spark, *random_packets(9, 300))
+    end = made.agg(F.max("timestamp_us")).first()[0] + 100_000_000
+    late = packets_of(spark, (end, ("10.9.9.1", 1, "10.9.9.2", 2), {"syn"}))
+    stream = streamed(spark, tmp_path, made.unionByName(late), "timestamp_us", 3)
+    got, _ = collected(state.connection_records(stream), tmp_path, lambda b: b)
+    names = ["src_ip", "dst_ip", "dst_port", "conn_state", "orig_pkts", "resp_pkts", "history", "ts_us", "duration"]
+    assert rows(spark.createDataFrame(got).select(names).toPandas()) == rows(connections.tcp_records(made).select(names).toPandas())
+
+
+def test_flush_ends_unanswered_records(spark, tmp_path):
+    """At the boundary of 10 s: an unanswered record of over 1 s and an idle one end, a young and a busy one don't."""
+    out = lambda i: (f"10.0.0.{i}", 5000, "10.0.0.9", 81)
+    back = lambda i: ("10.0.0.9", 81, f"10.0.0.{i}", 5000)
+    events = [(8_000_000, out(1), {"syn"}), (9_500_000, out(2), {"syn"}), (5_000_000, out(3), {"syn"}), (5_100_000, back(3), {"syn", "ack"}), (9_000_000, out(4), {"syn"}), (9_100_000, back(4), {"ack"})]
+    events += [(11_000_000, out(i), {"ack"}) for i in (1, 2, 3, 4)]
+    made = packets_of(spark, *sorted(events, key=lambda e: e[0]), (500_000_000, ("10.9.9.1", 1, "10.9.9.2", 2), {"syn"}))
+    got, _ = collected(state.connection_records(streamed(spark, tmp_path, made, "timestamp_us", 2), flush_us=10_000_000), tmp_path, lambda b: b)
+    assert sorted((r["src_ip"][-1], r["ts_us"], r["orig_pkts"]) for r in got if r["src_ip"] < "10.0.0.5") == [
+        ("1", 8_000_000, 1.0), ("1", 11_000_000, 1.0), ("2", 9_500_000, 2.0), ("3", 5_000_000, 1.0), ("3", 11_000_000, 1.0), ("4", 9_000_000, 2.0)
+    ]
+
+
 def test_beacon_history_stream(spark, tmp_path):
     packets = synthetic.beacon(spark, 12, start_us=1_000_000)
     starts = beacons.qualified_starts(beacons.connection_starts(packets), beacons.endpoint_summary(flows.assembled(packets)))

@@ -238,7 +238,6 @@ ORACLE_SQL: dict[str, str] = {
     "alert_describe": sql("alerts_v", f"""select alert_id, case threat_class when 'DDoS' then 'Traffic flood aimed at '||dst_ip||' from '||src_ip||'.' when 'PortScan' then src_ip||' is scanning ports on '||dst_ip||'.' when 'DGA' then src_ip||' is looking up suspicious auto-generated domains.'
       when 'C2_BEACONING' then src_ip||' is beaconing to '||dst_ip||' at regular intervals.' when 'EncryptedMalware' then 'Suspicious encrypted traffic from '||src_ip||' to '||dst_ip||'.' else 'Large upload from '||src_ip||' to '||dst_ip||' — possible data theft.' end as sentence,
       case when s < 5 then 'just now' when s < 60 then s||' sec ago' when s < 3600 then s // 60||' min ago' else strftime(make_timestamp(ts_us), '%H:%M:%S') end as ago from (select *, greatest(({AS_OF_US} - ts_us) // 1000000, 0) as s from alerts_v)"""),
-    "alert_dedup_merge": sql("alerts_v", f"select {_ALERT} from alerts_v where seq % 3 <> 2 or seq % 2 = 0 order by ts_us desc, alert_id limit 5000"),
     "severity_bands": sql("alerts_v", """select alert_id, case threat_class when 'PortScan' then case when c >= 0.98 then 'CRITICAL' when c >= 0.90 then 'HIGH' when c >= 0.80 then 'MEDIUM' else 'LOW' end when 'DDoS' then case when c >= 0.97 then 'CRITICAL' when c >= 0.93 then 'HIGH' else 'MEDIUM' end
       when 'DataExfiltration' then case when c >= 0.99 then 'CRITICAL' when c >= 0.95 then 'HIGH' when c >= 0.90 then 'MEDIUM' else 'LOW' end when 'EncryptedMalware' then case when c >= 0.95 then 'CRITICAL' when c >= 0.85 then 'HIGH' when c >= 0.70 then 'MEDIUM' else 'LOW' end
       when 'C2_BEACONING' then case when c >= 0.95 then 'CRITICAL' when c >= 0.85 then 'HIGH' when c >= 0.75 then 'MEDIUM' else 'LOW' end else case when c >= 0.95 then 'CRITICAL' when c >= 0.90 then 'HIGH' when c >= 0.80 then 'MEDIUM' else 'LOW' end end as band from (select alert_id, threat_class, confidence as c from alerts_v)"""),
@@ -261,18 +260,30 @@ ORACLE_SQL["dga_safe_domain"] = sql(
     f"""select seq, domain, ({_any_suffix(D.LOCAL_SUFFIXES)} or starts_with(domain, '_') or contains(domain, '._tcp.') or contains(domain, '._udp.') or {_any_suffix(D.INFRASTRUCTURE_SUFFIXES)}
       or array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') in ({", ".join(f"'{x}'" for x in D.SAFE_NAMES)})) as is_safe from domains_v""",
 )
-ORACLE_SQL["conn_state_from_packets"] = sql(
-    "keyed",
-    """select ts_us, src_ip, dst_ip, cast(dst_port as varchar) as dst_port, conn_state, floor(duration * 1e6 + 0.5) / 1e6 as duration, orig_pkts, resp_pkts, case when conn_state = 'S0' and orig_pkts = 1 then 'S' else '-' end as history
-      from (select *, case when opened and not established then case when reset then 'REJ' else 'S0' end when established and reset then 'RSTO' when established and closed then 'SF' else 'OTH' end as conn_state from conns)
+# packet by packet: every step of the recursion takes the next packet of each key and its record so far
+ORACLE_SQL["conn_state_from_packets"] = "with recursive" + sql(
+    "packets_v",
+    """select first_us as ts_us, src_ip, dst_ip, cast(dst_port as varchar) as dst_port, conn_state, floor((last_us - first_us) / 1e6 * 1e6 + 0.5) / 1e6 as duration, cast(orig as double) as orig_pkts, cast(resp as double) as resp_pkts,
+      case when conn_state = 'S0' and orig = 1 then 'S' else '-' end as history
+      from (select *, case when opened and resp = 0 then case when reset then 'REJ' else 'S0' end when resp > 0 and reset then 'RSTO' when resp > 0 and closed then 'SF' else 'OTH' end as conn_state from final)
       union all select timestamp_us, src_ip, dst_ip, cast(dst_port as varchar), 'SF', 0.0, 1.0, 0.0, '-' from scanners where protocol = 17 and src_port not in (22,25,53,80,110,135,139,143,443,445,993,995,3389,8080,8443)""",
     (
-        ("scanners", "select * from keyed where not (src_ip like '%.255' or src_ip like '%.0' or src_ip like '224.%' or src_ip like '239.%' or src_ip like '127.%' or src_ip like '162.159.%' or src_ip like '104.16.%')"),
-        ("paused", "select *, timestamp_us - lag(timestamp_us) over (partition by flow_key order by timestamp_us, seq) as pause from scanners where protocol = 6"),
-        ("numbered", "select *, sum(case when pause is null or pause > 30000000 then 1 else 0 end) over (partition by flow_key order by timestamp_us, seq) as session from paused"),
-        ("sided", """select *, src_ip = o_src and src_port = o_sport as orig from (select *, first_value(src_ip) over w as o_src, first_value(src_port) over w as o_sport, first_value(dst_ip) over w as o_dst, first_value(dst_port) over w as o_dport
-          from numbered window w as (partition by flow_key, session order by timestamp_us, seq))"""),
-        ("conns", """select min(o_src) as src_ip, min(o_dst) as dst_ip, min(o_dport) as dst_port, min(timestamp_us) as ts_us, (max(timestamp_us) - min(timestamp_us)) / 1e6 as duration, cast(count(*) filter (orig) as double) as orig_pkts, cast(count(*) filter (not orig) as double) as resp_pkts,
-          bool_or(orig and syn) as opened, bool_or(not orig and not rst) as established, bool_or(rst) as reset, bool_or(fin) as closed from sided group by flow_key, session"""),
+        ("scanners", "select * from packets_v where not (src_ip like '%.255' or src_ip like '%.0' or src_ip like '224.%' or src_ip like '239.%' or src_ip like '127.%' or src_ip like '162.159.%' or src_ip like '104.16.%')"),
+        ("both_ways", """select src_ip, dst_ip, dst_port, true as own, timestamp_us, seq, syn, rst, fin,
+          not (syn and not ack) and (src_port in (22,25,53,80,110,135,139,143,443,445,993,995,3389,8080,8443) or src_port < 1024) and dst_port > 1024 as reply from scanners where protocol = 6
+          union all select dst_ip, src_ip, src_port, false, timestamp_us, seq, syn, rst, fin, false from scanners where protocol = 6"""),
+        ("lined", "select *, row_number() over (partition by src_ip, dst_ip, dst_port order by timestamp_us, seq, own desc) as n from both_ways"),
+        ("walk", """select src_ip, dst_ip, dst_port, cast(0 as bigint) as n, false as open, cast(0 as bigint) as first_us, cast(0 as bigint) as last_us, 0 as orig, 0 as resp, false as opened, false as reset, false as closed, 0 as rec
+          from (select distinct src_ip, dst_ip, dst_port from lined)
+          union all
+          select src_ip, dst_ip, dst_port, n, touched and not (own and (rst or fin)), case when creates then timestamp_us else first_us end, case when touched and own then timestamp_us else last_us end,
+            case when creates then 1 when alive and own then orig + 1 else orig end, case when creates then 0 when alive and not own then resp + 1 else resp end,
+            case when creates then syn when alive and own then opened or (syn and not reply) else opened end, case when creates then rst when alive and own then reset or rst else reset end,
+            case when creates then fin when alive and own then closed or fin else closed end, case when creates then rec + 1 else rec end
+          from (select *, alive or creates as touched from (select *, own and not alive and not reply as creates from (
+            select r.*, w.first_us, w.last_us, w.orig, w.resp, w.opened, w.reset, w.closed, w.rec, w.open and r.timestamp_us - w.last_us <= case when w.opened and w.resp = 0 then 3000000 else 30000000 end as alive
+            from walk w join lined r on r.src_ip = w.src_ip and r.dst_ip = w.dst_ip and r.dst_port = w.dst_port and r.n = w.n + 1)))"""),
+        ("final", "select * from walk where rec > 0 qualify row_number() over (partition by src_ip, dst_ip, dst_port, rec order by n desc) = 1"),
     ),
-)
+).removeprefix("with")
+ORACLE_SQL["alert_dedup_merge"] = sql("alerts_v", f"select {_ALERT} from alerts_v order by ts_us desc, alert_id limit 5000")

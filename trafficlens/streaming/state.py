@@ -13,94 +13,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from trafficlens.operators.beacons import HISTORY, not_a_scan_source
-from trafficlens.operators.flows import flow_key
-from trafficlens.schemas import TCP
+from trafficlens.operators.beacons import HISTORY
+from trafficlens.operators.connections import IDLE_US, KEY, SYN_IDLE_US, roles
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Idle times (ms of event time) after which an unanswered SYN and any other connection end
-SYN_IDLE_MS, IDLE_MS = 3_000, 30_000
 TTL_MS = 1_800_000
+#: At a flush: the least age of an unanswered record, and the idle time of any other
+FLUSH_AGE_US, FLUSH_IDLE_US = 1_000_000, 3_000_000
 
-_CONNECTION = "src_ip string, src_port int, dst_ip string, dst_port int, first_us long, last_us long, orig long, resp long, opened boolean, established boolean, reset boolean, closed boolean"
+_CONNECTION = "first_us long, last_us long, orig long, resp long, opened boolean, reset boolean, closed boolean"
 RECORD = "ts_us long, src_ip string, dst_ip string, dst_port string, conn_state string, duration double, orig_pkts double, resp_pkts double, history string"
 _NAMES = [f.split()[0] for f in _CONNECTION.split(", ")]
 
 
-def _record(c: dict) -> dict:
+def _record(key: tuple, c: dict) -> dict:
     """A finished connection as a record."""
-    if c["opened"] and not c["established"]:
+    if c["opened"] and not c["resp"]:
         state = "REJ" if c["reset"] else "S0"
-    elif c["established"] and c["reset"]:
+    elif c["resp"] and c["reset"]:
         state = "RSTO"
-    elif c["established"] and c["closed"]:
+    elif c["resp"] and c["closed"]:
         state = "SF"
     else:
         state = "OTH"
     return {
-        "ts_us": c["first_us"], "src_ip": c["src_ip"], "dst_ip": c["dst_ip"], "dst_port": str(c["dst_port"]), "conn_state": state,
-        "duration": max(0, c["last_us"] - c["first_us"]) / 1e6, "orig_pkts": float(c["orig"]), "resp_pkts": float(c["resp"]),
+        "ts_us": c["first_us"], "src_ip": key[0], "dst_ip": key[1], "dst_port": str(key[2]), "conn_state": state,
+        "duration": (c["last_us"] - c["first_us"]) / 1e6, "orig_pkts": float(c["orig"]), "resp_pkts": float(c["resp"]),
         "history": "S" if state == "S0" and c["orig"] == 1 else "-",
     }
 
 
 class ConnectionTracker(StatefulProcessor):
-    """One open connection per endpoint pair. It ends by a reset, by a FIN, or idle by an event-time timer."""
+    """The open record of each directed key, by the rules of ``operators.connections``; idle ones end by an event-time timer.
+
+    With ``flush_us``, multiples of it are window boundaries, at which unanswered records of some age and
+    idle ones end early, so that a scan without answers is counted in its window.
+    """
+
+    def __init__(self, flush_us: int | None = None) -> None:
+        self.flush_us = flush_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", _CONNECTION)
 
-    def _idle_ms(self, c: dict) -> int:
-        return SYN_IDLE_MS if c["opened"] and not c["established"] and not c["resp"] else IDLE_MS
-
-    def _finish(self, c: dict) -> pd.DataFrame:
+    def _over_us(self, c: dict) -> int:
+        """The first time at which the record is over if nothing else comes."""
+        idle = SYN_IDLE_US if c["opened"] and not c["resp"] else IDLE_US
+        over = c["last_us"] + idle + 1
+        if self.flush_us:
+            due = c["last_us"] + FLUSH_IDLE_US + 1
+            if not c["resp"]:
+                due = min(due, max(c["first_us"] + FLUSH_AGE_US, c["last_us"] + 1))
+            over = min(over, -(-due // self.flush_us) * self.flush_us)
+        return over
+
+    def _finish(self, key: tuple, c: dict) -> pd.DataFrame:
         self.open.clear()
+        self._set_timer(None)
+        return pd.DataFrame([_record(key, c)])
+
+    def _set_timer(self, at_us: int | None) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        return pd.DataFrame([_record(c)])
+        if at_us is not None:
+            self.handle.registerTimer(-(-at_us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         c = dict(zip(_NAMES, self.open.get(), strict=True)) if self.open.exists() else None
-        every = pd.concat(list(rows)).sort_values(["timestamp_us", "seq"])
+        every = pd.concat(list(rows)).sort_values(["timestamp_us", "seq", "own"], ascending=[True, True, False])
         for p in every.itertuples(index=False):
-            if c is not None and p.timestamp_us - c["last_us"] > 1000 * self._idle_ms(c):
-                yield self._finish(c)
+            now = int(p.timestamp_us)
+            if c is not None and now >= self._over_us(c):
+                yield self._finish(key, c)
                 c = None
+            if not p.own:
+                if c is not None:
+                    c["resp"] += 1
+                continue
             if c is None:
-                c = {
-                    "src_ip": p.src_ip, "src_port": int(p.src_port), "dst_ip": p.dst_ip, "dst_port": int(p.dst_port), "first_us": int(p.timestamp_us), "last_us": int(p.timestamp_us),
-                    "orig": 0, "resp": 0, "opened": False, "established": False, "reset": False, "closed": False,
-                }
-            mine = p.src_ip == c["src_ip"] and p.src_port == c["src_port"]
-            c["orig" if mine else "resp"] += 1
-            c["opened"] |= bool(mine and p.syn)
-            c["established"] |= bool(not mine and not p.rst)
+                if p.reply:
+                    continue
+                c = {"first_us": now, "last_us": now, "orig": 0, "resp": 0, "opened": False, "reset": False, "closed": False}
+            c["orig"] += 1
+            c["last_us"] = now
+            c["opened"] |= bool(p.syn and not p.reply)
             c["reset"] |= bool(p.rst)
             c["closed"] |= bool(p.fin)
-            c["last_us"] = max(c["last_us"], int(p.timestamp_us))
             if p.rst or p.fin:
-                yield self._finish(c)
+                yield self._finish(key, c)
                 c = None
         if c is not None:
             self.open.update(tuple(c[n] for n in _NAMES))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(c["last_us"] // 1000 + self._idle_ms(c) + 1)
+            self._set_timer(self._over_us(c))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            yield self._finish(dict(zip(_NAMES, self.open.get(), strict=True)))
+            yield self._finish(key, dict(zip(_NAMES, self.open.get(), strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def connection_records(packets: DataFrame, lateness_ms: int = 0) -> DataFrame:
+def connection_records(packets: DataFrame, lateness_ms: int = 0, flush_us: int | None = None) -> DataFrame:
     """A stream of TCP connection records from a stream of packets."""
-    rows = packets.where((F.col("protocol") == TCP) & not_a_scan_source())
-    timed = rows.withColumn("event_time", F.timestamp_micros("timestamp_us")).withWatermark("event_time", f"{lateness_ms} milliseconds").withColumn("flow_key", flow_key())
-    return timed.groupBy("flow_key").transformWithStateInPandas(ConnectionTracker(), outputStructType=RECORD, outputMode="append", timeMode="EventTime")
+    timed = roles(packets).withColumn("event_time", F.timestamp_micros("timestamp_us")).withWatermark("event_time", f"{lateness_ms} milliseconds")
+    return timed.groupBy(*KEY).transformWithStateInPandas(ConnectionTracker(flush_us), outputStructType=RECORD, outputMode="append", timeMode="EventTime")
 
 
 class BeaconHistory(StatefulProcessor):
