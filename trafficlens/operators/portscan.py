@@ -1,8 +1,9 @@
-"""Sliding windows of connection records per source, and the scan rule on them.
+"""Sliding windows of connection records per source, and the scan decision on them.
 
-Each record is dealt to its ceil(window / stride) windows of an epoch-aligned grid and
-shuffled once by (source, window); every count, entropy and gap is then computed inside
-those partitions. A busy source is spread over its windows.
+Records are shuffled once, by source and a bucket of neighbouring windows; only those near a
+bucket's start go to two. Gaps are taken in one pass over a bucket, and records are dealt to their
+overlapping windows of an epoch-aligned grid inside the partitions, where
+every count, entropy and gap is summed. A busy source is spread over its buckets.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from trafficlens.functions.numeric import or_zero, rounded, severity
 from trafficlens.schemas import FAILED_STATES
 
 KEY = ("src_ip", "start_us")
+#: Windows' lengths in a bucket
+SPAN = 16
+# The model's features in its order.
 FEATURES = (
     "unique_dst_ports", "unique_dst_hosts", "max_ports_to_single_host", "max_hosts_on_single_port", "ports_per_host", "dst_port_entropy", "fanout_ratio",
     "connection_attempts", "connections_per_sec", "failed_conn_ratio", "s0_ratio", "rej_ratio", "resp_ratio", "zero_resp_ratio", "avg_pkts_per_conn",
@@ -30,62 +34,96 @@ def dealt(flows: DataFrame, window_s: float, stride_s: float, ts: str = "ts_us",
     return out.where(F.col(ts) < F.col("start_us") + w)
 
 
+def dealt_in_buckets(flows: DataFrame, key: tuple[str, ...], window_s: float, stride_s: float, ts: str = "ts_us", origin_us: int = 0) -> DataFrame:
+    """As ``dealt``, shuffled by key and bucket before rows are multiplied; adds bucket and prev_us, the key's previous time."""
+    w, s = int(window_s * 1_000_000), int(stride_s * 1_000_000)
+    span = SPAN * -(-w // s) * s
+    last = F.floor((F.col(ts) - origin_us) / s) * s
+    first = last - (-(-w // s) - 1) * s
+    buckets = F.sequence(F.floor(first / span), F.floor(last / span))
+    rows = flows.withColumn("bucket", F.explode(buckets)).repartition(*key, "bucket")
+    rows = rows.withColumn("prev_us", F.lag(ts).over(Window.partitionBy(*key, "bucket").orderBy(ts)))
+    begin = F.col("bucket") * span
+    starts = F.sequence(F.greatest(first, begin).cast("long"), F.least(last, begin + (span - s)).cast("long"), F.lit(s).cast("long"))
+    out = rows.withColumn("start_us", F.explode(F.transform(starts, lambda x: x + origin_us)))
+    return out.where(F.col(ts) < F.col("start_us") + w)
+
+
 def window_features(flows: DataFrame, window_s: float = 30, stride_s: float = 10, min_flows: int = 5) -> DataFrame:
     """One row for each (source, window) of at least ``min_flows`` connections: 18 features, rsto_ratio, and evidence."""
-    return features(dealt(flows, window_s, stride_s), window_s, min_flows)
+    return features(dealt_in_buckets(flows, ("src_ip",), window_s, stride_s), window_s, min_flows)
+
+
+def _in_buckets(rows: DataFrame) -> DataFrame:
+    """Rows of windows with bucket and prev_us; those that weren't dealt in buckets are shuffled by window."""
+    if "bucket" in rows.columns:
+        return rows
+    rows = rows.repartition(*map(F.col, KEY)).withColumn("bucket", F.lit(0))
+    return rows.withColumn("prev_us", F.lag("ts_us").over(Window.partitionBy(*KEY).orderBy("ts_us")))
+
+
+def _summed(rows: DataFrame, sums: dict[str, Column], extremes: dict[str, Column]) -> DataFrame:
+    """Fan-out of each (source, window), and totals, in one chain of aggregates over one partitioning.
+
+    Rows become pairs of host and port with their sums, pairs become ports and hosts, and the
+    ports carry the sums on.
+    """
+    key = (*KEY, "bucket")
+    pairs = rows.groupBy(*key, "dst_ip", "dst_port").agg(F.count("*").alias("c"), *(F.sum(x).alias(n) for n, x in sums.items()), *(x.alias(n) for n, x in extremes.items()))
+    port = F.struct(F.lit(True).alias("is_port"), F.col("dst_port").alias("value"))
+    host = F.struct(F.lit(False).alias("is_port"), F.col("dst_ip").alias("value"))
+    sides = pairs.withColumn("side", F.explode(F.array(port, host))).withColumns({"is_port": F.col("side.is_port"), "value": F.col("side.value")})
+    once = lambda n: F.when(F.col("is_port"), F.col(n))
+    least_most = lambda n: (F.min if n.startswith("min") else F.max)(once(n)).alias(n)
+    each = sides.groupBy(*key, "is_port", "value").agg(F.sum("c").alias("c"), F.count("*").alias("others"), *(F.sum(once(n)).alias(n) for n in sums), *map(least_most, extremes))
+    c = once("c")
+    return each.groupBy(*key).agg(
+        F.count_if("is_port").alias("unique_dst_ports"),
+        F.max(once("others")).alias("max_hosts_on_single_port"),
+        rounded(F.abs(F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c))).alias("dst_port_entropy"),
+        F.count_if(~F.col("is_port")).alias("unique_dst_hosts"),
+        F.max(F.when(~F.col("is_port"), F.col("others"))).alias("max_ports_to_single_host"),
+        F.sum(c).alias("connection_attempts"),
+        *(F.sum(n).alias(n) for n in sums),
+        *map(least_most, extremes),
+    )
 
 
 def features(rows: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:
     """Features of connections that are already dealt to their windows."""
-    rows = rows.repartition(*map(F.col, KEY))
-    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*KEY).orderBy("ts_us"))
-
-    def share(condition: Column) -> Column:
-        return rounded(F.count_if(condition) / F.count("*"))
-
-    orig, resp = F.sum("orig_pkts"), F.sum("resp_pkts")
-    cv = F.when(F.avg("gap") > 0, F.stddev_pop("gap") / F.avg("gap"))
-    span = (F.max("ts_us") - F.min("ts_us")) / 1e6
-    n = F.count("*")
-    totals = (
-        rows.withColumn("gap", gap)
-        .groupBy(*KEY)
-        .agg(
-            n.alias("connection_attempts"),
-            F.count_if(F.col("conn_state").isin(*FAILED_STATES)).alias("failed_connections"),
-            rounded(n / window_s).alias("connections_per_sec"),
-            share(F.col("conn_state").isin(*FAILED_STATES)).alias("failed_conn_ratio"),
-            *(share(F.col("conn_state") == s).alias(f"{s.lower()}_ratio") for s in ("S0", "REJ", "RSTO")),
-            F.when(orig != 0, rounded(resp / orig)).otherwise(0.0).alias("resp_ratio"),
-            share(F.col("resp_pkts") == 0).alias("zero_resp_ratio"),
-            rounded((orig + resp) / n).alias("avg_pkts_per_conn"),
-            rounded(F.avg("duration")).alias("avg_duration"),
-            rounded(or_zero(cv)).alias("iat_cv"),
-            share(F.col("history") == "S").alias("syn_only_ratio"),
-            rounded(F.when(span > 0, n / span).otherwise(n / window_s), 4).alias("scan_rate"),
-        )
-        .where(F.col("connection_attempts") >= min_flows)
-    )
-    fan = fan_out(rows)
-    out = totals.join(fan, list(KEY))
-    attempts = F.col("connection_attempts")
-    return out.withColumns(
-        {"ports_per_host": rounded(F.col("unique_dst_ports") / F.col("unique_dst_hosts")), "fanout_ratio": rounded(F.col("unique_dst_ports") / attempts), "end_us": F.col("start_us") + int(window_s * 1_000_000)}
-    )
+    state = F.col("conn_state")
+    gap = F.when(F.col("prev_us") >= F.col("start_us"), F.col("ts_us") - F.col("prev_us"))
+    of = lambda condition: condition.cast("long")
+    sums = {
+        "failed_connections": of(state.isin(*FAILED_STATES)), **{f"{x.lower()}_n": of(state == x) for x in ("S0", "REJ", "RSTO")}, "zero_n": of(F.col("resp_pkts") == 0), "lone_n": of(F.col("history") == "S"),
+        "orig": F.col("orig_pkts"), "resp": F.col("resp_pkts"), "dur": F.col("duration"), "gaps": of(gap.isNotNull()), "gap_sum": F.coalesce(gap, F.lit(0)), "gap_squares": F.coalesce(gap * gap, F.lit(0)),
+    }
+    total = _summed(_in_buckets(rows), sums, {"min_us": F.min("ts_us"), "max_us": F.max("ts_us")}).where(F.col("connection_attempts") >= min_flows)
+    n = F.col("connection_attempts")
+    span = (F.col("max_us") - F.col("min_us")) / 1e6
+    mean = F.col("gap_sum") / F.col("gaps")
+    cv = F.when(mean > 0, F.sqrt(F.greatest(F.col("gap_squares") / F.col("gaps") - mean * mean, F.lit(0.0))) / mean)
+    made = {
+        "connections_per_sec": rounded(n / window_s),
+        "failed_conn_ratio": rounded(F.col("failed_connections") / n),
+        **{f"{x}_ratio": rounded(F.col(f"{x}_n") / n) for x in ("s0", "rej", "rsto")},
+        "resp_ratio": F.when(F.col("orig") != 0, rounded(F.col("resp") / F.col("orig"))).otherwise(0.0),
+        "zero_resp_ratio": rounded(F.col("zero_n") / n),
+        "avg_pkts_per_conn": rounded((F.col("orig") + F.col("resp")) / n),
+        "avg_duration": rounded(F.col("dur") / n),
+        "iat_cv": rounded(or_zero(cv)),
+        "syn_only_ratio": rounded(F.col("lone_n") / n),
+        "scan_rate": rounded(F.when(span > 0, n / span).otherwise(n / window_s), 4),
+        "ports_per_host": rounded(F.col("unique_dst_ports") / F.col("unique_dst_hosts")),
+        "fanout_ratio": rounded(F.col("unique_dst_ports") / n),
+        "end_us": F.col("start_us") + int(window_s * 1_000_000),
+    }
+    return total.withColumns(made).drop("bucket", "min_us", "max_us", *(x for x in sums if x != "failed_connections"))
 
 
 def fan_out(rows: DataFrame) -> DataFrame:
     """Distinct ports and hosts, their maxima against each other, and port entropy per (source, window)."""
-    pairs = rows.groupBy(*KEY, "dst_ip", "dst_port").agg(F.count("*").alias("c"))
-    by_port = pairs.groupBy(*KEY, "dst_port").agg(F.sum("c").alias("c"), F.count("*").alias("hosts"))
-    ports = by_port.groupBy(*KEY).agg(
-        F.count("*").alias("unique_dst_ports"),
-        F.max("hosts").alias("max_hosts_on_single_port"),
-        rounded(F.abs(F.log2(F.sum("c")) - F.sum(F.col("c") * F.log2("c")) / F.sum("c"))).alias("dst_port_entropy"),
-    )
-    by_host = pairs.groupBy(*KEY, "dst_ip").agg(F.count("*").alias("ports"))
-    hosts = by_host.groupBy(*KEY).agg(F.count("*").alias("unique_dst_hosts"), F.max("ports").alias("max_ports_to_single_host"))
-    return ports.join(hosts, list(KEY))
+    return _summed(_in_buckets(rows), {}, {}).drop("bucket", "connection_attempts")
 
 
 def rule_score() -> Column:

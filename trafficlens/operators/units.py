@@ -3,6 +3,9 @@
 A unit is the flows of one host to one endpoint (host, port, protocol) in a window.
 Windows are tumbling, or slide on a grid anchored at an origin. Fan-in and fan-out are
 counted inside the same window only. Missing values are null, never NaN.
+
+Flows are shuffled once by unit and bucket of windows (see ``portscan``). Fan-in and fan-out
+come from pairs that are counted in panes of one stride before they are dealt to windows.
 """
 
 from __future__ import annotations
@@ -11,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trafficlens.functions.numeric import rounded
-from trafficlens.operators.portscan import dealt
+from trafficlens.operators.portscan import dealt, dealt_in_buckets
 
 UNIT = ("start_us", "orig_h", "resp_h", "resp_p", "proto")
+# The models' features in their order.
 BASE = ("endpoint_host_fanin", "n_flows", "dst_recurrence", "host_endpoint_fanout", "iat_mean", "iat_cov", "mean_pkts")
 EXTENDED = (*BASE, "iat_madn", "dur_mean", "dur_cov", "pkts_cov", "bytes_mean", "host_flow_share")
 NO_PORT, SUBBINS = -1, 10
@@ -60,38 +64,58 @@ def unit_features(flows: DataFrame, window_s: int, stride_s: int | None = None,
     ``stride_s`` None: tumbling from the epoch. Otherwise sliding from ``origin``, and no
     window starts before it.
     """
-    rows = dealt(flows, window_s, stride_s or window_s, origin_us=origin or 0)
+    stride, at = stride_s or window_s, origin or 0
+    rows = dealt_in_buckets(flows, UNIT[1:], window_s, stride, origin_us=at)
+    pairs = _pairs(flows, window_s, stride, at)
     if origin is not None:
-        rows = rows.where(F.col("start_us") >= origin)
-    return features_of(rows, window_s, uids)
+        rows, pairs = rows.where(F.col("start_us") >= origin), pairs.where(F.col("start_us") >= origin)
+    return _joined(rows, pairs, window_s, uids)
 
 
-def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame:
-    """Unit features of flows that are already dealt to their windows.
+def _pairs(flows: DataFrame, window_s: int, stride_s: int, origin: int) -> DataFrame:
+    """Flows of each unit of each window; where windows are whole strides, counted stride by stride first."""
+    if window_s % stride_s:
+        return dealt(flows, window_s, stride_s, origin_us=origin).groupBy(*UNIT).agg(F.count("*").alias("n_flows"))
+    pane = F.floor((F.col("ts_us") - origin) / (stride_s * 1_000_000)) * (stride_s * 1_000_000) + origin
+    panes = flows.groupBy(pane.alias("pane_us"), *UNIT[1:]).agg(F.count("*").alias("n"))
+    return dealt(panes, window_s, stride_s, "pane_us", origin).groupBy(*UNIT).agg(F.sum("n").alias("n_flows"))
 
-    Fan-in and fan-out come from the units' keys alone, combined before they are shuffled, so a
-    host or endpoint of many units is no task's whole input and gaps are computed once.
-    """
+
+def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame:
+    """Unit features of flows that are already dealt to their windows."""
     pairs = rows.groupBy(*UNIT).agg(F.count("*").alias("n_flows"))
-    in_unit = Window.partitionBy(*UNIT)
-    gap = F.col("ts_us") - F.lag("ts_us").over(in_unit.orderBy("ts_us"))
+    last = F.lag("ts_us").over(Window.partitionBy(*UNIT).orderBy("ts_us"))
+    return _joined(rows.withColumns({"prev_us": last, "bucket": F.lit(0)}), pairs, window_s, uids)
+
+
+def _median(values: Column) -> Column:
+    """Of a sorted array; null if it is empty."""
+    n = F.size(values)
+    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
+
+
+def _joined(rows: DataFrame, pairs: DataFrame, window_s: int, uids: bool) -> DataFrame:
+    """Fan-in and fan-out come from the units' keys alone, so a host or endpoint of many units is no task's whole input."""
+    gap = F.when(F.col("prev_us") >= F.col("start_us"), F.col("ts_us") - F.col("prev_us"))
     width = window_s * 1_000_000 / SUBBINS
     rows = rows.withColumn("gap", gap).withColumn("bin", F.least(F.greatest(F.floor((F.col("ts_us") - F.col("start_us")) / width), F.lit(0)), F.lit(SUBBINS - 1)))
-    rows = rows.withColumn("gap_median", F.median("gap").over(in_unit))
     gaps = F.count("gap")
-    units = rows.groupBy(*UNIT).agg(
+    units = rows.groupBy(*UNIT, "bucket").agg(
         F.count("*").alias("n_flows"),
         (F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bin").cast("int")))) / SUBBINS).alias("dst_recurrence"),
         (F.avg("gap") / 1e6).alias("iat_mean"),
         F.when((gaps >= 2) & (F.avg("gap") > 0), F.stddev_pop("gap") / F.avg("gap")).alias("iat_cov"),
         F.avg("pkts").alias("mean_pkts"),
-        F.when((gaps >= 2) & (F.first("gap_median") > 0), F.median(F.abs(F.col("gap") - F.col("gap_median"))) / F.first("gap_median")).alias("iat_madn"),
+        F.sort_array(F.collect_list("gap")).alias("gap_list"),
         F.avg("dur").alias("dur_mean"),
         _cov("dur").alias("dur_cov"),
         _cov("pkts").alias("pkts_cov"),
         F.avg("bytes").alias("bytes_mean"),
         *([F.sort_array(F.collect_list("uid")).alias("flow_id")] if uids else []),
     )
+    middle = F.col("gap_median")
+    spread = _median(F.sort_array(F.transform("gap_list", lambda g: F.abs(g - middle))))
+    units = units.withColumn("gap_median", _median(F.col("gap_list"))).withColumn("iat_madn", F.when((F.size("gap_list") >= 2) & (middle > 0), spread / middle))
     fanin = pairs.groupBy("start_us", "resp_h", "resp_p", "proto").agg(F.count("*").alias("endpoint_host_fanin"))
     fanout = pairs.groupBy("start_us", "orig_h").agg(F.count("*").alias("host_endpoint_fanout"), F.sum("n_flows").alias("host_flows"))
     out = units.join(fanin, ["start_us", "resp_h", "resp_p", "proto"]).join(fanout, ["start_us", "orig_h"])
