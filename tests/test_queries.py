@@ -24,3 +24,21 @@ def test_model_scores_cover_all_flows(spark, duck):
 def test_query_equals_sql(spark, duck, name):
     got, want = QUERIES[name](spark, SF_DIR).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize(
+    ("name", "hit"),
+    [("attack_floods", "is_flood"), ("attack_floods", "scan_shaped"), ("attack_sessions", "is_encrypted_malware"), ("attack_uploads", "is_exfiltration"), ("attack_beacons", "is_beacon"), ("dga_safe_names", "is_safe")],
+)
+def test_rules_fire_and_abstain(duck, name, hit):
+    """Each rule has both outcomes on its view, each in at least one row of twenty."""
+    n, hits = duck.sql(f"select count(*), count(*) filter ({hit}) from ({ORACLE_SQL[name]})").fetchall()[0]
+    assert 0.05 * n <= hits <= 0.95 * n
+
+
+def test_claims_suppress_starts(duck):
+    claimed = duck.sql(f"select kind, count(*) from ({ORACLE_SQL['attack_claims']}) group by 1").fetchall()
+    assert {k for k, n in claimed if n} == {"dst", "src"}
+    kept = duck.sql(f"select count(*) from ({ORACLE_SQL['attack_unclaimed_starts']})").fetchall()[0][0]
+    every = duck.sql("select count(*) from events where event_id % 500 >= 430 and (event_id % 500 - 430) % 21 % 3 = 0").fetchall()[0][0]
+    assert 0 < kept < every

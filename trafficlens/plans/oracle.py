@@ -98,8 +98,8 @@ def qs(names: str) -> str:
     return ", ".join(f"{q(n.strip())} as {n.strip()}" for n in names.split(","))
 
 
-def sql(needs: str, body: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
-    """A query over the named common table expressions and what they need."""
+def sql(needs: str, body: str, extra: tuple[tuple[str, str], ...] = (), view: dict[str, str] | None = None) -> str:
+    """A query over the named common table expressions and what they need; ``view`` has other text for some."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -110,7 +110,7 @@ def sql(needs: str, body: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
 
     for name in needs.split():
         add(name)
-    parts = [f"{n} as ({CTE[n][1]})" for n in order] + [f"{n} as ({b})" for n, b in extra]
+    parts = [f"{n} as ({(view or {}).get(n, CTE[n][1])})" for n in order] + [f"{n} as ({b})" for n, b in extra]
     return f"with {', '.join(parts)} {body}" if parts else body
 
 
@@ -260,8 +260,43 @@ ORACLE_SQL["dga_safe_domain"] = sql(
     f"""select seq, domain, ({_any_suffix(D.LOCAL_SUFFIXES)} or starts_with(domain, '_') or contains(domain, '._tcp.') or contains(domain, '._udp.') or {_any_suffix(D.INFRASTRUCTURE_SUFFIXES)}
       or array_to_string(list_slice(string_split(domain, '.'), -2, -1), '.') in ({", ".join(f"'{x}'" for x in D.SAFE_NAMES)})) as is_safe from domains_v""",
 )
+# The attack view: made apart from the DataFrame code, as a union of its five kinds.
+_ATTACKS = """with e as (select event_id as seq, event_id // 500 as b, cast(event_id % 500 as int) as j, event_id // 500 % 2 = 0 as over_limit, 1704067200000000 + event_id // 500 * 10000000 as w, cast(event_id // 500 % 250 as varchar) as n, cast(event_id // 500 % 250 + 1 as varchar) as n1 from events),
+  t as (
+    select seq, w + j * case when b % 4 = 0 then 200 else 20000 end as timestamp_us, false as back, '10.8.'||(j % 40)||'.7' as cli, '10.9.'||n||'.9' as srv, 20000 + j % case when over_limit then 210 else 100 end as cp, 80 as sp, 60 as packet_len, true as syn, false as ack, false as psh from e where j < 210
+    union all select seq, w + j * 10000, false, '10.7.'||n||'.7', '10.9.'||n||'.8', 40000 + j, 20 + j % case when over_limit then 40 else 10 end, 60, true, false, false from e where j between 210 and 249
+    union all select seq, w + (j - 250) // 5 * 500000 + j % 5 * 10000, j % 5 = 4, '10.3.3.'||n1, '203.0.113.'||n1, 42000 + (j - 250) // 5, 4444, case when over_limit then 220 else 100 end, false, true, true from e where j between 250 and 309
+    union all select seq, w + (j - 310) * 10000, j % 60 = 59, '10.1.1.'||n1, '198.51.100.9', 50000, 8444, case when j % 60 = 59 then 60 when over_limit then 1400 else 400 end, false, true, true from e where j between 310 and 429
+    union all select seq, w + case when over_limit then c * 1300000 else c * c * 190000 end + k * 1000, k = 1, '10.2.'||n||'.'||(who + 1), case when who = 1 then '203.0.113.'||n1 else '198.51.100.66' end, 41000 + i // 3, 9001, 90, k < 2, k > 0, k = 2
+      from (select *, i // 21 as who, i % 21 // 3 as c, i % 21 % 3 as k from (select *, j - 430 as i from e where j >= 430)))
+  select seq, timestamp_us, case when back then srv else cli end as src_ip, case when back then cli else srv end as dst_ip, case when back then sp else cp end as src_port, case when back then cp else sp end as dst_port,
+    6 as protocol, packet_len, syn, ack, false as rst, false as fin, psh from t"""
+_OVER = {"packets_v": _ATTACKS}
+_UNCLAIMED = """select s.window_us, s.src_ip, s.dst_ip, s.dst_port, s.timestamp_us, s.seq, cast(case when e.flows is not null then floor(e.bytes / n) else 40 end as bigint) as bytes
+      from (select *, count(*) over (partition by window_us, src_ip, dst_ip, dst_port) as n from starts) s left join endpoints e using (window_us, src_ip, dst_ip, dst_port)
+      where not coalesce(e.packets / e.flows > 60 or (e.established = 0 and e.data_bytes = 0), false)
+      and not exists (select 1 from claimed c where c.window_us = s.window_us and ((kind = 'dst' and ip = s.dst_ip) or (kind = 'src' and ip = s.src_ip)))"""
+ORACLE_SQL |= {
+    "attack_floods": sql("floods", f"select window_us, dst_ip, src_ip, scan_shaped, is_flood, {q('confidence')} as confidence, case when is_flood then case when confidence >= 0.97 then 'CRITICAL' when confidence >= 0.93 then 'HIGH' else 'MEDIUM' end end as severity from floods", view=_OVER),
+    "attack_sessions": sql("sessions", f"select window_us, src_ip, dst_ip, dst_port, sessions, bytes, fwd_bytes, psh, packets, {q('bytes / sessions')} as bytes_per_session, {q('psh / sessions')} as psh_per_session, is_encrypted_malware from sessions", view=_OVER),
+    "attack_uploads": sql("flows", f"""select window_us, flow_key, fwd_bytes, bwd_bytes, {q('up')} as up_down_ratio, confidence, confidence >= 0.98997 as is_exfiltration, case when confidence >= 0.99 then 'CRITICAL' when confidence >= 0.95 then 'HIGH' when confidence >= 0.90 then 'MEDIUM' else 'LOW' end as severity from (
+      select *, case when fwd_bytes > 500000 and up > 5 then 0.995 when fwd_bytes > 100000 and up > 10 then 0.992 else 0.0 end::double as confidence from (select *, fwd_bytes / greatest(bwd_bytes, 1) as up from flows where protocol = 6 and total_packets >= 3 and fwd_bytes >= 1000))""", view=_OVER),
+    "attack_claims": sql("claimed", "select * from claimed", view=_OVER),
+    "attack_unclaimed_starts": sql("starts endpoints claimed", _UNCLAIMED, view=_OVER),
+    "attack_beacons": sql("starts endpoints claimed", f"""select src_ip, dst_ip, dst_port, beacon_count, n_gaps, {q('mean_interval')} as mean_interval, {q('cv')} as cv, {q('confidence')} as confidence, total_bytes,
+      coalesce(beacon_count >= 5 and span <= 3600 and n_gaps >= 4 and mean_interval >= 1 and total_bytes >= 200 and cv <= 0.5 and confidence >= 0.7, false) as is_beacon
+      from (select *, interval_std / mean_interval as cv, least(0.70 + 0.29 * (0.6 * (1 - least((interval_std / mean_interval) / 0.5, 1.0)) + 0.4 * least(n_gaps / 20.0, 1.0)), 0.99) as confidence from paced)""", (
+        ("kept", f"select *, sum(bytes) over (partition by src_ip, dst_ip, dst_port) as total, row_number() over (partition by src_ip, dst_ip, dst_port order by timestamp_us desc, seq desc) as rank, timestamp_us / 1e6 as ts from ({_UNCLAIMED})"),
+        ("gapped", "select *, ts - lag(ts) over (partition by src_ip, dst_ip, dst_port order by ts, seq) as gap from kept where rank <= 256"),
+        ("paced", """select src_ip, dst_ip, dst_port, count(*) as beacon_count, max(ts) - min(ts) as span, count(gap) filter (gap between 1 and 900) as n_gaps, avg(gap) filter (gap between 1 and 900) as mean_interval,
+          stddev_pop(gap) filter (gap between 1 and 900) as interval_std, cast(min(total) as bigint) as total_bytes from gapped group by 1, 2, 3"""),
+    ), _OVER),
+    "dga_safe_names": """select page_id as seq, case page_id % 5 when 0 then 'host'||page_id||'.lan' when 1 then '_svc'||page_id||'._tcp.example.org' when 2 then 'api'||page_id||'.zoom.us' when 3 then 'e'||page_id||'.akamaiedge.net' else 'x'||page_id||'notzoom.us' end as domain,
+      page_id % 5 < 4 as is_safe from pages""",
+}
 # packet by packet: every step of the recursion takes the next packet of each key and its record so far
-ORACLE_SQL["conn_state_from_packets"] = "with recursive" + sql(
+def _connections(view: dict[str, str] | None = None) -> str:
+    return "with recursive" + sql(
     "packets_v",
     """select first_us as ts_us, src_ip, dst_ip, cast(dst_port as varchar) as dst_port, conn_state, floor((last_us - first_us) / 1e6 * 1e6 + 0.5) / 1e6 as duration, cast(orig as double) as orig_pkts, cast(resp as double) as resp_pkts,
       case when conn_state = 'S0' and orig = 1 then 'S' else '-' end as history
@@ -285,5 +320,10 @@ ORACLE_SQL["conn_state_from_packets"] = "with recursive" + sql(
             from walk w join lined r on r.src_ip = w.src_ip and r.dst_ip = w.dst_ip and r.dst_port = w.dst_port and r.n = w.n + 1)))"""),
         ("final", "select * from walk where rec > 0 qualify row_number() over (partition by src_ip, dst_ip, dst_port, rec order by n desc) = 1"),
     ),
-).removeprefix("with")
+    view,
+    ).removeprefix("with")
+
+
+ORACLE_SQL["conn_state_from_packets"] = _connections()
+ORACLE_SQL["attack_connections"] = _connections(_OVER)
 ORACLE_SQL["alert_dedup_merge"] = sql("alerts_v", f"select {_ALERT} from alerts_v order by ts_us desc, alert_id limit 5000")

@@ -137,6 +137,59 @@ def c2_after_suppression(spark: SparkSession, d: str) -> DataFrame:
     return detect.unclaimed(kept, _claimed(flow_rows)).select("window_us", *beacons.ENDPOINT, "timestamp_us", "seq", "bytes")
 
 
+def _attack_flows(spark: SparkSession, d: str) -> DataFrame:
+    return flows.assembled(views.attacks(spark, d))
+
+
+@query
+def attack_floods(spark: SparkSession, d: str) -> DataFrame:
+    decided = detect.flood_decisions(detect.destination_load(_attack_flows(spark, d)))
+    return _rounded_doubles(decided.select("window_us", "dst_ip", "src_ip", "scan_shaped", "is_flood", "confidence", "severity"))
+
+
+@query
+def attack_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_doubles(detect.encrypted_sessions(_attack_flows(spark, d)).drop("fwd_bytes_per_session"))
+
+
+@query
+def attack_uploads(spark: SparkSession, d: str) -> DataFrame:
+    decided = detect.exfiltration_decisions(_attack_flows(spark, d))
+    return decided.select(*flows.KEY, "fwd_bytes", "bwd_bytes", rounded(F.col("up_down_ratio")).alias("up_down_ratio"), "confidence", "is_exfiltration", "severity")
+
+
+@query
+def attack_claims(spark: SparkSession, d: str) -> DataFrame:
+    return _claimed(_attack_flows(spark, d))
+
+
+def _unclaimed_starts(spark: SparkSession, d: str) -> DataFrame:
+    flow_rows = _attack_flows(spark, d)
+    kept = beacons.qualified_starts(beacons.connection_starts(views.attacks(spark, d)), beacons.endpoint_summary(flow_rows))
+    return detect.unclaimed(kept, _claimed(flow_rows)).select("window_us", *beacons.ENDPOINT, "timestamp_us", "seq", "bytes")
+
+
+@query
+def attack_unclaimed_starts(spark: SparkSession, d: str) -> DataFrame:
+    return _unclaimed_starts(spark, d)
+
+
+@query
+def attack_beacons(spark: SparkSession, d: str) -> DataFrame:
+    events = _unclaimed_starts(spark, d).withColumn("ts", F.col("timestamp_us") / 1e6)
+    return _rounded_doubles(beacons.beacon_scores(events).select(*beacons.ENDPOINT, "beacon_count", "n_gaps", "mean_interval", "cv", "confidence", "total_bytes", "is_beacon"))
+
+
+@query
+def attack_connections(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_doubles(connections.records(views.attacks(spark, d)))
+
+
+@query
+def dga_safe_names(spark: SparkSession, d: str) -> DataFrame:
+    return views.named_hosts(spark, d).select("seq", "domain", D.is_safe(F.col("domain")).alias("is_safe"))
+
+
 @query
 def portscan_windows_30_10(spark: SparkSession, d: str) -> DataFrame:
     return portscan.window_features(views.connections(spark, d), 30, 10)

@@ -76,6 +76,44 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of attacks and of traffic just below them, one for each event: 500 events make up 10 s.
+
+    Each such block holds a flood, a scan, encrypted sessions, an upload and beacons; those of
+    even blocks are over the rules' limits, those of odd ones are not.
+    """
+    return table(spark, sf_dir, "events").selectExpr("event_id as seq", "event_id div 500 as b", "cast(event_id % 500 as int) as j").selectExpr(*_ATTACKS)
+
+
+_KIND = "case when j < 210 then {0} when j < 250 then {1} when j < 310 then {2} when j < 430 then {3} else {4} end"
+#: Back means from the server: every fifth session packet, every sixtieth of the upload, every third of a beacon's
+_BACK = "(j between 250 and 309 and j % 5 = 4) or (j between 310 and 429 and j % 60 = 59) or (j >= 430 and (j - 430) % 21 % 3 = 1)"
+_CLIENT = _KIND.format(
+    "'10.8.' || cast(j % 40 as string) || '.7'", "'10.7.' || cast(b % 250 as string) || '.7'", "'10.3.3.' || cast(b % 250 + 1 as string)", "'10.1.1.' || cast(b % 250 + 1 as string)",
+    "'10.2.' || cast(b % 250 as string) || '.' || cast((j - 430) div 21 + 1 as string)",
+)
+#: The second beacon calls the sessions' server
+_SERVER = _KIND.format(
+    "'10.9.' || cast(b % 250 as string) || '.9'", "'10.9.' || cast(b % 250 as string) || '.8'", "'203.0.113.' || cast(b % 250 + 1 as string)", "'198.51.100.9'",
+    "case when (j - 430) div 21 = 1 then '203.0.113.' || cast(b % 250 + 1 as string) else '198.51.100.66' end",
+)
+_CLIENT_PORT = _KIND.format("20000 + j % case when b % 2 = 0 then 210 else 100 end", "40000 + j", "42000 + (j - 250) div 5", "50000", "41000 + (j - 430) div 3")
+_SERVER_PORT = _KIND.format("80", "20 + j % case when b % 2 = 0 then 40 else 10 end", "4444", "8444", "9001")
+_OFFSET_US = _KIND.format(
+    "j * case when b % 4 = 0 then 200 else 20000 end", "j * 10000", "(j - 250) div 5 * 500000 + j % 5 * 10000", "(j - 310) * 10000",
+    "case when b % 2 = 0 then (j - 430) % 21 div 3 * 1300000 else (j - 430) % 21 div 3 * ((j - 430) % 21 div 3) * 190000 end + (j - 430) % 21 % 3 * 1000",
+)
+_LENGTH = _KIND.format("60", "60", "case when b % 2 = 0 then 220 else 100 end", "case when j % 60 = 59 then 60 when b % 2 = 0 then 1400 else 400 end", "90")
+_ATTACKS = (
+    "seq", f"1704067200000000 + b * 10000000 + {_OFFSET_US} as timestamp_us",
+    f"case when {_BACK} then {_SERVER} else {_CLIENT} end as src_ip", f"case when {_BACK} then {_CLIENT} else {_SERVER} end as dst_ip",
+    f"cast(case when {_BACK} then {_SERVER_PORT} else {_CLIENT_PORT} end as int) as src_port", f"cast(case when {_BACK} then {_CLIENT_PORT} else {_SERVER_PORT} end as int) as dst_port",
+    "6 as protocol", f"{_LENGTH} as packet_len", f"{_LENGTH} - 40 as payload_len",
+    "j < 250 or (j >= 430 and (j - 430) % 21 % 3 < 2) as syn", "j between 250 and 429 or (j >= 430 and (j - 430) % 21 % 3 > 0) as ack", "false as rst", "false as fin",
+    "j between 250 and 429 or (j >= 430 and (j - 430) % 21 % 3 = 2) as psh",
+)
+
+
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts in real time, one for each event."""
     k = F.col("k")
@@ -100,6 +138,16 @@ def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)).alias("domain"))
 
 
+def named_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host names of all four kinds that the safe-name rule tells apart, one for each page."""
+    kinds = (
+        ("page_id % 5 = 0", "'host' || page_id || '.lan'"), ("page_id % 5 = 1", "'_svc' || page_id || '._tcp.example.org'"), ("page_id % 5 = 2", "'api' || page_id || '.zoom.us'"),
+        ("page_id % 5 = 3", "'e' || page_id || '.akamaiedge.net'"), ("true", "'x' || page_id || 'notzoom.us'"),
+    )
+    name = " ".join(f"when {c} then {v}" for c, v in kinds)
+    return table(spark, sf_dir, "pages").selectExpr("page_id as seq", f"case {name} end as domain")
+
+
 def c2_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow records of few, recurring endpoints."""
     return table(spark, sf_dir, "lineitem").select(
