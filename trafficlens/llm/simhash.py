@@ -45,9 +45,9 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Where a rotation begins (its leading third of bits), and the least width of such a third
 TURNS, TOP_BITS = (0, 22, 43), 21
 #: Fingerprints of a node that a task walks at most, and bits that node pairs go down at a time
-NODE, STEP = 2048, 4
-#: Node pairs that a task takes a bit further at a time
-PAIRS = 500_000
+NODE, STEP = 1024, 4
+#: Node pairs that a task takes a bit further at a time, and fingerprint pairs of the tasks that it walks together
+PAIRS, PRODUCT = 100_000, 1_000_000
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -102,7 +102,8 @@ def walk(fp: np.ndarray, a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b
     while stack:
         bit, nodes = stack.pop()
         if nodes.shape[1] > PAIRS:
-            stack += [(bit, nodes[:, PAIRS:]), (bit, nodes[:, :PAIRS])]
+            # copies, as a view would keep the whole
+            stack += [(bit, nodes[:, k : k + PAIRS].copy()) for k in range(0, nodes.shape[1], PAIRS)]
             continue
         # two leaves: the rest of their paths at once
         single = (nodes[1] - nodes[0] == 1) & (nodes[3] - nodes[2] == 1)
@@ -151,9 +152,16 @@ def _star_rows(table: pa.Table, max_bits: int) -> pa.RecordBatch:
     a = np.flatnonzero(side[begin] == 0)
     b = np.minimum(a + 1, len(begin) - 1)
     b = np.where(side[begin[b]] == 1, b, a)
-    got = walk(x, begin[a], end[a], begin[b], end[b], max_bits)
-    # a fingerprint is in one place of a pair, so components stay inside pairs
-    root = _roots(len(x), got.i, got.j)
+    root = np.arange(len(x))
+    cost, at = np.cumsum((end[a] - begin[a]) * (end[b] - begin[b])), 0
+    while at < len(a):
+        until = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + PRODUCT, "right")))
+        low, high = int(begin[a[at]]), int(end[b[until - 1]])
+        ranges = (v - low for v in (begin[a[at:until]], end[a[at:until]], begin[b[at:until]], end[b[at:until]]))
+        got = walk(x[low:high], *ranges, max_bits)
+        # a fingerprint is in one place of a pair, so components stay inside pairs
+        root[low:high] = low + _roots(high - low, got.i, got.j)
+        at = until
     tied = np.flatnonzero(root != np.arange(len(x)))
     left = np.array(TURNS, np.uint64)[pair[tied] % len(TURNS)]
     back = [y >> left | np.where(left > 0, y << (np.uint64(64) - left & np.uint64(63)), np.uint64(0)) for y in (x[tied], x[root[tied]])]
