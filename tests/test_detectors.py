@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trafficlens.functions import domains as D
-from trafficlens.operators import beacons, connections, detect, domains, flows, portscan, serving, units
+from trafficlens.operators import beacons, connections, detect, domains, flows, portscan, serving, training, units
 from trafficlens.plans import live
 from trafficlens.sources import synthetic
 
@@ -84,15 +84,31 @@ def test_beacon_to_a_claimed_server_is_suppressed(spark):
 
 
 def test_live_plan_gives_each_attack_its_class(spark):
-    parts = [synthetic.flood(spark, 2500), synthetic.scan(spark, 60), synthetic.upload(spark), synthetic.beacon(spark), synthetic.sessions(spark)]
+    parts = [synthetic.flood(spark, 2500), synthetic.scan(spark, 60, answered=False), synthetic.upload(spark), synthetic.beacon(spark), synthetic.sessions(spark)]
     packets = parts[0]
     for p in parts[1:]:
         packets = packets.unionByName(p)
-    found = {(r["threat_class"], r["src_ip"] if r["threat_class"] != "DDoS" else r["dst_ip"]) for r in live.alerts(packets).collect()}
+    model = training.scan_detector(spark, 10, 2, trees=5, depth=3, folds=2)
+    name = lambda r: (r["threat_class"], r["src_ip"] if r["threat_class"] != "DDoS" else r["dst_ip"])
+    found = {name(r) for r in live.alerts(packets, scan_model=model).collect()}
+    assert "PortScan" not in {r["threat_class"] for r in live.alerts(packets).collect()}  # nobody scores scans without a model
     assert {("DDoS", "10.9.9.9"), ("PortScan", "10.7.7.7"), ("DataExfiltration", "10.1.1.1"), ("C2_BEACONING", "10.2.2.2"), ("EncryptedMalware", "10.3.3.3")} <= found
     assert not any(k == "C2_BEACONING" and ip != "10.2.2.2" for k, ip in found)
 
 
+def test_flow_models_in_the_live_plan(spark):
+    fitted = {kind: training.flow_detector(spark, kind, trees=5, depth=3, folds=2) for kind in training.VECTORS}
+    kinds = {}
+    for kind in fitted:
+        packets = synthetic.labelled_packets(spark, kind, 20, 20, first=90_000)
+        found = live.alerts(packets, flow_models=fitted).where(F.col("threat_class") == kind).select("flow_id", "src_ip").collect()
+        kinds[kind] = {r["src_ip"].split(".")[1] for r in found}
+        attacks = {r["src_ip"] for r in found if r["src_ip"].startswith("10.51.")}
+        assert len(attacks) > 10 >= len({r["src_ip"] for r in found} - attacks), kind
+    multicast = flows.assembled(packets_of(spark, *((i, ("10.0.0.1", 5000, ip, 81), {"ack"}) for i, ip in enumerate(("224.0.0.1", "239.1.1.1", "255.255.255.255", "ff02::1", "10.0.0.2")))))
+    assert [r["dst_ip"] for r in multicast.where(flows.to_one_host()).collect()] == ["10.0.0.2"]
+
+
 def packets_of(spark, *events):
     names = "timestamp_us seq src_ip src_port dst_ip dst_port protocol packet_len syn ack rst fin psh".split()
     full = [(t, i, *ends, 6, 60, *(f in flags for f in ("syn", "ack", "rst", "fin", "psh"))) for i, (t, ends, flags) in enumerate(events)]

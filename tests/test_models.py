@@ -7,33 +7,38 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from trafficlens.operators import models
+from trafficlens.operators import models, portscan, training, units
+from trafficlens.operators.flows import KEY
+from trafficlens.plans import live
 from trafficlens.sources import synthetic
 
-FEATURES = models.FLOW_FEATURES
+FLOOD, UPLOAD = "DDoS", "DataExfiltration"
 
 
 @pytest.fixture(scope="module")
 def detector(spark):
-    rows = synthetic.labelled_flows(spark, "exfiltration", 400, 200)
-    return models.fit(rows, "exfiltration", FEATURES, trees=5, depth=3, folds=2)
+    rows = training.flow_rows(spark, UPLOAD, 200, 100)
+    return models.fit(rows, UPLOAD, training.features_of(rows), KEY, trees=5, depth=3, folds=2)
 
 
 def test_scores_are_calibrated_and_right(spark, detector):
-    scored = detector.score(synthetic.labelled_flows(spark, "exfiltration", 300, 150).withColumn("id", F.col("id") + 10_000))
+    scored = detector.score(training.flow_rows(spark, UPLOAD, 200, 100, first=10_000)).cache()
     m = models.metrics(scored, detector.contract.threshold).first()
-    assert m["f1"] > 0.95 and m["tp"] + m["fn"] == 150
+    assert m["f1"] > 0.95 and m["tp"] + m["fn"] == 100
+    p, y = (list(x) for x in zip(*((r["probability"], r["label"]) for r in scored.collect()), strict=True))
+    pairs = [(a > b) + 0.5 * (a == b) for a, i in zip(p, y, strict=True) if i for b, j in zip(p, y, strict=True) if not j]
+    assert models.auc(scored) == pytest.approx(sum(pairs) / len(pairs))
     assert scored.where(~F.col("probability").between(0, 1)).count() == 0
 
 
 def test_artifact_round_trip(spark, detector, tmp_path):
     models.save(detector, str(tmp_path / "a"), spark)
-    again = models.load(spark, str(tmp_path / "a"), FEATURES)
+    again = models.load(spark, str(tmp_path / "a"), detector.contract.features)
     assert again.contract == detector.contract
-    rows = synthetic.labelled_flows(spark, "exfiltration", 20, 20)
-    assert detector.score(rows).select("id", "probability").sort("id").collect() == again.score(rows).select("id", "probability").sort("id").collect()
+    rows = training.flow_rows(spark, UPLOAD, 20, 20)
+    assert detector.score(rows).select(*KEY, "probability").sort(*KEY).collect() == again.score(rows).select(*KEY, "probability").sort(*KEY).collect()
     with pytest.raises(ValueError, match="order"):
-        models.load(spark, str(tmp_path / "a"), FEATURES[::-1])
+        models.load(spark, str(tmp_path / "a"), detector.contract.features[::-1])
 
 
 @pytest.mark.parametrize("change", [{"calibration": "none"}, {"format": 9}, {"features": ("a", "a")}, {"features": ("src_ip",)}, {"window_s": 10.0, "stride_s": 20.0}, {"threshold": 2.0}])
@@ -55,18 +60,53 @@ def test_domain_model(spark):
 
 
 def test_corpus_digest_ignores_order(spark):
-    a = synthetic.labelled_flows(spark, "flood", 20, 10)
-    assert models.corpus_digest(a) == models.corpus_digest(a.orderBy(F.desc("id"))) != models.corpus_digest(a.where("id > 0"))
+    a = training.flow_rows(spark, FLOOD, 20, 10)
+    assert models.corpus_digest(a) == models.corpus_digest(a.orderBy(F.desc("window_us"))) != models.corpus_digest(a.where("window_us > 0"))
 
 
 @pytest.mark.parametrize(("kind", "scale"), [("forest", False), ("boosted", True)])
 def test_forest_and_scaled_features(spark, kind, scale):
-    rows = synthetic.labelled_flows(spark, "flood", 200, 100)
-    detector = models.fit(rows, "flood", FEATURES, trees=4, depth=3, folds=2, kind=kind, scale=scale)
-    unseen = synthetic.labelled_flows(spark, "flood", 100, 50).withColumn("id", F.col("id") + 10_000)
+    rows = training.flow_rows(spark, FLOOD, 150, 80).cache()
+    detector = models.fit(rows, FLOOD, training.features_of(rows), KEY, trees=4, depth=3, folds=2, kind=kind, scale=scale)
+    unseen = training.flow_rows(spark, FLOOD, 100, 50, first=10_000)
     assert models.metrics(detector.score(unseen), detector.contract.threshold).first()["f1"] > 0.95
 
 
 def test_ngrams_of_whole_names(spark):
     r = models.domain_rows(spark.createDataFrame([("ab.io",)], "domain string"), 2, 4, whole=True).first()
     assert "ab.i" in r["ngrams"] and ".i" in r["ngrams"]
+
+
+@pytest.mark.parametrize("kind", list(training.VECTORS))
+def test_flow_detectors_on_unseen_flows(spark, kind):
+    rows = training.flow_rows(spark, kind, 200, 100)
+    labels = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    assert set(labels) == {0, 1} and min(labels.values()) > 50 and "label" not in training.features_of(rows)
+    detector = training.flow_detector(spark, kind, trees=5, depth=3, folds=2)
+    assert training.flow_detector(spark, kind) is detector
+    threshold = live.ALERT_AT.get(kind, detector.contract.threshold)
+    m = models.metrics(detector.score(training.flow_rows(spark, kind, 200, 100, first=50_000)), threshold).first()
+    assert m["f1"] > 0.9
+
+
+def test_scan_detector(spark):
+    detector = training.scan_detector(spark, 30, 10, trees=5, depth=3, folds=2)
+    assert (detector.contract.window_s, detector.contract.stride_s, detector.contract.features) == (30.0, 10.0, portscan.FEATURES)
+    scored = detector.score(training.scan_rows(spark, first=50_000)).cache()
+    assert models.metrics(scored, detector.contract.threshold).first()["f1"] > 0.9
+    decided = portscan.scan_decisions(scored)
+    assert decided.where("label = 0").count() == 0 < decided.where("label = 1").count()
+
+
+def test_unit_detector(spark):
+    detector = training.unit_detector(spark, 60, trees=5, depth=3, folds=2)
+    scored = detector.score(training.unit_rows(spark, 60, first=50_000))
+    assert models.metrics(scored, detector.contract.threshold).first()["f1"] > 0.9
+    alerts = units.unit_alerts(scored.withColumn("flow_id", F.array(F.lit("C1"))), "c2-fast", "fast", detector.contract.threshold)
+    assert alerts.count() > 50
+
+
+def test_held_out_keeps_shares(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"))
+    train, test = models.held_out(rows, "id")
+    assert test.where("label = 1").count() == 25 and test.where("label = 0").count() == 225 and train.count() == 750 and train.join(test, "id").count() == 0

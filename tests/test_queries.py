@@ -6,18 +6,35 @@ import pytest
 
 from tests.conftest import SF_DIR, rows
 from trafficlens.plans.oracle import ORACLE_SQL
-from trafficlens.plans.queries import FITTED, NO_SQL, QUERIES
+from trafficlens.operators import training
+from trafficlens.plans.queries import NO_SQL, QUERIES
 
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL) | set(NO_SQL) and not set(ORACLE_SQL) & set(NO_SQL)
 
 
-def test_model_scores_cover_all_flows(spark, duck):
-    got = QUERIES["model_scores"](spark, SF_DIR).collect()
-    flows = duck.sql(ORACLE_SQL["flow_direction_split"]).fetchall()
-    assert len(got) == len(flows) and {r["threat"] for r in got} <= {*FITTED, "benign"}
-    assert all(0 <= r[k] <= 1 and r["confidence"] == max(r[x] for x in FITTED) for r in got for k in FITTED)
+@pytest.mark.parametrize(("name", "flows"), [("model_scores", "flow_direction_split"), ("attack_model_scores", None)])
+def test_model_scores_cover_all_flows(spark, duck, name, flows):
+    got = QUERIES[name](spark, SF_DIR).collect()
+    assert {r["threat"] for r in got} <= {*training.VECTORS, "benign"}
+    for r in got:
+        known = [r[k] for k in training.VECTORS if r[k] is not None]
+        assert all(0 <= p <= 1 for p in known) and r["confidence"] == max(known, default=0)
+    if flows:
+        assert len(got) == len(duck.sql(ORACLE_SQL[flows]).fetchall())
+    else:
+        assert {"benign", "DataExfiltration"} <= {r["threat"] for r in got}
+
+
+def test_scan_alerts_are_candidates(spark, duck):
+    got = {(r["src_ip"], r["start_us"]) for r in QUERIES["portscan_model_alerts"](spark, SF_DIR).collect()}
+    assert got <= {r[:2] for r in duck.sql("select src_ip, start_us from (" + ORACLE_SQL["portscan_candidates"] + ")").fetchall()}
+
+
+def test_unit_scores(spark):
+    got = QUERIES["c2_model_scores"](spark, SF_DIR).collect()
+    assert {r["detector_id"] for r in got} == {"fast", "deep"} and all(0 <= r["probability"] <= 1 for r in got)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -185,6 +185,21 @@ def exfiltration_alerts(decisions: DataFrame) -> DataFrame:
     return alert(decisions.where("is_exfiltration"), "DataExfiltration", evidence, F.col("src_port"))
 
 
+def model_alerts(flow_rows: DataFrame, scored: DataFrame, threat_class: str, threshold: float) -> DataFrame:
+    """Alerts of flows whose ``probability`` under a class's model reaches the threshold."""
+    hits = scored.where(F.col("probability") >= threshold).select(WINDOW, "flow_key", F.col("probability").alias("confidence"))
+    rows = flow_rows.join(hits, [WINDOW, "flow_key"]).withColumn("severity", severity(threat_class, F.col("confidence")))
+    evidence = {
+        "duration_sec": F.round("duration", 2),
+        "total_bytes": F.col("total_bytes"),
+        "total_packets": F.col("total_packets"),
+        "fwd_bytes": F.col("fwd_bytes"),
+        "bwd_bytes": F.col("bwd_bytes"),
+        "bytes_per_sec": F.round(F.col("total_bytes") / F.col("duration"), 1),
+    }
+    return alert(rows, threat_class, evidence, F.col("src_port"))
+
+
 def arbitrated(scores: dict[str, Column]) -> tuple[Column, Column]:
     """Class and confidence of the greatest score among several models' attack labels."""
     best = F.greatest(*scores.values())

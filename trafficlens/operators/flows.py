@@ -102,6 +102,13 @@ def regularity(floor: float = 0.0) -> Column:
     return F.when(mean < floor, 0.0).otherwise(value) if floor else value
 
 
+def to_one_host() -> Column:
+    """False for multicast and broadcast destinations, which no flow model scores."""
+    ip = F.col("dst_ip")
+    # The excluded prefixes and address.
+    return ~(ip.startswith("224.") | ip.startswith("239.") | (ip == "255.255.255.255") | ip.startswith("ff02:"))
+
+
 def legacy_vector(flows: DataFrame) -> DataFrame:
     """The 23-feature flow vector; times in microseconds."""
     micro = 1e6

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, Imputer, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -25,8 +26,6 @@ from trafficlens.functions import domains as D
 from trafficlens.operators.serving import best_threshold
 
 FORMAT = 1
-#: Volume, direction and timing of a flow
-FLOW_FEATURES = ("duration", "packets", "packet_size", "up_share", "syn_ratio", "gap_cv")
 #: Columns that identify a row and must never be features
 IDENTIFIERS = frozenset({"src_ip", "dst_ip", "orig_h", "resp_h", "flow_key", "flow_id", "uid", "window_us", "start_us"})
 
@@ -89,19 +88,6 @@ def _pipeline(features: Sequence[str], trees: int, depth: int, impute: bool, see
     return Pipeline(stages=[*stages, _classifier(kind, trees, depth, seed)])
 
 
-def flow_features(flows: DataFrame) -> DataFrame:
-    """Flows with the features (``FLOW_FEATURES``) that detectors of made-up flows are fitted on."""
-    return flows.withColumns(
-        {
-            "packets": F.col("total_packets"),
-            "packet_size": F.col("size_mean"),
-            "up_share": F.col("fwd_bytes") / F.greatest(F.col("total_bytes"), F.lit(1)),
-            "syn_ratio": F.col("syn_count") / F.col("total_packets"),
-            "gap_cv": F.when(F.col("gap_mean") > 0, F.col("gap_std") / F.col("gap_mean")).otherwise(0.0),
-        }
-    )
-
-
 def fold(n: int, *key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), *key), F.lit(n))
 
@@ -144,6 +130,20 @@ def metrics(scored: DataFrame, threshold: float, score: str = "probability", lab
     )
 
 
+def auc(scored: DataFrame, score: str = "probability", label: str = "label") -> float:
+    """Area under the ROC curve."""
+    rows = scored.select(F.col(score).cast("double").alias("score"), F.col(label).cast("double").alias("label"))
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label").evaluate(rows)
+
+
+def held_out(rows: DataFrame, key: str, label: str = "label", share: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows: the same share of each label goes to the test, by hash order of the key."""
+    h = F.xxhash64(F.lit("held-out"), F.col(label), key)
+    cuts = rows.groupBy(label).agg(F.percentile(h, share).alias("_cut")).withColumnRenamed(label, "_label")
+    told = rows.join(cuts, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_test", h <= F.col("_cut"))
+    return tuple(told.where(test).select(rows.columns) for test in (~F.col("_test"), F.col("_test")))
+
+
 def domain_pipeline(vocabulary: int = 200, trees: int = 20, depth: int = 5, seed: int = 42) -> Pipeline:
     """19 character statistics and counts of frequent character 2- and 3-grams of the first label."""
     names = [*D.statistics(F.col("domain"))]

@@ -126,14 +126,14 @@ def fan_out(rows: DataFrame) -> DataFrame:
     return _summed(_in_buckets(rows), {}, {}).drop("bucket", "connection_attempts")
 
 
-def rule_score() -> Column:
-    """A score in place of a fitted model: port fan-out and failures, with the model's threshold scale."""
-    return F.least(0.5 + F.col("unique_dst_ports") / 100.0 + 0.3 * F.col("failed_conn_ratio") + 0.1 * F.col("fanout_ratio"), F.lit(0.99))
+def scan_candidates(windows: DataFrame, min_ports: int = 10) -> DataFrame:
+    """Windows that reach enough ports to be scans. Which of them alert is a model's to say."""
+    return windows.where(F.col("unique_dst_ports") >= min_ports)
 
 
-def scan_decisions(windows: DataFrame, score: Column | None = None, min_ports: int = 10, threshold: float = 0.60) -> DataFrame:
-    """Windows that reach many ports with a score at the alert threshold, and their severity."""
-    out = windows.where(F.col("unique_dst_ports") >= min_ports).withColumn("confidence", rounded(rule_score() if score is None else score, 4))
+def scan_decisions(scored: DataFrame, min_ports: int = 10, threshold: float = 0.60) -> DataFrame:
+    """Candidate windows with a calibrated ``probability`` at the alert threshold, and their severity."""
+    out = scan_candidates(scored, min_ports).withColumn("confidence", rounded(F.col("probability"), 4))
     return out.where(F.col("confidence") >= threshold).withColumn("severity", severity("PortScan", F.col("confidence")))
 
 

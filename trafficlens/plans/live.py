@@ -7,21 +7,29 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.operators import beacons, connections, detect, domains, flows, portscan
 from trafficlens.operators.models import Detector, domain_rows
+from trafficlens.operators.training import VECTORS
 from trafficlens.functions.numeric import severity
 from trafficlens.schemas import WINDOW_US
 
 
-def alerts(packets: DataFrame, window_us: int = WINDOW_US, scan_score: Column | None = None, domain_model: Detector | None = None) -> DataFrame:
-    """Alerts of all classes. Scan and domain models are optional: rules run without them."""
+#: The probability at which a flow model's score alerts, where it isn't the artifact's own threshold
+ALERT_AT = {"EncryptedMalware": 0.2826}
+
+
+def alerts(packets: DataFrame, window_us: int = WINDOW_US, scan_model: Detector | None = None, flow_models: dict[str, Detector] | None = None, domain_model: Detector | None = None) -> DataFrame:
+    """Alerts of all classes. Models are optional: rules run without them, and what only a model can say is left out."""
     flow_rows = flows.assembled(packets, window_us)
+    fitted = flow_models or {}
     floods = detect.flood_decisions(detect.destination_load(flow_rows))
     sessions = detect.encrypted_sessions(flow_rows)
-    scans = portscan.scan_decisions(portscan.window_features(connections.records(packets), 10, 2), scan_score)
+    windows = portscan.window_features(connections.records(packets), 10, 2)
+    scored = windows.withColumn("probability", F.lit(None).cast("double")) if scan_model is None else scan_model.score(portscan.scan_candidates(windows))
+    scans = portscan.scan_decisions(scored)
     # a scan window claims its source in every detection window that it touches
     w = F.floor(F.col("start_us") / window_us) * window_us
     scanners = scans.select(F.explode(F.array_distinct(F.array(w, F.floor((F.col("end_us") - 1) / window_us) * window_us))).alias(detect.WINDOW), "src_ip")
@@ -33,15 +41,28 @@ def alerts(packets: DataFrame, window_us: int = WINDOW_US, scan_score: Column |
     parts = [
         detect.flood_alerts(floods),
         detect.encrypted_session_alerts(sessions),
-        detect.exfiltration_alerts(detect.exfiltration_decisions(flow_rows)),
+        detect.exfiltration_alerts(_exfiltration(flow_rows, fitted.get("DataExfiltration"))),
         beacons.beacon_alerts(scores.join(last, list(beacons.ENDPOINT)), F.col("last_window")),
         portscan.pipeline_alerts(portscan.component_alerts(scans, "portscan-10s2s")),
     ]
+    scoreable = flow_rows.where((F.col("total_packets") >= 3) & flows.to_one_host())
+    for kind in ("DDoS", "EncryptedMalware"):
+        if kind in fitted:
+            model = fitted[kind]
+            parts.append(detect.model_alerts(flow_rows, model.score(VECTORS[kind](scoreable)), kind, ALERT_AT.get(kind, model.contract.threshold)))
     if domain_model is not None and "dns_query" in packets.columns:
         parts.append(domain_alerts(domains.dns_queries(packets), domain_model))
     return reduce(DataFrame.unionByName, (p.select(parts[0].columns) for p in parts))
 
 
+def _exfiltration(flow_rows: DataFrame, model: Detector | None) -> DataFrame:
+    """Upload decisions; a model's score is what the volume rules lift."""
+    if model is None:
+        return detect.exfiltration_decisions(flow_rows)
+    scored = model.score(VECTORS["DataExfiltration"](flow_rows.where(flows.to_one_host()))).select(*flows.KEY, "probability")
+    return detect.exfiltration_decisions(flow_rows.join(scored, list(flows.KEY), "left"), F.coalesce("probability", F.lit(0.0)))
+
+
 def domain_alerts(queries: DataFrame, model: Detector, threshold: float = 0.8) -> DataFrame:
     """An alert for each query of a name that the model calls generated."""
     scored = model.score(domain_rows(queries)).withColumn("confidence", F.col("probability")).where(F.col("confidence") >= threshold)

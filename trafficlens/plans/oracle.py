@@ -205,8 +205,7 @@ ORACLE_SQL: dict[str, str] = {
     "portscan_entropy": sql("scan_rows", f"select src_ip, start_us, {q('abs(log2(sum(c)) - sum(c * log2(c)) / sum(c))')} as dst_port_entropy from (select src_ip, start_us, dst_port, count(*) as c from scan_rows group by 1, 2, 3) group by 1, 2"),
     "portscan_distinct_max": sql("scan_rows", """select src_ip, start_us, max(p) as max_ports_to_single_host, max(h) as max_hosts_on_single_port from (select src_ip, start_us, count(distinct dst_port) as p, 0 as h from scan_rows group by 1, 2, dst_ip
       union all select src_ip, start_us, 0, count(distinct dst_ip) from scan_rows group by 1, 2, dst_port) group by 1, 2"""),
-    "portscan_rule_alerts": f"""select src_ip, start_us, unique_dst_ports, failed_connections, scan_rate, confidence, case when confidence >= 0.98 then 'CRITICAL' when confidence >= 0.90 then 'HIGH' when confidence >= 0.80 then 'MEDIUM' else 'LOW' end as severity
-      from (select *, {q('least(0.5 + unique_dst_ports / 100.0 + 0.3 * failed_conn_ratio + 0.1 * fanout_ratio, 0.99)', 4)} as confidence from ({_portscan('scan_rows', 30)}) where unique_dst_ports >= 10) where confidence >= 0.6""",
+    "portscan_candidates": f"select src_ip, start_us, unique_dst_ports, failed_connections, scan_rate from ({_portscan('scan_rows', 30)}) where unique_dst_ports >= 10",
     "c2_units_tumbling": _units("units_60", 60),
     "c2_units_60_10": _units("units_60_10", 60),
     "c2_units_300_60": _units("units_300_60", 300),

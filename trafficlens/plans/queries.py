@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 from trafficlens import views
 from trafficlens.functions import domains as D
 from trafficlens.functions.numeric import rounded, severity_by_class
-from trafficlens.operators import beacons, connections, detect, domains, flows, models, portscan, serving, units
+from trafficlens.operators import beacons, connections, detect, domains, flows, portscan, serving, training, units
 from trafficlens.plans.oracle import AS_OF_US, START_US
 from trafficlens.schemas import WINDOW_US
-from trafficlens.sources import synthetic
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Detectors that are fitted on made-up flows
-FITTED = ("flood", "exfiltration", "encrypted")
-#: Queries that SQL can't express
-NO_SQL = ("model_scores",)
+#: Queries that SQL can't express, as it can't fit trees; tests hold the models to labelled traffic
+NO_SQL = ("model_scores", "attack_model_scores", "portscan_model_alerts", "c2_model_scores")
 ALERT = ("alert_id", "ts_us", "threat_class", "confidence", "severity", "src_ip", "dst_ip", "dst_port")
 
 
@@ -211,8 +208,16 @@ def portscan_distinct_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def portscan_rule_alerts(spark: SparkSession, d: str) -> DataFrame:
-    hits = portscan.scan_decisions(portscan.window_features(views.connections(spark, d), 30, 10))
+def portscan_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Windows that the port rule passes on to the model."""
+    return portscan.scan_candidates(portscan.window_features(views.connections(spark, d), 30, 10)).select(*portscan.KEY, "unique_dst_ports", "failed_connections", "scan_rate")
+
+
+@query
+def portscan_model_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Scan alerts of the fitted, calibrated model of 30 s windows. SQL can't fit trees; tests hold the model to labelled windows."""
+    model = training.scan_detector(spark, 30, 10)
+    hits = portscan.scan_decisions(model.score(portscan.scan_candidates(portscan.window_features(views.connections(spark, d), 30, 10))))
     return hits.select(*portscan.KEY, "unique_dst_ports", "failed_connections", "scan_rate", "confidence", "severity")
 
 
@@ -405,13 +410,36 @@ def behavioural_score(spark: SparkSession, d: str) -> DataFrame:
     return views.alerts(spark, d).select("alert_id", rounded(score).alias("behavioural"), rounded(fused).alias("fused"))
 
 
+@query
+def c2_model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Units of both timescales under the fitted model of each."""
+    rows = units.prepared(views.c2_flows(spark, d))
+    at = units.origin_us(rows)
+    parts = []
+    for name, window, stride in units.TIMESCALES:
+        scored = training.unit_detector(spark, window).score(units.unit_features(rows, window, stride, at))
+        parts.append(scored.select(*units.UNIT, F.lit(name).alias("detector_id"), rounded(F.col("probability")).alias("probability"), "is_attack"))
+    return parts[0].unionByName(parts[1])
+
+
+def _model_scores(flow_rows: DataFrame) -> DataFrame:
+    spark = flow_rows.sparkSession
+    scoreable = flow_rows.where((F.col("total_packets") >= 3) & flows.to_one_host())
+    out = flow_rows.select(*flows.KEY)
+    for kind, vector in training.VECTORS.items():
+        scored = training.flow_detector(spark, kind).score(vector(scoreable)).select(*flows.KEY, F.col("probability").alias(kind), F.col("is_attack").alias(f"is_{kind}"))
+        out = out.join(scored, list(flows.KEY), "left")
+    name, best = detect.arbitrated({kind: F.coalesce(kind, F.lit(0.0)) for kind in training.VECTORS})
+    attack = F.coalesce(F.greatest(*(F.col(f"is_{kind}") for kind in training.VECTORS)), F.lit(False))
+    return _rounded_doubles(out.select(*flows.KEY, *training.VECTORS, F.when(attack, name).otherwise("benign").alias("threat"), best.alias("confidence")))
+
+
 @query
 def model_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Flows under the three fitted flow detectors, and the class of the greatest score. SQL can't fit trees; tests hold the detectors to labelled flows."""
-    scored = models.flow_features(_flows(spark, d)).select(*flows.KEY, *models.FLOW_FEATURES)
-    for kind in FITTED:
-        detector = models.fit(synthetic.labelled_flows(spark, kind), kind, models.FLOW_FEATURES, trees=5, depth=4, folds=2)
-        scored = detector.score(scored).withColumnsRenamed({"probability": kind, "is_attack": f"is_{kind}"})
-    name, best = detect.arbitrated({kind: F.col(kind) for kind in FITTED})
-    attack = F.greatest(*(F.col(f"is_{kind}") for kind in FITTED))
-    return _rounded_doubles(scored.select(*flows.KEY, *FITTED, F.when(attack, name).otherwise("benign").alias("threat"), best.alias("confidence")))
+    """Each flow under the fitted detectors on their own vectors (null: abstains), and the class of the greatest score."""
+    return _model_scores(_flows(spark, d))
+
+
+@query
+def attack_model_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _model_scores(_attack_flows(spark, d))

@@ -84,18 +84,116 @@ def lookups(spark: SparkSession, n: int = 20, src: str = "10.4.4.4", start_us: i
     )
 
 
-def labelled_flows(spark: SparkSession, kind: str, benign: int = 2000, attack: int = 1000) -> DataFrame:
-    """label and the main volume features of made-up flows of a class ("flood", "exfiltration", "encrypted")."""
-    total = benign + attack
-    label = (F.col("id") >= benign).cast("int")
-
-    def between(name: str, benign_range: tuple[float, float], attack_range: tuple[float, float]) -> Column:
-        low, high = (F.when(label == 1, float(a)).otherwise(float(b)) for a, b in zip(attack_range, benign_range, strict=True))
-        return low + uniform(kind, name) * (high - low)
-
-    shapes = {
-        "flood": {"duration": ((0.5, 60), (0.01, 3)), "packets": ((5, 120), (80, 2000)), "packet_size": ((80, 1200), (40, 90)), "up_share": ((0.1, 0.7), (0.85, 1)), "syn_ratio": ((0, 0.2), (0.5, 1)), "gap_cv": ((0.4, 3), (0, 0.5))},
-        "exfiltration": {"duration": ((0.5, 60), (5, 300)), "packets": ((5, 200), (100, 3000)), "packet_size": ((80, 1200), (900, 1460)), "up_share": ((0.02, 0.6), (0.85, 1)), "syn_ratio": ((0, 0.2), (0, 0.05)), "gap_cv": ((0.4, 3), (0, 0.6))},
-        "encrypted": {"duration": ((0.5, 60), (5, 120)), "packets": ((5, 200), (6, 40)), "packet_size": ((80, 1200), (60, 300)), "up_share": ((0.02, 0.6), (0.4, 0.7)), "syn_ratio": ((0, 0.2), (0.02, 0.2)), "gap_cv": ((0.4, 3), (0, 0.25))},
-    }
-    return spark.range(total).select("id", label.alias("label"), *(between(n, b, a).alias(n) for n, (b, a) in shapes[kind].items()))
+def _between(low: Column, high: Column, *seed: object) -> Column:
+    return low + uniform(*seed) * (high - low)
+
+
+def _of_profile(values: list[list[float]], label: Column, k: Column) -> Column:
+    """values[label][k], by columns."""
+    of = [F.element_at(F.array(*(F.lit(float(x)) for x in v)), F.pmod(k, F.lit(len(v))).cast("int") + 1) for v in values]
+    return F.when(label == 1, of[1]).otherwise(of[0])
+
+
+#: Benign and attack profiles of each class: packets out and back, their sizes, gap (ms), jitter (share of the gap), destination ports, share of SYN and of PSH
+PROFILES: dict[str, tuple[list[dict], list[dict]]] = {
+    "DDoS": (
+        [
+            {"out": (4, 30), "back": (6, 60), "size": (70, 400), "answer": (300, 1400), "gap": (15, 150), "jitter": (0.5, 1), "ports": (80, 443), "syn": 0.0, "psh": 0.4},
+            {"out": (20, 80), "back": (20, 80), "size": (60, 200), "answer": (60, 300), "gap": (30, 120), "jitter": (0.5, 1), "ports": (22, 3389), "syn": 0.0, "psh": 0.6},
+            {"out": (3, 6), "back": (2, 6), "size": (60, 90), "answer": (90, 300), "gap": (1, 20), "jitter": (0.2, 1), "ports": (53, 8080), "syn": 0.0, "psh": 0.2},
+        ],
+        [
+            {"out": (60, 200), "back": (0, 3), "size": (40, 70), "answer": (40, 60), "gap": (0.05, 4), "jitter": (0, 0.5), "ports": (80, 443), "syn": 1.0, "psh": 0.0},
+            {"out": (120, 200), "back": (0, 8), "size": (500, 1400), "answer": (40, 60), "gap": (0.05, 2), "jitter": (0, 0.3), "ports": (53, 443), "syn": 0.2, "psh": 0.0},
+            {"out": (90, 160), "back": (60, 100), "size": (100, 300), "answer": (300, 900), "gap": (0.2, 3), "jitter": (0, 0.5), "ports": (80, 8080), "syn": 0.15, "psh": 0.3},
+        ],
+    ),
+    "DataExfiltration": (
+        [
+            {"out": (8, 40), "back": (8, 90), "size": (120, 500), "answer": (400, 1400), "gap": (15, 200), "jitter": (0.5, 1), "ports": (443, 80), "syn": 0.0, "psh": 0.4},
+            {"out": (20, 60), "back": (20, 60), "size": (100, 900), "answer": (100, 900), "gap": (20, 120), "jitter": (0.4, 1), "ports": (443, 993), "syn": 0.0, "psh": 0.6},
+        ],
+        [
+            {"out": (60, 200), "back": (2, 12), "size": (900, 1460), "answer": (50, 80), "gap": (5, 40), "jitter": (0, 0.4), "ports": (443, 8444), "syn": 0.0, "psh": 0.7},
+            {"out": (40, 120), "back": (2, 10), "size": (700, 1400), "answer": (50, 90), "gap": (40, 70), "jitter": (0, 0.2), "ports": (9001, 22), "syn": 0.0, "psh": 0.8},
+        ],
+    ),
+    "EncryptedMalware": (
+        [
+            {"out": (4, 14), "back": (4, 20), "size": (70, 600), "answer": (100, 1200), "gap": (450, 900), "jitter": (0.7, 1), "ports": (22, 993), "syn": 0.0, "psh": 0.3},
+            {"out": (5, 12), "back": (3, 9), "size": (60, 300), "answer": (60, 300), "gap": (500, 900), "jitter": (0.6, 1), "ports": (5222, 3389), "syn": 0.0, "psh": 0.5},
+        ],
+        [
+            {"out": (4, 9), "back": (4, 9), "size": (180, 260), "answer": (120, 200), "gap": (600, 900), "jitter": (0, 0.1), "ports": (4444, 9001), "syn": 0.0, "psh": 0.9},
+            {"out": (5, 10), "back": (3, 5), "size": (300, 380), "answer": (60, 90), "gap": (600, 800), "jitter": (0, 0.15), "ports": (6667, 8081), "syn": 0.0, "psh": 0.8},
+        ],
+    ),
+}
+
+
+def labelled_packets(spark: SparkSession, kind: str, benign: int = 1000, attack: int = 500, first: int = 0) -> DataFrame:
+    """Packets of flows of a class; benign flows begin in even windows of 10 s, attacks in odd ones. Ids from ``first`` on give other flows."""
+    both = PROFILES[kind]
+    rows = spark.range(first, first + benign + attack).withColumn("label", (F.col("id") >= first + benign).cast("int")).withColumn("k", F.floor(uniform(kind, "k") * 12))
+    label, k = F.col("label"), F.col("k")
+
+    def drawn(name: str) -> Column:
+        low, high = ([[x[name][e] for x in side] for side in both] for e in (0, 1))
+        return _between(_of_profile(low, label, k), _of_profile(high, label, k), kind, name)
+
+    port = F.when(uniform("port") < 0.5, _of_profile([[x["ports"][0] for x in side] for side in both], label, k)).otherwise(_of_profile([[x["ports"][1] for x in side] for side in both], label, k))
+    share = lambda name: _of_profile([[x[name] for x in side] for side in both], label, k)
+    rows = rows.select(
+        "id", "label", F.floor(drawn("out")).alias("out"), F.floor(drawn("back")).alias("back"), drawn("size").alias("size"), drawn("answer").alias("answer"), drawn("gap").alias("gap"), drawn("jitter").alias("jitter"),
+        port.cast("int").alias("port"), share("syn").alias("syn_share"), share("psh").alias("psh_share"),
+    )
+    rows = rows.withColumn("total", F.col("out") + F.col("back")).withColumn("gap", F.least(F.col("gap") * 1000, 9_300_000 / F.col("total")))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)))
+    u = lambda name: F.shiftrightunsigned(F.xxhash64("id", "i", F.lit(name)), 11).cast("double") / float(1 << 53)
+    back = F.floor((F.col("i") + 1) * F.col("back") / F.col("total")) > F.floor(F.col("i") * F.col("back") / F.col("total"))
+    client, server = F.concat(F.lit("10."), (50 + label).cast("string"), F.lit("."), F.expr("cast(id div 250 as string)"), F.lit("."), (F.col("id") % 250 + 1).cast("string")), F.lit("198.18.0.9")
+    sport, opens = (30000 + F.col("id") % 30000).cast("int"), F.col("i") == 0
+    size = F.when(back, F.col("answer")).otherwise(F.col("size")) * (0.8 + 0.4 * u("size"))
+    at = (2 * F.col("id") + label) * 10_000_000 + F.floor(F.col("i") * F.col("gap") + F.when(opens, 0.0).otherwise(F.col("jitter") * F.col("gap") * (u("at") - 0.5)))
+    return rows.select(
+        F.when(back, server).otherwise(client).alias("src_ip"), F.when(back, client).otherwise(server).alias("dst_ip"), F.when(back, F.col("port")).otherwise(sport).alias("src_port"), F.when(back, sport).otherwise(F.col("port")).alias("dst_port"),
+        F.lit(6).alias("protocol"), at.alias("timestamp_us"), size.cast("int").alias("packet_len"), F.lit(0).cast("long").alias("payload_len"),
+        (opens | (~back & (u("syn") < F.col("syn_share")))).alias("syn"), (~opens & (u("syn") >= F.col("syn_share"))).alias("ack"), F.lit(False).alias("rst"), (F.col("i") == F.col("total") - 1).alias("fin"), (~opens & (u("psh") < F.col("psh_share"))).alias("psh"), F.lit(False).alias("urg"),
+        F.lit(None).cast("string").alias("dns_query"), F.xxhash64("id", "i").alias("seq"),
+    )
+
+
+def labelled_connections(spark: SparkSession, benign: int = 400, attack: int = 200, first: int = 0) -> DataFrame:
+    """label and connection records of sources that use a few services, and of sources that scan ports or hosts."""
+    rows = spark.range(first, first + benign + attack).withColumn("label", (F.col("id") >= first + benign).cast("int"))
+    label = F.col("label") == 1
+    n = F.floor(F.when(label, _between(F.lit(15.0), F.lit(120.0), "n")).otherwise(_between(F.lit(5.0), F.lit(60.0), "n")))
+    rows = rows.withColumns({"n": n, "slow": uniform("slow"), "wide": uniform("wide") < 0.3}).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    u = lambda name: F.shiftrightunsigned(F.xxhash64("id", "i", F.lit(name)), 11).cast("double") / float(1 << 53)
+    port = F.when(label, F.when(F.col("wide"), F.lit(22)).otherwise(F.col("i") + 20)).otherwise(F.element_at(F.array(*map(F.lit, (443, 80, 53, 22))), F.floor(u("port") * u("port2") * 4).cast("int") + 1))
+    host = F.when(label & F.col("wide"), F.col("i")).otherwise(F.floor(u("host") * F.when(label, 3).otherwise(12)))
+    failed = u("state") < F.when(label, 0.85 - 0.5 * F.col("slow")).otherwise(0.05)
+    state = F.when(failed, F.when(u("kind") < 0.5, "S0").otherwise("REJ")).otherwise(F.when(u("kind") < 0.8, "SF").otherwise("OTH"))
+    at = F.floor(F.col("i") * 29e6 / F.col("n") + F.when(label, 0.0).otherwise(u("at") * 2e6))
+    return rows.select(
+        "label", at.cast("long").alias("ts_us"), F.concat(F.lit("10."), (60 + F.col("label")).cast("string"), F.lit("."), F.expr("cast(id div 250 as string)"), F.lit("."), (F.col("id") % 250 + 1).cast("string")).alias("src_ip"),
+        F.concat(F.lit("172.20.0."), host.cast("string")).alias("dst_ip"), port.cast("string").alias("dst_port"), state.alias("conn_state"), F.when(failed, 0.0).otherwise(u("dur") * 5).alias("duration"),
+        F.when(failed, 1.0).otherwise(F.floor(2 + u("pk") * 20)).alias("orig_pkts"), F.when(failed, 0.0).otherwise(F.floor(1 + u("rp") * 25)).alias("resp_pkts"), F.when(failed & (state == "S0"), "S").otherwise("-").alias("history"),
+    )
+
+
+def labelled_beacons(spark: SparkSession, window_s: int, benign: int = 400, attack: int = 200, first: int = 0) -> DataFrame:
+    """label and flow records of hosts that call an endpoint regularly, or as people do, over one window each."""
+    rows = spark.range(first, first + benign + attack).withColumn("label", (F.col("id") >= first + benign).cast("int"))
+    label = F.col("label") == 1
+    n = F.floor(F.when(label, _between(F.lit(5.0), F.lit(14.0), "n")).otherwise(_between(F.lit(1.0), F.lit(12.0), "n")))
+    rows = rows.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    u = lambda name: F.shiftrightunsigned(F.xxhash64("id", "i", F.lit(name)), 11).cast("double") / float(1 << 53)
+    width = window_s * 1_000_000
+    at = F.when(label, (F.col("i") + 0.15 * u("at")) * (0.95 * width) / F.col("n")).otherwise(u("at") * u("at2") * 0.99 * width)
+    same = F.when(label, 0.05).otherwise(1.0)
+    return rows.select(
+        "label", (F.col("id") * width + F.floor(at)).cast("long").alias("ts_us"), F.concat(F.lit("10."), (70 + F.col("label")).cast("string"), F.lit(".0."), F.expr("cast(id div 250 as string)"), F.lit("."), (F.col("id") % 250 + 1).cast("string")).alias("orig_h"),
+        F.concat(F.lit("203.0.113."), (F.col("id") % 40).cast("string")).alias("resp_h"), F.lit(443).alias("resp_p"), F.lit("tcp").alias("proto"), F.floor(6 + 40 * same * u("op")).alias("orig_pkts"), F.floor(5 + 60 * same * u("rp")).alias("resp_pkts"),
+        (0.3 + 8 * same * u("dur")).alias("duration"), F.floor(400 + 20_000 * same * u("ob")).alias("orig_ip_bytes"), F.floor(300 + 90_000 * same * u("rb")).alias("resp_ip_bytes"), F.concat(F.lit("T"), F.xxhash64("id", "i").cast("string")).alias("uid"),
+    )
