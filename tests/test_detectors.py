@@ -242,6 +242,11 @@ def test_domain_statistics(spark):
     assert next(v for v in r if v["domain"] == "")["entropy"] == 0
 
 
+@pytest.mark.parametrize(("name", "local"), [("x._spotify-connect.example", True), ("Printer.LAN", True), ("_x.y", True), ("4.3.2.1.in-addr.arpa", True), ("example.com", False), ("localhost.com", False)])
+def test_local_lookups(spark, name, local):
+    assert spark.createDataFrame([(name,)], "d string").select(D.is_local_lookup(F.col("d"))).first()[0] is local
+
+
 @pytest.mark.parametrize(("name", "safe"), [("e1.akamaiedge.net", True), ("_x._tcp.local", True), ("api.zoom.us", True), ("zoom.us", True), ("kq9x.info", False), ("notzoom.us", False)])
 def test_safe_domains(spark, name, safe):
     assert spark.createDataFrame([(name,)], "d string").select(D.is_safe(F.col("d"))).first()[0] is safe
@@ -266,3 +271,32 @@ def test_serving_guards_and_texts(spark):
     assert [r["delta"] for r in serving.rate_deltas(ticks).orderBy("tick").collect()] == [5, 4, 0]
     name, best = detect.arbitrated({"DDoS": F.lit(0.2), "DGA": F.lit(0.7)})
     assert tuple(a.select(name, best).first()) == ("DGA", 0.7)
+
+
+def test_percentiles_and_thresholds_equal_plain(spark):
+    rng = random.Random(8)
+    data = [(rng.choice([rng.gauss(0, 1), 0.25, 0.5]), int(rng.random() < 0.4)) for _ in range(4000)]
+    df = spark.createDataFrame(data, "score double, label int")
+    r = serving.latency_percentiles(df, "score").first()
+    v = sorted(x for x, _ in data)
+    for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        at = p * (len(v) - 1)
+        low = int(at)
+        assert r[name] == pytest.approx(v[low] + (at - low) * (v[min(low + 1, len(v) - 1)] - v[low]), abs=2e-6)
+    assert r["max"] == pytest.approx(v[-1], abs=1e-6) and r["mean"] == pytest.approx(sum(v) / len(v), abs=1e-6)
+    best = serving.best_threshold(df).first()
+    total = sum(y for _, y in data)
+    f1 = {t: 2 * sum(y for x, y in data if x >= t) / (sum(x >= t for x, _ in data) + total) for t in {*v[:50], *v[-50:], 0.25, 0.5, best["threshold"]}}
+    assert best["f1"] == pytest.approx(f1[best["threshold"]], abs=1e-6) and best["f1"] >= max(f1.values()) - 1e-6
+    assert serving.latency_percentiles(df.where("score = 0.25"), "score").first()["p95"] == 0.25
+    assert serving.best_threshold(df.where("false")).count() == 0
+
+
+def test_runs_of_seconds_and_the_bounded_store(spark):
+    arrivals = [(0, 5), (1, 5), (2, 6), (3, 5), (4, 7), (5, 7)]
+    a = spark.createDataFrame([(i, s * 1_000_000, "DDoS" if i % 2 else "DGA") for i, s in arrivals], "seq long, ts_us long, threat_class string")
+    got = [(r["second"], r["total"], r["ddos"]) for r in serving.second_groups(a, 10_000_000).collect()]
+    assert got == [(7, 2, 1), (5, 1, 1), (6, 1, 0), (5, 2, 1)]
+    assert [r["second"] for r in serving.second_groups(a, 10_000_000, slots=2).collect()] == [7, 5]
+    assert tuple(serving.peak_and_last(serving.second_slots(a, 10_000_000)).first()) == (3, 2)
+    assert [r["seq"] for r in serving.newest_stored(a, 2).collect()] == [5, 4]

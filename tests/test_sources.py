@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from trafficlens.sources import dispatch, packets, pcap, sinks, synthetic, tshark, zeek
+from trafficlens.sources import dispatch, packets, pcap, sinks, synthetic, training_files, tshark, zeek
 
 FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "duration", "orig_pkts", "resp_pkts", "conn_state", "history", "local_orig"]
 VALUES = ["1700000000.123456", "C1", "10.0.0.1", "5000", "10.0.0.2", "443", "TCP", "0.000702", "3", "2", "SF", "ShA", "T"]
@@ -136,3 +136,23 @@ def test_exports(spark, tmp_path):
     assert json.loads(sinks.summary({"alerts": seen})) == {"alerts": {"rows": 1, "critical": 0}}
     sinks.write_json_lines(a, str(tmp_path / "jsonl"))
     assert spark.read.json(str(tmp_path / "jsonl")).count() == 1
+
+
+def test_each_log_is_read_by_its_own_header(spark, tmp_path):
+    fields = list(zeek.REQUIRED)
+    for name, order in (("a.log", fields), ("b.log", fields[::-1])):
+        values = {f: f"{f}-{name}" for f in fields}
+        (tmp_path / name).write_text("#separator \\x09\n#fields\t" + "\t".join(order) + "\n" + "\t".join(values[f] for f in order) + "\nshort\tline\n")
+    good, bad = zeek.read_tsv(spark, str(tmp_path))
+    assert sorted(r["ts"] for r in good.collect()) == ["ts-a.log", "ts-b.log"] and all(r["history"] == "history" + r["ts"][2:] for r in good.collect()) and bad.count() == 2
+    (tmp_path / "c.log").write_text("no\theader\n")
+    with pytest.raises(ValueError, match="c.log"):
+        zeek.read_tsv(spark, str(tmp_path))
+
+
+def test_training_files(spark, tmp_path):
+    (tmp_path / "flows.csv").write_text(" Flow Duration , Label\n3,BENIGN\n")
+    assert training_files.flow_table(spark, str(tmp_path / "flows.csv")).columns == ["Flow Duration", "Label"]
+    (tmp_path / "names.txt").write_text("1,a.com\n\n 2,b.org \n3,c.net\n")
+    assert [r[0] for r in training_files.name_list(spark, str(tmp_path / "names.txt"), 2, ranked=True).collect()] == ["a.com", "b.org"]
+    assert [r[0] for r in training_files.name_list(spark, str(tmp_path / "names.txt")).collect()] == ["1,a.com", "2,b.org", "3,c.net"]

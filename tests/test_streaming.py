@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tests.conftest import SF_DIR, rows
 from tests.test_detectors import packets_of, random_packets
 from trafficlens import views
-from trafficlens.operators import beacons, connections, flows, portscan, units
+from trafficlens.operators import beacons, connections, flows, portscan, training, units
+from trafficlens.plans import live
 from trafficlens.sources import synthetic
 from trafficlens.streaming import state, windows
 
@@ -60,6 +64,52 @@ def test_flows_equal_batch_up_to_the_watermark(spark, tmp_path):
     assert got and all(r.asDict() == batch[r["window_us"], r["flow_key"]].asDict() for r in got)
 
 
+def test_tick_closes_the_tail(spark, tmp_path):
+    """After a row far ahead, a stream has given every window of the batch."""
+    rows_ = views.connections(spark, SF_DIR).drop("seq")
+    end = rows_.agg(F.max("ts_us")).first()[0]
+    made = rows_.unionByName(windows.tick_row(spark, rows_.schema, end + 10**10))
+    got, _ = collected(windows.closed_scan_windows(streamed(spark, tmp_path, made, "ts_us"), lateness_s=60), tmp_path, windows.scan_features)
+    assert {(r["src_ip"], r["start_us"]) for r in got} == {(r["src_ip"], r["start_us"]) for r in portscan.window_features(rows_).collect()}
+
+
+def test_scan_stream_alerts_like_the_batch(spark, tmp_path):
+    model = training.scan_detector(spark, 10, 2, trees=5, depth=3, folds=2)
+    made = synthetic.labelled_connections(spark, 20, 10, first=70_000)
+    stream = streamed(spark, tmp_path, made.drop("label").unionByName(windows.tick_row(spark, made.drop("label").schema, 10**10)), "ts_us")
+    got = []
+    live.scan_stream(stream, model, lambda batch, _: got.extend(batch.collect()), str(tmp_path / "check"), once=True).awaitTermination()
+    batch = portscan.scan_decisions(model.score(portscan.scan_candidates(portscan.window_features(made.drop("label"), 10, 2))))
+    key = lambda r: (r["src_ip"], r["confidence"])
+    assert got and sorted(map(key, got)) == sorted(map(key, portscan.component_alerts(batch, "x").collect()))
+
+
+def plain_lateness(rows_, window, stride, allowance):
+    newest, out = None, []
+    for src, ts in rows_:
+        mark = None if newest is None else newest - allowance
+        starts = [s for s in range(ts // stride * stride - window, ts + 1, stride) if s % stride == 0 and s <= ts < s + window]
+        closed = [mark is not None and s + window <= mark for s in starts]
+        out.append((src, all(closed), any(closed) and not all(closed), 0 if newest is None else max(0, newest - ts)))
+        newest = ts if newest is None else max(newest, ts)
+    return out
+
+
+def test_lateness_equals_plain(spark):
+    rng = random.Random(2)
+    rows_ = [(f"s{rng.randint(0, 9)}", 1_000_000 * (i // 3) - rng.choice([0, 0, 0, 5, 40, 90, 200]) * 1_000_000 + 10**9) for i in range(900)]
+    df = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(rows_)], "src_ip string, ts_us long, seq long")
+    want = plain_lateness(rows_, 30_000_000, 10_000_000, 60_000_000)
+    r = windows.lateness(df, 30, 10, 60).first()
+    assert (r["rows"], r["late"], r["partly_late"], r["sources"]) == (900, sum(w[1] for w in want), sum(w[2] for w in want), 10) and r["late"] and r["partly_late"]
+    assert r["worst_behind_s"] == max(w[3] for w in want) / 1e6
+    top = Counter(w[0] for w in want if w[1])
+    assert [tuple(x) for x in windows.late_sources(df, 30, 10, 60).collect()] == sorted(top.items(), key=lambda x: (-x[1], x[0]))[:5]
+    health = windows.window_health(df, 30, 10, min_flows=3, most_rows=6).first()
+    sizes = Counter((s, k) for s, t in rows_ for k in range(t // 10**7 - 2, t // 10**7 + 1))
+    assert tuple(health) == (sum(n >= 3 for n in sizes.values()), sum(n < 3 for n in sizes.values()), sum(n > 6 for n in sizes.values()))
+
+
 def test_cut_windows_say_so(spark, tmp_path):
     stream = streamed(spark, tmp_path, views.connections(spark, SF_DIR).drop("seq"), "ts_us")
     got, _ = collected(windows.closed_scan_windows(stream, lateness_s=0, most_rows=6), tmp_path, windows.scan_features)

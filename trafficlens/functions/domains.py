@@ -144,6 +144,21 @@ def is_safe(domain: Column) -> Column:
     return _ends_with_any(name, LOCAL_SUFFIXES) | service | _ends_with_any(name, INFRASTRUCTURE_SUFFIXES) | F.substring_index(name, ".", -2).isin(*SAFE_NAMES)
 
 
+# What a live capture takes for local lookups.
+LIVE_SUFFIXES = (".local", ".localhost", ".internal", ".lan", ".home", ".intranet", ".corp", ".arpa")
+LIVE_SERVICES = (
+    "_tcp.", "_udp.", "_http.", "_https.", "_spotify", "_companion", "_airplay", "_raop", "_smb.", "_afpovertcp.", "_ipp.", "_printer.", "_pdl-datastream.", "_sleep-proxy.", "_homekit.", "_hap.",
+    "_matter.", "_googlecast.", "_chromecast.",
+)
+
+
+def is_local_lookup(domain: Column) -> Column:
+    """Local names and service discovery, which a live capture never scores."""
+    name = F.lower(domain)
+    service = F.exists(F.array(*map(F.lit, LIVE_SERVICES)), lambda x: F.contains(name, x))
+    return _ends_with_any(name, LIVE_SUFFIXES) | service | name.startswith("_")
+
+
 def character_ngrams(s: Column, least: int = 2, most: int = 3) -> Column:
     """All character n-grams of a string."""
     empty = F.array().cast("array<string>")

@@ -121,6 +121,29 @@ def second_slots(alerts: DataFrame, as_of_us: int, seconds: int = 1800, slots: i
     return by.orderBy(F.desc("second")).limit(slots)
 
 
+def newest_stored(alerts: DataFrame, most: int = 10_000) -> DataFrame:
+    """What a store of bounded size would still hold: the newest alerts by arrival."""
+    return alerts.orderBy(F.desc("seq")).limit(most)
+
+
+def second_groups(alerts: DataFrame, as_of_us: int, seconds: int = 1800, slots: int = 34, most: int = 10_000) -> DataFrame:
+    """As ``second_slots``, but a slot is a run of alerts of one second in order of arrival, so a second can come again.
+
+    Runs are told in one ordered pass over what the bounded store holds, at most ``most`` alerts.
+    """
+    rows = recent(newest_stored(alerts, most), as_of_us, seconds).withColumn("second", F.floor(F.col("ts_us") / 1_000_000))
+    arrival = Window.orderBy("seq")
+    opens = F.coalesce(F.col("second") != F.lag("second").over(arrival), F.lit(True))
+    runs = rows.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(arrival))
+    by = runs.groupBy("run", "second").agg(*(F.count_if(F.col("threat_class") == c).alias(c.lower()) for c in THREATS), F.count("*").alias("total"))
+    return by.orderBy(F.desc("run")).limit(slots)
+
+
+def peak_and_last(slots: DataFrame, order: str = "second") -> DataFrame:
+    """One row: the greatest total of all slots, and the newest slot's."""
+    return slots.agg(F.coalesce(F.max("total"), F.lit(0)).alias("peak"), F.coalesce(F.max_by("total", order), F.lit(0)).alias("last"))
+
+
 def rate_deltas(ticks: DataFrame, order: str = "tick", total: str = "total") -> DataFrame:
     """Growth of a running total from tick to tick, at least 0. For one monitor's ticks: a single ordered series."""
     w = Window.orderBy(order)
@@ -213,26 +236,55 @@ def merged(history: DataFrame, live: DataFrame, cap: int = 5000) -> DataFrame:
     return one.orderBy(F.desc("ts_us"), "alert_id").limit(cap)
 
 
-def latency_percentiles(samples: DataFrame, column: str) -> DataFrame:
-    """Exact p50, p95 and p99 (linear), maximum and mean."""
-    p = F.percentile(column, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return samples.agg(p.alias("p"), F.max(column).alias("max"), F.avg(column).alias("mean")).select(
-        *(rounded(F.col("p")[i]).alias(n) for i, n in enumerate(("p50", "p95", "p99"))), rounded(F.col("max")).alias("max"), rounded(F.col("mean")).alias("mean")
+def ranged(df: DataFrame, column: str, parts: int = 256) -> DataFrame:
+    """Adds range: ascending ranges of a number with about equally many rows each; equal values share one."""
+    bounds = sorted(set(df.approxQuantile(column, [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+    return df.withColumn("range", F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda b: b <= F.col(column))))
+
+
+def _before(ranges: DataFrame, sums: tuple[str, ...], descending: bool = False) -> DataFrame:
+    """For each range its sums, those of all ranges before it, and of all: a table of a few hundred rows."""
+    order = Window.orderBy(F.desc("range") if descending else "range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("range").agg(*(F.sum(c).alias(f"{c}_of_range") for c in sums))
+    return totals.select(
+        "*", *(F.coalesce(F.sum(f"{c}_of_range").over(order), F.lit(0)).alias(f"{c}_before") for c in sums), *(F.sum(f"{c}_of_range").over(Window.partitionBy()).alias(f"{c}_total") for c in sums)
     )
 
 
+def latency_percentiles(samples: DataFrame, column: str) -> DataFrame:
+    """Exact p50, p95 and p99 (linear), maximum and mean.
+
+    Counts by value are added up by ranges; only the ranges that hold a wanted rank are ordered.
+    """
+    values = ranged(samples.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), "v")
+    counts = values.groupBy("range", "v").agg(F.count("*").alias("n"))
+    about = _before(counts.withColumn("sum", F.col("v") * F.col("n")), ("n", "sum"))
+    place = {n: p * (F.col("n_total") - 1) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))}
+    sides = [F.struct(F.lit(n).alias("name"), x.cast("long").alias("rank"), weight.alias("weight")) for n, at in place.items() for x, weight in ((F.floor(at), 1 - (at - F.floor(at))), (F.ceil(at), at - F.floor(at)))]
+    wanted = about.select("*", F.explode(F.array(*sides)).alias("w")).select("range", "n_before", "w.*", (F.col("sum_total") / F.col("n_total")).alias("mean"))
+    wanted = wanted.join(about.select("range", "n_of_range"), "range").where((F.col("rank") >= F.col("n_before")) & (F.col("rank") < F.col("n_before") + F.col("n_of_range")))
+    wanted = F.broadcast(wanted)
+    inside = counts.join(F.broadcast(wanted.select("range").distinct()), "range", "left_semi").withColumn("to", F.sum("n").over(Window.partitionBy("range").orderBy("v")))
+    hit = inside.join(wanted, "range").where((F.col("rank") < F.col("n_before") + F.col("to")) & (F.col("rank") >= F.col("n_before") + F.col("to") - F.col("n")))
+    of = lambda n: rounded(F.sum(F.when(F.col("name") == n, F.col("v") * F.col("weight")))).alias(n)
+    greatest = samples.agg(rounded(F.max(F.col(column).cast("double"))).alias("max"))
+    return hit.agg(*map(of, place), rounded(F.max("mean")).alias("mean"), F.lit(0).alias("one")).join(greatest.withColumn("one", F.lit(0)), "one").select(*place, "max", "mean")
+
+
 def best_threshold(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """The score threshold of greatest F1 on the precision-recall curve (ties: the lowest threshold).
 
-    Counts are combined by distinct score before the one ordered pass, which so has a row for each
-    distinct score only.
+    Counts are combined by distinct score, added up by ranges of scores, and ordered inside ranges.
     """
-    by = scored.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    above = Window.orderBy(F.desc("threshold"))
-    curve = by.withColumns({"tp": F.sum("pos").over(above), "predicted": F.sum("n").over(above)})
-    total = F.sum("pos").over(Window.partitionBy())
-    curve = curve.withColumn("f1", rounded(or_zero(2 * F.col("tp") / (F.col("predicted") + total))))
-    return curve.orderBy(F.desc("f1"), "threshold").limit(1).select("threshold", "f1", (F.col("tp") / F.col("predicted")).alias("precision"))
+    by = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
+    ranges = ranged(by, "threshold")
+    above = Window.partitionBy("range").orderBy(F.desc("threshold"))
+    before = _before(ranges, ("pos", "n"), descending=True)
+    curve = ranges.withColumns({"tp": F.sum("pos").over(above), "predicted": F.sum("n").over(above)}).join(F.broadcast(before), "range")
+    curve = curve.withColumns({"tp": F.col("tp") + F.col("pos_before"), "predicted": F.col("predicted") + F.col("n_before")})
+    curve = curve.withColumn("f1", rounded(or_zero(2 * F.col("tp") / (F.col("predicted") + F.col("pos_total")))))
+    best = curve.agg(F.max(F.struct("f1", (-F.col("threshold")).alias("low"), (F.col("tp") / F.col("predicted")).alias("precision"))).alias("b"))
+    return best.select((-F.col("b.low")).alias("threshold"), F.col("b.f1").alias("f1"), F.col("b.precision").alias("precision")).where("threshold is not null")
 
 
 def report(alerts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

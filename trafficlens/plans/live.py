@@ -5,16 +5,19 @@ Claims come first, then what they suppress. All detectors read the same assemble
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from trafficlens.operators import beacons, connections, detect, domains, flows, portscan
 from trafficlens.operators.models import Detector, domain_rows
 from trafficlens.operators.training import VECTORS
 from trafficlens.functions.numeric import severity
 from trafficlens.schemas import WINDOW_US
+from trafficlens.streaming import windows
 
 
 #: The probability at which a flow model's score alerts, where it isn't the artifact's own threshold
@@ -27,8 +30,8 @@ def alerts(packets: DataFrame, window_us: int = WINDOW_US, scan_model: Detector
     fitted = flow_models or {}
     floods = detect.flood_decisions(detect.destination_load(flow_rows))
     sessions = detect.encrypted_sessions(flow_rows)
-    windows = portscan.window_features(connections.records(packets), 10, 2)
-    scored = windows.withColumn("probability", F.lit(None).cast("double")) if scan_model is None else scan_model.score(portscan.scan_candidates(windows))
+    seen = portscan.window_features(connections.records(packets), 10, 2)
+    scored = seen.withColumn("probability", F.lit(None).cast("double")) if scan_model is None else scan_model.score(portscan.scan_candidates(seen))
     scans = portscan.scan_decisions(scored)
     # a scan window claims its source in every detection window that it touches
     w = F.floor(F.col("start_us") / window_us) * window_us
@@ -55,6 +58,16 @@ def alerts(packets: DataFrame, window_us: int = WINDOW_US, scan_model: Detector
     return reduce(DataFrame.unionByName, (p.select(parts[0].columns) for p in parts))
 
 
+def scan_stream(connections_: DataFrame, model: Detector, handle: Callable[[DataFrame, int], None], checkpoint: str, window_s: float = 10, stride_s: float = 2, lateness_s: float = 3, once: bool = False) -> StreamingQuery:
+    """Port-scan alerts of a stream of connection records, chunk by chunk: each micro-batch's closed windows are scored and handed on."""
+
+    def chunk(closed: DataFrame, number: int) -> None:
+        scored = model.score(portscan.scan_candidates(windows.scan_features(closed, window_s)))
+        handle(portscan.component_alerts(portscan.scan_decisions(scored), "portscan-stream"), number)
+
+    return windows.each_batch(windows.closed_scan_windows(connections_, window_s, stride_s, lateness_s), chunk, checkpoint, once)
+
+
 def _exfiltration(flow_rows: DataFrame, model: Detector | None) -> DataFrame:
     """Upload decisions; a model's score is what the volume rules lift."""
     if model is None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,25 +23,48 @@ def sniff(spark: SparkSession, path: str) -> str:
     raise ValueError(f"{path}: neither a tab-separated log nor JSON lines")
 
 
-def _header(lines: DataFrame, path: str) -> tuple[str, list[str]]:
-    """Separator and field names. All files of one path share them."""
-    found = {r["value"].split(None, 1)[0]: r["value"] for r in lines.where(F.col("value").startswith("#separator") | F.col("value").startswith("#fields")).limit(64).collect()}
-    if "#fields" not in found:
+def _headers(lines: DataFrame, path: str) -> dict[tuple[str, tuple[str, ...]], list[str]]:
+    """Files of each layout, which is a separator and field names. Every file has a header of its own."""
+    heads = lines.where(F.col("value").startswith("#separator") | F.col("value").startswith("#fields")).select("file", "value").distinct().collect()
+    found: dict[str, dict[str, str]] = {}
+    for r in heads:
+        found.setdefault(r["file"], {})[r["value"].split(None, 1)[0]] = r["value"]
+    bare = lines.where((F.col("value") != "") & ~F.col("value").startswith("#")).select("file").distinct().collect()
+    if missing := [r["file"] for r in bare if "#fields" not in found.get(r["file"], {})]:
+        raise ValueError(f"{path}: data without a #fields line in {missing[0]}")
+    layouts: dict[tuple[str, tuple[str, ...]], list[str]] = {}
+    for file, lines_ in found.items():
+        if "#fields" in lines_:
+            separator = lines_.get("#separator", "#separator \\x09").split(None, 1)[1].encode().decode("unicode_escape")
+            fields = lines_["#fields"].split(separator if separator in lines_["#fields"] else "\t")[1:]
+            layouts.setdefault((separator, tuple(fields)), []).append(file)
+    if not layouts:
         raise ValueError(f"{path}: data without a #fields line")
-    separator = found.get("#separator", "#separator \\x09").split(None, 1)[1].encode().decode("unicode_escape")
-    return separator, found["#fields"].split(separator if separator in found["#fields"] else "\t")[1:]
+    return layouts
 
 
 def read_tsv(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:
-    """All fields as strings by header name, and the lines whose width differs from the header's."""
-    lines = spark.read.text(path)
-    separator, fields = _header(lines, path)
-    if missing := [f for f in required if f not in fields]:
+    """All fields as strings by name, and the lines whose width differs from their file's header.
+
+    Files with other fields, or in another order, are read by their own header; a field that a file lacks is null.
+    """
+    lines = spark.read.text(path).withColumn("file", F.input_file_name())
+    layouts = _headers(lines, path)
+    names = list(dict.fromkeys(f for _, fields in layouts for f in fields))
+    if missing := [f for f in required if any(f not in fields for _, fields in layouts)]:
         raise ValueError(f"{path}: no field {', '.join(missing)}")
-    parts = F.split("value", "\\Q" + separator + "\\E", -1)
-    data = lines.where((F.col("value") != "") & ~F.col("value").startswith("#")).withColumn("parts", parts)
-    fits = F.size("parts") == len(fields)
-    return data.where(fits).select(*(F.col("parts")[i].alias(f) for i, f in enumerate(fields))), data.where(~fits).select("value")
+    data = lines.where((F.col("value") != "") & ~F.col("value").startswith("#"))
+    good, bad = [], []
+    for (separator, fields), files in layouts.items():
+        mine = data
+        if len(layouts) > 1:
+            mine = data.join(F.broadcast(spark.createDataFrame([(f,) for f in files], "file string")), "file", "left_semi")
+        mine = mine.withColumn("parts", F.split("value", "\\Q" + separator + "\\E", -1))
+        fits = F.size("parts") == len(fields)
+        place = {f: i for i, f in enumerate(fields)}
+        good.append(mine.where(fits).select(*((F.col("parts")[place[f]] if f in place else F.lit(None).cast("string")).alias(f) for f in names)))
+        bad.append(mine.where(~fits).select("value"))
+    return reduce(DataFrame.unionByName, good), reduce(DataFrame.unionByName, bad)
 
 
 def read_json(spark: SparkSession, path: str, fields: tuple[str, ...] = REQUIRED) -> tuple[DataFrame, DataFrame]:

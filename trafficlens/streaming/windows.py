@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from trafficlens.operators import flows as flow_ops
 from trafficlens.operators import portscan, units
+from trafficlens.operators.serving import ranged
 
 SCAN_COLUMNS = ("ts_us", "dst_ip", "dst_port", "conn_state", "duration", "orig_pkts", "resp_pkts", "history")
 UNIT_COLUMNS = ("ts_us", "orig_h", "resp_h", "resp_p", "proto", "pkts", "bytes", "dur", "uid")
@@ -80,6 +82,56 @@ def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], chec
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def tick_row(spark: SparkSession, schema: StructType, at_us: int, ts: str = "ts_us") -> DataFrame:
+    """One row that only moves the watermark to ``at_us``: appended to a stream's source when it has gone quiet (now), or
+    at its end (far ahead), it closes the windows that are still held. Its own window stays open."""
+    values = [F.lit(at_us if f.name == ts else None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    return spark.range(1).select(*values)
+
+
+def _arrivals(rows: DataFrame, window_s: float, stride_s: float, lateness_s: float, source: str) -> DataFrame:
+    """Each row's source, whether it is late or partly late, and how far behind it is.
+
+    The watermark is the greatest time of all earlier arrivals (``seq``) less the allowance. It is taken by
+    ranges of arrival, so no task sees all rows.
+    """
+    w, s = int(window_s * 1_000_000), int(stride_s * 1_000_000)
+    dealt = ranged(rows, "seq")
+    tops = dealt.groupBy("range").agg(F.max("ts_us").alias("top"))
+    before = tops.select("range", F.max("top").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("top_before"))
+    earlier = F.max("ts_us").over(Window.partitionBy("range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    rows = dealt.withColumn("earlier", earlier).join(F.broadcast(before), "range").withColumn("newest", F.greatest("earlier", "top_before"))
+    mark = F.col("newest") - int(lateness_s * 1_000_000)
+    last = F.floor(F.col("ts_us") / s) * s
+    first = last - (-(-w // s) - 1) * s
+    return rows.select(
+        F.col(source).alias("source"), F.coalesce(last + w <= mark, F.lit(False)).alias("late"), F.coalesce((first + w <= mark) & (last + w > mark), F.lit(False)).alias("partly"),
+        F.greatest((F.col("newest") - F.col("ts_us")) / 1e6, F.lit(0.0)).alias("behind_s"),
+    )
+
+
+def lateness(rows: DataFrame, window_s: float, stride_s: float, lateness_s: float, source: str = "src_ip") -> DataFrame:
+    """How recorded arrivals (``ts_us``, and ``seq`` in order of arrival) fare, in one row of counts.
+
+    A row is late if all its windows have closed when it comes, and partly late if the first has.
+    """
+    by = _arrivals(rows, window_s, stride_s, lateness_s, source).groupBy("source").agg(F.count("*").alias("n"), F.count_if("late").alias("l"), F.count_if("partly").alias("p"), F.max("behind_s").alias("b"))
+    return by.agg(F.sum("n").alias("rows"), (F.sum("n") - F.sum("l")).alias("admitted"), F.sum("l").alias("late"), F.sum("p").alias("partly_late"), F.count("*").alias("sources"), F.max("b").alias("worst_behind_s"))
+
+
+def late_sources(rows: DataFrame, window_s: float, stride_s: float, lateness_s: float, source: str = "src_ip", most: int = 5) -> DataFrame:
+    """The sources with most late rows."""
+    told = _arrivals(rows, window_s, stride_s, lateness_s, source).where("late")
+    return told.groupBy("source").agg(F.count("*").alias("late")).orderBy(F.desc("late"), "source").limit(most)
+
+
+def window_health(rows: DataFrame, window_s: float, stride_s: float, min_flows: int = 5, most_rows: int | None = None, source: str = "src_ip") -> DataFrame:
+    """Windows emitted, withheld for too few rows, and cut at ``most_rows``, in one row."""
+    sizes = portscan.dealt(rows.select(source, "ts_us"), window_s, stride_s).groupBy(source, "start_us").agg(F.count("*").alias("n"))
+    cut = F.lit(False) if most_rows is None else F.col("n") > most_rows
+    return sizes.agg(F.count_if(F.col("n") >= min_flows).alias("emitted"), F.count_if(F.col("n") < min_flows).alias("abstained"), F.count_if(cut).alias("truncated"))
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that the watermark has dropped so far."""
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p.get("stateOperators", []))
