@@ -554,6 +554,44 @@ def test_repeats_of_random_mosaics(spark, seed):
         assert brute.words(got[i]["text"]) == kept
 
 
+def test_contexts_are_extended_to_the_first_difference():
+    rng = np.random.default_rng(4)
+    sides, want = [[[], [], [], []], [[], [], [], []]], []
+    for _ in range(300):
+        core = rng.integers(0, 3, rng.integers(1, 9)).tolist()
+        pair = []
+        for words, start, end, at in sides:
+            left, right = rng.integers(0, 3, rng.integers(0, 6)).tolist(), rng.integers(0, 3, rng.integers(0, 6)).tolist()
+            start.append(len(words))
+            words += left + core + right
+            end.append(len(words))
+            at.append(len(left))
+            pair.append((left[::-1], core + right))
+        count = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        want.append(tuple(count(pair[0][k], pair[1][k]) for k in (0, 1)))
+    left, right = substrings.shared(*(np.array(x, np.int64) for side in sides for x in side))
+    assert list(zip(left.tolist(), right.tolist(), strict=True)) == want
+
+
+def test_extension_and_the_rest_find_different_repeats(spark, monkeypatch):
+    """Two of three texts share more than either shares with the representative; each step alone misses something."""
+    rng, vocab = random.Random(6), vocabulary()
+    make = lambda n: [rng.choice(vocab) for _ in range(n)]
+    core, more, other = make(19), make(10), make(30)
+    texts = [make(20) + core + make(20), make(20) + core + more + make(20), make(20) + core + more + make(20), make(5) + other + make(20), make(9) + other]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [len(t) - len(k) for t, k in zip(texts, brute.kept_words([" ".join(t) for t in texts], 20), strict=True)]
+    got = lambda: [r["n_removed"] for r in substrings.remove_repeats(df, 20, 6).orderBy("doc_id").collect()]
+    assert got() == want == [0, 29, 29, 30, 30]
+    rest = substrings._rest
+    monkeypatch.setattr(substrings, "_rest", lambda extended, length: rest(extended.where("false"), length))
+    only_extended = got()
+    assert only_extended != want and all(x <= y for x, y in zip(only_extended, want, strict=True)) and any(only_extended)
+    monkeypatch.setattr(substrings, "_rest", lambda extended, length: rest(extended, length))
+    monkeypatch.setattr(substrings, "_extended", lambda pairs, length: pairs.drop("r_words").withColumns({"low": F.lit(0), "high": F.lit(0)}))
+    assert got() != want
+
+
 # 6
 
 

@@ -5,11 +5,14 @@ in another document or the same one. Seeds are winnowed anchors: of the ``SEED``
 grams in a window, the least hash is its anchor, so equal windows have equal anchors at
 equal places, and a run of neighbouring windows shares one.
 
-Anchors that occur once have no repeat. The others are joined on the anchor and
-extended both ways, first over the whole run of windows around it: runs that are
-equal in several places are repeats as a whole. Where runs around one anchor differ,
-one example of each is extended window by window, which finds the longest repeat
-inside them. Overlapping repeats of a document merge into its maximal repeats, and
+Anchors that occur once have no repeat. A seed is a run together with its words, from the
+first window's to the last one's. Seeds of one anchor that are equal as a whole are repeats as a whole. One
+example of each of the others is joined with the anchor's representative, the least example, and
+extended both ways from the anchor, word by word, to the first difference; what the two
+share is a maximal repeat if it is a window or longer. What a seed doesn't share with the
+representative can only be shared with others that don't either: where an anchor has three
+kinds of seeds or more, those windows are counted by their hashes. So no pair but one for each
+example is made, and no repeat is lost. Overlapping repeats of a document merge, and
 every word in one is removed; windows are judged on the input.
 
 Keys of a group are two independent 64-bit hashes. No group is gathered: groups are
@@ -31,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
@@ -84,8 +88,8 @@ def _runs(documents: DataFrame, length: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tk long, first int, n int, anchor long, whole long")
 
 
-def _windows(texts: DataFrame, length: int) -> DataFrame:
-    """Each window of the runs listed for a text: anchor, hash of the window, place, and whether its run occurs once."""
+def _contexts(texts: DataFrame, length: int, seed: int) -> DataFrame:
+    """One row for each run listed for a text: its place, and hashes of its words; ``at`` is the anchor's place among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -93,17 +97,83 @@ def _windows(texts: DataFrame, length: int) -> DataFrame:
             h = w.hashes()
             runs = b.column("runs")
             text = np.repeat(np.arange(b.num_rows), runs.value_lengths().to_numpy())
-            first, size, anchor, once = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
-            k = np.repeat(np.arange(len(text)), size)
-            start = first[k] + np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size)
-            at = w.doc[text[k]] + start
-            of = pa.array(text[k])
+            first, size, anchor, once, kinds = (x.to_numpy(zero_copy_only=False) for x in runs.flatten().flatten())
+            at = w.doc[text] + first
+            # the first window's least gram, the leftmost of equal ones
+            grams = at[:, None] + np.arange(length - seed + 1)
+            place = run_hashes(h, grams.ravel(), grams.ravel() + seed).reshape(grams.shape).argmin(axis=1) if len(at) else at
+            words = size + length - 1
+            offsets = np.concatenate([[0], np.cumsum(words)])
+            of = np.repeat(at - offsets[:-1], words) + np.arange(offsets[-1])
+            ids = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(of), b.column("tk").take(of), pa.array(anchor[k]), pa.array(run_hashes(h, at, at + length).view(np.int64)), pa.array(start.astype(np.int32)), pa.array(once[k])],
-                [*_ID, "anchor", "window", "first", "once"],
+                [
+                    b.column("doc_id").take(ids), b.column("tk").take(ids), pa.array(anchor), pa.array(first), pa.array(size), pa.array(once), pa.array(kinds), pa.array(place.astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[of].view(np.int64))),
+                ],
+                [*_ID, "anchor", "first", "n", "once", "kinds", "at", "words"],
+            )
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tk long, anchor long, first int, n int, once boolean, kinds long, at int, words array<long>")
+
+
+def shared(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each pair of contexts shares to the left of its anchors, and from them on to the right."""
+
+    def equal(step: int, most: np.ndarray) -> np.ndarray:
+        count, alive, k = np.zeros(len(a_at), np.int64), np.arange(len(a_at)), 0
+        while len(alive := alive[most[alive] > k]):
+            x, y = a_start[alive] + a_at[alive], b_start[alive] + b_at[alive]
+            alive = alive[a[x + k] == b[y + k]] if step > 0 else alive[a[x - 1 - k] == b[y - 1 - k]]
+            count[alive] += 1
+            k += 1
+        return count
+
+    return equal(-1, np.minimum(a_at, b_at)), equal(1, np.minimum(a_end - a_start - a_at, b_end - b_start - b_at))
+
+
+def _extended(pairs: DataFrame, length: int) -> DataFrame:
+    """Pairs with low and high: the seed's windows that it shares with the representative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = pa.Table.from_batches([batch]).combine_chunks().to_batches()[0] if batch.num_rows else batch
+            at, r_at, n = (b.column(c).to_numpy().astype(np.int64) for c in ("at", "r_at", "n"))
+            sides = []
+            for c, place in (("words", at), ("r_words", r_at)):
+                column = b.column(c)
+                ends = np.cumsum(column.value_lengths().to_numpy().astype(np.int64))
+                sides += [column.flatten().to_numpy(), np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends, place]
+            left, right = shared(*sides)
+            low = np.maximum(at - left, 0)
+            high = np.maximum(np.minimum(n, at + right - length + 1), low)
+            kept = [c for c in b.schema.names if c != "r_words"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], [*kept, "low", "high"])
+
+    fields = [f for f in pairs.schema.fields if f.name != "r_words"]
+    return pairs.mapInArrow(run, StructType(fields).add("low", "integer").add("high", "integer"))
+
+
+def _rest(extended: DataFrame, length: int) -> DataFrame:
+    """Hashes of the windows that a seed doesn't share with the representative: anchor, window, place, and whether its run occurs once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, low, high, first = (b.column(c).to_numpy().astype(np.int64) for c in ("n", "low", "high", "first"))
+            column = b.column("words")
+            words, sizes = column.flatten().to_numpy().view(np.uint64), column.value_lengths().to_numpy().astype(np.int64)
+            start = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(n)), n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            out = (k < low[row]) | (k >= high[row])
+            row, k = row[out], k[out]
+            at = start[row] + k
+            ids = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(c).take(ids) for c in (*_ID, "anchor", "once")), pa.array(run_hashes(words, at, at + length).view(np.int64)), pa.array((first[row] + k).astype(np.int32))], [*_ID, "anchor", "once", "window", "first"]
             )
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tk long, anchor long, window long, first int, once boolean")
+    return extended.mapInArrow(run, f"doc_id {extended.schema['doc_id'].dataType.simpleString()}, tk long, anchor long, once boolean, window long, first int")
 
 
 def _same_text(a: DataFrame, b: DataFrame) -> Column:
@@ -116,22 +186,30 @@ def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
     # written first, so that the join deals both sides anew and a hot anchor's rows can be split
     often = keep(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     seeds = keep(runs.join(often, "anchor"), "seeds")
-    kinds = keep(
-        seeds.groupBy("anchor", "whole", "n").agg(F.count("*").alias("places"), *(F.first(c).alias(c) for c in (*_ID, "first"))), "runs"
-    )
+    example = F.min(F.struct(*_ID, "first")).alias("example")
+    kinds = keep(seeds.groupBy("anchor", "whole", "n").agg(F.count("*").alias("places"), example).select("anchor", "whole", "n", "places", "example.*"), "runs")
     whole = seeds.join(kinds.where("places > 1").select("anchor", "whole", "n"), ["anchor", "whole", "n"]).select(*_ID, "first", "n")
-    mixed = keep(kinds.groupBy("anchor").count().where("count > 1").select("anchor"), "mixed")
+    mixed = keep(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "mixed")
     listed = (
         kinds.join(mixed, "anchor")
         .groupBy(*_ID)
-        .agg(F.collect_list(F.struct("first", "n", "anchor", (F.col("places") == 1).alias("once"))).alias("runs"))
+        .agg(F.collect_list(F.struct("first", "n", "anchor", (F.col("places") == 1).alias("once"), "kinds")).alias("runs"))
     )
     texts = documents.select("doc_id", _text_key().alias("tk"), "text")
     examples = texts.join(listed, _same_text(texts, listed)).select(texts["doc_id"], texts["tk"], "text", "runs").dropDuplicates(_ID)
-    windows = keep(_windows(examples, length), "windows")
+    contexts = keep(_contexts(examples, length, seed), "contexts")
+    chosen = F.min(F.struct(*_ID, "first", "n", "once", "at", "words")).alias("r")
+    least = keep(contexts.groupBy("anchor").agg(chosen).select("anchor", *(F.col(f"r.{c}").alias(f"r_{c}") for c in (*_ID, "first", "once", "at", "words"))), "representatives")
+    itself = F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("tk") == F.col("r_tk")) & (F.col("first") == F.col("r_first"))
+    extended = keep(_extended(contexts.join(least, "anchor").where(~itself), length), "extended")
+    found = extended.where("high > low")
+    n = (F.col("high") - F.col("low")).alias("n")
+    mine = found.where("once").select(*_ID, (F.col("first") + F.col("low")).alias("first"), n)
+    theirs = found.where("r_once").select(F.col("r_doc_id").alias("doc_id"), F.col("r_tk").alias("tk"), (F.col("r_first") + F.col("r_at") + F.col("low") - F.col("at")).alias("first"), n).distinct()
+    windows = keep(_rest(extended.where("kinds > 2"), length), "windows")
     again = keep(windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window"), "again")
     single = windows.where("once").join(again, ["anchor", "window"]).select(*_ID, "first", F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy(*_ID).agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    return whole.unionByName(mine).unionByName(theirs).unionByName(single).groupBy(*_ID).agg(F.collect_set(F.struct("first", "n")).alias("runs"))
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
