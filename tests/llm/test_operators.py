@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -745,7 +746,7 @@ def test_token_attribution(spark, tricky, nothing):
     out = by_id(tokens.attribute(clashing(tricky)))
     encoding, size = tokens._encoding(open(tokens.VOCABULARY, "rb").read(), tokens.PATTERN)
     for i, text, *_ in tricky_rows():
-        if i is None or (text and len(text) > 5000):
+        if i is None:
             continue
         text = text or ""
         data = text.encode()
@@ -755,8 +756,8 @@ def test_token_attribution(spark, tricky, nothing):
         count, at = Counter(), 0
         for t in ids:
             end = at + int(size[t])
-            share = [max(0, min(end, e) - max(at, s)) for s, e in zip(starts, ends, strict=True)]
-            count[share.index(max(share))] += 1
+            near = range(max(0, bisect.bisect_right(starts, at) - 1), min(len(starts), bisect.bisect_left(starts, end) + 1))
+            count[max(near, key=lambda k: (min(end, ends[k]) - max(at, starts[k]), -k))] += 1
             at = end
         r = out[i]
         assert r["n_tokens"] == len(ids) and [s["tokens"] for s in r["sections"]] == [count[k] for k in range(len(starts))]
@@ -764,6 +765,21 @@ def test_token_attribution(spark, tricky, nothing):
     assert tokens.summary(tokens.attribute(nothing)).count() == 0
 
 
+def test_one_text_of_some_mb(spark):
+    """Tokens and sections of a very long text add up, and other operators take it whole."""
+    text = ". ".join(" ".join(random.Random(k).choices(vocabulary(), k=20)) for k in range(25_000))
+    df = spark.createDataFrame([(1, text, None, "a", len(text)), (2, "short", None, "a", 5)], SCHEMA)
+    assert len(text) > 2_000_000
+    r = by_id(tokens.attribute(df))[1]
+    assert sum(s["tokens"] for s in r["sections"]) == r["n_tokens"] and sum(s["chars"] for s in r["sections"]) == len(text) and len(r["sections"]) == 25_000
+    assert by_id(media.features(media.read_media(media.store_documents(df))))[1]["payload_bytes"] == len(text.encode()) + -len(text.encode()) % 192
+    mix = by_id(mixture.taken(df))
+    assert mix[1]["size"] == 500_000 and abs(mix[1]["taken"] + mix[2]["taken"] - 500_001) <= mixture.BLOCK
+    bench = spark.createDataFrame([(1, " ".join(brute.words(text)[400_000:400_020]))], "item_id long, text string")
+    assert by_id(decontaminate.contamination(df, bench))[1]["n_hit"] >= 20
+    assert by_id(substrings.remove_repeats(df))[2]["n_removed"] == 0
+
+
 def test_crossing_tokens_go_to_the_larger_share():
     begin, end = np.array([0, 3, 8]), np.array([3, 8, 9])
     owner, crossing = tokens.owners(begin, end, np.array([0, 5, 6]), 9)

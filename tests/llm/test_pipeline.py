@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -10,8 +11,12 @@ import pytest
 
 import corpus_pipeline
 from tests.conftest import SF_DIR
+from pyspark.sql import functions as F
+
 from tests.llm import brute
+from tests.llm.conftest import SCHEMA, vocabulary
 from trafficlens.llm import mixture, quality
+from trafficlens.llm.scratch import keep
 
 TOKEN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+|[^0-9A-Za-z\x80-\U0010ffff\x20\x09-\x0D]+")
 
@@ -113,6 +118,34 @@ def test_run_is_the_stages(spark, stages):
     assert sorted(got, key=str) == sorted(stages["mixture"][1], key=str)
 
 
+def test_tricky_rows_through_all_stages(spark, tricky, nothing, tmp_path):
+    """Null and repeated ids, unlike texts under one id, repeated rows, and clashing columns: each stage keeps what it must."""
+    rng, vocab = random.Random(12), vocabulary()
+    make = lambda n: " ".join(rng.choices(vocab, k=n))
+    a, b = make(60), make(70)
+    extra = [(1, a, "xx", "s", 1), (1, b, "xx", "s", 1), (0, b, "xx", "s", 1), (2, a, "xx", None, 1), (None, make(80), None, None, None), (None, make(90), "xx", "s", 2)]
+    docs = tricky.unionByName(spark.createDataFrame(extra, SCHEMA))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 66, 3)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, " ".join(brute.words(extra[4][1])[5:40]))], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for c in ("fp", "root", "h1", "h2", "k1", "k2", "tk", "size", "n_words", "hits", "items", "_k1", "_row", "noise", "kept", "copies"):
+        now = now.withColumn(c, F.lit("clash"))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = keep(stage(spark, now, str(tmp_path)), name)
+        kept[name] = now.collect()
+    assert len(kept["quality"]) == docs.count()  # all weights are within the margin
+    groups = brute.components([brute.fingerprint(r["text"]) for r in kept["quality"]])
+    of = dict(zip(map(tuple, kept["quality"]), groups, strict=True))
+    assert sorted(of[tuple(r)] for r in kept["near_duplicates"]) == sorted(set(groups))
+    assert {(r["doc_id"], r["text"]) for r in kept["near_duplicates"]} >= {(1, a), (0, b)}
+    assert sorted(str(r["doc_id"]) for r in kept["repeated_passages"]) == sorted(str(r["doc_id"]) for r in kept["near_duplicates"])
+    assert len(kept["benchmark_passages"]) == len(kept["repeated_passages"]) - 1 and (None, 80) not in {(r["doc_id"], len(brute.words(r["text"]))) for r in kept["benchmark_passages"]}
+    assert sorted((str(r["doc_id"]), r["size"]) for r in kept["mixture"]) == sorted((str(r["doc_id"]), len(brute.words(r["text"]))) for r in kept["benchmark_passages"])
+
+
 def test_empty_corpus(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
