@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.components import stars
-from trafficlens.llm.scratch import keep
+from trafficlens.llm.scratch import drop, keep
 from trafficlens.llm.words import NOT_SPACE, joined_words, split_words
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -210,7 +210,8 @@ def frontier(distinct: DataFrame, max_bits: int = MAX_BITS) -> list[tuple[int, D
         err = F.col("err") + F.bit_count(F.col("k_a").bitwiseXOR(F.col("k_b")).bitwiseAND(F.lit((1 << step) - 1)))
         fits = (err <= budget(depth + step, max_bits)) & ((F.col("a") != F.col("b")) | (F.col("k_a") <= F.col("k_b")))
         pairs = large.select("r", "a", "b", "err").join(ka, (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("p_a"))).join(kb, (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("p_b")) & fits)
-        level = keep(pairs.select("r", F.col("k_a").alias("a"), F.col("k_b").alias("b"), err.alias("err"), F.col("m_a").alias("n_a"), F.col("m_b").alias("n_b")), "node-pairs")
+        last, level = level, keep(pairs.select("r", F.col("k_a").alias("a"), F.col("k_b").alias("b"), err.alias("err"), F.col("m_a").alias("n_a"), F.col("m_b").alias("n_b")), "node-pairs")
+        drop(last, kids)
         depth += step
 
 
