@@ -156,3 +156,15 @@ def test_training_files(spark, tmp_path):
     (tmp_path / "names.txt").write_text("1,a.com\n\n 2,b.org \n3,c.net\n")
     assert [r[0] for r in training_files.name_list(spark, str(tmp_path / "names.txt"), 2, ranked=True).collect()] == ["a.com", "b.org"]
     assert [r[0] for r in training_files.name_list(spark, str(tmp_path / "names.txt")).collect()] == ["1,a.com", "2,b.org", "3,c.net"]
+
+
+def test_capped_flows_are_the_first_by_time_then_arrival(spark):
+    rows = spark.createDataFrame([(5, "z"), (1, "y"), (1, "x"), (9, "w")], "ts_us long, uid string").coalesce(1)
+    assert [r["uid"] for r in zeek.first_flows(rows, 3).collect()] == ["y", "x", "z"] and zeek.first_flows(rows).count() == 4
+
+
+def test_timeline_has_benign_flows_and_its_phases(spark):
+    made = synthetic.timeline(spark, [("flood", 100_000_000), ("beacon", 300_000_000)], benign=10)
+    assert {r["dst_ip"] for r in made.where("dst_ip in ('10.9.9.9', '203.0.113.66')").collect()} == {"10.9.9.9", "203.0.113.66"}
+    assert made.where("dst_ip = '10.9.9.9'").agg(F.min("timestamp_us")).first()[0] == 100_000_000
+    assert made.where("src_ip like '10.50.%'").select("src_ip").distinct().count() == 10

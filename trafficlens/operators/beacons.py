@@ -64,12 +64,13 @@ def qualified_starts(starts: DataFrame, summary: DataFrame) -> DataFrame:
 def beacon_scores(events: DataFrame, key: tuple[str, ...] = ENDPOINT, ts: str = "ts", size: str = "bytes", order: str = "seq") -> DataFrame:
     """Periodicity of each key's last HISTORY events (``ts`` in seconds): gaps, jitter, confidence, is_beacon.
 
-    Two windows and one aggregation over one partitioning by key. ``total_bytes`` is of all events.
+    The newest events are a group limit, so a busy key's other events go before the shuffle. ``total_bytes``
+    is of all events, summed apart.
     """
     newest = Window.partitionBy(*key).orderBy(F.desc(ts), F.desc(order))
     in_time = Window.partitionBy(*key).orderBy(ts, order)
-    whole = Window.partitionBy(*key)
-    last = events.withColumn("total_bytes", F.sum(size).over(whole)).withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= HISTORY)
+    last = events.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= HISTORY)
+    totals = events.groupBy(*key).agg(F.sum(size).alias("total_bytes"))
     gap = F.col(ts) - F.lag(ts).over(in_time)
     gaps = last.withColumn("gap", gap).withColumn("gap", F.when(F.col("gap").between(LEAST_GAP, MOST_GAP), F.col("gap")))
     out = gaps.groupBy(*key).agg(
@@ -78,9 +79,8 @@ def beacon_scores(events: DataFrame, key: tuple[str, ...] = ENDPOINT, ts: str =
         F.count("gap").alias("n_gaps"),
         F.avg("gap").alias("mean_interval"),
         F.stddev_pop("gap").alias("interval_std"),
-        F.first("total_bytes").alias("total_bytes"),
     )
-    out = out.withColumn("cv", F.col("interval_std") / F.col("mean_interval"))
+    out = out.join(totals, list(key)).withColumn("cv", F.col("interval_std") / F.col("mean_interval"))
     regular = 1 - F.least(F.col("cv") / MOST_CV, F.lit(1.0))
     volume = F.least(F.col("n_gaps") / 20.0, F.lit(1.0))
     confidence = F.least(0.70 + 0.29 * (0.6 * regular + 0.4 * volume), F.lit(0.99))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,14 @@ def lookups(spark: SparkSession, n: int = 20, src: str = "10.4.4.4", start_us: i
     )
 
 
+def timeline(spark: SparkSession, phases: list[tuple[str, int]], benign: int = 40) -> DataFrame:
+    """Benign flows throughout, and attacks ("flood", "scan", "upload", "beacon", "sessions", "lookups") that begin at given times (us)."""
+    made = {"flood": flood, "scan": scan, "upload": upload, "beacon": beacon, "sessions": sessions, "lookups": lookups}
+    parts = [made[name](spark, start_us=start) for name, start in phases]
+    quiet = labelled_packets(spark, "DDoS", benign, 0).select(parts[0].columns if parts else "*")
+    return reduce(DataFrame.unionByName, parts, quiet)
+
+
 def _between(low: Column, high: Column, *seed: object) -> Column:
     return low + uniform(*seed) * (high - low)
 

@@ -150,9 +150,9 @@ def c2_flows(raw: DataFrame) -> DataFrame:
 
 
 def first_flows(flows: DataFrame, most: int | None = None) -> DataFrame:
-    """Flows in time order, at most so many. The order is for the cap; features don't need it."""
-    out = flows.orderBy("ts_us", "uid")
-    return out.limit(most) if most else out
+    """Flows in time order, ties in order of arrival, at most so many. The order is for the cap; features don't need it."""
+    out = flows.withColumn("_arrival", F.monotonically_increasing_id()).orderBy("ts_us", "_arrival")
+    return (out.limit(most) if most else out).drop("_arrival")
 
 
 def binetflow(raw: DataFrame) -> DataFrame:
