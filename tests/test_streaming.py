@@ -84,6 +84,31 @@ def test_scan_stream_alerts_like_the_batch(spark, tmp_path):
     assert got and sorted(map(key, got)) == sorted(map(key, portscan.component_alerts(batch, "x").collect()))
 
 
+def _bounded(spark, tmp_path, rows_, most):
+    end = rows_.agg(F.max("ts_us")).first()[0]
+    made = rows_.unionByName(windows.tick_row(spark, rows_.schema, end + 10**10))
+    got, _ = collected(state.bounded_scan_windows(streamed(spark, tmp_path, made, "ts_us"), lateness_s=0, most_rows=most), tmp_path, lambda b: b)
+    return [r for r in got if r["src_ip"] is not None]
+
+
+def test_bounded_windows_equal_batch(spark, tmp_path):
+    rows_ = views.connections(spark, SF_DIR).drop("seq")
+    got = spark.createDataFrame(_bounded(spark, tmp_path, rows_, 10_000))
+    assert got.where("truncated").count() == 0
+    features = {(r["src_ip"], r["start_us"]): r for r in portscan.features(got.drop("truncated"), 30).collect()}
+    batch = {(r["src_ip"], r["start_us"]): r for r in portscan.window_features(rows_).collect()}
+    assert features.keys() == batch.keys() and all(features[k][c] == batch[k][c] for k in batch for c in portscan.FEATURES)
+
+
+def test_bounded_windows_refuse_rows_and_say_so(spark, tmp_path):
+    rows_ = views.connections(spark, SF_DIR).drop("seq")
+    got = _bounded(spark, tmp_path, rows_, 8)
+    sizes = Counter((r["src_ip"], r["start_us"]) for r in got)
+    whole = Counter((r["src_ip"], r["start_us"]) for r in portscan.dealt(rows_, 30, 10).select("src_ip", "start_us").collect())
+    cut = {(r["src_ip"], r["start_us"]) for r in got if r["truncated"]}
+    assert cut and max(sizes.values()) <= 8 and all(k in cut for k, n in sizes.items() if n < whole[k])
+
+
 def plain_lateness(rows_, window, stride, allowance):
     newest, out = None, []
     for src, ts in rows_:

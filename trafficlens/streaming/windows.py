@@ -3,8 +3,8 @@
 A window's rows are held in state until the watermark passes its end; a closed window is
 emitted once, and its features are computed by the batch operator inside
 ``foreachBatch``. So stream and batch agree by construction. Rows behind the watermark
-are dropped for the windows that have closed only. ``most_rows`` bounds a window's
-state; a window that was cut says so.
+are dropped for the windows that have closed only. ``most_rows`` cuts a closed window, and it
+says so; ``state.bounded_scan_windows`` bounds what is held before.
 """
 
 from __future__ import annotations
