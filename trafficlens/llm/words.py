@@ -132,6 +132,38 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SL
         yield from portions(batch, pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), most)
 
 
+def stretches(column: pa.Array, accepts: np.ndarray, lower: bool = False, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
+    """The texts as (first row, byte of that row, texts): short texts together, a long one in stretches of about ``most`` bytes.
+
+    A stretch ends behind a byte that is in no word, so no word is cut (a longer word makes a longer stretch).
+    """
+    data, at = utf8(column)
+    inside = accepts[LOWER] if lower else accepts
+    begin = 0
+
+    def texts(first: int, last: int) -> pa.Array:
+        return pa.LargeStringArray.from_buffers(last - first, pa.py_buffer(at[first : last + 1] - at[first]), pa.py_buffer(data[at[first] : at[last]]))
+
+    for long in np.flatnonzero(np.diff(at) > 4 * most).tolist():
+        if begin < long:
+            yield begin, 0, texts(begin, long)
+        begin, here, end = long + 1, int(at[long]), int(at[long + 1])
+        while here < end:
+            until = min(here + most, end)
+            if until < end:
+                border = np.flatnonzero(~inside[data[here:until]])
+                if len(border):
+                    until = here + int(border[-1]) + 1
+                else:
+                    while until < end and inside[data[until]]:
+                        step = ~inside[data[until : until + most]]
+                        until = min(until + (int(step.argmax()) + 1 if step.any() else most), end)
+            yield long, here - int(at[long]), pa.LargeStringArray.from_buffers(1, pa.py_buffer(np.array([0, until - here])), pa.py_buffer(data[here:until]))
+            here = until
+    if begin < len(column):
+        yield begin, 0, texts(begin, len(column))
+
+
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """Arrow strings from byte spans that don't overlap and ascend."""
     size = end - start
