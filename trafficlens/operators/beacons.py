@@ -12,6 +12,7 @@ from trafficlens.schemas import STANDARD_PORTS, TCP, WINDOW_US
 ENDPOINT = ("src_ip", "dst_ip", "dst_port")
 # Fixed values of the periodicity rule.
 HISTORY, LEAST_EVENTS, LEAST_GAP, MOST_GAP, MOST_SPAN = 256, 5, 1.0, 900.0, 3600.0
+TTL_US = 1_800_000_000
 LEAST_BYTES, MOST_CV, ALERT_AT, NOMINAL_BYTES = 200, 0.50, 0.7, 40
 
 
@@ -80,7 +81,12 @@ def beacon_scores(events: DataFrame, key: tuple[str, ...] = ENDPOINT, ts: str =
         F.avg("gap").alias("mean_interval"),
         F.stddev_pop("gap").alias("interval_std"),
     )
-    out = out.join(totals, list(key)).withColumn("cv", F.col("interval_std") / F.col("mean_interval"))
+    return _judged(out.join(totals, list(key)))
+
+
+def _judged(stats: DataFrame) -> DataFrame:
+    """cv, confidence and is_beacon from beacon_count, span, n_gaps, mean_interval, interval_std and total_bytes."""
+    out = stats.withColumn("cv", F.col("interval_std") / F.col("mean_interval"))
     regular = 1 - F.least(F.col("cv") / MOST_CV, F.lit(1.0))
     volume = F.least(F.col("n_gaps") / 20.0, F.lit(1.0))
     confidence = F.least(0.70 + 0.29 * (0.6 * regular + 0.4 * volume), F.lit(0.99))
@@ -96,6 +102,37 @@ def beacon_scores(events: DataFrame, key: tuple[str, ...] = ENDPOINT, ts: str =
     return out.withColumn("confidence", confidence).withColumn("is_beacon", F.coalesce(hit, F.lit(False)))
 
 
+def histories(starts: DataFrame) -> DataFrame:
+    """For each endpoint and window with starts: its history at the window's end, in whole microseconds.
+
+    The history is the last HISTORY starts since a pause of over TTL_US, which forgets the endpoint. ``streaming.state`` keeps
+    the same.
+    """
+    by = Window.partitionBy(*ENDPOINT).orderBy("timestamp_us", "seq")
+    pause = F.col("timestamp_us") - F.lag("timestamp_us").over(by)
+    rows = starts.withColumn("life", F.sum((F.coalesce(pause, F.lit(0)) > TTL_US).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    life = Window.partitionBy(*ENDPOINT, "life").orderBy("timestamp_us", "seq")
+    gap = F.col("timestamp_us") - F.lag("timestamp_us").over(life)
+    rows = rows.withColumn("gap", F.when(gap.between(int(LEAST_GAP * 1e6), int(MOST_GAP * 1e6)), gap))
+    kept, gaps = life.rowsBetween(-(HISTORY - 1), 0), life.rowsBetween(-(HISTORY - 2), 0)
+    square = F.col("gap").cast("decimal(19,0)") * F.col("gap").cast("decimal(19,0)")
+    rows = rows.select(
+        *ENDPOINT, WINDOW, F.lead(WINDOW).over(life).alias("next_window"),
+        F.count("*").over(kept).alias("beacon_count"), F.min("timestamp_us").over(kept).alias("first_us"), F.col("timestamp_us").alias("last_us"),
+        F.count("gap").over(gaps).alias("n_gaps"), F.coalesce(F.sum("gap").over(gaps), F.lit(0)).alias("gap_sum"),
+        F.coalesce(F.sum(square).over(gaps), F.lit(0)).cast("decimal(38,0)").alias("gap_squares"), F.sum("bytes").over(life.rowsBetween(Window.unboundedPreceding, 0)).alias("total_bytes"),
+    )
+    return rows.where(F.col("next_window").isNull() | (F.col("next_window") != F.col(WINDOW))).drop("next_window")
+
+
+def history_scores(found: DataFrame) -> DataFrame:
+    """The verdict on each history; the same numbers from a batch and from a stream, as the sums are whole."""
+    mean = F.col("gap_sum") / F.col("n_gaps")
+    variance = F.col("gap_squares").cast("double") / F.col("n_gaps") - mean * mean
+    stats = {"span": (F.col("last_us") - F.col("first_us")) / 1e6, "mean_interval": mean / 1e6, "interval_std": F.sqrt(F.greatest(variance, F.lit(0.0))) / 1e6}
+    return _judged(found.withColumns({k: F.when(F.col("n_gaps") > 0, v) if k != "span" else v for k, v in stats.items()}))
+
+
 def beacon_alerts(scores: DataFrame, window_us: Column) -> DataFrame:
     evidence = {
         "beacon_count": F.col("beacon_count"),

@@ -32,9 +32,15 @@ def server_reply() -> Column:
     return ~initiating & (F.col("src_port").isin(*STANDARD_PORTS) | (F.col("src_port") < 1024)) & (F.col("dst_port") > 1024)
 
 
+def above_watermark(condition: Column) -> Column:
+    """The same filter for rows with ``event_time``, but one that isn't pushed below the watermark: rows that it drops move it too."""
+    return condition | F.col("event_time").isNull()
+
+
 def roles(packets: DataFrame) -> DataFrame:
     """Each TCP packet twice: on its own key, and as a response on its peer's key."""
-    kept = packets.where((F.col("protocol") == TCP) & not_a_scan_source()).withColumn("reply", server_reply())
+    kept = (F.col("protocol") == TCP) & not_a_scan_source()
+    kept = packets.where(above_watermark(kept) if "event_time" in packets.columns else kept).withColumn("reply", server_reply())
     own = F.struct("src_ip", "dst_ip", "dst_port", F.lit(True).alias("own"))
     response = F.struct(F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), F.col("src_port").alias("dst_port"), F.lit(False).alias("own"))
     return kept.select("timestamp_us", "seq", "syn", "rst", "fin", "reply", F.explode(F.array(own, response)).alias("k")).select("k.*", "timestamp_us", "seq", "syn", "rst", "fin", "reply")

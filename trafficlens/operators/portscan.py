@@ -70,6 +70,12 @@ def _summed(rows: DataFrame, sums: dict[str, Column], extremes: dict[str, Column
     """
     key = (*KEY, "bucket")
     pairs = rows.groupBy(*key, "dst_ip", "dst_port").agg(F.count("*").alias("c"), *(F.sum(x).alias(n) for n, x in sums.items()), *(x.alias(n) for n, x in extremes.items()))
+    return _of_pairs(pairs, tuple(sums), tuple(extremes))
+
+
+def _of_pairs(pairs: DataFrame, sums: tuple[str, ...], extremes: tuple[str, ...]) -> DataFrame:
+    """The second half: from pairs of host and port with their sums."""
+    key = (*KEY, "bucket")
     port = F.struct(F.lit(True).alias("is_port"), F.col("dst_port").alias("value"))
     host = F.struct(F.lit(False).alias("is_port"), F.col("dst_ip").alias("value"))
     sides = pairs.withColumn("side", F.explode(F.array(port, host))).withColumns({"is_port": F.col("side.is_port"), "value": F.col("side.value")})
@@ -91,14 +97,30 @@ def _summed(rows: DataFrame, sums: dict[str, Column], extremes: dict[str, Column
 
 def features(rows: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:
     """Features of connections that are already dealt to their windows."""
+    return _finished(_summed(_in_buckets(rows), _sums(), {"min_us": F.min("ts_us"), "max_us": F.max("ts_us")}), window_s, min_flows)
+
+
+def features_of_pairs(pairs: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:
+    """The same of windows that are already summed by host and port (``PAIR_SUMS``, ``c``, min_us, max_us); a window's gaps are on any of its pairs."""
+    return _finished(_of_pairs(pairs.withColumn("bucket", F.lit(0)), PAIR_SUMS, ("min_us", "max_us")), window_s, min_flows)
+
+
+#: Sums of a window's connections, by pair of host and port
+PAIR_SUMS = ("failed_connections", "s0_n", "rej_n", "rsto_n", "zero_n", "lone_n", "orig", "resp", "dur", "gaps", "gap_sum", "gap_squares")
+
+
+def _sums() -> dict[str, Column]:
     state = F.col("conn_state")
     gap = F.when(F.col("prev_us") >= F.col("start_us"), F.col("ts_us") - F.col("prev_us"))
     of = lambda condition: condition.cast("long")
-    sums = {
+    return {
         "failed_connections": of(state.isin(*FAILED_STATES)), **{f"{x.lower()}_n": of(state == x) for x in ("S0", "REJ", "RSTO")}, "zero_n": of(F.col("resp_pkts") == 0), "lone_n": of(F.col("history") == "S"),
         "orig": F.col("orig_pkts"), "resp": F.col("resp_pkts"), "dur": F.col("duration"), "gaps": of(gap.isNotNull()), "gap_sum": F.coalesce(gap, F.lit(0)), "gap_squares": F.coalesce(gap * gap, F.lit(0)),
     }
-    total = _summed(_in_buckets(rows), sums, {"min_us": F.min("ts_us"), "max_us": F.max("ts_us")}).where(F.col("connection_attempts") >= min_flows)
+
+
+def _finished(summed: DataFrame, window_s: float, min_flows: int) -> DataFrame:
+    total = summed.where(F.col("connection_attempts") >= min_flows)
     n = F.col("connection_attempts")
     span = (F.col("max_us") - F.col("min_us")) / 1e6
     mean = F.col("gap_sum") / F.col("gaps")
@@ -118,7 +140,7 @@ def features(rows: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:
         "fanout_ratio": rounded(F.col("unique_dst_ports") / n),
         "end_us": F.col("start_us") + int(window_s * 1_000_000),
     }
-    return total.withColumns(made).drop("bucket", "min_us", "max_us", *(x for x in sums if x != "failed_connections"))
+    return total.withColumns(made).drop("bucket", "min_us", "max_us", *PAIR_SUMS[1:])
 
 
 def fan_out(rows: DataFrame) -> DataFrame:

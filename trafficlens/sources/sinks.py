@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from trafficlens.operators.serving import described, flow_id, severity_rank
 from trafficlens.schemas import FLAGS
@@ -41,6 +42,37 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def write_once(rows: DataFrame, folder: str, batch: int) -> bool:
+    """A micro-batch's rows as the folder ``batch=<n>``, exactly once; False if it was there.
+
+    The rows are written beside it first, under a name that readers pass over, and then renamed in one step. A batch that
+    was cut off before the rename leaves nothing that is read, and one that is replayed after it changes nothing.
+    """
+    (to, fs), (by, _) = (_path(rows.sparkSession, f"{folder}/{name}") for name in (f"batch={batch}", f"_batch-{batch}"))
+    if fs.exists(to):
+        return False
+    rows.write.mode("overwrite").parquet(by.toString())
+    if not fs.rename(by, to):
+        raise OSError(f"{by.toString()} can't be renamed to {to.toString()}")
+    return True
+
+
+def written(spark: SparkSession, folder: str, batch: int, schema: StructType) -> DataFrame:
+    """What ``write_once`` wrote for a batch; no rows if it wrote none."""
+    path, fs = _path(spark, f"{folder}/batch={batch}")
+    return spark.read.schema(schema).parquet(path.toString()) if fs.exists(path) else spark.createDataFrame([], schema)
+
+
+def forget(spark: SparkSession, folder: str, batch: int) -> None:
+    path, fs = _path(spark, f"{folder}/batch={batch}")
+    fs.delete(path, True)
+
+
 def _utc(pattern: str) -> Column:
     return F.date_format(F.timestamp_micros("ts_us"), pattern)
 

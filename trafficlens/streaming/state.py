@@ -14,33 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trafficlens.operators.beacons import HISTORY
-from trafficlens.operators.connections import IDLE_US, KEY, SYN_IDLE_US, roles
+from trafficlens.operators.connections import KEY, roles
+from trafficlens.operators.tracking import FIELDS, RECORD, STATE, over_us, record, step
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TTL_MS = 1_800_000
-#: At a flush: the least age of an unanswered record, and the idle time of any other
-FLUSH_AGE_US, FLUSH_IDLE_US = 1_000_000, 3_000_000
-
-_CONNECTION = "first_us long, last_us long, orig long, resp long, opened boolean, reset boolean, closed boolean"
-RECORD = "ts_us long, src_ip string, dst_ip string, dst_port string, conn_state string, duration double, orig_pkts double, resp_pkts double, history string"
-_NAMES = [f.split()[0] for f in _CONNECTION.split(", ")]
-
-
-def _record(key: tuple, c: dict) -> dict:
-    """A finished connection as a record."""
-    if c["opened"] and not c["resp"]:
-        state = "REJ" if c["reset"] else "S0"
-    elif c["resp"] and c["reset"]:
-        state = "RSTO"
-    elif c["resp"] and c["closed"]:
-        state = "SF"
-    else:
-        state = "OTH"
-    return {
-        "ts_us": c["first_us"], "src_ip": key[0], "dst_ip": key[1], "dst_port": str(key[2]), "conn_state": state,
-        "duration": (c["last_us"] - c["first_us"]) / 1e6, "orig_pkts": float(c["orig"]), "resp_pkts": float(c["resp"]),
-        "history": "S" if state == "S0" and c["orig"] == 1 else "-",
-    }
+_RECORD_NAMES = [f.split()[0] for f in RECORD.split(", ")]
 
 
 class ConnectionTracker(StatefulProcessor):
@@ -55,23 +34,7 @@ class ConnectionTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", _CONNECTION)
-
-    def _over_us(self, c: dict) -> int:
-        """The first time at which the record is over if nothing else comes."""
-        idle = SYN_IDLE_US if c["opened"] and not c["resp"] else IDLE_US
-        over = c["last_us"] + idle + 1
-        if self.flush_us:
-            due = c["last_us"] + FLUSH_IDLE_US + 1
-            if not c["resp"]:
-                due = min(due, max(c["first_us"] + FLUSH_AGE_US, c["last_us"] + 1))
-            over = min(over, -(-due // self.flush_us) * self.flush_us)
-        return over
-
-    def _finish(self, key: tuple, c: dict) -> pd.DataFrame:
-        self.open.clear()
-        self._set_timer(None)
-        return pd.DataFrame([_record(key, c)])
+        self.open = handle.getValueState("open", STATE)
 
     def _set_timer(self, at_us: int | None) -> None:
         for timer in list(self.handle.listTimers()):
@@ -80,36 +43,21 @@ class ConnectionTracker(StatefulProcessor):
             self.handle.registerTimer(-(-at_us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        c = dict(zip(_NAMES, self.open.get(), strict=True)) if self.open.exists() else None
+        c, out = dict(zip(FIELDS, self.open.get(), strict=True)) if self.open.exists() else None, []
         every = pd.concat(list(rows)).sort_values(["timestamp_us", "seq", "own"], ascending=[True, True, False])
         for p in every.itertuples(index=False):
-            now = int(p.timestamp_us)
-            if c is not None and now >= self._over_us(c):
-                yield self._finish(key, c)
-                c = None
-            if not p.own:
-                if c is not None:
-                    c["resp"] += 1
-                continue
-            if c is None:
-                if p.reply:
-                    continue
-                c = {"first_us": now, "last_us": now, "orig": 0, "resp": 0, "opened": False, "reset": False, "closed": False}
-            c["orig"] += 1
-            c["last_us"] = now
-            c["opened"] |= bool(p.syn and not p.reply)
-            c["reset"] |= bool(p.rst)
-            c["closed"] |= bool(p.fin)
-            if p.rst or p.fin:
-                yield self._finish(key, c)
-                c = None
-        if c is not None:
-            self.open.update(tuple(c[n] for n in _NAMES))
-            self._set_timer(self._over_us(c))
+            c = step(key, c, (int(p.timestamp_us), p.seq, p.own, False, p.syn, p.rst, p.fin, p.reply), self.flush_us, out)
+        self.open.clear() if c is None else self.open.update(tuple(c[n] for n in FIELDS))
+        self._set_timer(None if c is None else over_us(c, self.flush_us))
+        if out:
+            yield pd.DataFrame([r[:-1] for r in out], columns=_RECORD_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.open.exists():
-            yield self._finish(key, dict(zip(_NAMES, self.open.get(), strict=True)))
+            c = dict(zip(FIELDS, self.open.get(), strict=True))
+            self.open.clear()
+            self._set_timer(None)
+            yield pd.DataFrame([record(key, c)], columns=_RECORD_NAMES)
 
     def close(self) -> None:
         pass
