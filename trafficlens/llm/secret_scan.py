@@ -1,6 +1,6 @@
 """Secrets in texts: three fixed patterns, and strings that look drawn at random.
 
-Two character Markov models (each character given the two before it, add-``PRIOR`` counts) are trained
+Two character Markov models (each character given the two before it, falling back on one and none) are trained
 from labelled samples, one on random strings and one on ordinary identifiers. Their
 log-likelihood ratio is a table over three characters, so a string's ratio is a sum of look-ups; the table is
 the model that is broadcast, of a fixed size (67^3 numbers). Candidates are the maximal runs of ``[A-Za-z0-9+/_=-]`` with at least
@@ -49,7 +49,7 @@ _IN_RUN = _CODE > 0
 #: Code 0 stands before a string's first character
 _CODES = len(CHARACTERS) + 1
 
-PRIOR, MARGIN, RATE = 1.0, 10.0, 0.3
+PRIOR, MARGIN, RATE = 10.0, 10.0, 0.3
 SHORTEST, IDENTIFIER = 20, 8
 MAX_SAMPLES, DRAWN = 20_000, 1_000
 #: Alphabets of the drawn strings
@@ -150,6 +150,14 @@ def drawn_samples(many: int = DRAWN, seed: int = 13) -> list[str]:
     return ["".join(rng.choice(list(alphabet), int(rng.integers(20, 65)))) for alphabet in ALPHABETS for _ in range(many)]
 
 
+def _smoothed(seen: np.ndarray) -> np.ndarray:
+    """Probabilities of a character after two others; PRIOR counts are shared out as after one, and there as after none."""
+    p = (seen.sum(axis=(0, 1)) + 1.0) / (seen.sum() + _CODES)
+    for counts in (seen.sum(axis=0), seen):
+        p = (counts + PRIOR * p) / (counts.sum(axis=-1, keepdims=True) + PRIOR)
+    return p
+
+
 def train(samples: DataFrame, drawn: int = DRAWN) -> np.ndarray:
     """The table of log-likelihood ratios from samples (value, random); their number is bounded by their maker."""
     rows = samples.select("value", "random").where(F.col("value").isNotNull() & F.col("random").isNotNull()).toArrow()
@@ -158,8 +166,7 @@ def train(samples: DataFrame, drawn: int = DRAWN) -> np.ndarray:
     for random in (True, False):
         values = rows.filter(pa.array(label == random)).column("value").to_pylist() + (drawn_samples(drawn) if random else [])
         data, at = utf8(pa.array(values, pa.string()))
-        seen = np.bincount(trigrams(data, at[:-1], at[1:])[1], minlength=_CODES**3).reshape(-1, _CODES) + PRIOR
-        logs.append(np.log(seen / seen.sum(axis=1, keepdims=True)))
+        logs.append(np.log(_smoothed(np.bincount(trigrams(data, at[:-1], at[1:])[1], minlength=_CODES**3).reshape(_CODES, _CODES, _CODES))))
     return (logs[0] - logs[1]).ravel()
 
 
