@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -830,3 +831,21 @@ def test_chat_round_trip(spark):
     text = {r["conv_id"]: r["formatted"] for r in formatted.collect()}
     assert text[1].count(chat.TURN) == 3 and text[1].count(chat.PART) == 3 and text[1].count(chat.END) == 3
     assert chat.read_conversations(chat.format_conversations(df.where("false"))).count() == 0
+
+
+def test_chat_of_many_turns_is_linear(spark):
+    """40,000 turns without a conversation's id, and one of them long: seconds, not minutes."""
+    text = F.concat(F.lit("é <&> \U0001f600 "), F.repeat(F.lit("word "), F.when(F.col("id") == 7, 100_000).otherwise(40)), F.col("id"))
+    df = spark.range(40_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    began = time.monotonic()
+    r = chat.read_conversations(chat.format_conversations(df)).select(F.size("turns").alias("n"), "loss_text", "formatted_chars").first()
+    assert time.monotonic() - began < 60
+    assert r["n"] == 40_000 and r["loss_text"] == "".join(x["text"] for x in df.where("role = 'assistant'").orderBy("turn").collect())
+
+
+def test_chat_spans_point_at_their_texts(spark):
+    df = spark.createDataFrame(conversation_rows(), "conv_id long, turn long, role string, text string")
+    for r in chat.format_conversations(df).collect():
+        raw = r["formatted"].encode()
+        for s in r["loss_spans"]:
+            assert r["formatted"][s["start"] : s["start"] + s["len"]] == raw[s["first_byte"] : s["first_byte"] + s["bytes"]].decode()

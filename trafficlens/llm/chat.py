@@ -1,8 +1,9 @@
 """Chat formatting with Spark expressions only.
 
 ``format_conversations`` sorts the collected turn structs, merges adjacent turns of
-one role into a block, and concatenates the blocks. ``read_conversations`` parses
-the formatted text back. Both are built-in array and string functions; a
+one role into a block, and concatenates the blocks. Where each turn comes to lie is a running sum in the
+same partitioning. ``read_conversations`` parses
+the formatted text back, and cuts what the loss mask covers from its bytes. Both are built-in functions, linear in a conversation's turns; a
 conversation is one output row, so only its own turns are ever gathered.
 
 Cases: null text and null role count as empty; rows that tie on ``turn`` are ordered by
@@ -13,7 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Control strings. Escaped text has no "<", so none of them can occur inside a turn.
@@ -52,27 +53,23 @@ def _blocks(turns: Column) -> Column:
     )
 
 
-def _spans(blocks: Column) -> Column:
-    """Character spans (from 0) of every part of the loss role in the formatted text."""
-    empty = F.array().cast("array<struct<start:int,len:int>>")
-
-    def part(acc: Column, text: Column) -> Column:
-        n = F.length(escape(text))
-        return F.struct((acc["at"] + n + len(PART)).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), n.alias("len")))).alias("spans"))
-
-    def block(acc: Column, b: Column) -> Column:
-        begin = acc["at"] + len(TURN) + F.length(_escape_role(b["role"])) + 1
-        inner = F.aggregate(b["parts"], F.struct(begin.alias("at"), empty.alias("spans")), part)
-        spans = F.when(b["role"] == LOSS_ROLE, F.concat(acc["spans"], inner["spans"])).otherwise(acc["spans"])
-        return F.struct((inner["at"] - len(PART) + len(END)).alias("at"), spans.alias("spans"))
-
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("spans")), block, lambda acc: acc["spans"])
+def _placed(rows: DataFrame) -> DataFrame:
+    """Turns with where their escaped text begins in the formatted conversation and how long it is, in characters and in bytes."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    before = F.lag("role").over(order)
+    rows = rows.withColumns({"begins": before.isNull(), "opens": F.coalesce(before != F.col("role"), F.lit(True))})
+    for size, start, length in ((F.length, "start", "len"), (F.octet_length, "first_byte", "bytes")):
+        opening = F.when(F.col("begins"), 0).otherwise(len(END)) + len(TURN) + size(_escape_role(F.col("role"))) + 1
+        rows = rows.withColumn(length, size(escape(F.col("text"))).cast("long")).withColumn("step", F.when(F.col("opens"), opening).otherwise(len(PART)) + F.col(length))
+        rows = rows.withColumn(start, F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col(length))
+    return rows
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans from rows (conv_id, turn, role, text)."""
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    """conv_id, formatted, loss_spans (in characters and in UTF-8 bytes, from 0) from rows (conv_id, turn, role, text)."""
+    rows = _placed(conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "len", "first_byte", "bytes")))
+    span = lambda t: F.struct(*(t[c].alias(c) for c in ("start", "len", "first_byte", "bytes")))
     shown = F.transform(
         F.col("blocks"),
         lambda b: F.concat(F.lit(TURN), _escape_role(b["role"]), F.lit("\n"), F.array_join(F.transform(b["parts"], escape), PART), F.lit(END)),
@@ -80,8 +77,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     return (
         rows.groupBy("conv_id")
         .agg(turns.alias("turns"))
-        .select("conv_id", _blocks(F.col("turns")).alias("blocks"))
-        .select("conv_id", F.array_join(shown, "").alias("formatted"), _spans(F.col("blocks")).alias("loss_spans"))
+        .select("conv_id", _blocks(F.col("turns")).alias("blocks"), F.transform(F.filter("turns", lambda t: t["role"] == LOSS_ROLE), span).alias("loss_spans"))
+        .select("conv_id", F.array_join(shown, "").alias("formatted"), "loss_spans")
     )
 
 
@@ -95,7 +92,9 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         return F.transform(F.split(rest, r"<\|part\|>", -1), lambda p: F.struct(role.alias("role"), unescape(p).alias("text")))
 
     blocks = F.split(F.col("formatted"), r"<\|turn\|>", -1)
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["len"])))
+    # cut from bytes, where a place is found at once; a variable holds them, so they are not copied for every span
+    cut = lambda b: F.transform("loss_spans", lambda s: unescape(F.substring(b, s["first_byte"].cast("int") + 1, s["bytes"].cast("int")).cast("string")))
+    loss = F.get(F.transform(F.array(F.col("formatted").cast("binary")), cut), F.lit(0))
     return formatted.select(
         "conv_id",
         F.flatten(F.transform(F.slice(blocks, F.lit(2), F.size(blocks)), turns_of)).alias("turns"),
