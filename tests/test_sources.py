@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from trafficlens.sources import dispatch, packets, pcap, sinks, synthetic, training_files, tshark, zeek
+from trafficlens.sources import captures, dispatch, packets, pcap, sinks, synthetic, training_files, tshark, zeek
 
 FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "duration", "orig_pkts", "resp_pkts", "conn_state", "history", "local_orig"]
 VALUES = ["1700000000.123456", "C1", "10.0.0.1", "5000", "10.0.0.2", "443", "TCP", "0.000702", "3", "2", "SF", "ShA", "T"]
@@ -83,7 +83,7 @@ def test_captures(spark, tmp_path):
     frames = [(1_000_001, frame("10.0.0.1", "10.0.0.2", 5000, 81)), (2_000_000, dns_frame("kq9x.example.info")), (3_000_000, b"\x00" * 14)]
     (tmp_path / "b.PCAP").write_bytes(capture(frames) + b"cut")
     (tmp_path / "other.txt").write_bytes(b"no")
-    got = {r["timestamp_us"]: r for r in pcap.read_captures(spark, str(tmp_path)).collect()}
+    got = {r["timestamp_us"]: r for r in captures.read(spark, str(tmp_path)).collect()}
     assert set(got) == {1_000_001, 2_000_000}
     assert got[1_000_001]["syn"] and got[1_000_001]["dst_port"] == 81 and got[1_000_001]["payload_len"] == 0
     assert got[2_000_000]["dns_query"] == "kq9x.example.info" and got[2_000_000]["protocol"] == 17

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from trafficlens.operators.connections import records
-from trafficlens.sources import pcap, tshark, zeek
+from trafficlens.sources import captures, tshark, zeek
 from trafficlens.sources.packets import read_json
 
 CAPTURES = (".pcap", ".pcapng", ".cap")
@@ -26,9 +28,10 @@ def open_source(spark: SparkSession, spec: str, fields: list[str] | None = None)
     if kind == "zeek":
         return zeek.conn_log(spark, path)[0].drop("bad_numbers")
     if kind == "zeek-tail":
-        return zeek.follow(spark, path, fields or list(zeek.REQUIRED)).drop("bad_numbers")
+        # a folder gets whole files, one log grows
+        return (zeek.follow(spark, path, fields or list(zeek.REQUIRED)) if fields or os.path.isdir(path) else zeek.tail(spark, path)).drop("bad_numbers")
     if kind == "pcap":
-        return records(pcap.read_captures(spark, path))
+        return records(captures.read(spark, path))
     if kind == "tshark":
         return records(tshark.read_fields(spark, path))
     if kind == "packets":

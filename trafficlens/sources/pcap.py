@@ -1,24 +1,13 @@
-"""Packet captures: every file of a folder is decoded in a task of its own.
-
-A file is one row (so captures should be rotated well below 2 GB, as capture tools do);
-decoding is a plain walk over its records. Packets that are not IPv4 or IPv6 are skipped.
-"""
+"""The formats of packet captures and frames, record by record; ``captures`` reads files by ranges and decodes by arrays."""
 
 from __future__ import annotations
 
+import io
 import ipaddress
 import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-from trafficlens.schemas import PACKET
-from trafficlens.sources.packets import flat
+from collections.abc import Callable, Iterator
 
 SUFFIXES = "*.{pcap,pcapng,cap,PCAP,PCAPNG,CAP}"
-_FIELDS = [f for f in PACKET.fields if f.name != "ingest_time"]
 _BLOCK_SECTION, _BLOCK_INTERFACE, _BLOCK_PACKET = 0x0A0D0D0A, 1, 6
 ETHERNET = 1
 
@@ -26,7 +15,7 @@ ETHERNET = 1
 def records(data: bytes) -> Iterator[tuple[int, bytes]]:
     """(time in microseconds, Ethernet frame) of a capture in either file format; a cut last record ends it."""
     if data[:4] == b"\x0a\x0d\x0d\x0a":
-        yield from _next_generation(data)
+        yield from next_generation(io.BytesIO(data).read)
         return
     order = {b"\xa1\xb2\xc3\xd4": ">", b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\x3c\x4d": ">", b"\x4d\x3c\xb2\xa1": "<"}.get(data[:4])
     if order is None:
@@ -41,21 +30,21 @@ def records(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += 16 + size
 
 
-def _next_generation(data: bytes) -> Iterator[tuple[int, bytes]]:
-    at, order, units = 0, "<", []
-    while at + 12 <= len(data):
-        if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-            order, units = ("<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        kind, size = struct.unpack_from(order + "II", data, at)
-        if size < 12 or at + size > len(data):
+def next_generation(read: Callable[[int], bytes]) -> Iterator[tuple[int, bytes]]:
+    """The same of the newer format, from a function that reads so many bytes on."""
+    order, units = "<", []
+    while len(head := bytes(read(12))) == 12:
+        if head[:4] == b"\x0a\x0d\x0d\x0a":
+            order, units = ("<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), []
+        kind, size = struct.unpack_from(order + "II", head)
+        if size < 12 or len(block := head + bytes(read(size - 12))) < size:
             return
         if kind == _BLOCK_INTERFACE:
-            units.append(_resolution(data[at + 16 : at + size - 4], order))
+            units.append(_resolution(block[16 : size - 4], order))
         elif kind == _BLOCK_PACKET:
-            interface, high, low, kept = struct.unpack_from(order + "IIII", data, at + 8)
+            interface, high, low, kept = struct.unpack_from(order + "IIII", block, 8)
             unit = units[interface] if interface < len(units) else 1_000_000
-            yield ((high << 32) | low) * 1_000_000 // unit, data[at + 28 : at + 28 + kept]
-        at += size
+            yield ((high << 32) | low) * 1_000_000 // unit, block[28 : 28 + kept]
 
 
 def _resolution(options: bytes, order: str) -> int:
@@ -116,27 +105,3 @@ def decode(ts: int, frame: bytes) -> dict | None:
         "tcp_flags": None if bits is None else {n: bool(bits & b) for n, b in (("syn", 2), ("ack", 16), ("rst", 4), ("fin", 1), ("psh", 8), ("urg", 32))},
         "dns_query": query_name(payload) if protocol == 17 and 53 in ports else None,
     }
-
-
-def _decode_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(StructType(_FIELDS))
-    for batch in batches:
-        for content in batch.column("content").to_pylist():
-            found: list[dict] = []
-            for ts, frame in records(content):
-                if row := decode(ts, frame):
-                    found.append(row)
-                if len(found) == 10_000:
-                    yield pa.RecordBatch.from_pylist(found, schema)
-                    found = []
-            if found:
-                yield pa.RecordBatch.from_pylist(found, schema)
-
-
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Packets of all captures in a folder (or of one file)."""
-    reader = spark.read.format("binaryFile")
-    reader = reader if path.lower().endswith((".pcap", ".pcapng", ".cap")) else reader.option("pathGlobFilter", SUFFIXES)
-    return flat(reader.load(path).select("content").mapInArrow(_decode_files, StructType(_FIELDS)))

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from trafficlens.functions.numeric import rounded
+from trafficlens.sources import tail as tails
 
 REQUIRED = ("ts", "id.orig_h", "id.resp_h", "id.resp_p", "conn_state", "duration", "orig_pkts", "resp_pkts", "history")
 UNSET = ("-", "(empty)", "")
@@ -120,6 +122,34 @@ def follow(spark: SparkSession, path: str, fields: list[str], separator: str = "
     return connections(parts.select(*(F.col("parts")[i].alias(f) for i, f in enumerate(fields))))
 
 
+def parsed_lines(lines: DataFrame, fields: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """The named fields as strings and ``rejected``, from lines (value, header) of either format; each TSV line by its own file's header."""
+    data = lines.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    head = F.from_json("header", "separator string, fields array<string>")
+    rows = data.withColumn("head", head).withColumn("json", F.when(F.ltrim("value").startswith("{"), F.from_json("value", "map<string,string>")))
+    rows = rows.withColumn("parts", F.when(~F.ltrim("value").startswith("{"), F.split("value", F.concat(F.lit("\\Q"), F.col("head.separator"), F.lit("\\E")), -1)))
+    fits = F.coalesce(F.size("parts") == F.size("head.fields"), F.lit(False))
+    tsv = lambda f: F.get("parts", F.array_position("head.fields", f).cast("int") - 1)
+    return rows.select(
+        *(F.when(F.col("json").isNotNull(), F.col("json").getItem(f)).when(fits & F.array_contains("head.fields", f), tsv(f)).alias(f) for f in fields),
+        (F.col("json").isNull() & ~fits).alias("rejected"),
+    )
+
+
+def tail(spark: SparkSession, path: str, from_start: bool = True) -> DataFrame:
+    """A stream of connection records from a growing log of either format, line by line.
+
+    Every micro-batch's progress has the observed metrics ``tail``: lines, and those that were rejected.
+    """
+    rows = parsed_lines(tails.lines(spark, path, from_start)).observe("tail", F.count(F.lit(1)).alias("lines"), F.count_if("rejected").alias("rejected"))
+    return connections(rows.where(~F.col("rejected")))
+
+
+def rejected_lines(query: StreamingQuery) -> int:
+    """Lines that a running tail has rejected so far, by the progress that the query still holds."""
+    return sum((p["observedMetrics"].get("tail") or {"rejected": 0})["rejected"] for p in query.recentProgress)
+
+
 def data_quality(records: DataFrame, rejected: DataFrame) -> DataFrame:
     """One row: records, records with bad numbers, bad numbers, and rejected lines."""
     kept = records.select("bad_numbers", F.lit(False).alias("rejected"))
