@@ -32,6 +32,23 @@ def test_scan_alerts_are_candidates(spark, duck):
     assert got <= {r[:2] for r in duck.sql("select src_ip, start_us from (" + ORACLE_SQL["portscan_candidates"] + ")").fetchall()}
 
 
+def test_scan_model_alerts_on_a_part_of_the_candidates(spark):
+    """All scanners alert, of 10 ports or of 40; servers whose answers go to as many ports are candidates too, and none alerts."""
+    got = QUERIES["attack_scan_scores"](spark, SF_DIR).collect()
+    alerts = [r for r in got if r["alerts"]]
+    assert got and 0.05 * len(got) <= len(alerts) <= 0.95 * len(got)
+    assert all(r["alerts"] == (r["probability"] >= 0.6) and r["unique_dst_ports"] >= 10 for r in got)
+    assert all(r["alerts"] == r["src_ip"].startswith("10.7.") for r in got)
+
+
+def test_live_alerts_of_the_attacks(spark):
+    got = QUERIES["attack_live_alerts"](spark, SF_DIR).collect()
+    assert {r["threat_class"] for r in got} == {"DDoS", "PortScan", "DataExfiltration", "C2_BEACONING", "EncryptedMalware"}
+    assert len({r["alert_id"] for r in got}) == len(got)
+    # the second beacon of a block calls a server that the sessions claim
+    assert all(r["dst_ip"] == "198.51.100.66" for r in got if r["threat_class"] == "C2_BEACONING")
+
+
 def test_unit_scores(spark):
     got = QUERIES["c2_model_scores"](spark, SF_DIR).collect()
     assert {r["detector_id"] for r in got} == {"fast", "deep"} and all(0 <= r["probability"] <= 1 for r in got)

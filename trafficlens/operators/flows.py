@@ -154,24 +154,32 @@ def _named(columns: dict[str, Column]) -> list[Column]:
 _VOLUME = ("duration", "total_bytes", "total_packets", "fwd_bytes", "bwd_bytes", "fwd_packets", "bwd_packets")
 
 
+#: Which flows a vector is made of, and its features
+Vector = tuple[Column, list[Column]]
+
+
+def _made(flows: DataFrame, vector: Vector) -> DataFrame:
+    return flows.where(vector[0]).select(*KEY, *vector[1])
+
+
 def flood_vector(flows: DataFrame) -> DataFrame:
     """The 31-feature vector of flows with at least five packets."""
+    return _made(flows, flood_columns())
+
+
+def flood_columns() -> Vector:
     bucket = F.when(F.col("duration") < 0.1, 0).when(F.col("duration") < 1, 1).when(F.col("duration") < 10, 2).otherwise(3)
-    return flows.where("total_packets >= 5").select(
-        *KEY,
-        *_VOLUME,
+    return F.col("total_packets") >= 5, [
+        *map(F.col, _VOLUME),
         *_named(_rates()),
-        "size_mean",
-        "size_std",
-        "size_max",
-        "size_min",
+        *map(F.col, ("size_mean", "size_std", "size_max", "size_min")),
         *(_per_packet(c).alias(f"{c}_ratio") for c in ("syn", "ack", "rst", "fin", "psh")),
-        "syn_count",
+        F.col("syn_count"),
         ratio(F.col("bwd_bytes"), F.col("fwd_bytes")).alias("down_up_ratio"),
-        "dst_port",
+        F.col("dst_port"),
         F.col("dst_port").isin(*COMMON_PORTS).cast("int").alias("is_common_port"),
         bucket.alias("duration_bucket"),
-    )
+    ]
 
 
 def _high_port() -> Column:
@@ -180,25 +188,32 @@ def _high_port() -> Column:
 
 def exfiltration_vector(flows: DataFrame) -> DataFrame:
     """The 29-feature vector of TCP flows with at least three packets and 1,000 bytes sent."""
-    return flows.where((F.col("protocol") == TCP) & (F.col("total_packets") >= 3) & (F.col("fwd_bytes") >= 1000)).select(
-        *KEY,
-        *(c for c in _VOLUME if c != "total_packets"),
+    return _made(flows, exfiltration_columns())
+
+
+def exfiltration_columns() -> Vector:
+    return (F.col("protocol") == TCP) & (F.col("total_packets") >= 3) & (F.col("fwd_bytes") >= 1000), [
+        *(F.col(c) for c in _VOLUME if c != "total_packets"),
         *_named(_rates()),
         F.col("fwd_size_std").alias("fwd_pkt_size_std"),
         F.col("bwd_size_std").alias("bwd_pkt_size_std"),
         regularity().alias("iat_regularity"),
         ratio(F.col("fwd_bytes"), F.col("bwd_bytes")).alias("up_down_ratio"),
-        "dst_port",
+        F.col("dst_port"),
         (F.col("dst_port") == 443).cast("int").alias("is_std_https"),
         _high_port().alias("is_high_port"),
         *(_per_packet(c).alias(f"{c}_ratio") for c in ("syn", "ack", "psh", "fin")),
         (F.col("fwd_packets") / F.col("duration")).alias("fwd_burst_rate"),
         ratio(F.col("bwd_packets"), F.col("fwd_packets")).alias("response_ratio"),
-    )
+    ]
 
 
 def encrypted_vector(flows: DataFrame, abstain: bool = True) -> DataFrame:
     """The 31-feature vector of TCP flows on which encrypted-session scoring doesn't abstain."""
+    return _made(flows, encrypted_columns(abstain))
+
+
+def encrypted_columns(abstain: bool = True) -> Vector:
     scored = (
         (F.col("duration") >= 5)
         & ((F.col("fwd_gaps") >= 2) | (F.col("bwd_gaps") >= 2))
@@ -206,19 +221,18 @@ def encrypted_vector(flows: DataFrame, abstain: bool = True) -> DataFrame:
         & (F.col("total_bytes") / F.col("duration") <= 100_000)
         & ~F.col("dst_port").isin(*WEB_PORTS)
     )
-    kept = flows.where((F.col("protocol") == TCP) & (F.col("total_packets") >= 6))
-    return (kept.where(scored) if abstain else kept).select(
-        *KEY,
-        *_VOLUME,
+    kept = (F.col("protocol") == TCP) & (F.col("total_packets") >= 6)
+    return kept & scored if abstain else kept, [
+        *map(F.col, _VOLUME),
         *_named(_rates()),
         F.col("fwd_size_std").alias("fwd_pkt_size_std"),
         F.col("bwd_size_std").alias("bwd_pkt_size_std"),
         F.col("fwd_size_max").alias("fwd_pkt_size_max"),
         F.col("bwd_size_max").alias("bwd_pkt_size_max"),
         regularity(0.1).alias("iat_regularity"),
-        "dst_port",
+        F.col("dst_port"),
         (F.col("dst_port") == 443).cast("int").alias("is_std_https"),
         _high_port().alias("is_high_port"),
         *(_per_packet(c).alias(f"{c}_ratio") for c in ("syn", "ack", "psh", "rst", "fin")),
         ratio(F.col("bwd_bytes"), F.col("fwd_bytes")).alias("down_up_ratio"),
-    )
+    ]

@@ -17,6 +17,8 @@ from trafficlens.schemas import FAILED_STATES
 KEY = ("src_ip", "start_us")
 #: Windows' lengths in a bucket
 SPAN = 16
+#: The calibrated probability at which a candidate alerts
+ALERT_AT = 0.60
 # The model's features in its order.
 FEATURES = (
     "unique_dst_ports", "unique_dst_hosts", "max_ports_to_single_host", "max_hosts_on_single_port", "ports_per_host", "dst_port_entropy", "fanout_ratio",
@@ -153,7 +155,7 @@ def scan_candidates(windows: DataFrame, min_ports: int = 10) -> DataFrame:
     return windows.where(F.col("unique_dst_ports") >= min_ports)
 
 
-def scan_decisions(scored: DataFrame, min_ports: int = 10, threshold: float = 0.60) -> DataFrame:
+def scan_decisions(scored: DataFrame, min_ports: int = 10, threshold: float = ALERT_AT) -> DataFrame:
     """Candidate windows with a calibrated ``probability`` at the alert threshold, and their severity."""
     out = scan_candidates(scored, min_ports).withColumn("confidence", rounded(F.col("probability"), 4))
     return out.where(F.col("confidence") >= threshold).withColumn("severity", severity("PortScan", F.col("confidence")))
@@ -163,7 +165,7 @@ def state_histogram(flows: DataFrame) -> DataFrame:
     return flows.groupBy("conn_state").agg(F.count("*").alias("n"))
 
 
-def component_alerts(decisions: DataFrame, detector: str, threshold: float = 0.60) -> DataFrame:
+def component_alerts(decisions: DataFrame, detector: str, threshold: float = ALERT_AT) -> DataFrame:
     """Nested alerts: window, detector, confidence and evidence."""
     iso = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     evidence = ("unique_dst_hosts", "unique_dst_ports", "connection_attempts", "failed_connections", "scan_rate")

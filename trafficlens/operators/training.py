@@ -18,6 +18,8 @@ from trafficlens.sources import synthetic
 
 #: The vector of each flow class
 VECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"DDoS": flows.flood_vector, "DataExfiltration": flows.exfiltration_vector, "EncryptedMalware": flows.encrypted_vector}
+#: The same as which flows it has and its features
+COLUMNS: dict[str, Callable[[], flows.Vector]] = {"DDoS": flows.flood_columns, "DataExfiltration": flows.exfiltration_columns, "EncryptedMalware": flows.encrypted_columns}
 _fitted: dict[tuple[str, str], models.Detector] = {}
 
 

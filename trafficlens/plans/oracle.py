@@ -294,20 +294,30 @@ ORACLE_SQL |= {
       page_id % 5 < 4 as is_safe from pages""",
 }
 # packet by packet: every step of the recursion takes the next packet of each key and its record so far
-def _connections(view: dict[str, str] | None = None) -> str:
+def _over_us(w: str, flush_us: int | None) -> str:
+    """When a record (columns of ``w``) is over if nothing else comes."""
+    idle = f"{w}last_us + case when {w}opened and {w}resp = 0 then 3000000 else 30000000 end + 1"
+    if not flush_us:
+        return idle
+    due = f"case when {w}resp = 0 then least({w}last_us + 3000001, greatest({w}first_us + 1000000, {w}last_us + 1)) else {w}last_us + 3000001 end"
+    return f"least({idle}, ({due} + {flush_us - 1}) // {flush_us} * {flush_us})"
+
+
+def _connections(view: dict[str, str] | None = None, flush_us: int | None = None) -> str:
+    known = [f", {x} as known_us" if flush_us else "" for x in (f"case when reset or closed then last_us else {_over_us('', flush_us)} end", "timestamp_us")]
     return "with recursive" + sql(
     "packets_v",
-    """select first_us as ts_us, src_ip, dst_ip, cast(dst_port as varchar) as dst_port, conn_state, floor((last_us - first_us) / 1e6 * 1e6 + 0.5) / 1e6 as duration, cast(orig as double) as orig_pkts, cast(resp as double) as resp_pkts,
-      case when conn_state = 'S0' and orig = 1 then 'S' else '-' end as history
+    f"""select first_us as ts_us, src_ip, dst_ip, cast(dst_port as varchar) as dst_port, conn_state, floor((last_us - first_us) / 1e6 * 1e6 + 0.5) / 1e6 as duration, cast(orig as double) as orig_pkts, cast(resp as double) as resp_pkts,
+      case when conn_state = 'S0' and orig = 1 then 'S' else '-' end as history{known[0]}
       from (select *, case when opened and resp = 0 then case when reset then 'REJ' else 'S0' end when resp > 0 and reset then 'RSTO' when resp > 0 and closed then 'SF' else 'OTH' end as conn_state from final)
-      union all select timestamp_us, src_ip, dst_ip, cast(dst_port as varchar), 'SF', 0.0, 1.0, 0.0, '-' from scanners where protocol = 17 and src_port not in (22,25,53,80,110,135,139,143,443,445,993,995,3389,8080,8443)""",
+      union all select timestamp_us, src_ip, dst_ip, cast(dst_port as varchar), 'SF', 0.0, 1.0, 0.0, '-'{known[1]} from scanners where protocol = 17 and src_port not in (22,25,53,80,110,135,139,143,443,445,993,995,3389,8080,8443)""",
     (
         ("scanners", "select * from packets_v where not (src_ip like '%.255' or src_ip like '%.0' or src_ip like '224.%' or src_ip like '239.%' or src_ip like '127.%' or src_ip like '162.159.%' or src_ip like '104.16.%')"),
         ("both_ways", """select src_ip, dst_ip, dst_port, true as own, timestamp_us, seq, syn, rst, fin,
           not (syn and not ack) and (src_port in (22,25,53,80,110,135,139,143,443,445,993,995,3389,8080,8443) or src_port < 1024) and dst_port > 1024 as reply from scanners where protocol = 6
           union all select dst_ip, src_ip, src_port, false, timestamp_us, seq, syn, rst, fin, false from scanners where protocol = 6"""),
         ("lined", "select *, row_number() over (partition by src_ip, dst_ip, dst_port order by timestamp_us, seq, own desc) as n from both_ways"),
-        ("walk", """select src_ip, dst_ip, dst_port, cast(0 as bigint) as n, false as open, cast(0 as bigint) as first_us, cast(0 as bigint) as last_us, 0 as orig, 0 as resp, false as opened, false as reset, false as closed, 0 as rec
+        ("walk", f"""select src_ip, dst_ip, dst_port, cast(0 as bigint) as n, false as open, cast(0 as bigint) as first_us, cast(0 as bigint) as last_us, 0 as orig, 0 as resp, false as opened, false as reset, false as closed, 0 as rec
           from (select distinct src_ip, dst_ip, dst_port from lined)
           union all
           select src_ip, dst_ip, dst_port, n, touched and not (own and (rst or fin)), case when creates then timestamp_us else first_us end, case when touched and own then timestamp_us else last_us end,
@@ -315,7 +325,7 @@ def _connections(view: dict[str, str] | None = None) -> str:
             case when creates then syn when alive and own then opened or (syn and not reply) else opened end, case when creates then rst when alive and own then reset or rst else reset end,
             case when creates then fin when alive and own then closed or fin else closed end, case when creates then rec + 1 else rec end
           from (select *, alive or creates as touched from (select *, own and not alive and not reply as creates from (
-            select r.*, w.first_us, w.last_us, w.orig, w.resp, w.opened, w.reset, w.closed, w.rec, w.open and r.timestamp_us - w.last_us <= case when w.opened and w.resp = 0 then 3000000 else 30000000 end as alive
+            select r.*, w.first_us, w.last_us, w.orig, w.resp, w.opened, w.reset, w.closed, w.rec, w.open and r.timestamp_us < {_over_us('w.', flush_us)} as alive
             from walk w join lined r on r.src_ip = w.src_ip and r.dst_ip = w.dst_ip and r.dst_port = w.dst_port and r.n = w.n + 1)))"""),
         ("final", "select * from walk where rec > 0 qualify row_number() over (partition by src_ip, dst_ip, dst_port, rec order by n desc) = 1"),
     ),
@@ -325,4 +335,5 @@ def _connections(view: dict[str, str] | None = None) -> str:
 
 ORACLE_SQL["conn_state_from_packets"] = _connections()
 ORACLE_SQL["attack_connections"] = _connections(_OVER)
+ORACLE_SQL["attack_flushed_records"] = _connections(_OVER, 10_000_000)
 ORACLE_SQL["alert_dedup_merge"] = sql("alerts_v", f"select {_ALERT} from alerts_v order by ts_us desc, alert_id limit 5000")

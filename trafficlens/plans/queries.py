@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from trafficlens import views
 from trafficlens.functions import domains as D
 from trafficlens.functions.numeric import rounded, severity_by_class
-from trafficlens.operators import beacons, connections, detect, domains, flows, portscan, serving, training, units
+from trafficlens.operators import beacons, connections, detect, domains, flows, portscan, serving, tracking, training, units
+from trafficlens.plans import live
 from trafficlens.plans.oracle import AS_OF_US, START_US
 from trafficlens.schemas import WINDOW_US
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: Queries that SQL can't express, as it can't fit trees; tests hold the models to labelled traffic
-NO_SQL = ("model_scores", "attack_model_scores", "portscan_model_alerts", "c2_model_scores")
+NO_SQL = ("model_scores", "attack_model_scores", "portscan_model_alerts", "c2_model_scores", "attack_scan_scores", "attack_live_alerts")
 ALERT = ("alert_id", "ts_us", "threat_class", "confidence", "severity", "src_ip", "dst_ip", "dst_port")
 
 
@@ -423,15 +424,16 @@ def c2_model_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _model_scores(flow_rows: DataFrame) -> DataFrame:
-    spark = flow_rows.sparkSession
-    scoreable = flow_rows.where((F.col("total_packets") >= 3) & flows.to_one_host())
-    out = flow_rows.select(*flows.KEY)
-    for kind, vector in training.VECTORS.items():
-        scored = training.flow_detector(spark, kind).score(vector(scoreable)).select(*flows.KEY, F.col("probability").alias(kind), F.col("is_attack").alias(f"is_{kind}"))
-        out = out.join(scored, list(flows.KEY), "left")
-    name, best = detect.arbitrated({kind: F.coalesce(kind, F.lit(0.0)) for kind in training.VECTORS})
-    attack = F.coalesce(F.greatest(*(F.col(f"is_{kind}") for kind in training.VECTORS)), F.lit(False))
-    return _rounded_doubles(out.select(*flows.KEY, *training.VECTORS, F.when(attack, name).otherwise("benign").alias("threat"), best.alias("confidence")))
+    """One chain of scores over the same rows: no flow is assembled twice and nothing is joined."""
+    spark, kinds = flow_rows.sparkSession, list(training.COLUMNS)
+    out = flow_rows.withColumn("scoreable", (F.col("total_packets") >= 3) & flows.to_one_host())
+    for kind, vector in training.COLUMNS.items():
+        among, features = vector()
+        scored = training.flow_detector(spark, kind).score(out.select(F.struct("*").alias("_flow"), (F.col("scoreable") & among).alias("_among"), *features))
+        out = scored.select("_flow.*", F.when(F.col("_among"), F.col("probability")).alias(kind), (F.col("_among") & F.col("is_attack")).alias(f"is_{kind}"))
+    name, best = detect.arbitrated({kind: F.coalesce(kind, F.lit(0.0)) for kind in kinds})
+    attack = F.greatest(*(F.col(f"is_{kind}") for kind in kinds))
+    return _rounded_doubles(out.select(*flows.KEY, *kinds, F.when(attack, name).otherwise("benign").alias("threat"), best.alias("confidence")))
 
 
 @query
@@ -443,3 +445,24 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def attack_model_scores(spark: SparkSession, d: str) -> DataFrame:
     return _model_scores(_attack_flows(spark, d))
+
+
+@query
+def attack_scan_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate window of the attacks' records under the fitted scan model, and what it alerts."""
+    records = tracking.flushed_records(views.attacks(spark, d), WINDOW_US)
+    scored = training.scan_detector(spark, live.SCAN_S, live.SCAN_STRIDE_S).score(portscan.scan_candidates(portscan.features(live.scan_rows(records), live.SCAN_S)))
+    return scored.select("src_ip", "start_us", "unique_dst_ports", "connection_attempts", rounded(F.col("probability"), 4).alias("probability"), (rounded(F.col("probability"), 4) >= portscan.ALERT_AT).alias("alerts"))
+
+
+@query
+def attack_flushed_records(spark: SparkSession, d: str) -> DataFrame:
+    """Connection records of the attacks with boundary flushes, and when each is known."""
+    return _rounded_doubles(tracking.flushed_records(views.attacks(spark, d), WINDOW_US))
+
+
+@query
+def attack_live_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of the whole live plan on the attacks' packets, with the fitted scan model."""
+    found = live.alerts(views.attacks(spark, d), scan_model=training.scan_detector(spark, live.SCAN_S, live.SCAN_STRIDE_S))
+    return found.select("alert_id", "timestamp", "threat_class", "confidence", "severity", "src_ip", "dst_ip", "src_port", "dst_port", "flow_id")
