@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
-from trafficlens.llm.words import Words, mixed, slices, utf8
+from trafficlens.llm.words import Words, mixed, overlapping, slices, utf8
 
 BITS = 16
 #: Labelled rows that are read for the target model, by hash order of doc_id
@@ -49,7 +49,19 @@ _REPEATED = np.uint64(0x51ED270B)
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hashed gram) pairs of all texts."""
+    """(text, hashed gram) pairs of all texts at once."""
+    return tuple(np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *gram_parts(column), strict=True))
+
+
+def gram_parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same; those of a long text come stretch by stretch."""
+    for part in overlapping(column, _CLASS > 0, _last_token):
+        text, gram = _grams(part.texts, part.led)
+        yield text + part.first, gram
+
+
+def _tokens(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """Runs of bytes of one class that isn't space, and each byte's class."""
     data, at = utf8(column)
     kind = _CLASS[data]
     first = np.ones(len(data), bool)
@@ -58,7 +70,18 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(data))[: len(start)]
     some = kind[start] > 0
-    w = Words(data, start[some], end[some], np.searchsorted(start[some], at))
+    return Words(data, start[some], end[some], np.searchsorted(start[some], at)), kind
+
+
+def _last_token(texts: pa.Array) -> bytes:
+    w, _ = _tokens(texts)
+    return w.data[w.start[-1] : w.end[-1]].tobytes() if len(w.start) else b""
+
+
+def _grams(column: pa.Array, led: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``led``: the first token is the last one of the stretch before, so it makes pairs only."""
+    w, kind = _tokens(column)
+    data = w.data
     h, text, size = w.hashes(), w.text_of(), w.end - w.start
     sums = np.concatenate([[0], np.cumsum(_CAPITAL[data])])
     capitals = sums[w.end] - sums[w.start]
@@ -68,7 +91,8 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     pair = np.where(h[1:] == h[:-1], _REPEATED, h[:-1] * np.uint64(3) + h[1:])[same]
     shapes = (shape[:-1] * np.uint64(4096) + shape[1:])[same]
     later = text[1:][same]
-    made = [(text, h), (later, pair + np.uint64(7)), (text, shape + np.uint64(99)), (later, shapes + np.uint64(999))]
+    alone = slice(1 if led else 0, None)
+    made = [(text[alone], h[alone]), (later, pair + np.uint64(7)), (text[alone], shape[alone] + np.uint64(99)), (later, shapes + np.uint64(999))]
     return np.concatenate([t for t, _ in made]), np.concatenate([mixed(g) >> np.uint64(64 - BITS) for _, g in made]).astype(np.int64)
 
 
@@ -82,9 +106,10 @@ def learn(documents: DataFrame, labels: DataFrame, label: str = "quality", usabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for b in slices(batches):
-            text, gram = grams(b.column("text"))
-            raw += np.bincount(gram, minlength=len(raw))
-            target += np.bincount(gram[b.column("target").to_numpy(zero_copy_only=False)[text]], minlength=len(raw))
+            good = b.column("target").to_numpy(zero_copy_only=False)
+            for text, gram in gram_parts(b.column("text")):
+                raw += np.bincount(gram, minlength=len(raw))
+                target += np.bincount(gram[good[text]], minlength=len(raw))
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["gram", "raw", "target"])
 
@@ -103,9 +128,11 @@ def weigh(documents: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def start():
         def make(b: pa.RecordBatch) -> dict[str, object]:
-            text, gram = grams(b.column("text"))
-            n = np.bincount(text, minlength=b.num_rows)
-            return {"n_grams": n, "log_weight": np.bincount(text, shared.value[gram], minlength=b.num_rows)}
+            n, weight = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            for text, gram in gram_parts(b.column("text")):
+                n += np.bincount(text, minlength=b.num_rows)
+                weight += np.bincount(text, shared.value[gram], minlength=b.num_rows)
+            return {"n_grams": n, "log_weight": weight}
 
         return make
 

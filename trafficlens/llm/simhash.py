@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.components import stars
 from trafficlens.llm.scratch import drop, keep
-from trafficlens.llm.words import NOT_SPACE, joined_words, split_words
+from trafficlens.llm.words import NOT_SPACE, joined_words, last_words, overlapping, split_words
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Where a rotation begins (its leading third of bits), and the least width of such a third
@@ -51,23 +51,42 @@ PAIRS, PRODUCT = 100_000, 1_000_000
 
 
 def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each text over shingles of so many words."""
+    """64-bit SimHash of each text over shingles of so many words. A long text's bits are counted stretch by stretch."""
+    out, long = np.zeros(len(column), np.uint64), {}
+    for part in overlapping(column, NOT_SPACE, last_words(shingle - 1, NOT_SPACE, lower=True), lower=True):
+        sums, many = _bit_counts(part.texts, shingle, part.whole)
+        if part.whole:
+            out[part.first : part.first + len(many)] = _majority(sums, many)
+        else:
+            before = long.get(part.first, (0, 0))
+            long[part.first] = (before[0] + sums, before[1] + many)
+    for row, (sums, many) in long.items():
+        # fewer words than a shingle has, some of them very long: the whole sequence
+        out[row] = _majority(sums, many)[0] if many[0] else _majority(*_bit_counts(column.slice(row, 1), shingle, True))[0]
+    return out
+
+
+def _majority(sums: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.packbits(2 * sums > many[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _bit_counts(column: pa.Array, shingle: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many of each text's shingles have each bit set, and how many shingles it has; ``whole``: a text of fewer words is one."""
     w = split_words(column, NOT_SPACE, lower=True)
     joined, begin, end = joined_words(w)
     count = np.diff(w.doc)
-    shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
+    shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1) if whole else 0)
     text = np.repeat(np.arange(len(count)), shingles)
     first = w.doc[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     last = np.minimum(first + shingle, w.doc[1:][text]) - 1
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     h = np.array([digest(data[a:b], SEED) for a, b in zip(begin[first].tolist(), end[last].tolist(), strict=True)], np.uint64)
-    out = np.zeros(len(count), np.uint64)
+    out = np.zeros((len(count), 64), np.int64)
     some = np.flatnonzero(shingles)
     if len(some):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * sums > shingles[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
+        out[some] = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[some], axis=0, dtype=np.int32)
+    return out, shingles
 
 
 def fingerprinted(documents: DataFrame, *more: Column, shingle: int = SHINGLE) -> DataFrame:

@@ -12,7 +12,7 @@ Scoring is a map over all texts: no shuffle.
 
 Cases: null and wordless texts get the bias alone; null labels are not learned from;
 repeated labels are averaged to 0/1 by a vote (ties: toxic); repeated documents are repeated
-examples; with no labelled rows every score is 0.5; very long texts are read whole.
+examples; with no labelled rows every score is 0.5; very long texts are read whole, in stretches.
 """
 
 from __future__ import annotations
@@ -26,18 +26,36 @@ from pyspark.sql import functions as F
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
-from trafficlens.llm.words import ALNUM, Words, mixed, slices, split_words
+from trafficlens.llm.words import ALNUM, Words, last_words, mixed, overlapping, slices, split_words
 
 BITS = 20
-#: Bytes of the stems
-STEMS = (4, 6, 8)
+#: Bytes of the stems, and how far apart the words of a pair are
+STEMS, GAPS = (4, 6, 8), (1, 2, 3)
 MAX_LABELLED, SHARD_ROWS, SHARD_BYTES = 40_000, 10_000, 64 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 6.0, 0.1, 3
 THRESHOLD = 0.3
 
 
 def hashed_features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs in order of text; features are 1 .. 2**bits - 1."""
+    """Distinct (text, feature) pairs in order of text; features are 1 .. 2**bits - 1. A long text's come together in a bitmap."""
+    made: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 2]
+    seen, of = np.zeros(0, bool), -1
+    for part in overlapping(column, ALNUM, last_words(max(GAPS), ALNUM, lower=True), lower=True):
+        text, feature = _features(part.texts, bits)
+        if part.whole:
+            made.append((text + part.first, feature))
+            continue
+        if of != part.first:
+            seen, of = np.zeros(1 << bits, bool), part.first
+            made.append((np.empty(0, np.int64),) * 2)
+        seen[feature] = True
+        once = np.flatnonzero(seen)
+        made[-1] = (np.full(len(once), of), once)
+    text, feature = (np.concatenate(x) for x in zip(*made, strict=True))
+    return text, feature
+
+
+def _features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
     w = split_words(column, ALNUM, lower=True)
     h, text = w.hashes(), w.text_of()
     shift = np.uint64(64 - bits)
@@ -46,7 +64,7 @@ def hashed_features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.
         long = np.flatnonzero(w.end - w.start > size)
         stem = Words(w.data, w.start[long], w.start[long] + size, w.doc).hashes()
         made.append((text[long], mixed(stem + np.uint64(size)) >> shift))
-    for gap in (1, 2, 3):
+    for gap in GAPS:
         if len(h) > gap:
             same = text[gap:] == text[:-gap]
             pair = mixed(h[:-gap][same] * np.uint64(2 * gap + 1) + (h[gap:][same] >> np.uint64(1)))

@@ -7,7 +7,7 @@ of words from prefix sums over the word hashes, so no Python code runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -164,6 +164,39 @@ def stretches(column: pa.Array, accepts: np.ndarray, lower: bool = False, most:
         yield begin, 0, texts(begin, len(column))
 
 
+class Part(NamedTuple):
+    """Texts from a row on, all whole, or one row's next stretch; ``led``: behind the end of the stretch before."""
+
+    first: int
+    texts: pa.Array
+    whole: bool
+    led: bool
+
+
+def overlapping(column: pa.Array, accepts: np.ndarray, tail: Callable[[pa.Array], bytes], lower: bool = False, most: int = SLICE_BYTES) -> Iterator[Part]:
+    """The texts as ``stretches`` gives them, each later one of a long text behind a space and ``tail`` of the one before, so that runs across a cut are seen."""
+    size, kept = np.diff(utf8(column)[1]), b""
+    for first, skipped, texts in stretches(column, accepts, lower, most):
+        if len(texts) != 1 or (not skipped and len(utf8(texts)[0]) == size[first]):
+            yield Part(first, texts, True, False)
+            continue
+        kept = kept if skipped else b""
+        if kept:
+            texts = pa.array([kept + b" " + utf8(texts)[0].tobytes()], pa.large_binary()).cast(pa.large_string())
+        yield Part(first, texts, False, bool(kept))
+        kept = tail(texts)
+
+
+def last_words(n: int, accepts: np.ndarray, lower: bool = False) -> Callable[[pa.Array], bytes]:
+    """The last n words of one text, joined by spaces."""
+
+    def tail(texts: pa.Array) -> bytes:
+        w = split_words(texts, accepts, lower)
+        return b" ".join(w.data[a:e].tobytes() for a, e in zip(w.start[-n:].tolist(), w.end[-n:].tolist(), strict=True))
+
+    return tail
+
+
 def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """Arrow strings from byte spans that don't overlap and ascend."""
     size = end - start
