@@ -38,16 +38,18 @@ from pyspark.sql.types import StructType
 
 from trafficlens.llm.arrowmap import append
 from trafficlens.llm.scratch import keep
-from trafficlens.llm.words import NOT_SPACE, run_hashes, slices, split_words
+from trafficlens.llm.words import NOT_SPACE, joined_words, run_hashes, slices, split_words
 
 LENGTH, SEED = 35, 8
 #: Windows whose anchors are sought at a time
 STRETCH = 1 << 14
-_ID = ["doc_id", "tk"]
+#: A row's id and text as two hashes: never null, so joins and groups on them share one partitioning
+_ID = ["k1", "k2"]
+_KEYS = "k1 long, k2 long"
 
 
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def _keys(*names: str) -> list[Column]:
+    return [F.xxhash64(F.lit(n), F.col("doc_id").isNull(), "doc_id", F.coalesce("text", F.lit(""))).alias(name) for n, name in enumerate(names or _ID)]
 
 
 def winnowed(h: np.ndarray, doc: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -80,12 +82,11 @@ def _runs(documents: DataFrame, length: int, seed: int) -> DataFrame:
             text, first, size, anchor, whole = winnowed(w.hashes(), w.doc, length, seed)
             of = pa.array(text)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(of), b.column("tk").take(of), pa.array((first - w.doc[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
+                [*(b.column(c).take(of) for c in _ID), pa.array((first - w.doc[text]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64))],
                 [*_ID, "first", "n", "anchor", "whole"],
             )
 
-    rows = documents.select("doc_id", _text_key().alias("tk"), "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tk long, first int, n int, anchor long, whole long")
+    return documents.select(*_keys(), "text").mapInArrow(run, f"{_KEYS}, first int, n int, anchor long, whole long")
 
 
 def _contexts(texts: DataFrame, length: int, seed: int) -> DataFrame:
@@ -108,13 +109,13 @@ def _contexts(texts: DataFrame, length: int, seed: int) -> DataFrame:
             ids = pa.array(text)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id").take(ids), b.column("tk").take(ids), pa.array(anchor), pa.array(first), pa.array(size), pa.array(once), pa.array(kinds), pa.array(place.astype(np.int32)),
+                    *(b.column(c).take(ids) for c in ("doc_id", *_ID)), pa.array(anchor), pa.array(first), pa.array(size), pa.array(once), pa.array(kinds), pa.array(place.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[of].view(np.int64))),
                 ],
-                [*_ID, "anchor", "first", "n", "once", "kinds", "at", "words"],
+                ["doc_id", *_ID, "anchor", "first", "n", "once", "kinds", "at", "words"],
             )
 
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tk long, anchor long, first int, n int, once boolean, kinds long, at int, words array<long>")
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_KEYS}, anchor long, first int, n int, once boolean, kinds long, at int, words array<long>")
 
 
 def shared(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray, b_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,15 +174,11 @@ def _rest(extended: DataFrame, length: int) -> DataFrame:
                 [*(b.column(c).take(ids) for c in (*_ID, "anchor", "once")), pa.array(run_hashes(words, at, at + length).view(np.int64)), pa.array((first[row] + k).astype(np.int32))], [*_ID, "anchor", "once", "window", "first"]
             )
 
-    return extended.mapInArrow(run, f"doc_id {extended.schema['doc_id'].dataType.simpleString()}, tk long, anchor long, once boolean, window long, first int")
-
-
-def _same_text(a: DataFrame, b: DataFrame) -> Column:
-    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["tk"] == b["tk"])
+    return extended.mapInArrow(run, f"{_KEYS}, anchor long, once boolean, window long, first int")
 
 
 def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """doc_id, tk (hash of the text), runs: ranges (first window, number of windows) that are repeated."""
+    """k1, k2 (of id and text), runs: ranges (first window, number of windows) that are repeated."""
     runs = _runs(documents, length, seed)
     # written first, so that the join deals both sides anew and a hot anchor's rows can be split
     often = keep(runs.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
@@ -195,17 +192,17 @@ def repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED) -> Dat
         .groupBy(*_ID)
         .agg(F.collect_list(F.struct("first", "n", "anchor", (F.col("places") == 1).alias("once"), "kinds")).alias("runs"))
     )
-    texts = documents.select("doc_id", _text_key().alias("tk"), "text")
-    examples = texts.join(listed, _same_text(texts, listed)).select(texts["doc_id"], texts["tk"], "text", "runs").dropDuplicates(_ID)
+    # the join and the removal of repeated rows need the same partitioning, so texts are shuffled once
+    examples = documents.select("doc_id", *_keys(), "text").join(listed, _ID).dropDuplicates(_ID)
     contexts = keep(_contexts(examples, length, seed), "contexts")
-    chosen = F.min(F.struct(*_ID, "first", "n", "once", "at", "words")).alias("r")
+    chosen = F.min(F.struct("doc_id", *_ID, "first", "n", "once", "at", "words")).alias("r")
     least = keep(contexts.groupBy("anchor").agg(chosen).select("anchor", *(F.col(f"r.{c}").alias(f"r_{c}") for c in (*_ID, "first", "once", "at", "words"))), "representatives")
-    itself = F.col("doc_id").eqNullSafe(F.col("r_doc_id")) & (F.col("tk") == F.col("r_tk")) & (F.col("first") == F.col("r_first"))
-    extended = keep(_extended(contexts.join(least, "anchor").where(~itself), length), "extended")
+    itself = (F.col("k1") == F.col("r_k1")) & (F.col("k2") == F.col("r_k2")) & (F.col("first") == F.col("r_first"))
+    extended = keep(_extended(contexts.drop("doc_id").join(least, "anchor").where(~itself), length), "extended")
     found = extended.where("high > low")
     n = (F.col("high") - F.col("low")).alias("n")
     mine = found.where("once").select(*_ID, (F.col("first") + F.col("low")).alias("first"), n)
-    theirs = found.where("r_once").select(F.col("r_doc_id").alias("doc_id"), F.col("r_tk").alias("tk"), (F.col("r_first") + F.col("r_at") + F.col("low") - F.col("at")).alias("first"), n).distinct()
+    theirs = found.where("r_once").select(F.col("r_k1").alias("k1"), F.col("r_k2").alias("k2"), (F.col("r_first") + F.col("r_at") + F.col("low") - F.col("at")).alias("first"), n).distinct()
     windows = keep(_rest(extended.where("kinds > 2"), length), "windows")
     again = keep(windows.groupBy("anchor", "window").count().where("count > 1").select("anchor", "window"), "again")
     single = windows.where("once").join(again, ["anchor", "window"]).select(*_ID, "first", F.lit(1).alias("n"))
@@ -218,36 +215,37 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, seed: int = SEED)
     A text that loses nothing stays as it is. Otherwise its kept stretches are joined by
     one space. ``kept_sha256`` is the digest of the kept words joined by one space.
     """
-    documents = documents.drop("n_words", "n_removed", "kept_sha256", "_runs", "_text_key", "_id", "_tk")
-    found = repeats(documents, length, seed).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), "runs")
-    rows = documents.withColumn("_text_key", _text_key())
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_text_key"] == found["_tk"]), "left").select(*(rows[c] for c in documents.columns), found["runs"].alias("_runs"))
+    documents = documents.drop("n_words", "n_removed", "kept_sha256", "_runs", "_k1", "_k2")
+    found = repeats(documents, length, seed).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("runs").alias("_runs"))
+    joined = documents.select("*", *_keys("_k1", "_k2")).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
     def start():
         def make(b: pa.RecordBatch) -> dict[str, object]:
             w = split_words(b.column("text"), NOT_SPACE)
+            line, begin, end = joined_words(w)
             runs, texts = b.column("_runs"), b.column("text").to_pylist()
             total, removed, digest, out = np.diff(w.doc), [], [], []
             for i in range(b.num_rows):
                 a, n = int(w.doc[i]), int(total[i])
-                starts, ends = w.start[a : a + n], w.end[a : a + n]
-                if not runs[i].is_valid:
-                    keep_word = np.ones(n, bool)
-                else:
-                    first, size = (x.to_numpy() for x in runs[i].values.flatten())
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + size - 1 + length, -1)
-                    keep_word = np.cumsum(edge)[:n] == 0
-                kept = np.flatnonzero(keep_word)
+                if not runs[i].is_valid:  # all words joined by one space lie in one stretch
+                    removed.append(0)
+                    digest.append(hashlib.sha256(line[begin[a] : end[a + n - 1]] if n else b"").hexdigest())
+                    out.append(texts[i])
+                    continue
+                first, size = (x.to_numpy() for x in runs[i].values.flatten())
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + size - 1 + length, -1)
+                kept = a + np.flatnonzero(np.cumsum(edge)[:n] == 0)
                 removed.append(n - len(kept))
-                digest.append(hashlib.sha256(b" ".join([w.data[x:y].tobytes() for x, y in zip(starts[kept].tolist(), ends[kept].tolist(), strict=True)])).hexdigest())
+                opens = np.flatnonzero(np.diff(kept, prepend=-2) > 1)
+                closes = kept[np.append(opens[1:], len(kept)) - 1] if len(kept) else kept
+                opens = kept[opens]
+                digest.append(hashlib.sha256(b" ".join([line[x:y].tobytes() for x, y in zip(begin[opens].tolist(), end[closes].tolist(), strict=True)])).hexdigest())
                 if len(kept) == n:
                     out.append(texts[i])
                 else:
-                    opens = np.flatnonzero(np.diff(kept, prepend=-2) > 1)
-                    closes = np.append(opens[1:], len(kept)) - 1
-                    out.append(b" ".join([w.data[x:y].tobytes() for x, y in zip(starts[kept[opens]].tolist(), ends[kept[closes]].tolist(), strict=True)] if len(kept) else []).decode("utf-8", "replace"))
+                    out.append(b" ".join([w.data[x:y].tobytes() for x, y in zip(w.start[opens].tolist(), w.end[closes].tolist(), strict=True)]).decode("utf-8", "replace"))
             return {"text": pa.array(out, pa.string()), "n_words": total, "n_removed": np.array(removed, np.int64), "kept_sha256": pa.array(digest, pa.string())}
 
         return make
