@@ -19,8 +19,9 @@ LEAST_BYTES, MOST_CV, ALERT_AT, NOMINAL_BYTES = 200, 0.50, 0.7, 40
 def not_a_scan_source() -> Column:
     """Broadcast, multicast, loopback and two content networks never count as scanners."""
     ip = F.col("src_ip")
+    # The excluded endings, address and prefixes.
     excluded = ip.endswith(".255") | ip.endswith(".0") | (ip == "255.255.255.255")
-    for prefix in ("104.16.", "127.", "162.159.", "224.", "239."):
+    for prefix in ("224.", "239.", "162.159.", "127.", "104.16."):
         excluded = excluded | ip.startswith(prefix)
     return ~excluded
 

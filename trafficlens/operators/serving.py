@@ -197,6 +197,7 @@ def sentence() -> Column:
     def text(pattern: str, *args: Column) -> Column:
         return F.format_string(pattern, *args)
 
+    # The sentences.
     return (
         F.when(kind == "DDoS", text("Traffic flood aimed at %s from %s.", dst, src))
         .when(kind == "PortScan", text("%s is scanning ports on %s.", src, dst))
