@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from statistics import median
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,24 @@ def test_sliding_units_start_at_the_origin(spark):
     assert {r["detector_id"] for r in units.both_timescales(rows).select("detector_id").distinct().collect()} == {"fast", "deep"}
 
 
+def test_medians_of_a_busy_unit_are_exact_and_keep_no_list(spark):
+    """60,000 flows of one unit in a window, many at the same time, beside a unit of two and one of three flows."""
+    rng = random.Random(7)
+    times = {"busy": [rng.randrange(60_000_000) if rng.random() < 0.7 else 1_000_000 * rng.randrange(60) for _ in range(60_000)], "two": [5, 1_000_000], "three": [0, 10, 31]}
+    rows = spark.createDataFrame([(t, host) for host, ts in times.items() for t in ts], "ts_us long, orig_h string").select(
+        "*", F.lit("b").alias("resp_h"), F.lit("1").alias("resp_p"), F.lit("tcp").alias("proto"), F.lit(1).alias("orig_pkts"), F.lit(1).alias("resp_pkts"), F.lit(0.0).alias("duration")
+    )
+    out = units.unit_features(units.prepared(rows), 60)
+    got = {r["orig_h"]: (r["n_flows"], r["iat_madn"]) for r in out.collect()}
+    for host, ts in times.items():
+        ts = sorted(ts)
+        gaps = [b - a for a, b in zip(ts, ts[1:], strict=False)]
+        middle = median(gaps)
+        want = median(abs(g - middle) for g in gaps) / middle if len(gaps) > 1 and middle else None
+        assert got[host] == (len(ts), want if want is None else pytest.approx(want, abs=1e-6))
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
 def test_domain_statistics(spark):
     df = spark.createDataFrame([("Xkcd-99q.Example.com",), ("",), ("a",)], "domain string")
     r = df.select("domain", *(c.alias(n) for n, c in D.statistics(F.col("domain")).items())).collect()
