@@ -20,6 +20,8 @@ from trafficlens.sources import synthetic
 VECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"DDoS": flows.flood_vector, "DataExfiltration": flows.exfiltration_vector, "EncryptedMalware": flows.encrypted_vector}
 #: The same as which flows it has and its features
 COLUMNS: dict[str, Callable[[], flows.Vector]] = {"DDoS": flows.flood_columns, "DataExfiltration": flows.exfiltration_columns, "EncryptedMalware": flows.encrypted_columns}
+#: Benign and attacking flows that each class is fitted on
+SIZES = {"DDoS": (20_000, 10_000), "DataExfiltration": (20_000, 10_000), "EncryptedMalware": (30_000, 15_000)}
 _fitted: dict[tuple[str, str], models.Detector] = {}
 
 
@@ -27,9 +29,9 @@ def features_of(vector: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in vector.columns if c not in (*flows.KEY, "label"))
 
 
-def flow_rows(spark: SparkSession, kind: str, benign: int = 1000, attack: int = 500, first: int = 0) -> DataFrame:
+def flow_rows(spark: SparkSession, kind: str, benign: int = 1000, attack: int = 500, first: int = 0, profiles: dict = synthetic.PROFILES) -> DataFrame:
     """Vectors of made-up flows of a class, with label: attacks are in odd windows."""
-    vector = VECTORS[kind](flows.assembled(synthetic.labelled_packets(spark, kind, benign, attack, first)))
+    vector = VECTORS[kind](flows.assembled(synthetic.labelled_packets(spark, kind, benign, attack, first, profiles)))
     return vector.withColumn("label", (F.col("window_us") / WINDOW_US % 2).cast("int"))
 
 
@@ -62,15 +64,21 @@ def _fit(rows: DataFrame, *args: object, **options: object) -> models.Detector:
 
 
 def flow_detector(spark: SparkSession, kind: str, **options: int) -> models.Detector:
-    """A detector of a flow class on its own vector."""
+    """A detector of a flow class on its own vector, fitted on ``SIZES`` flows."""
 
     def fit() -> models.Detector:
-        rows = flow_rows(spark, kind)
+        rows = flow_rows(spark, kind, *SIZES[kind])
         return _fit(rows, kind, features_of(rows), flows.KEY, **options)
 
     return _kept(spark, kind, fit)
 
 
+def unseen_metrics(detector: models.Detector, spark: SparkSession, kind: str, threshold: float, benign: int = 1000, attack: int = 500) -> DataFrame:
+    """How a detector fares on flows of profiles that it was not fitted on (``synthetic.UNSEEN``), in one row."""
+    rows = flow_rows(spark, kind, benign, attack, 200_000, synthetic.UNSEEN)
+    return models.metrics(detector.score(rows), threshold)
+
+
 def scan_detector(spark: SparkSession, window_s: float = 30, stride_s: float = 10, **options: int) -> models.Detector:
     """A detector of scan windows of a geometry."""
     fit = lambda: _fit(scan_rows(spark, window_s, stride_s), "PortScan", portscan.FEATURES, portscan.KEY, window_s=float(window_s), stride_s=float(stride_s), **options)

@@ -141,9 +141,44 @@ PROFILES: dict[str, tuple[list[dict], list[dict]]] = {
 }
 
 
-def labelled_packets(spark: SparkSession, kind: str, benign: int = 1000, attack: int = 500, first: int = 0) -> DataFrame:
+#: Profiles that no detector is fitted on, for judging it: other software, other sizes, gaps and ports
+UNSEEN: dict[str, tuple[list[dict], list[dict]]] = {
+    "DDoS": (
+        [
+            {"out": (10, 50), "back": (80, 150), "size": (60, 120), "answer": (1000, 1450), "gap": (3, 25), "jitter": (0.3, 1), "ports": (8443, 1935), "syn": 0.0, "psh": 0.1},
+            {"out": (15, 60), "back": (10, 40), "size": (150, 600), "answer": (150, 600), "gap": (8, 60), "jitter": (0.5, 1), "ports": (5432, 6379), "syn": 0.0, "psh": 0.7},
+        ],
+        [
+            {"out": (80, 180), "back": (0, 12), "size": (44, 110), "answer": (40, 60), "gap": (1, 9), "jitter": (0.1, 0.8), "ports": (25, 5060), "syn": 0.8, "psh": 0.0},
+            {"out": (100, 200), "back": (5, 30), "size": (250, 900), "answer": (60, 200), "gap": (0.1, 5), "jitter": (0, 0.6), "ports": (123, 8000), "syn": 0.1, "psh": 0.1},
+        ],
+    ),
+    "DataExfiltration": (
+        [
+            {"out": (5, 25), "back": (60, 140), "size": (60, 200), "answer": (900, 1450), "gap": (5, 60), "jitter": (0.3, 1), "ports": (8443, 1935), "syn": 0.0, "psh": 0.2},
+            {"out": (25, 70), "back": (15, 45), "size": (300, 1100), "answer": (100, 500), "gap": (25, 150), "jitter": (0.5, 1), "ports": (587, 5222), "syn": 0.0, "psh": 0.6},
+        ],
+        [
+            {"out": (90, 180), "back": (8, 25), "size": (600, 1300), "answer": (60, 120), "gap": (10, 50), "jitter": (0.1, 0.7), "ports": (2049, 8022), "syn": 0.0, "psh": 0.5},
+            {"out": (30, 80), "back": (2, 8), "size": (1000, 1460), "answer": (40, 90), "gap": (60, 110), "jitter": (0, 0.4), "ports": (445, 6697), "syn": 0.0, "psh": 0.9},
+        ],
+    ),
+    "EncryptedMalware": (
+        [
+            {"out": (6, 18), "back": (6, 18), "size": (80, 900), "answer": (90, 900), "gap": (300, 700), "jitter": (0.5, 1), "ports": (143, 5900), "syn": 0.0, "psh": 0.4},
+            {"out": (4, 10), "back": (4, 10), "size": (100, 350), "answer": (150, 450), "gap": (550, 900), "jitter": (0.5, 0.9), "ports": (1883, 22), "syn": 0.0, "psh": 0.7},
+        ],
+        [
+            {"out": (5, 11), "back": (5, 11), "size": (220, 330), "answer": (140, 260), "gap": (500, 850), "jitter": (0, 0.25), "ports": (8888, 1337), "syn": 0.0, "psh": 0.8},
+            {"out": (4, 8), "back": (3, 6), "size": (120, 190), "answer": (80, 130), "gap": (650, 900), "jitter": (0.05, 0.3), "ports": (4443, 9002), "syn": 0.0, "psh": 0.9},
+        ],
+    ),
+}
+
+
+def labelled_packets(spark: SparkSession, kind: str, benign: int = 1000, attack: int = 500, first: int = 0, profiles: dict[str, tuple[list[dict], list[dict]]] = PROFILES) -> DataFrame:
     """Packets of flows of a class; benign flows begin in even windows of 10 s, attacks in odd ones. Ids from ``first`` on give other flows."""
-    both = PROFILES[kind]
+    both = profiles[kind]
     rows = spark.range(first, first + benign + attack).withColumn("label", (F.col("id") >= first + benign).cast("int")).withColumn("k", F.floor(uniform(kind, "k") * 12))
     label, k = F.col("label"), F.col("k")
 
