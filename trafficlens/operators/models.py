@@ -9,10 +9,12 @@ refuses one whose contract doesn't match. A missing artifact means abstention: n
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -92,12 +94,15 @@ def fold(n: int, *key: str) -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), *key), F.lit(n))
 
 
-def cross_scores(pipeline: Pipeline, rows: DataFrame, folds: int, *key: str) -> DataFrame:
-    """raw_score of every row by a model fitted on the other folds."""
-    parts = []
-    for k in range(folds):
-        model = pipeline.fit(rows.where(fold(folds, *key) != k))
-        parts.append(_raw(model, rows.where(fold(folds, *key) == k)))
+def at_once(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
+    """Results of independent jobs that run side by side: a fit is many small jobs one after another, which leave most cores idle."""
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs])
+
+
+def cross_scores(rows: DataFrame, fitted: Sequence[PipelineModel], *key: str) -> DataFrame:
+    """raw_score of every row by the model that was fitted on the other folds."""
+    parts = [_raw(model, rows.where(fold(len(fitted), *key) == k)) for k, model in enumerate(fitted)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -109,12 +114,14 @@ def fit(rows: DataFrame, name: str, features: Sequence[str], key: Sequence[str]
 
 
 def _calibrated(pipeline: Pipeline, rows: DataFrame, name: str, features: tuple[str, ...], key: Sequence[str], folds: int, **geometry: float) -> Detector:
-    held = cross_scores(pipeline, rows, folds, *key).select(F.col("label").cast("double").alias("label"), "raw_score").cache()
+    parts = [rows.where(fold(folds, *key) != k) for k in range(folds)]
+    *fitted, whole = at_once(rows.sparkSession, [partial(pipeline.fit, part) for part in (*parts, rows)])
+    held = cross_scores(rows, fitted, *key).select(F.col("label").cast("double").alias("label"), "raw_score").cache()
     calibration = IsotonicRegression(featuresCol="raw_score", labelCol="label", predictionCol="probability").fit(held)
     scored = calibration.transform(held)
     best = best_threshold(scored, "probability", "label").first()
     held.unpersist()
-    return Detector(Contract(name, features, float(best["threshold"]), **geometry), pipeline.fit(rows), calibration)
+    return Detector(Contract(name, features, float(best["threshold"]), **geometry), whole, calibration)
 
 
 def metrics(scored: DataFrame, threshold: float, score: str = "probability", label: str = "label") -> DataFrame:

@@ -7,7 +7,8 @@ was fitted is kept for the application; ``models.save`` and ``models.load`` keep
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ VECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {"DDoS": flows.flood_vect
 COLUMNS: dict[str, Callable[[], flows.Vector]] = {"DDoS": flows.flood_columns, "DataExfiltration": flows.exfiltration_columns, "EncryptedMalware": flows.encrypted_columns}
 #: Benign and attacking flows that each class is fitted on
 SIZES = {"DDoS": (20_000, 10_000), "DataExfiltration": (20_000, 10_000), "EncryptedMalware": (30_000, 15_000)}
+#: Partitions of the training rows. They are 45,000 at most, and every level of every tree is a job over them
+PARTS = 4
 _fitted: dict[tuple[str, str], models.Detector] = {}
 
 
@@ -55,10 +58,16 @@ def _kept(spark: SparkSession, name: str, fit: Callable[[], models.Detector]) ->
     return _fitted[key]
 
 
-def _fit(rows: DataFrame, *args: object, **options: object) -> models.Detector:
-    rows = rows.cache()
+def prepared(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Training rows in ``PARTS`` partitions and one order, whatever the session's shuffles: fits are as fast and give the same on every cluster."""
+    return rows.repartition(PARTS, *key).sortWithinPartitions(*key)
+
+
+def _fit(rows: DataFrame, name: str, features: Sequence[str], key: Sequence[str], **options: object) -> models.Detector:
+    rows = prepared(rows, key).cache()
+    rows.count()  # else the fits side by side would each make them
     try:
-        return models.fit(rows, *args, **options)
+        return models.fit(rows, name, features, key, **options)
     finally:
         rows.unpersist()
 
@@ -73,6 +82,12 @@ def flow_detector(spark: SparkSession, kind: str, **options: int) -> models.Dete
     return _kept(spark, kind, fit)
 
 
+def flow_detectors(spark: SparkSession, **options: int) -> dict[str, models.Detector]:
+    """The detectors of all flow classes, fitted side by side."""
+    fits = [partial(flow_detector, spark, kind, **options) for kind in SIZES]
+    return dict(zip(SIZES, models.at_once(spark, fits), strict=True))
+
+
 def unseen_metrics(detector: models.Detector, spark: SparkSession, kind: str, threshold: float, benign: int = 1000, attack: int = 500) -> DataFrame:
     """How a detector fares on flows of profiles that it was not fitted on (``synthetic.UNSEEN``), in one row."""
     rows = flow_rows(spark, kind, benign, attack, 200_000, synthetic.UNSEEN)
@@ -91,6 +106,12 @@ def unit_detector(spark: SparkSession, window_s: int, **options: int) -> models.
     return _kept(spark, f"C2-{window_s}", fit)
 
 
+def unit_detectors(spark: SparkSession, **options: int) -> dict[int, models.Detector]:
+    """The detectors of both timescales by window, fitted side by side."""
+    sizes = [window for _, window, _ in units.TIMESCALES]
+    return dict(zip(sizes, models.at_once(spark, [partial(unit_detector, spark, window, **options) for window in sizes]), strict=True))
+
+
 def forget() -> None:
     """Drop all kept detectors."""
     _fitted.clear()

@@ -416,20 +416,21 @@ def c2_model_scores(spark: SparkSession, d: str) -> DataFrame:
     """Units of both timescales under the fitted model of each."""
     rows = units.prepared(views.c2_flows(spark, d))
     at = units.origin_us(rows)
+    fitted = training.unit_detectors(spark)
     parts = []
     for name, window, stride in units.TIMESCALES:
-        scored = training.unit_detector(spark, window).score(units.unit_features(rows, window, stride, at))
+        scored = fitted[window].score(units.unit_features(rows, window, stride, at))
         parts.append(scored.select(*units.UNIT, F.lit(name).alias("detector_id"), rounded(F.col("probability")).alias("probability"), "is_attack"))
     return parts[0].unionByName(parts[1])
 
 
 def _model_scores(flow_rows: DataFrame) -> DataFrame:
     """One chain of scores over the same rows: no flow is assembled twice and nothing is joined."""
-    spark, kinds = flow_rows.sparkSession, list(training.COLUMNS)
+    kinds, fitted = list(training.COLUMNS), training.flow_detectors(flow_rows.sparkSession)
     out = flow_rows.withColumn("scoreable", (F.col("total_packets") >= 3) & flows.to_one_host())
     for kind, vector in training.COLUMNS.items():
         among, features = vector()
-        scored = training.flow_detector(spark, kind).score(out.select(F.struct("*").alias("_flow"), (F.col("scoreable") & among).alias("_among"), *features))
+        scored = fitted[kind].score(out.select(F.struct("*").alias("_flow"), (F.col("scoreable") & among).alias("_among"), *features))
         out = scored.select("_flow.*", F.when(F.col("_among"), F.col("probability")).alias(kind), (F.col("_among") & F.col("is_attack")).alias(f"is_{kind}"))
     name, best = detect.arbitrated({kind: F.coalesce(kind, F.lit(0.0)) for kind in kinds})
     attack = F.greatest(*(F.col(f"is_{kind}") for kind in kinds))
