@@ -17,6 +17,8 @@ from trafficlens.schemas import FAILED_STATES
 KEY = ("src_ip", "start_us")
 #: Windows' lengths in a bucket
 SPAN = 16
+#: Rows of a task once they are dealt to their windows; their sums take some 2 kB each
+TASK_ROWS = 250_000
 #: The calibrated probability at which a candidate alerts
 ALERT_AT = 0.60
 # The model's features in its order.
@@ -36,14 +38,26 @@ def dealt(flows: DataFrame, window_s: float, stride_s: float, ts: str = "ts_us",
     return out.where(F.col(ts) < F.col("start_us") + w)
 
 
-def dealt_in_buckets(flows: DataFrame, key: tuple[str, ...], window_s: float, stride_s: float, ts: str = "ts_us", origin_us: int = 0) -> DataFrame:
-    """As ``dealt``, shuffled by key and bucket before rows are multiplied; adds bucket and prev_us, the key's previous time."""
+def in_tasks(rows: DataFrame, key: tuple[str, ...], counted: DataFrame, times: int) -> DataFrame:
+    """``rows`` shuffled by key to as many tasks as keep each at some ``TASK_ROWS`` once its rows are dealt ``times``.
+
+    A shuffle's own number of partitions, and their size after adaptive coalescing, know nothing of rows that are multiplied
+    later, whose sums then spill many times the input. The count reads no more than the rows' columns need.
+    """
+    tasks = -(-counted.count() * times // TASK_ROWS)
+    if tasks <= 1:
+        return rows.repartition(*key)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *key)
+
+
+def dealt_in_buckets(flows: DataFrame, key: tuple[str, ...], window_s: float, stride_s: float, ts: str = "ts_us", origin_us: int = 0, spread: tuple[str, ...] | None = None) -> DataFrame:
+    """As ``dealt``, shuffled by key (or some of it: ``spread``) and bucket before rows are multiplied; adds bucket and prev_us, the key's previous time."""
     w, s = int(window_s * 1_000_000), int(stride_s * 1_000_000)
     span = SPAN * -(-w // s) * s
     last = F.floor((F.col(ts) - origin_us) / s) * s
     first = last - (-(-w // s) - 1) * s
     buckets = F.sequence(F.floor(first / span), F.floor(last / span))
-    rows = flows.withColumn("bucket", F.explode(buckets)).repartition(*key, "bucket")
+    rows = in_tasks(flows.withColumn("bucket", F.explode(buckets)), (*(spread or key), "bucket"), flows, -(-w // s))
     rows = rows.withColumn("prev_us", F.lag(ts).over(Window.partitionBy(*key, "bucket").orderBy(ts)))
     begin = F.col("bucket") * span
     starts = F.sequence(F.greatest(first, begin).cast("long"), F.least(last, begin + (span - s)).cast("long"), F.lit(s).cast("long"))
