@@ -4,8 +4,8 @@ A unit is the flows of one host to one endpoint (host, port, protocol) in a wind
 Windows are tumbling, or slide on a grid anchored at an origin. Fan-in and fan-out are
 counted inside the same window only. Missing values are null, never NaN.
 
-Flows are shuffled once by unit and bucket of windows (see ``portscan``). Fan-in and fan-out
-come from pairs that are counted in panes of one stride before they are dealt to windows.
+Flows are shuffled once by host and bucket of windows (see ``portscan``), so units and their
+fan-out need no other shuffle. Fan-in comes from the panes of one stride in which a unit has flows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ UNIT = ("start_us", "orig_h", "resp_h", "resp_p", "proto")
 # The models' features in their order.
 BASE = ("endpoint_host_fanin", "n_flows", "dst_recurrence", "host_endpoint_fanout", "iat_mean", "iat_cov", "mean_pkts")
 EXTENDED = (*BASE, "iat_madn", "dur_mean", "dur_cov", "pkts_cov", "bytes_mean", "host_flow_share")
+ENDPOINT = ("start_us", "resp_h", "resp_p", "proto")
 NO_PORT, SUBBINS = -1, 10
+#: Endpoints, over all windows, up to which their fan-in is broadcast
+MOST_ENDPOINTS = 131_072
 #: The two timescales: detector id, window and stride in seconds
 TIMESCALES = (("fast", 60, 10), ("deep", 300, 60))
 
@@ -65,20 +68,39 @@ def unit_features(flows: DataFrame, window_s: int, stride_s: int | None = None,
     window starts before it.
     """
     stride, at = stride_s or window_s, origin or 0
-    rows = dealt_in_buckets(flows, UNIT[1:], window_s, stride, origin_us=at)
+    rows = dealt_in_buckets(flows, UNIT[1:], window_s, stride, origin_us=at, spread=("orig_h",))
     pairs = _pairs(flows, window_s, stride, at)
     if origin is not None:
         rows, pairs = rows.where(F.col("start_us") >= origin), pairs.where(F.col("start_us") >= origin)
-    return _joined(rows, pairs, window_s, uids)
+    host = Window.partitionBy("start_us", "orig_h", "bucket")
+    units = _units(rows, window_s, uids).withColumns({"host_endpoint_fanout": F.count("*").over(host), "host_flows": F.sum("n_flows").over(host)})
+    return _finished(units.where(F.col("orig_h").isNotNull()).join(_fanin(pairs), list(ENDPOINT)), uids)
 
 
 def _pairs(flows: DataFrame, window_s: int, stride_s: int, origin: int) -> DataFrame:
-    """Flows of each unit of each window; where windows are whole strides, counted stride by stride first."""
-    if window_s % stride_s:
-        return dealt(flows, window_s, stride_s, origin_us=origin).groupBy(*UNIT).agg(F.count("*").alias("n_flows"))
-    pane = F.floor((F.col("ts_us") - origin) / (stride_s * 1_000_000)) * (stride_s * 1_000_000) + origin
-    panes = flows.groupBy(pane.alias("pane_us"), *UNIT[1:]).agg(F.count("*").alias("n"))
-    return dealt(panes, window_s, stride_s, "pane_us", origin).groupBy(*UNIT).agg(F.sum("n").alias("n_flows"))
+    """The units of each window, once each. A unit's panes of one stride are bits of a long, so rows are combined before
+    they are shuffled and no row is dealt to its windows; where windows aren't whole strides or the bits don't do, rows are dealt."""
+    n = window_s // stride_s
+    if window_s % stride_s or n > 32:
+        return dealt(flows, window_s, stride_s, origin_us=origin).select(*UNIT).distinct()
+    starts = 64 - n  # of a long's windows; their panes are one bit less than it has
+    pane = F.floor((F.col("ts_us") - origin) / (stride_s * 1_000_000))
+    one = F.lit(1).cast("long")
+    words = F.sequence(F.floor((pane - (n - 1)) / starts), F.floor(pane / starts))
+    bit = F.call_function("shiftleft", one, (F.col("pane") - F.col("word") * starts).cast("int"))
+    bits = flows.withColumn("pane", pane).withColumn("word", F.explode(words)).groupBy(*UNIT[1:], "word").agg(F.bit_or(bit).alias("bits"))
+    seen = lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(F.lit((1 << n) - 1)) != 0
+    start = F.explode(F.filter(F.sequence(F.lit(0), F.lit(starts - 1)), seen))
+    return bits.select(*UNIT[1:], "word", start.alias("i")).select(((F.col("word") * starts + F.col("i")) * (stride_s * 1_000_000) + origin).alias("start_us"), *UNIT[1:])
+
+
+def _fanin(pairs: DataFrame) -> DataFrame:
+    """Hosts of each endpoint and window. Where these are few, they are broadcast, so that units aren't shuffled for them."""
+    fanin = pairs.groupBy(*ENDPOINT).agg(F.count("*").alias("endpoint_host_fanin"))
+    few = fanin.limit(MOST_ENDPOINTS + 1).collect()
+    if len(few) > MOST_ENDPOINTS:
+        return fanin
+    return F.broadcast(pairs.sparkSession.createDataFrame(few, fanin.schema))
 
 
 def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame:
@@ -89,7 +111,14 @@ def features_of(rows: DataFrame, window_s: int, uids: bool = False) -> DataFrame
 
 
 def _joined(rows: DataFrame, pairs: DataFrame, window_s: int, uids: bool) -> DataFrame:
-    """Fan-in and fan-out come from the units' keys alone, so a host or endpoint of many units is no task's whole input.
+    """Fan-in and fan-out come from the units' keys alone, so a host or endpoint of many units is no task's whole input."""
+    fanin = pairs.groupBy(*ENDPOINT).agg(F.count("*").alias("endpoint_host_fanin"))
+    fanout = pairs.groupBy("start_us", "orig_h").agg(F.count("*").alias("host_endpoint_fanout"), F.sum("n_flows").alias("host_flows"))
+    return _finished(_units(rows, window_s, uids).join(fanin, list(ENDPOINT)).join(fanout, ["start_us", "orig_h"]), uids)
+
+
+def _units(rows: DataFrame, window_s: int, uids: bool) -> DataFrame:
+    """What each unit's own rows say.
 
     Medians keep counts of distinct gaps, not gaps: a unit's gaps are whole microseconds and add up to its window at most,
     so at most sqrt(2 * window) differ (24,495 in 300 s), whatever the unit's rows. The rows are spilled, not held.
@@ -99,7 +128,7 @@ def _joined(rows: DataFrame, pairs: DataFrame, window_s: int, uids: bool) -> Dat
     rows = rows.withColumn("gap", gap).withColumn("bin", F.least(F.greatest(F.floor((F.col("ts_us") - F.col("start_us")) / width), F.lit(0)), F.lit(SUBBINS - 1)))
     rows = rows.withColumn("gap_median", F.median("gap").over(Window.partitionBy(*UNIT, "bucket")))
     gaps, middle = F.count("gap"), F.max("gap_median")
-    units = rows.groupBy(*UNIT, "bucket").agg(
+    return rows.groupBy(*UNIT, "bucket").agg(
         F.count("*").alias("n_flows"),
         (F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("bin").cast("int")))) / SUBBINS).alias("dst_recurrence"),
         (F.avg("gap") / 1e6).alias("iat_mean"),
@@ -112,10 +141,10 @@ def _joined(rows: DataFrame, pairs: DataFrame, window_s: int, uids: bool) -> Dat
         F.avg("bytes").alias("bytes_mean"),
         *([F.sort_array(F.collect_list("uid")).alias("flow_id")] if uids else []),
     )
-    fanin = pairs.groupBy("start_us", "resp_h", "resp_p", "proto").agg(F.count("*").alias("endpoint_host_fanin"))
-    fanout = pairs.groupBy("start_us", "orig_h").agg(F.count("*").alias("host_endpoint_fanout"), F.sum("n_flows").alias("host_flows"))
-    out = units.join(fanin, ["start_us", "resp_h", "resp_p", "proto"]).join(fanout, ["start_us", "orig_h"])
-    out = out.withColumn("host_flow_share", F.col("n_flows") / F.col("host_flows"))
+
+
+def _finished(units: DataFrame, uids: bool) -> DataFrame:
+    out = units.withColumn("host_flow_share", F.col("n_flows") / F.col("host_flows"))
     exact = {"endpoint_host_fanin", "n_flows", "host_endpoint_fanout"}
     return out.select(*UNIT, *(F.col(c) if c in exact else rounded(F.col(c)).alias(c) for c in EXTENDED), *(["flow_id"] if uids else []))
 
