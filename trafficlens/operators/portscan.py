@@ -38,13 +38,13 @@ def dealt(flows: DataFrame, window_s: float, stride_s: float, ts: str = "ts_us",
     return out.where(F.col(ts) < F.col("start_us") + w)
 
 
-def in_tasks(rows: DataFrame, key: tuple[str, ...], counted: DataFrame, times: int) -> DataFrame:
-    """``rows`` shuffled by key to as many tasks as keep each at some ``TASK_ROWS`` once its rows are dealt ``times``.
+def in_tasks(rows: DataFrame, key: tuple[str, ...], most: int) -> DataFrame:
+    """``rows`` shuffled by key to as many tasks as ``most`` rows, once dealt to their windows, need at some ``TASK_ROWS`` each.
 
-    A shuffle's own number of partitions, and their size after adaptive coalescing, know nothing of rows that are multiplied
-    later, whose sums then spill many times the input. The count reads no more than the rows' columns need.
+    A shuffle's own number of partitions, and their size after adaptive coalescing, know nothing of what rows take once they are
+    multiplied and summed, so large tasks hold, and spill, many times the input.
     """
-    tasks = -(-counted.count() * times // TASK_ROWS)
+    tasks = -(-most // TASK_ROWS)
     if tasks <= 1:
         return rows.repartition(*key)
     return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *key)
@@ -57,7 +57,7 @@ def dealt_in_buckets(flows: DataFrame, key: tuple[str, ...], window_s: float, st
     last = F.floor((F.col(ts) - origin_us) / s) * s
     first = last - (-(-w // s) - 1) * s
     buckets = F.sequence(F.floor(first / span), F.floor(last / span))
-    rows = in_tasks(flows.withColumn("bucket", F.explode(buckets)), (*(spread or key), "bucket"), flows, -(-w // s))
+    rows = in_tasks(flows.withColumn("bucket", F.explode(buckets)), (*(spread or key), "bucket"), flows.count() * -(-w // s))
     rows = rows.withColumn("prev_us", F.lag(ts).over(Window.partitionBy(*key, "bucket").orderBy(ts)))
     begin = F.col("bucket") * span
     starts = F.sequence(F.greatest(first, begin).cast("long"), F.least(last, begin + (span - s)).cast("long"), F.lit(s).cast("long"))
@@ -70,11 +70,11 @@ def window_features(flows: DataFrame, window_s: float = 30, stride_s: float = 10
     return features(dealt_in_buckets(flows, ("src_ip",), window_s, stride_s), window_s, min_flows)
 
 
-def _in_buckets(rows: DataFrame) -> DataFrame:
-    """Rows of windows with bucket and prev_us; those that weren't dealt in buckets are shuffled by window."""
+def _in_buckets(rows: DataFrame, most: int = 0) -> DataFrame:
+    """Rows of windows with bucket and prev_us; those that weren't dealt in buckets are shuffled by window, to tasks for ``most`` rows."""
     if "bucket" in rows.columns:
         return rows
-    rows = rows.repartition(*map(F.col, KEY)).withColumn("bucket", F.lit(0))
+    rows = in_tasks(rows, KEY, most).withColumn("bucket", F.lit(0))
     return rows.withColumn("prev_us", F.lag("ts_us").over(Window.partitionBy(*KEY).orderBy("ts_us")))
 
 
@@ -111,9 +111,9 @@ def _of_pairs(pairs: DataFrame, sums: tuple[str, ...], extremes: tuple[str, ...]
     )
 
 
-def features(rows: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:
-    """Features of connections that are already dealt to their windows."""
-    return _finished(_summed(_in_buckets(rows), _sums(), {"min_us": F.min("ts_us"), "max_us": F.max("ts_us")}), window_s, min_flows)
+def features(rows: DataFrame, window_s: float, min_flows: int = 5, most: int = 0) -> DataFrame:
+    """Features of connections that are already dealt to their windows; ``most``, a bound of the rows, sizes the tasks."""
+    return _finished(_summed(_in_buckets(rows, most), _sums(), {"min_us": F.min("ts_us"), "max_us": F.max("ts_us")}), window_s, min_flows)
 
 
 def features_of_pairs(pairs: DataFrame, window_s: float, min_flows: int = 5) -> DataFrame:

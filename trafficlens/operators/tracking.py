@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from trafficlens.operators.beacons import not_a_scan_source
 from trafficlens.operators.connections import IDLE_US, KEY, SYN_IDLE_US, above_watermark, roles
+from trafficlens.operators.portscan import in_tasks
 from trafficlens.schemas import STANDARD_PORTS, UDP
 
 #: At a flush: the least age of an unanswered record, and the idle time of any other
@@ -98,14 +99,14 @@ def events(packets: DataFrame) -> DataFrame:
     return tcp.unionByName(udp.select(*KEY, F.lit(True).alias("own"), F.lit(True).alias("udp"), "timestamp_us", "seq", *no)).select(*KEY, *STEP)
 
 
-def _chunked(rows: DataFrame, chunk_us: int) -> DataFrame:
-    """Rows with ``chunk``: those of one key and chunk depend on no others."""
+def _chunked(rows: DataFrame, chunk_us: int, most: int) -> DataFrame:
+    """Rows (``most``, if known) with ``chunk``: those of one key and chunk depend on no others."""
     own, ts = F.col("own") & ~F.col("udp"), F.col("timestamp_us")
     order = Window.partitionBy(*KEY, "stretch").orderBy("timestamp_us", "seq", F.desc("own"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     pause = ts - F.last(F.when(own, ts), ignorenulls=True).over(before)
     ended = F.last(F.when(own, F.col("rst") | F.col("fin")), ignorenulls=True).over(before)
-    rows = rows.withColumn("stretch", F.floor(ts / chunk_us)).withColumn("cut", F.coalesce(own & ((pause > IDLE_US) | ended), F.lit(False)))
+    rows = in_tasks(rows.withColumn("stretch", F.floor(ts / chunk_us)), (*KEY, "stretch"), most).withColumn("cut", F.coalesce(own & ((pause > IDLE_US) | ended), F.lit(False)))
     rows = rows.withColumn("after", F.max("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     stretches = rows.groupBy(*KEY, "stretch").agg(F.max("cut").alias("has"))
     earlier = Window.partitionBy(*KEY).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,10 +115,10 @@ def _chunked(rows: DataFrame, chunk_us: int) -> DataFrame:
     return joined.withColumn("chunk", F.when(F.col("after"), F.col("stretch")).otherwise(F.coalesce("came_from", F.lit(-(1 << 62))))).select(*KEY, "chunk", *STEP)
 
 
-def flushed_records(packets: DataFrame, flush_us: int | None, chunk_us: int = CHUNK_US) -> DataFrame:
-    """All records of a batch, with known_us."""
+def flushed_records(packets: DataFrame, flush_us: int | None, chunk_us: int = CHUNK_US, most: int = 0) -> DataFrame:
+    """All records of a batch, with known_us; ``most``, the number of packets, sizes the tasks."""
     group = [*KEY, "chunk"]
-    dealt = _chunked(events(packets), chunk_us).repartition(*group).sortWithinPartitions(*group, "timestamp_us", "seq", F.desc("own"))
+    dealt = _chunked(events(packets), chunk_us, 2 * most).repartition(*group).sortWithinPartitions(*group, "timestamp_us", "seq", F.desc("own"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, c, out = None, None, []

@@ -45,7 +45,7 @@ def alerts(packets: DataFrame, window_us: int = WINDOW_US, scan_model: Detector
     ``SCAN_WAIT_US`` after its end. A beacon alerts in each window in which it has new starts.
     """
     models = Models(scan_model, flow_models or {}, domain_model)
-    scans = scan_decisions(portscan.features(scan_rows(tracking.flushed_records(packets, window_us)), SCAN_S), models.scan)
+    scans = scan_decisions(scan_features(packets, window_us), models.scan)
     found, kept = window_alerts(packets, scan_claims(scans, window_us), window_us, models)
     return found.unionByName(scan_alerts(scans)).unionByName(beacon_alerts(beacons.histories(kept)))
 
@@ -55,6 +55,12 @@ def scan_rows(records: DataFrame) -> DataFrame:
     return portscan.dealt(records, SCAN_S, SCAN_STRIDE_S).where(F.col("known_us") <= F.col("start_us") + SCAN_S * 1_000_000 + SCAN_WAIT_US)
 
 
+def scan_features(packets: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """Scan windows of a batch. A packet makes one record at most, so packets bound the rows that are dealt."""
+    n = packets.count()
+    return portscan.features(scan_rows(tracking.flushed_records(packets, window_us, most=n)), SCAN_S, most=n * -(-SCAN_S // SCAN_STRIDE_S))
+
+
 def scan_decisions(features: DataFrame, model: Detector | None) -> DataFrame:
     scored = features.withColumn("probability", F.lit(None).cast("double")) if model is None else model.score(portscan.scan_candidates(features))
     return portscan.scan_decisions(scored)

@@ -451,8 +451,8 @@ def attack_model_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def attack_scan_scores(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate window of the attacks' records under the fitted scan model, and what it alerts."""
-    records = tracking.flushed_records(views.attacks(spark, d), WINDOW_US)
-    scored = training.scan_detector(spark, live.SCAN_S, live.SCAN_STRIDE_S).score(portscan.scan_candidates(portscan.features(live.scan_rows(records), live.SCAN_S)))
+    windows = live.scan_features(views.attacks(spark, d))
+    scored = training.scan_detector(spark, live.SCAN_S, live.SCAN_STRIDE_S).score(portscan.scan_candidates(windows))
     return scored.select("src_ip", "start_us", "unique_dst_ports", "connection_attempts", rounded(F.col("probability"), 4).alias("probability"), (rounded(F.col("probability"), 4) >= portscan.ALERT_AT).alias("alerts"))
 
 
